@@ -1,14 +1,17 @@
 """Substring dedup by level-wise doubling of repeated word windows.
 
-A passage that repeats at `2k` words repeats at `k` words, so windows of k words
-are counted first, thinned to the windows that are the least of some run of k+1
-neighbours (each repeated passage of 2k words holds the same such anchor
-wherever it stands). Only around anchors that occur twice are windows of 2k
-words formed, hashed with 128 bits and compared; the doubling goes on until the
-wanted length is reached or nothing is left.
-
-Rows move as (hash, doc, place); texts stay where they were read unless the
-survivors are too many to broadcast.
+A passage that repeats at 20 words repeats at 5. So windows of a quarter of the
+wanted length are compared first, thinned to anchors: the least of some run of
+neighbouring windows, so that each window of the full length holds an anchor and
+equal windows hold equal ones. Windows of the full length are formed only where
+their anchor occurs twice (two doublings in one step, as one pass over the text
+gives both), hashed with 96 bits and compared.
+
+Rows move as (hash, doc, place), one for each key and chunk of a task: within a
+chunk the task itself knows which places repeat an earlier one, so the rows of a
+key are at most as many as there are chunks, and no key is hot. A document whose
+whole text occurred earlier is settled by the hash of its text. Texts stay where
+they were read unless the findings are too many to broadcast.
 """
 
 from __future__ import annotations
@@ -17,116 +20,160 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import sized_broadcast, store
 from .wordvec import as_bytes, batches, mix, span_hashes, words
 
 _SALT = np.uint64(0x5851F42D4C957F2D)
+#: Rows that a task compares by itself before it passes them on.
+CHUNK = 2_000_000
 
 
-def anchors(hashes: np.ndarray, run: int) -> np.ndarray:
-    """Indexes of hashes that are the first least one of some `run` neighbours; equal runs choose equal places."""
-    n = len(hashes)
-    if n < run:
-        return np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(hashes, run)
-    if n > 100_000:
-        parts = [view[i : i + 100_000].argmin(axis=1) + np.arange(i, min(i + 100_000, len(view))) for i in range(0, len(view), 100_000)]
-        return np.unique(np.concatenate(parts))
-    return np.unique(view.argmin(axis=1) + np.arange(len(view)))
+def anchor_places(w, small: int, full: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of a batch: the first words and hashes of windows of `small` words, and for each window of `full` words its anchor's first word.
 
+    The third array is by word; it is -1 where no window of `full` words starts.
+    """
+    at, h = w.windows(small)
+    run = full - small + 1
+    own = np.full(len(w.hashes), -1, np.int64)
+    starts, _ = w.windows(full)
+    if not len(starts):
+        return at[:0], h[:0], own
+    where = np.full(len(w.hashes), -1, np.int64)
+    where[at] = np.arange(len(at))
+    first = where[starts]  # the windows of `small` words inside are first .. first+run-1, all of one text
+    view = np.lib.stride_tricks.sliding_window_view(h, run)
+    for i in range(0, len(starts), 200_000):
+        part = first[i : i + 200_000]
+        own[starts[i : i + 200_000]] = at[part + view[part].argmin(axis=1)]
+    chosen = np.unique(own[starts])
+    return chosen, h[where[chosen]], own
+
+
+class _Chunk:
+    """Collects rows (h, h2, doc_id, pos) and gives them out with the mark `again` on places that repeat an earlier one of the chunk.
+
+    Of such a key the first place alone stays a row of the key; the others get keys of their own.
+    """
 
-def _anchor_rows(half: int):
+    def __init__(self, all_again: bool) -> None:
+        self.rows, self.size, self.all_again = [], 0, all_again
+
+    def add(self, h, h2, doc, pos):
+        self.rows.append((h, h2, doc, pos))
+        self.size += len(h)
+        if self.size >= CHUNK:
+            yield from self.take()
+
+    def take(self):
+        if not self.size:
+            return
+        h, h2, doc, pos = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        self.rows, self.size = [], 0
+        order = np.lexsort((pos, doc, h2, h)) if self.all_again is False else np.argsort(h, kind="stable")
+        h, h2, doc, pos = h[order], h2[order], doc[order], pos[order]
+        same = np.zeros(len(h), bool)
+        same[1:] = (h[1:] == h[:-1]) & (h2[1:] == h2[:-1])
+        again = same.copy()
+        if self.all_again:  # two places make each other repeated
+            again[:-1] |= same[1:]
+        own = np.where(same, mix(mix(doc.astype(np.uint64)) + pos.astype(np.uint64)), h)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own.view(np.int64)), pa.array(h2.astype(np.uint32).view(np.int32)), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(again)],
+            names=["h", "h2", "doc_id", "pos", "again"],
+        )
+
+
+def _anchor_rows(small: int, full: int):
     def run(it):
+        chunk = _Chunk(True)
         for batch in it:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for part in batches(texts):
                 w = words(as_bytes(texts[part]))
-                at, h = w.windows(half)
-                doc, keep = w.doc[at], []
-                cuts = np.flatnonzero(np.diff(doc)) + 1
-                # the runs of one text: windows of several texts are told apart by a break in doc
-                for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(at)], strict=True):
-                    if b - a > half:
-                        keep.append(a + anchors(h[a:b], half + 1))
-                keep = np.concatenate(keep) if keep else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[keep].view(np.int64)), pa.array(ids[part][doc[keep]]), pa.array((at[keep] - w.first[doc[keep]]).astype(np.int32))],
-                    names=["h", "doc_id", "pos"],
-                )
+                at, h, _ = anchor_places(w, small, full)
+                doc = w.doc[at]
+                yield from chunk.add(h, np.zeros(len(h), np.uint64), ids[part][doc], at - w.first[doc])
+        yield from chunk.take()
 
     return run
 
 
-def _window_rows(half: int):
-    """128-bit hashes of the windows of 2*half words whose anchor is among the text's surviving anchors."""
+def _window_rows(small: int, full: int):
+    """The windows of `full` words whose anchor is among the text's surviving anchors."""
 
     def run(it):
+        chunk = _Chunk(False)
         for batch in it:
-            kept = [i for i, v in enumerate(batch.column(2).is_valid().to_pylist()) if v]
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[kept]
-            batch = batch.take(pa.array(kept, pa.int64()))
-            texts, marks = batch.column(1).to_pylist(), batch.column(2)
+            ids, texts, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), batch.column(2)
             for part in batches(texts):
                 w = words(as_bytes(texts[part]))
+                _, _, own = anchor_places(w, small, full)
                 lists = marks[part.start : part.stop]
                 sizes = np.array([len(x) for x in lists], np.int64)
-                marked = np.zeros(len(w.hashes) + 1, np.int32)
-                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                marked[flat + np.repeat(w.first[:-1], sizes)] = 1
-                near = np.concatenate([[0], np.cumsum(marked)])
-                at, h = w.windows(2 * half)
-                # a window of 2*half words starts up to `half` words before its anchor
-                hit = near[at + half + 1] > near[at]
-                at, h = at[hit], h[hit]
-                second = mix(h ^ _SALT)
-                if len(at):
-                    second = span_hashes(mix(w.hashes + _SALT), at, at + 2 * half)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(second.view(np.int64)), pa.array(ids[part][w.doc[at]]), pa.array((at - w.first[w.doc[at]]).astype(np.int32))],
-                    names=["h", "h2", "doc_id", "pos"],
-                )
+                marked = np.zeros(len(w.hashes) + 1, bool)
+                marked[lists.flatten().to_numpy(zero_copy_only=False) + np.repeat(w.first[:-1], sizes)] = True
+                at = np.flatnonzero((own >= 0) & marked[own])
+                h = span_hashes(w.hashes, at, at + full)
+                h2 = span_hashes(mix(w.hashes + _SALT), at, at + full) >> np.uint64(32)
+                yield from chunk.add(h, h2, ids[part][w.doc[at]], at - w.first[w.doc[at]])
+        yield from chunk.take()
 
     return run
 
 
+def _ranges(it):
+    """Each text's sorted window starts as [first, last, first, last, ...] of runs of neighbours."""
+    for batch in it:
+        out = []
+        for x in batch.column(1):
+            at = np.sort(np.asarray(x.values, np.int64))
+            cut = np.flatnonzero(np.diff(at) > 1)
+            out.append(np.stack([at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]]], axis=1).ravel().astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "runs"])
+
+
 def repeated_windows(docs: DataFrame, n_words: int = 20) -> DataFrame:
-    """(doc_id, starts): the places of every window of n_words words whose words also start earlier.
+    """(doc_id, runs): first and last starts of the runs of windows of n_words words whose words also start earlier.
 
-    Earlier: in a smaller doc_id, or before in the same text. n_words is even.
-    Texts of fewer words, null and empty ones have no window.
+    Earlier: in a smaller doc_id, or before in the same text. n_words is a multiple
+    of 4. Texts of fewer words, null and empty ones have no window; texts that
+    are copies of a smaller doc_id's text are left out (all their windows repeat).
     """
-    half = n_words // 2
-    if n_words % 2:
-        raise ValueError("the window length doubles, so it must be even")
+    small = n_words // 4
+    if n_words % 4:
+        raise ValueError("the window length doubles twice, so it must be a multiple of 4")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    base = docs.select("doc_id", "text")
-    marks = store(base.mapInArrow(_anchor_rows(half), f"h long, doc_id {id_type}, pos int"), "anchors")
-    often = marks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    alive = store(marks.join(often, "h").groupBy("doc_id").agg(F.collect_list("pos").alias("alive")), "alive")
-    around = base.join(sized_broadcast(alive, F.size("alive") * 4 + 24), "doc_id")
-    grown = store(around.mapInArrow(_window_rows(half), f"h long, h2 long, doc_id {id_type}, pos int"), "grown")
-    first = grown.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = grown.join(first, ["h", "h2"]).filter(F.struct("doc_id", "pos") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_list("pos").alias("starts"))
+    rows = f"h long, h2 int, doc_id {id_type}, pos int, again boolean"
+    marks = docs.mapInArrow(_anchor_rows(small, n_words), rows)
+    twice = marks.withColumn("n", F.count("*").over(Window.partitionBy("h"))).filter("again or n > 1")
+    alive = store(twice.groupBy("doc_id").agg(F.collect_list("pos").alias("alive")), "alive")
+    around = docs.join(sized_broadcast(alive, F.size("alive") * 4 + 24), "doc_id")
+    grown = around.select("doc_id", "text", "alive").mapInArrow(_window_rows(small, n_words), rows)
+    first = F.min(F.struct("doc_id", "pos")).over(Window.partitionBy("h", "h2"))
+    later = grown.withColumn("first", first).filter(F.col("again") | (F.struct("doc_id", "pos") > F.col("first")))
+    return later.groupBy("doc_id").agg(F.collect_list("pos").alias("starts")).mapInArrow(_ranges, f"doc_id {id_type}, runs array<int>")
 
 
 def _kept_rows(n_words: int, with_text: bool):
     def run(it):
         for batch in it:
-            ids, texts, starts = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
+            ids, texts, runs, copies = batch.column(0), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()
             for part in batches(texts):
                 n, removed, digest, kept_text = [], [], [], []
-                for raw, found in zip(as_bytes(texts[part]), starts[part.start : part.stop], strict=True):
+                for raw, found, copy in zip(as_bytes(texts[part]), runs[part.start : part.stop], copies[part], strict=True):
                     parts = raw.split()
                     kept = parts
-                    if found.is_valid:
+                    if copy and len(parts) >= n_words:
+                        kept = []
+                    elif found.is_valid:
                         cover = np.zeros(len(parts) + 1, np.int64)
                         at = np.asarray(found.values, np.int64)
-                        np.add.at(cover, at, 1)
-                        np.add.at(cover, at + n_words, -1)
+                        np.add.at(cover, at[::2], 1)
+                        np.add.at(cover, at[1::2] + n_words, -1)
                         kept = [parts[i] for i in np.flatnonzero(np.cumsum(cover)[:-1] == 0)]
                     joined = b" ".join(kept)
                     n.append(len(parts))
@@ -155,7 +202,12 @@ def substring_dedup(docs: DataFrame, n_words: int = 20, with_text: bool = False)
     least (doc_id, place). Windows are judged on the input, not on what is left.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    starts = store(repeated_windows(docs, n_words), "repeats")
-    joined = docs.select("doc_id", "text").join(sized_broadcast(starts, F.size("starts") * 4 + 24), "doc_id", "left")
+    base = docs.select("doc_id", "text")
+    same = base.filter(F.length("text") > 0).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    least = same.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    copies = store(same.join(least, "sha").filter("doc_id > least").select("doc_id", F.lit(True).alias("copy")), "copies")
+    copies = sized_broadcast(copies, 24)
+    runs = store(repeated_windows(base.join(copies, "doc_id", "left_anti"), n_words), "runs")
+    joined = base.join(sized_broadcast(runs, F.size("runs") * 4 + 24), "doc_id", "left").join(copies, "doc_id", "left")
     schema = f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return joined.select("doc_id", "text", "starts").mapInArrow(_kept_rows(n_words, with_text), schema)
+    return joined.select("doc_id", "text", "runs", F.coalesce("copy", F.lit(False)).alias("copy")).mapInArrow(_kept_rows(n_words, with_text), schema)
