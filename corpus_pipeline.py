@@ -1,4 +1,64 @@
-STAGES = []
+"""A training-corpus pipeline: quality, line dedup, near-dedup, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept
+and returns a DataFrame that is written as Parquet and read again for the next
+one. All but the last return the columns of documents; the last returns the
+packed sequences, one row per bin.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tapelens.llm import decontaminate, line_dedup, minhash_dedup, packing, quality
+from tapelens.llm.common import store, table
+from tapelens.shipping import ship
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores 0.7 or more."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each text without the lines that repeat an earlier one; n_chars follows the text, and every document stays."""
+    ship(spark)
+    kept = line_dedup.dedup_lines(docs)
+    return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least doc_id of each near-duplicate class."""
+    ship(spark)
+    return minhash_dedup.dedup(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of the permitted sequence lengths, with the pieces they hold."""
+    return packing.bins(packing.pack(docs))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("MinHash near-dedup", near_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: The classifier is trained, so SQL cannot express the result; the tests compare each stage with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
