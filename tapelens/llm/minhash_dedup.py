@@ -92,7 +92,7 @@ def _signature_rows(k: int):
     def run(it):
         for batch in it:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for part in batches(texts, 2_000_000):
+            for part in batches(texts, 500_000):
                 raw = as_bytes(texts[part])
                 n = len(raw)
                 doc, shingle, weight, w = bag_of_shingles(raw, k)

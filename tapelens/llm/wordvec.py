@@ -119,7 +119,7 @@ def words(raw: list[bytes]) -> Words:
     return Words(data, starts, ends, doc, first, span_hashes(buffer, starts, ends))
 
 
-def batches(texts, size: int = 4_000_000):
+def batches(texts, size: int = 1_000_000):
     """Slices of a list of texts of about `size` characters each, so that buffers stay small; one long text is one slice."""
     start = total = 0
     for i, t in enumerate(texts):
