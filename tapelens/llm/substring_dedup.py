@@ -28,7 +28,7 @@ from .wordvec import as_bytes, batches, mix, span_hashes, words
 
 _SALT = np.uint64(0x5851F42D4C957F2D)
 #: Rows that a task compares by itself before it passes them on.
-CHUNK = 2_000_000
+CHUNK = 600_000
 
 
 def anchor_places(w, small: int, full: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
