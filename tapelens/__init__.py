@@ -1,0 +1 @@
+"""Point-in-time market measurement on Spark."""

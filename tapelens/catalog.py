@@ -1,4 +1,287 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries over the driver's tables; their SQL twins are in oracles.py."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from .functions.clocks import to_local, to_utc
+from .functions.prices import price_to_tick
+from .operators import align, auction, bars, contracts, gaps, imsi, integrity, pit, profiles, reports, windows
+from .operators.admission import admit, rejection_counts
+from .operators.sessions import session_counts, session_overlaps, slot, with_session
+from .plans.measurement import Measurement
+from .policy import SPARSE
+from .sources import dims, tape
+from .oracles import ORACLE_SQL
+from .shipping import ship
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns (all by default) with doubles rounded to 6 places."""
+    doubles = {f.name for f in df.schema if isinstance(f.dataType, DoubleType)}
+    return df.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if c in doubles else F.col(c) for c in columns or df.columns])
+
+
+def run_of(spark: SparkSession, sf_dir: str) -> Measurement:
+    return Measurement(tape.events_tape(ship(spark), sf_dir), mappings_of(spark), SPARSE, ordered=True)
+
+
+def mappings_of(spark: SparkSession) -> DataFrame:
+    rows = [(r, o and r + o, r + n, a, b) for r in ("ES", "6E") for o, n, a, b in ((None, "H24", "2023-12-15 12:00:00", "2023-12-15 12:00:00"), ("H24", "M24", "2024-01-10 00:00:00", "2024-01-16 00:00:00"))]
+    names = (("root", "string"), ("old_mapped_symbol", "string"), ("new_mapped_symbol", "string"), ("observed_at", "timestamp_ntz"), ("effective_at", "timestamp_ntz"))
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).cast(k).alias(n) for v, (n, k) in zip(r, names, strict=True)]) for r in rows])))
+
+
+def contracts_of(spark: SparkSession) -> DataFrame:
+    """Contract snapshots: two a root."""
+    rows = [(r, f"{r}-CONT", r + m, a, e, x) for r, x in (("ES", 50.0), ("6E", 125000.0)) for m, a, e in (("H24", "2024-01-03 00:00:00", "2024-03-15 00:00:00"), ("M24", "2024-01-16 00:00:00", "2024-06-21 00:00:00"))]
+    names = (("root", "string"), ("continuous_symbol", "string"), ("mapped_symbol", "string"), ("as_of", "timestamp_ntz"), ("expiry", "timestamp_ntz"), ("multiplier", "double"))
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).cast(k).alias(n) for v, (n, k) in zip(r, names, strict=True)]) for r in rows])))
+
+
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw observations made from orders: observed at the order date, released days later, delivered hours after that."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus")
+    release = F.expr("o_orderdate + make_dt_interval(o_orderkey % 5, 0, 0, 0)")
+    return o.select(
+        F.when(F.col("o_orderkey") % 7 == 0, "unlisted").when(F.col("o_orderkey") % 2 == 0, "weekly").otherwise("daily").alias("dataset_id"),
+        F.concat(F.lit("series-"), "o_orderstatus").alias("series_id"),
+        F.col("o_orderkey").alias("record_key"),
+        F.col("o_orderdate").alias("observation_time"),
+        F.when(F.col("o_orderkey") % 11 != 0, release).alias("release_time"),
+        F.when(F.col("o_orderkey") % 4 != 0, F.expr("o_orderdate + make_dt_interval(o_orderkey % 5, 1, 0, 0)")).alias("vendor_time"),
+        F.expr("o_orderdate + make_dt_interval(o_orderkey % 5, o_orderkey % 3, 0, 0)").alias("delivery_time"),
+        F.lit("v1").alias("source_version"),
+        F.when(F.col("o_orderkey") % 13 != 0, F.concat(F.lit("p"), F.col("o_orderkey").cast("string"))).alias("value"),
+    )
+
+
+def policies_of(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.inline(F.array(F.struct(F.lit("weekly").alias("dataset_id"), F.lit("synthetic_timing_only").alias("extra_flag")), F.struct(F.lit("daily").alias("dataset_id"), F.lit(None).cast("string").alias("extra_flag")))))
+
+
+RETRIEVED = F.lit("2030-01-01 00:00:00").cast("timestamp_ntz")
+NOW = F.lit("1995-06-17 00:00:00").cast("timestamp_ntz")
+
+
+def _pit(spark, d):
+    return pit.normalize(raw_records(spark, d), policies_of(spark), RETRIEVED)
+
+
+def _schedule(spark):
+    """Fridays' releases of the first half of 1995, one row a date."""
+    days = spark.sql("SELECT explode(sequence(DATE'1995-01-01', DATE'1995-06-30')) AS observation_date")
+    return days.filter(F.weekday("observation_date") == 1).select("observation_date", F.expr("cast(observation_date AS timestamp_ntz) + interval 3 days").alias("release_time"))
+
+
+def _deliveries(spark, d):
+    l = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_shipdate", "l_orderkey", "l_quantity", "l_discount", "l_tax")  # noqa: E741
+    root = F.when(F.col("l_suppkey") % 3 == 0, "ES").when(F.col("l_suppkey") % 3 == 1, "ZN").otherwise("6E")
+    return l.select(root.alias("root"), F.to_date("l_shipdate").alias("release_date"), F.expr("l_shipdate + make_dt_interval(0, l_orderkey % 24, 0, 0)").alias("delivered_at"),
+                    F.when(F.col("l_quantity") > 5, F.col("l_quantity")).alias("long_all"), F.when(F.col("l_discount") > 0.0, F.col("l_discount")).alias("short_all"), F.col("l_tax").alias("spread"))
+
+
+def _delivery_audit(spark, d):
+    days = spark.sql("SELECT explode(sequence(DATE'1995-01-01', DATE'1995-03-31')) AS release_date").filter(F.weekday("release_date") == 4)
+    schedule = days.select("release_date", F.expr("cast(release_date AS timestamp_ntz) + interval 15 hours 30 minutes").alias("official_time"))
+    roots = spark.range(1).select(F.explode(F.array(F.lit("ES"), F.lit("ZN"), F.lit("6E"))).alias("root"))
+    return reports.delivery_audit(schedule, roots, _deliveries(spark, d))
+
+
+BAR = ("root", "contract_symbol", "session_id", "start", "end", "available_at", "open", "high", "low", "close", "volume", "n_trades")
+KEY = ("root", "contract_symbol", "session_id", "end")
+
+
+def _profile_rows(df: DataFrame) -> DataFrame:
+    return df.select("root", "contract_symbol", "session_id", "end", "tick", "volume")
+
+
+def _q(f):
+    """A query over the measurement tables of the events tape."""
+    return lambda spark, d: f(run_of(spark, d))
+
+
+def _features(m: Measurement) -> DataFrame:
+    names = "distance_to_current_poc_ticks distance_to_current_poc_vol distance_to_prior_poc_vol distance_to_vah_vol distance_to_val_vol value_area_width_vol poc_migration_vol value_mid_migration_vol volume_above_poc_ratio volume_outside_value_ratio bar_close_outside_value_ratio profile_overlap_ratio".split()
+    return rounded(m.features, *KEY, *names)
+
+
+def _flags(c):
+    return F.array_join(c, ",")
+
+
+def _replay(spark, d):
+    """Prefix replay: final minute bins of the tape cut at a time against the full run's bins up to then; rows are differences."""
+    full = run_of(spark, d)
+    cut = F.lit("2024-01-12 00:00:00").cast("timestamp_ntz")
+    short = Measurement(full.tape.filter(F.col("available_at") < cut), full.mappings, SPARSE, ordered=True)
+    columns = list(BAR)
+    return integrity.differences(full.fast.filter(F.col("available_at") < cut).select(columns), short.fast.select(columns))
+
+
+def _ledger(spark, d):
+    """Orders as a chained ledger of each clerk-sized group: hashes are right but for rows whose key is divisible by 997."""
+    from pyspark.sql import Window
+
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    rows = o.select((F.col("o_custkey") % 50).alias("chain"), F.col("o_orderkey").alias("position"), F.when(F.col("o_orderkey") % 5 == 0, "decision").otherwise("registration").alias("kind"), F.concat_ws("/", "o_custkey", "o_orderstatus").alias("payload"), F.col("o_custkey").alias("subject_id"), F.when(F.col("o_orderstatus") == "P", "pending").otherwise("pass").alias("decision"))
+    own = rows.withColumn("record_hash", integrity.record_hash(F.lit(""), F.col("kind"), F.col("payload")))
+    linked = own.withColumn("previous_hash", F.lag("record_hash").over(Window.partitionBy("chain").orderBy("position")))
+    return linked.withColumn("payload", F.when(F.col("position") % 997 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+
+
+def _hash_chain(spark, d):
+    led = _ledger(spark, d).withColumn("expected", integrity.record_hash(F.lit(""), F.col("kind"), F.col("payload")))
+    return led.filter("record_hash <> expected").select("chain", "position", "kind")
+
+
+QUERIES = {
+    "trade_tape": lambda s, d: tape.events_tape(s, d).select("root", "contract_symbol", "exchange_time", "available_at", "price", "quantity", "source_event_id", "tick_type", "arrival"),
+    "front_contract_trades": lambda s, d: tape.front_contract(tape.events_tape(s, d), mappings_of(s)).select("root", "contract_symbol", "exchange_time", "price", "quantity", "arrival"),
+    "mapped_contracts": lambda s, d: tape.mapped_contracts(_tape_mappings(s, d)),
+    "session_windows": lambda s, d: _windows_used(s, d),
+    "session_classify": lambda s, d: with_session(tape.events_tape(s, d)).select("root", "arrival", "exchange_time", "session_name", "session_type"),
+    "session_id": lambda s, d: with_session(tape.events_tape(s, d)).select("root", "arrival", "session_id"),
+    "session_bounds": lambda s, d: with_session(tape.events_tape(s, d)).select("root", "arrival", "session_start", "session_end"),
+    "session_closures": lambda s, d: with_session(tape.events_tape(s, d), closures=dims.closures(s)).select("root", "arrival", "session_name", "session_type", "session_start", "session_end"),
+    "session_bars": _q(lambda m: m.fast.select(*KEY, slot(F.col("start"), F.col("session_start"), SPARSE.fast).alias("slot"))),
+    "session_counts": lambda s, d: session_counts(with_session(tape.events_tape(s, d))),
+    "session_overlaps": lambda s, d: session_overlaps(_windows_of_roots(s, d)),
+    "utc_normalize": lambda s, d: _utc(s, d),
+    "price_ticks": lambda s, d: tape.events_tape(s, d).select("root", "arrival", "price", price_to_tick(F.col("price"), F.col("minimum_tick")).alias("tick")),
+    "trade_admission": _q(lambda m: m.trades.select("root", "contract_symbol", "session_id", "arrival", "admitted", "reject_flag")),
+    "trade_admission_exact": lambda s, d: admit(with_session(_hostile(s, d))).select("root", "contract_symbol", "session_id", "arrival", "admitted", "reject_flag"),
+    "rejection_counts": _q(lambda m: rejection_counts(m.trades)),
+    "bars_fast": _q(lambda m: m.fast.select(*BAR)),
+    "bars_medium": _q(lambda m: m.medium.select(*BAR)),
+    "bar_constraints": _q(lambda m: bars.bar_constraints(m.fast)),
+    "session_tail_counts": _q(lambda m: bars.session_tail_counts(m.trades, SPARSE.fast)),
+    "minute_bins": _q(lambda m: m.bins.select("root", "contract_symbol", "session_id", "minute_end", "tick", "volume")),
+    "profile_developing": _q(lambda m: _profile_rows(profiles.developing(m.bins, m.fast))),
+    **{f"profile_rolling_{n}": _q(lambda m, n=n: _profile_rows(profiles.rolling(m.bins, m.fast, n))) for n in SPARSE.rolling},
+    "profile_final": _q(lambda m: m.finals.select("root", "contract_symbol", "session_id", "as_of", "available_at", "total_volume", F.size("histogram").alias("n_ticks"))),
+    "poc": _q(lambda m: m.finals.select("root", "contract_symbol", "session_id", "poc_tick")),
+    "value_area": _q(lambda m: m.finals.select("root", "contract_symbol", "session_id", "val_tick", "vah_tick")),
+    "volume_conservation": _q(lambda m: profiles.volume_conservation(m.finals, m.trades)),
+    "profile_moments": _q(lambda m: rounded(m.finals, "root", "contract_symbol", "session_id", "profile_entropy", "profile_skew", "profile_kurtosis", "degenerate")),
+    "profile_references": _q(lambda m: m.references.select("root", "contract_symbol", "session_id", "prior_session_id", "prior_poc_tick", "prior_val_tick", "prior_vah_tick", "prior_rth_id", "prior_eth_id")),
+    "auction_location": _q(lambda m: m.located.select(*KEY, "close_tick", "location")),
+    "auction_features": _q(_features),
+    "auction_state": _q(lambda m: m.auction_state.select(*KEY, "location", "measurement_ready", _flags("quality_flags").alias("quality_flags"))),
+    "atr": _q(lambda m: rounded(windows.atr(m.fast, SPARSE), *KEY, "true_range", "atr", "atr_ready")),
+    "session_vwap": _q(lambda m: rounded(windows.session_vwap(m.medium), *KEY, "session_vwap", "vwap_distance")),
+    "tod_volume_z": _q(lambda m: rounded(windows.tod_volume_z(m.fast, SPARSE), *KEY, "slot", "tod_n", "volume_z", "tod_flag")),
+    "icm_fit": _q(lambda m: rounded(m.icm, "root", "contract_symbol", "end", "fair_value", "slope_per_bar", "curvature_per_bar2", "sigma_ols", "sigma_mad", "r_ratio")),
+    "icm_state": _q(lambda m: rounded(m.icm, "root", "contract_symbol", "end", "z_raw", "z_capped", "z_effective", "slope_normalized", "curvature_normalized", "residual_autocorrelation", "fair_value_distance_vol")),
+    "imsi_vwrsi": _q(lambda m: rounded(imsi.vwrsi(m.medium, SPARSE), "root", "contract_symbol", "end", "vwrsi")),
+    "imsi_tod": _q(lambda m: rounded(imsi.tod_adjusted(imsi.vwrsi(m.medium, SPARSE), SPARSE), "root", "contract_symbol", "end", "slot", "tod_n", "adjusted")),
+    "imsi_state": _q(lambda m: rounded(m.imsi, "root", "contract_symbol", "end", "adjusted", "vwap_distance", "distance", "rarity", "neighbour_mean", "neighbour_p90", "neighbour_support", "state_flag")),
+    "bar_segments": _q(lambda m: m.segmented.select(*KEY, "idx", "segment", "reset")),
+    "gap_formation": _q(lambda m: rounded(m.gaps, "root", "contract_symbol", "created_at", "direction", "gap_bot", "gap_top", "z_displacement", "z_gap", "efficiency", "quality", "guard")),
+    "gap_retests": _q(lambda m: rounded(m.gap_bars.filter("retest"), "root", "contract_symbol", "created_at", "end", "age", "depth", "wick", "close_position", "decay", "score", "guard", "happened")),
+    "gap_lifecycle": _q(lambda m: gaps.lifecycle(m.gap_bars).select("root", "contract_symbol", "created_at", "direction", "state", "end_age", "retests", "first_retest_age")),
+    "gap_first_retest": _q(lambda m: gaps.first_retests(m.gap_bars).select("root", "contract_symbol", "created_at", "end", "age", "active_gaps")),
+    "gap_bar_state": _q(lambda m: m.gap_states.select("root", "contract_symbol", "end", "gap_idx", "gap_event", "direction", "active_gaps", _flags("quality_flags").alias("quality_flags"))),
+    "value_exits": _q(lambda m: _events(m, "value_exit_up", "value_exit_down")),
+    "value_reentries": _q(lambda m: _events(m, "value_reentry_from_above", "value_reentry_from_below")),
+    "poc_migrations": _q(lambda m: _events(m, "poc_migration_above_prior_vah", "poc_migration_below_prior_val")),
+    "transition_counters": _q(lambda m: m.transitions.select(*KEY, F.col("reentry_count").cast("long").alias("reentry_count"), F.col("consecutive_minutes_outside").cast("long").alias("consecutive_minutes_outside"))),
+    "synergy_align": _q(lambda m: m.synergy.select(*KEY, F.col("imsi.state_end").alias("imsi_end"), F.col("icm.state_end").alias("icm_end"), F.col("iae.state_end").alias("iae_end"), "present", "fresh")),
+    "synergy_flags": _q(lambda m: m.synergy.select(*KEY, _flags("blocking_quality_flags").alias("blocking"), _flags("all_quality_flags").alias("flags"))),
+    "synergy_retest": _q(lambda m: m.retests.select("root", "contract_symbol", "session_id", "end", "event_id", "parent_event_id", "event_type", "direction")),
+    "candidate_events": _q(lambda m: m.events.select(*KEY, "event_id", "event_type", "direction", "parent_event_id", "research_ready")),
+    "event_duplicates": _q(lambda m: align.event_duplicates(m.events)),
+    "coverage_by_dim": _q(lambda m: reports.coverage_by_dim(_typed(m))),
+    "coverage_totals": _q(lambda m: reports.coverage_totals(m.events)),
+    "coverage_reconcile": _q(lambda m: reports.reconcile(reports.coverage_totals(m.events))),
+    "runtime_summary": _q(lambda m: m.summary()),
+    "flag_histogram": _q(lambda m: reports.flag_histogram([("iae", m.gap_states), ("icm", m.icm), ("imsi", m.imsi)])),
+    "minute_gaps": lambda s, d: rounded(reports.minute_gaps(tape.events_tape(s, d))),
+    "probe_coverage": lambda s, d: _probe(s, d),
+    "open_interest_coverage": lambda s, d: reports.open_interest_coverage(_open_interest(s, d)).withColumn("expiries", F.array_join("expiries", ",")),
+    "usable_from": lambda s, d: pit.usable_from(raw_records(s, d)).select("record_key", "usable_from"),
+    "weekly_release_rule": lambda s, d: pit.weekly_rule(raw_records(s, d)).select("record_key", "rule_fault"),
+    "scheduled_release": lambda s, d: pit.scheduled_release(raw_records(s, d), _schedule(s)).select("record_key", "scheduled_time", "schedule_fault"),
+    "pit_normalize": lambda s, d: _pit(s, d).select("record_key", "dataset_id", "usable_from", "quality_status", _flags("quality_flags").alias("quality_flags"), "missing_reason", "lineage_hash"),
+    "pit_rejected": lambda s, d: pit.rejected(raw_records(s, d), policies_of(s)).select("record_key", "reason"),
+    "clock_violations": lambda s, d: pit.clock_violations(_pit(s, d)),
+    "quality_upgrades": lambda s, d: pit.quality_upgrades(_pit(s, d).withColumn("quality_status", F.when(F.col("record_key") % 17 == 0, "STALE").otherwise(F.col("quality_status"))), _pit(s, d)).select("lineage_hash", "source_status", "quality_status"),
+    "gate_release": lambda s, d: pit.release(_pit(s, d), NOW).select("record_key", "usable_from", "released_at", "quality_status"),
+    "gate_pending": lambda s, d: pit.pending(_pit(s, d), NOW),
+    "gate_duplicates": lambda s, d: pit.duplicate_lineage(_pit(s, d).select("lineage_hash").unionByName(_pit(s, d).filter("record_key % 29 = 0").select("lineage_hash"))),
+    "contract_asof": lambda s, d: contracts.contract_asof(tape.events_tape(s, d).select("root", "arrival", "exchange_time"), contracts_of(s)).select("root", "arrival", F.col("contract.mapped_symbol").alias("mapped_symbol"), F.col("contract.multiplier").alias("multiplier")),
+    "contract_identity": lambda s, d: contracts.identity_violations(_contract_rows(s, d)),
+    "roll_state": lambda s, d: contracts.roll_state(tape.events_tape(s, d).select("root", "arrival", "exchange_time"), mappings_of(s)).select("root", "arrival", "mapped_symbol", "roll_state"),
+    "mapping_continuity": lambda s, d: contracts.mapping_violations(_tape_mappings(s, d)),
+    "delivery_audit": _delivery_audit,
+    "delivery_summary": lambda s, d: reports.delivery_summary(_deliveries(s, d), ["long_all", "short_all", "spread"], ["root"]).withColumn("null_fields", _flags("null_fields")),
+    "hash_chain": _hash_chain,
+    "chain_semantics": lambda s, d: integrity.semantic_faults(_ledger(s, d)),
+    "run_fingerprint": _q(lambda m: integrity.run_fingerprint(m.fast, ["root", "contract_symbol"], ["end"], ["session_id", "open", "high", "low", "close", "volume"])),
+    "prefix_replay": _replay,
+}
+
+
+def _events(m: Measurement, *kinds: str) -> DataFrame:
+    return auction.transition_events(m.transitions).filter(F.col("event_type").isin(*kinds)).select(*KEY, "event_id", "event_type", "direction", "parent_event_id")
+
+
+def _typed(m: Measurement) -> DataFrame:
+    return m.events.join(m.finals.select("root", "contract_symbol", "session_id", "session_type"), ["root", "contract_symbol", "session_id"], "left")
+
+
+def _tape_mappings(s, d):
+    """Mapping changes as the tape shows them: the first trade of each contract of a root."""
+    from pyspark.sql import Window
+
+    first = tape.events_tape(s, d).groupBy("root", "contract_symbol").agg(F.min("exchange_time").alias("observed_at"))
+    last = F.lag("contract_symbol").over(Window.partitionBy("root").orderBy("observed_at"))
+    return first.select("root", last.alias("old_mapped_symbol"), F.col("contract_symbol").alias("new_mapped_symbol"), "observed_at", F.col("observed_at").alias("effective_at"))
+
+
+def _windows_of_roots(s, d):
+    """The windows of the roots on the tape; those of 6E are stretched so that the audit has faults to find."""
+    roots = tape.events_tape(s, d).select("root").distinct()
+    w = dims.session_windows(s).join(roots, "root")
+    return w.withColumn("end_sec", F.when((F.col("root") == "6E") & (F.col("session_type") == "london"), F.col("end_sec") + 60).otherwise(F.col("end_sec")))
+
+
+def _windows_used(s, d):
+    """Session windows with the tape's rows in each."""
+    n = with_session(tape.events_tape(s, d)).groupBy("root", "session_name").agg(F.count("*").alias("n_rows"))
+    return F.broadcast(dims.session_windows(s)).join(n, ["root", "session_name"], "right").select("root", "session_name", "session_type", "zone", "start_sec", "end_sec", "crosses_midnight", "n_rows")
+
+
+def _utc(s, d):
+    """Naive local clocks and their zone back to UTC; a row without a zone stays null."""
+    e = tape.events_tape(s, d)
+    zone = F.when(F.col("root") == "ES", dims.NEW_YORK).otherwise(dims.CHICAGO)
+    zone = F.when(F.col("arrival") % 10 != 0, zone)
+    return e.select("root", "arrival", to_utc(to_local(F.col("exchange_time"), zone), zone).alias("utc"))
+
+
+def _hostile(s, d):
+    """The tape with a twentieth of its rows a minute early, so that admission meets disorder."""
+    early = F.when(F.col("arrival") % 20 == 2, F.col("exchange_time") - F.expr("interval 20 minutes")).otherwise(F.col("exchange_time"))
+    return tape.events_tape(s, d).withColumn("exchange_time", early)
+
+
+def _probe(s, d):
+    t = tape.events_tape(s, d)
+    out = reports.probe_coverage(t, reports.minute_gaps(t), dims.markets(s))
+    return out.withColumn("flags", _flags("flags"))
+
+
+def _open_interest(s, d):
+    t = with_session(tape.events_tape(s, d))
+    oi = F.when(F.col("arrival") % 3 == 0, F.col("quantity") * 100)
+    return t.select("root", "contract_symbol", F.to_date("exchange_time").alias("day"), oi.alias("open_interest"), F.when(F.col("contract_symbol").endswith("H24"), "2024-03-15").otherwise("2024-06-21").alias("expiry"))
+
+
+def _contract_rows(s, d):
+    """Contract snapshots as the tape shows them; 6E changes its continuous id once, so the audit has a fault."""
+    t = tape.events_tape(s, d).groupBy("root", "contract_symbol").agg(F.min("exchange_time").alias("as_of"))
+    name = F.when((F.col("root") == "6E") & F.col("contract_symbol").endswith("M24"), "6E-OTHER").otherwise(F.concat("root", F.lit("-CONT")))
+    return t.select("root", name.alias("continuous_symbol"), F.col("contract_symbol").alias("mapped_symbol"), "as_of")
