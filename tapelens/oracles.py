@@ -1 +1,259 @@
-ORACLE_SQL: dict = {}
+"""The registered queries as SQL over the same tables. Shared steps are named once and put before each query that needs them."""
+
+from __future__ import annotations
+
+import re
+
+from .policy import SPARSE
+from .sources.dims import session_rows
+
+
+def _values(rows) -> str:
+    def one(v):
+        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
+
+    return ", ".join("(" + ", ".join(one(v) for v in r) + ")" for r in rows)
+
+
+def _bars(minutes: int) -> str:
+    return f"""
+SELECT root, contract_symbol, session_id, session_name, session_type, session_start, session_end, start, start + INTERVAL {minutes} MINUTE AS "end",
+       greatest(next_at, start + INTERVAL {minutes} MINUTE) AS available_at, open, high, low, close, volume, n_trades
+FROM (SELECT root, contract_symbol, session_id, session_name, session_type, session_start, session_end, start,
+             arg_min(price, arrival) FILTER (admitted) AS open, max(price) FILTER (admitted) AS high, min(price) FILTER (admitted) AS low, arg_max(price, arrival) FILTER (admitted) AS close,
+             sum(quantity) FILTER (admitted) AS volume, count(*) FILTER (admitted) AS n_trades, arg_max(next_at, arrival) AS next_at, bool_or(is_last) AS has_last
+      FROM (SELECT *, time_bucket(INTERVAL {minutes} MINUTE, exchange_time, session_start) AS start, lead(available_at) OVER (PARTITION BY root, contract_symbol ORDER BY arrival) AS next_at,
+                   lead(available_at) OVER (PARTITION BY root, contract_symbol ORDER BY arrival) IS NULL AS is_last FROM adm)
+      WHERE start + INTERVAL {minutes} MINUTE <= session_end GROUP BY ALL)
+WHERE n_trades > 0 AND NOT has_last"""
+
+
+def _poc(source: str, keys: str) -> str:
+    return f"""
+SELECT {keys}, tick AS poc_tick, total_volume FROM (
+  SELECT h.*, total_volume, row_number() OVER (PARTITION BY {keys} ORDER BY volume DESC, abs(tick - mean), tick) AS n
+  FROM (SELECT *, sum(volume) OVER (PARTITION BY {keys}) AS total_volume, sum(tick * volume) OVER (PARTITION BY {keys}) / sum(volume) OVER (PARTITION BY {keys}) AS mean FROM {source}) h) WHERE n = 1"""
+
+
+def _area(source: str, poc: str, keys: list[str]) -> str:
+    """The value area of each profile, grown step by step."""
+    k = ", ".join(keys)
+    on = lambda x: " AND ".join(f"{x}.{c} = s.{c}" for c in keys)
+    ks = ", ".join(f"s.{c}" for c in keys)
+    return f"""
+SELECT {k}, lo AS val_tick, hi AS vah_tick FROM (
+WITH RECURSIVE grow AS (
+  SELECT {k}, poc_tick AS lo, poc_tick AS hi, volume AS cum, {SPARSE.value_area} * total_volume AS target, tmin, tmax, 0 AS step
+  FROM {poc} JOIN (SELECT {k}, min(tick) AS tmin, max(tick) AS tmax FROM {source} GROUP BY ALL) USING ({k}) JOIN (SELECT {k}, tick AS poc_tick, volume FROM {source}) USING ({k}, poc_tick)
+  UNION ALL
+  SELECT {ks}, CASE WHEN go_down THEN s.lo - 1 ELSE s.lo END, CASE WHEN go_up THEN s.hi + 1 ELSE s.hi END, s.cum + CASE WHEN go_down THEN s.down ELSE 0 END + CASE WHEN go_up THEN s.up ELSE 0 END, target, tmin, tmax, step + 1
+  FROM (SELECT s.*, (s.lo > s.tmin) AND (s.hi >= s.tmax OR s.down >= s.up) AS go_down, (s.hi < s.tmax) AND (s.lo <= s.tmin OR s.up >= s.down) AS go_up
+        FROM (SELECT s.*, coalesce(d.volume, 0) AS down, coalesce(u.volume, 0) AS up FROM grow s
+              LEFT JOIN {source} d ON {on("d")} AND d.tick = s.lo - 1 LEFT JOIN {source} u ON {on("u")} AND u.tick = s.hi + 1
+              WHERE s.cum < s.target AND (s.lo > s.tmin OR s.hi < s.tmax)) s) s)
+SELECT {k}, lo, hi, row_number() OVER (PARTITION BY {k} ORDER BY step DESC) AS n FROM grow) WHERE n = 1"""
+
+
+_S = "root, contract_symbol, session_id"
+_W = f"PARTITION BY {_S} ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_JSON = """'session_' || sha256('{"anchor_date":"' || strftime(anchor, '%Y-%m-%d') || '","policy_version":"' || policy_version || '","root":"' || root || '","session_name":"' || session_name || '","session_type":"' || session_type || '"}')"""
+_ID = """'event_' || sha256('["' || root || '","' || contract_symbol || '","' || {kind} || '","' || strftime({at}, '%Y-%m-%dT%H:%M:%S.%fZ') || '",' || coalesce('"' || {parent} || '"', 'null') || ']')"""
+
+STEPS = {
+    "win": f"SELECT * FROM (VALUES {_values(session_rows())}) w(root, session_name, session_type, zone, start_sec, end_sec, crosses_midnight, policy_version)",
+    "maps": "SELECT root, old_mapped_symbol, new_mapped_symbol, CAST(observed_at AS TIMESTAMP) AS observed_at, CAST(effective_at AS TIMESTAMP) AS effective_at FROM (VALUES ('ES', NULL, 'ESH24', '2023-12-15 12:00:00', '2023-12-15 12:00:00'), ('ES', 'ESH24', 'ESM24', '2024-01-10 00:00:00', '2024-01-16 00:00:00'), ('6E', NULL, '6EH24', '2023-12-15 12:00:00', '2023-12-15 12:00:00'), ('6E', '6EH24', '6EM24', '2024-01-10 00:00:00', '2024-01-16 00:00:00')) m(root, old_mapped_symbol, new_mapped_symbol, observed_at, effective_at)",
+    "tape": """SELECT root, root || CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 'H24' ELSE 'M24' END AS contract_symbol, ts AS exchange_time, ts + INTERVAL 1 SECOND AS available_at,
+  100 + floor(value * 4) / 4.0 + CASE WHEN event_id % 101 = 0 THEN 0.1::DOUBLE ELSE 0::DOUBLE END AS price, CAST(CASE WHEN event_id % 89 = 0 THEN 0 ELSE 1 + event_id % 5 END AS DOUBLE) AS quantity,
+  CAST(event_id AS VARCHAR) AS source_event_id, event_id % 97 = 0 AS suspicious, CASE WHEN event_type = 'error' THEN 'QUOTE' ELSE 'TRADE' END AS tick_type, event_id * 2 + copy AS arrival
+FROM (SELECT *, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'ES' ELSE '6E' END AS root FROM events), (VALUES (0), (1)) c(copy) WHERE copy = 0 OR event_id % 83 = 0""",
+    "ticked": "SELECT *, CASE WHEN abs(round(price * 4) * 0.25 - price) <= 1e-9 THEN CAST(round(price * 4) AS BIGINT) END AS tick FROM tape",
+    "local": """SELECT t.*, session_name, session_type, zone, start_sec, end_sec, crosses_midnight, policy_version, (exchange_time AT TIME ZONE 'UTC') AT TIME ZONE zone AS loc FROM ticked t JOIN win USING (root)""",
+    "sess": f"""SELECT *, {_JSON} AS session_id,
+  ((anchor + to_seconds(start_sec)) AT TIME ZONE zone) AT TIME ZONE 'UTC' AS session_start,
+  ((anchor + to_days(CAST(crosses_midnight AS INTEGER)) + to_seconds(end_sec)) AT TIME ZONE zone) AT TIME ZONE 'UTC' AS session_end
+FROM (SELECT *, CAST(CAST(loc AS DATE) - CASE WHEN crosses_midnight AND sod < end_sec THEN 1 ELSE 0 END AS TIMESTAMP) AS anchor
+  FROM (SELECT *, hour(loc) * 3600 + minute(loc) * 60 + second(loc) AS sod FROM local)
+  WHERE CASE WHEN crosses_midnight THEN sod >= start_sec OR sod < end_sec ELSE sod >= start_sec AND sod < end_sec END)""",
+    "adm": f"""SELECT *, reject_flag IS NULL AS admitted FROM (SELECT *, CASE WHEN suspicious THEN 'DATA:SOURCE_SUSPICIOUS' WHEN price <= 0 THEN 'DATA:NON_POSITIVE_PRICE' WHEN quantity <= 0 THEN 'DATA:NON_POSITIVE_QUANTITY'
+    WHEN same_id THEN 'DATA:DUPLICATE_SOURCE_ID' WHEN late THEN 'DATA:LATE' WHEN behind THEN 'DATA:OUT_OF_ORDER' WHEN tick IS NULL THEN 'DATA:OFF_TICK_GRID' END AS reject_flag
+  FROM (SELECT *, coalesce(max(CAST(fit AND NOT behind AS INTEGER)) OVER (PARTITION BY {_S}, source_event_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, false) AS same_id
+    FROM (SELECT *, coalesce(exchange_time < max(CASE WHEN fit THEN exchange_time END) OVER ({_W}), false) AS behind
+      FROM (SELECT *, NOT suspicious AND price > 0 AND quantity > 0 AND tick IS NOT NULL AND NOT late AS fit
+        FROM (SELECT *, coalesce(exchange_time < date_trunc('minute', max(exchange_time) OVER ({_W})), false) AS late FROM sess)))))""",
+    "fast": _bars(SPARSE.fast),
+    "medium": _bars(SPARSE.medium),
+    "bins": f"SELECT {_S}, session_type, date_trunc('minute', exchange_time) + INTERVAL 1 MINUTE AS minute_end, tick, sum(quantity) AS volume FROM adm WHERE admitted GROUP BY ALL",
+    "fin": f"SELECT {_S}, tick, sum(volume) AS volume FROM bins GROUP BY ALL",
+    "finpoc": _poc("fin", _S),
+    "finarea": _area("fin", "finpoc", ["root", "contract_symbol", "session_id"]),
+    "ends": f"""SELECT *, greatest(last_trade, session_end) AS as_of, lead(first_at) OVER (PARTITION BY root, contract_symbol ORDER BY session_start) AS available_at
+FROM (SELECT {_S}, session_type, session_start, session_end, min(available_at) AS first_at, max(exchange_time) FILTER (admitted) AS last_trade FROM adm GROUP BY ALL)""",
+    "finals": f"SELECT * FROM finpoc JOIN finarea USING ({_S}) JOIN ends USING ({_S})",
+    "refs": f"""SELECT {_S}, lag(session_id) OVER t AS prior_session_id, lag(poc_tick) OVER t AS prior_poc_tick, lag(val_tick) OVER t AS prior_val_tick, lag(vah_tick) OVER t AS prior_vah_tick,
+  last_value(CASE WHEN session_type = 'rth' THEN session_id END IGNORE NULLS) OVER b AS prior_rth_id, last_value(CASE WHEN session_type = 'eth' THEN session_id END IGNORE NULLS) OVER b AS prior_eth_id
+FROM finals WINDOW t AS (PARTITION BY root, contract_symbol, session_type ORDER BY session_start), b AS (PARTITION BY root, contract_symbol ORDER BY session_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    "atr": f"""SELECT *, CASE WHEN n = {SPARSE.atr_bars} THEN greatest(mean_range, {SPARSE.atr_floor}) END AS atr
+FROM (SELECT *, count(true_range) OVER w AS n, avg(true_range) OVER w AS mean_range
+  FROM (SELECT *, CASE WHEN last_close IS NOT NULL THEN greatest(high - low, abs(high - last_close), abs(low - last_close)) END AS true_range
+    FROM (SELECT *, lag(close) OVER (PARTITION BY root, contract_symbol ORDER BY "end") AS last_close FROM fast))
+  WINDOW w AS (PARTITION BY root, contract_symbol ORDER BY "end" ROWS BETWEEN {SPARSE.atr_bars - 1} PRECEDING AND CURRENT ROW))""",
+    "located": f"""SELECT *, CASE WHEN prior_vah_tick IS NULL THEN 'no_reference' WHEN close_tick > prior_vah_tick THEN 'above_value' WHEN close_tick < prior_val_tick THEN 'below_value' ELSE 'inside_value' END AS location
+FROM (SELECT *, CAST(round(close * 4) AS BIGINT) AS close_tick FROM atr LEFT JOIN refs USING ({_S}))""",
+    "dev": f'SELECT {_S}, "end", tick, sum(volume) AS volume FROM bins JOIN (SELECT {_S}, "end" FROM fast) USING ({_S}) WHERE minute_end <= "end" GROUP BY ALL',
+    "devpoc": _poc("dev", f'{_S}, "end"'),
+    "devarea": _area("dev", "devpoc", ["root", "contract_symbol", "session_id", '"end"']),
+    "moved": f"""SELECT *, CASE WHEN last_location = 'inside_value' AND location = 'above_value' THEN 1 WHEN last_location = 'inside_value' AND location = 'below_value' THEN -1 END AS exit
+FROM (SELECT *, lag(location) OVER w AS last_location, lag(poc_tick) OVER w AS last_poc FROM located JOIN devpoc USING ({_S}, "end") WINDOW w AS (PARTITION BY {_S} ORDER BY "end"))""",
+    "trips": f"""SELECT *, count(exit) OVER w AS excursion, last_value(exit IGNORE NULLS) OVER w AS dir,
+  last_value(CASE WHEN exit IS NOT NULL THEN {_ID.format(kind="CASE WHEN exit = 1 THEN 'value_exit_up' ELSE 'value_exit_down' END", at='"end"', parent="NULL::VARCHAR")} END IGNORE NULLS) OVER w AS exit_id
+FROM moved WINDOW w AS (PARTITION BY {_S} ORDER BY "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "trans": f"""SELECT *, back = 1 AND backs = 1 AND excursion > 0 AS reentry, cross_now = 1 AND sum(cross_now) OVER e = 1 AS migration
+FROM (SELECT *, CAST(excursion > 0 AND backs = 0 AND CASE WHEN dir = 1 THEN last_poc <= prior_vah_tick AND poc_tick > prior_vah_tick ELSE last_poc >= prior_val_tick AND poc_tick < prior_val_tick END AS INTEGER) AS cross_now
+  FROM (SELECT *, sum(back) OVER e AS backs FROM (SELECT *, CAST(coalesce(location = 'inside_value' AND (last_location = 'above_value' AND dir = 1 OR last_location = 'below_value' AND dir = -1), false) AS INTEGER) AS back FROM trips)
+    WINDOW e AS (PARTITION BY {_S}, excursion ORDER BY "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))
+WINDOW e AS (PARTITION BY {_S}, excursion ORDER BY "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "tod": f"""SELECT *, CASE WHEN tod_n < {SPARSE.tod_min} THEN 'IAE_TOD_WARMUP' WHEN sd * sd <= {SPARSE.epsilon} THEN 'IAE_TOD_DEGENERATE' END AS tod_flag,
+  CASE WHEN tod_n >= {SPARSE.tod_min} AND sd * sd > {SPARSE.epsilon} THEN (volume - mean) / (sd + {SPARSE.epsilon}) END AS volume_z
+FROM (SELECT *, count(*) OVER w AS tod_n, avg(volume) OVER w AS mean, stddev_pop(volume) OVER w AS sd
+  FROM (SELECT *, CAST(floor(epoch(start - session_start) / {SPARSE.fast * 60}) AS INTEGER) AS slot FROM atr)
+  WINDOW w AS (PARTITION BY root, contract_symbol, session_type, slot ORDER BY "end" ROWS BETWEEN {SPARSE.tod_sessions} PRECEDING AND 1 PRECEDING))""",
+    "seg": """SELECT *, sum(new) OVER w AS segment FROM (SELECT *, CAST(last_session IS NULL OR last_session <> session_id OR reset AS INTEGER) AS new
+  FROM (SELECT *, coalesce(last_session = session_id AND last_end <> start, false) AS reset FROM (SELECT *, lag(session_id) OVER w AS last_session, lag("end") OVER w AS last_end, row_number() OVER w AS idx FROM tod WINDOW w AS (PARTITION BY root, contract_symbol ORDER BY "end"))))
+WINDOW w AS (PARTITION BY root, contract_symbol ORDER BY "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "gap": f"""SELECT *, "end" AS created_at, CASE WHEN guard IS NULL THEN pow(z_displacement, 0.4) * pow(z_gap, 0.4) * pow(efficiency, 0.2) END AS quality
+FROM (SELECT *, CASE WHEN ih - il <= 0 THEN 'IAE_FORMATION_DEGENERATE' WHEN NOT (z_displacement > {SPARSE.min_z_displacement} AND efficiency > {SPARSE.min_efficiency} AND z_gap > {SPARSE.min_z_gap}) THEN 'IAE_FORMATION_GATED' END AS guard
+  FROM (SELECT *, abs(ic - io) / (atr + {SPARSE.epsilon}) AS z_displacement, (gap_top - gap_bot) / (atr + {SPARSE.epsilon}) AS z_gap, abs(ic - io) / (ih - il + {SPARSE.epsilon}) AS efficiency
+    FROM (SELECT *, CASE WHEN direction = 'bullish' THEN fh ELSE high END AS gap_bot, CASE WHEN direction = 'bullish' THEN low ELSE fl END AS gap_top
+      FROM (SELECT *, CASE WHEN low > fh AND ic > fh AND low - fh >= 0.25 THEN 'bullish' WHEN high < fl AND ic < fl AND fl - high >= 0.25 THEN 'bearish' END AS direction
+        FROM (SELECT *, lag(high, 2) OVER w AS fh, lag(low, 2) OVER w AS fl, lag(open) OVER w AS io, lag(high) OVER w AS ih, lag(low) OVER w AS il, lag(close) OVER w AS ic FROM seg WINDOW w AS (PARTITION BY root, contract_symbol, segment ORDER BY idx)))
+      WHERE direction IS NOT NULL AND atr IS NOT NULL)))""",
+    "gb0": f"""SELECT g.root, g.contract_symbol, g.idx AS gap_idx, g.created_at, g.direction, g.gap_bot, g.gap_top, g.quality, b.session_id, b.idx, b."end", b.open, b.high, b.low, b.close, b.volume_z, b.idx - g.idx AS age,
+  b.idx - g.idx = {SPARSE.gap_max_age + 1} AS expired, CASE WHEN g.direction = 'bullish' THEN b.close < g.gap_bot ELSE b.close > g.gap_top END AS beyond,
+  CASE WHEN g.direction = 'bullish' THEN b.low <= g.gap_top AND b.close >= g.gap_bot ELSE b.high >= g.gap_bot AND b.close <= g.gap_top END AS touch
+FROM gap g JOIN seg b ON g.root = b.root AND g.contract_symbol = b.contract_symbol AND g.segment = b.segment AND b.idx > g.idx AND b.idx <= g.idx + {SPARSE.gap_max_age + 1} WHERE g.guard IS NULL""",
+    "gb1": f"""SELECT *, CASE WHEN retest THEN greatest(0, least(high, gap_top) - greatest(low, gap_bot)) / (gap_top - gap_bot) END AS depth,
+  CASE WHEN retest AND close <> open THEN CASE WHEN direction = 'bullish' THEN least(open, close) - low ELSE high - greatest(open, close) END / (abs(close - open) + {SPARSE.epsilon}) END AS wick,
+  CASE WHEN retest THEN CASE WHEN direction = 'bullish' THEN close - gap_bot ELSE gap_top - close END / (gap_top - gap_bot + {SPARSE.epsilon}) END AS close_position, CASE WHEN retest THEN exp(-{SPARSE.decay} * age) END AS decay,
+  CASE WHEN retest AND close = open THEN 'IAE_DEGENERATE_BODY' WHEN retest AND volume_z IS NULL THEN 'IAE_SCORE_TOD_UNAVAILABLE' END AS guard
+FROM (SELECT *, NOT expired AND beyond AS invalid, NOT expired AND NOT beyond AND touch AS retest FROM gb0)""",
+    "gb2": f"""SELECT *, CASE WHEN expired THEN 'expired' WHEN invalid THEN 'invalidated' WHEN retest AND coalesce(score > {SPARSE.score_threshold} AND wick > {SPARSE.min_wick}, false) AND CASE WHEN direction = 'bullish' THEN close > open ELSE close < open END THEN 'absorbed' WHEN retest THEN 'tested' END AS happened
+FROM (SELECT *, CASE WHEN wick IS NOT NULL AND volume_z IS NOT NULL THEN (ln(1 + quality) + ln(1 + wick) + ln(1 + greatest(volume_z, {SPARSE.volume_z_floor})) + 0.5 * least(greatest(close_position, 0), 1)) * decay END AS score FROM gb1)""",
+    "gb": """SELECT *, coalesce(happened NOT IN ('expired', 'invalidated', 'absorbed'), true) AS alive, min(CASE WHEN retest THEN age END) OVER (PARTITION BY root, contract_symbol, gap_idx) AS first_age
+FROM (SELECT *, min(CASE WHEN happened IN ('expired', 'invalidated', 'absorbed') THEN age END) OVER (PARTITION BY root, contract_symbol, gap_idx) AS end_age FROM gb2) WHERE end_age IS NULL OR age <= end_age""",
+    "raw": """SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'unlisted' WHEN o_orderkey % 2 = 0 THEN 'weekly' ELSE 'daily' END AS dataset_id, 'series-' || o_orderstatus AS series_id, o_orderkey AS record_key, o_orderdate AS observation_time,
+  CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate + to_days(CAST(o_orderkey % 5 AS INTEGER)) END AS release_time, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate + to_days(CAST(o_orderkey % 5 AS INTEGER)) + INTERVAL 1 HOUR END AS vendor_time,
+  o_orderdate + to_days(CAST(o_orderkey % 5 AS INTEGER)) + to_hours(o_orderkey % 3) AS delivery_time, CASE WHEN o_orderkey % 13 <> 0 THEN 'p' || o_orderkey END AS value FROM orders""",
+    "pit": """SELECT *, CASE WHEN value IS NULL THEN 'WITHHELD' ELSE 'PARTIAL' END AS quality_status, CASE WHEN value IS NULL THEN 'policy_normalized_value_missing' END AS missing_reason,
+  'dataset_certification_under_review' || CASE WHEN dataset_id = 'weekly' THEN ',synthetic_timing_only' ELSE '' END || CASE WHEN vendor_time IS NULL THEN ',vendor_receipt_unavailable' ELSE '' END AS quality_flags, greatest(release_time, coalesce(vendor_time, release_time), delivery_time) AS usable_from,
+  sha256('{"dataset_id":"' || dataset_id || '","observation_time_utc":"' || strftime(observation_time, '%Y-%m-%dT%H:%M:%S.%fZ') || '","payload":' || coalesce('"' || value || '"', 'null') || ',"series_id":"' || series_id || '","source_version":"v1"}') AS lineage_hash
+FROM raw WHERE dataset_id <> 'unlisted' AND release_time IS NOT NULL""",
+    "del": """SELECT CASE WHEN l_suppkey % 3 = 0 THEN 'ES' WHEN l_suppkey % 3 = 1 THEN 'ZN' ELSE '6E' END AS root, CAST(l_shipdate AS DATE) AS release_date, l_shipdate + to_hours(l_orderkey % 24) AS delivered_at,
+  CASE WHEN l_quantity > 5 THEN l_quantity END AS long_all, CASE WHEN l_discount > 0 THEN l_discount END AS short_all, l_tax AS spread FROM lineitem""",
+    "led": """SELECT o_custkey % 50 AS chain, o_orderkey AS position, CASE WHEN o_orderkey % 5 = 0 THEN 'decision' ELSE 'registration' END AS kind, o_custkey AS subject_id, CASE WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'pass' END AS decision FROM orders""",
+    "tapemaps": """SELECT root, lag(contract_symbol) OVER (PARTITION BY root ORDER BY observed_at) AS old_mapped_symbol, contract_symbol AS new_mapped_symbol, observed_at FROM (SELECT root, contract_symbol, min(exchange_time) AS observed_at FROM tape GROUP BY ALL)""",
+}
+
+
+def _query(tail: str) -> str:
+    """tail with the steps it needs, in their order."""
+    need: list[str] = []
+
+    def want(text: str) -> None:
+        for name in STEPS:
+            if re.search(rf"\b{name}\b", text) and name not in need and STEPS[name] is not text:
+                need.append(name)
+                want(STEPS[name])
+
+    want(tail)
+    steps = ", ".join(f"{n} AS MATERIALIZED ({STEPS[n]})" for n in STEPS if n in need)
+    return (f"WITH {steps} " if steps else "") + tail
+
+
+def _events(*kinds: tuple[str, str, str, str]) -> str:
+    """Events of (condition, type, direction, parent)."""
+    parts = [f"SELECT {_S}, \"end\", {_ID.format(kind=k, at=chr(34) + 'end' + chr(34), parent=p)} AS event_id, {k} AS event_type, CAST({d} AS INTEGER) AS direction, {p} AS parent_event_id FROM trans WHERE {c}" for c, k, d, p in kinds]
+    return " UNION ALL ".join(parts)
+
+
+def _r(*columns: str) -> str:
+    return ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in columns)
+
+
+_K = f'{_S}, "end"'
+_TAILS = {
+    "trade_tape": "SELECT root, contract_symbol, exchange_time, available_at, price, quantity, source_event_id, tick_type, arrival FROM tape",
+    "front_contract_trades": "SELECT t.root, contract_symbol, exchange_time, price, quantity, arrival FROM tape t JOIN (SELECT root, new_mapped_symbol, greatest(observed_at, effective_at) AS since, lead(greatest(observed_at, effective_at)) OVER (PARTITION BY root ORDER BY greatest(observed_at, effective_at)) AS until FROM maps) m ON t.root = m.root AND contract_symbol = new_mapped_symbol AND exchange_time >= since AND (until IS NULL OR exchange_time < until)",
+    "mapped_contracts": "SELECT root, old_mapped_symbol AS contract_symbol FROM tapemaps WHERE old_mapped_symbol IS NOT NULL UNION SELECT root, new_mapped_symbol FROM tapemaps",
+    "session_windows": "SELECT root, session_name, session_type, zone, start_sec, end_sec, crosses_midnight, n_rows FROM (SELECT root, session_name, count(*) AS n_rows FROM sess GROUP BY ALL) JOIN win USING (root, session_name)",
+    "session_classify": "SELECT root, arrival, exchange_time, session_name, session_type FROM sess",
+    "session_id": "SELECT root, arrival, session_id FROM sess",
+    "session_bounds": "SELECT root, arrival, session_start, session_end FROM sess",
+    "session_bars": f'SELECT {_K}, CAST(floor(epoch(start - session_start) / {SPARSE.fast * 60}) AS INTEGER) AS slot FROM fast',
+    "session_counts": "SELECT root, session_type, count(*) AS n_rows, count(DISTINCT date_trunc('minute', exchange_time)) AS n_minutes FROM sess GROUP BY ALL",
+    "session_overlaps": "SELECT root, session_name, 'overlap' AS fault FROM (SELECT *, max(b) OVER (PARTITION BY root ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT root, session_name, start_sec AS a, CASE WHEN crosses_midnight THEN 86400 ELSE end_sec + CASE WHEN root = '6E' AND session_type = 'london' THEN 60 ELSE 0 END END AS b FROM win UNION ALL SELECT root, session_name, 0, end_sec FROM win WHERE crosses_midnight) WHERE root IN (SELECT root FROM tape)) WHERE before > a",
+    "utc_normalize": "SELECT root, arrival, CASE WHEN arrival % 10 <> 0 THEN exchange_time END AS utc FROM tape",
+    "price_ticks": "SELECT root, arrival, price, tick FROM ticked",
+    "trade_admission": f"SELECT {_S}, arrival, admitted, reject_flag FROM adm",
+    "rejection_counts": "SELECT root, contract_symbol, reject_flag, count(*) AS n FROM adm WHERE NOT admitted GROUP BY ALL",
+    "bars_fast": f'SELECT {_S}, start, "end", available_at, open, high, low, close, volume, n_trades FROM fast',
+    "bars_medium": f'SELECT {_S}, start, "end", available_at, open, high, low, close, volume, n_trades FROM medium',
+    "bar_constraints": "SELECT rule, count(*) FILTER (bad) AS violations FROM fast, LATERAL (VALUES ('high_is_highest', high < greatest(open, close, low)), ('low_is_lowest', low > least(open, close, high)), ('positive_volume', NOT volume > 0), ('positive_price', NOT low > 0), ('duration_is_period', \"end\" - start <> INTERVAL 30 MINUTE), ('end_before_available', available_at < \"end\"), ('inside_session', start < session_start OR \"end\" > session_end)) v(rule, bad) GROUP BY rule",
+    "session_tail_counts": f"SELECT root, count(*) FILTER (time_bucket(INTERVAL {SPARSE.fast} MINUTE, exchange_time, session_start) + INTERVAL {SPARSE.fast} MINUTE > session_end) AS incomplete_tail_trades, count(*) AS admitted_trades FROM adm WHERE admitted GROUP BY root",
+    "minute_bins": f"SELECT {_S}, minute_end, tick, volume FROM bins",
+    "profile_developing": f"SELECT {_K}, tick, volume FROM dev",
+    **{f"profile_rolling_{n}": f'SELECT {_S}, "end", tick, sum(volume) AS volume FROM bins JOIN (SELECT {_S}, "end" FROM fast) USING ({_S}) WHERE minute_end <= "end" AND minute_end > "end" - INTERVAL {n} MINUTE GROUP BY ALL' for n in SPARSE.rolling},
+    "profile_final": f"SELECT {_S}, as_of, available_at, total_volume, n_ticks FROM finpoc JOIN ends USING ({_S}) JOIN (SELECT {_S}, CAST(count(*) AS INTEGER) AS n_ticks FROM fin GROUP BY ALL) USING ({_S})",
+    "poc": f"SELECT {_S}, poc_tick FROM finpoc",
+    "value_area": f"SELECT {_S}, val_tick, vah_tick FROM finarea",
+    "volume_conservation": f"SELECT {_S}, total_volume, admitted_volume FROM (SELECT {_S}, sum(quantity) AS admitted_volume FROM adm WHERE admitted GROUP BY ALL) FULL JOIN finpoc USING ({_S}) WHERE total_volume IS DISTINCT FROM admitted_volume",
+    "profile_moments": f"SELECT {_S}, round(CASE WHEN n = 1 THEN 0 ELSE entropy END, 6) + 0.0 AS profile_entropy, round(CASE WHEN variance > 0 THEN m3 / pow(variance, 1.5) END, 6) + 0.0 AS profile_skew, round(CASE WHEN variance > 0 THEN m4 / (variance * variance) END, 6) + 0.0 AS profile_kurtosis, NOT variance > 0 AS degenerate FROM (SELECT {_S}, count(*) AS n, -sum(volume / total * ln(volume / total)) / CASE WHEN count(*) = 1 THEN 1 ELSE ln(count(*)) END AS entropy, sum(volume * pow(tick - mean, 2)) / any_value(total) AS variance, sum(volume * pow(tick - mean, 3)) / any_value(total) AS m3, sum(volume * pow(tick - mean, 4)) / any_value(total) AS m4 FROM (SELECT *, sum(volume) OVER w AS total, sum(volume * tick) OVER w / sum(volume) OVER w AS mean FROM fin WINDOW w AS (PARTITION BY {_S})) GROUP BY ALL)",
+    "profile_references": "SELECT * FROM refs",
+    "auction_location": f"SELECT {_K}, close_tick, location FROM located",
+    "auction_features": f"""SELECT {_K}, {_r("distance_to_current_poc_ticks", "distance_to_current_poc_vol", "distance_to_prior_poc_vol", "distance_to_vah_vol", "distance_to_val_vol", "value_area_width_vol", "poc_migration_vol", "value_mid_migration_vol", "volume_above_poc_ratio", "volume_outside_value_ratio", "bar_close_outside_value_ratio", "profile_overlap_ratio")}
+FROM (SELECT {_K}, CAST(close_tick - poc_tick AS DOUBLE) AS distance_to_current_poc_ticks, (close_tick - poc_tick) * 0.25 / atr AS distance_to_current_poc_vol, (close_tick - prior_poc_tick) * 0.25 / atr AS distance_to_prior_poc_vol, (close_tick - prior_vah_tick) * 0.25 / atr AS distance_to_vah_vol, (close_tick - prior_val_tick) * 0.25 / atr AS distance_to_val_vol,
+ CASE WHEN prior_vah_tick IS NOT NULL THEN (vah_tick - val_tick) * 0.25 / atr END AS value_area_width_vol, (poc_tick - prior_poc_tick) * 0.25 / atr AS poc_migration_vol, ((vah_tick + val_tick) / 2.0 - (prior_vah_tick + prior_val_tick) / 2.0) * 0.25 / atr AS value_mid_migration_vol, above / total_volume AS volume_above_poc_ratio, CASE WHEN prior_vah_tick IS NOT NULL THEN beyond / total_volume END AS volume_outside_value_ratio,
+ CASE WHEN prior_vah_tick IS NOT NULL THEN avg(CAST(close_tick < prior_val_tick OR close_tick > prior_vah_tick AS DOUBLE)) OVER (PARTITION BY {_S} ORDER BY "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS bar_close_outside_value_ratio,
+ CASE WHEN prior_vah_tick IS NOT NULL THEN greatest(0, least(vah_tick, prior_vah_tick) - greatest(val_tick, prior_val_tick) + 1)::DOUBLE / (greatest(vah_tick, prior_vah_tick) - least(val_tick, prior_val_tick) + 1) END AS profile_overlap_ratio
+ FROM located JOIN devpoc USING ({_K}) JOIN devarea USING ({_K}) JOIN (SELECT {_K}, coalesce(sum(volume) FILTER (tick > poc_tick), 0) AS above, coalesce(sum(volume) FILTER (tick < prior_val_tick OR tick > prior_vah_tick), 0) AS beyond FROM dev JOIN (SELECT {_K}, poc_tick FROM devpoc) USING ({_K}) JOIN (SELECT {_K}, prior_val_tick, prior_vah_tick FROM located) USING ({_K}) GROUP BY ALL) USING ({_K}))""",
+    "atr": f"SELECT {_K}, {_r('true_range', 'atr')}, atr IS NOT NULL AS atr_ready FROM atr",
+    "session_vwap": f"SELECT {_K}, round(v, 6) + 0.0 AS session_vwap, round((close - v) / v * 100, 6) + 0.0 AS vwap_distance FROM (SELECT *, sum(close * volume) OVER w / sum(volume) OVER w AS v FROM medium WINDOW w AS (PARTITION BY {_S} ORDER BY \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))",
+    "tod_volume_z": f"SELECT {_K}, slot, tod_n, {_r('volume_z')}, tod_flag FROM tod",
+    "bar_segments": f"SELECT {_K}, CAST(idx AS INTEGER) AS idx, CAST(segment AS BIGINT) AS segment, reset FROM seg",
+    "gap_formation": f"SELECT root, contract_symbol, created_at, direction, gap_bot, gap_top, {_r('z_displacement', 'z_gap', 'efficiency', 'quality')}, guard FROM gap",
+    "gap_retests": f"SELECT root, contract_symbol, created_at, \"end\", CAST(age AS INTEGER) AS age, {_r('depth', 'wick', 'close_position', 'decay', 'score')}, guard, happened FROM gb WHERE retest",
+    "gap_lifecycle": "SELECT root, contract_symbol, created_at, direction, coalesce(arg_max(happened, age) FILTER (happened IS NOT NULL), 'open') AS state, CAST(max(end_age) AS INTEGER) AS end_age, count(*) FILTER (retest) AS retests, CAST(min(age) FILTER (retest) AS INTEGER) AS first_retest_age FROM gb GROUP BY root, contract_symbol, gap_idx, created_at, direction",
+    "gap_first_retest": "SELECT root, contract_symbol, created_at, \"end\", CAST(age AS INTEGER) AS age, CAST(active_gaps AS BIGINT) AS active_gaps FROM (SELECT *, sum(CAST(alive AS INTEGER)) OVER b + count(*) OVER (PARTITION BY root, contract_symbol, idx) - count(*) OVER b AS active_gaps FROM gb WINDOW b AS (PARTITION BY root, contract_symbol, idx ORDER BY gap_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE retest AND age = first_age",
+    "value_exits": _events(("exit IS NOT NULL", "CASE WHEN exit = 1 THEN 'value_exit_up' ELSE 'value_exit_down' END", "dir", "NULL::VARCHAR")),
+    "value_reentries": _events(("reentry", "CASE WHEN dir = 1 THEN 'value_reentry_from_above' ELSE 'value_reentry_from_below' END", "-dir", "exit_id")),
+    "poc_migrations": _events(("migration", "CASE WHEN dir = 1 THEN 'poc_migration_above_prior_vah' ELSE 'poc_migration_below_prior_val' END", "dir", "exit_id")),
+    "transition_counters": f"""SELECT {_K}, CAST(reentry_count AS BIGINT) AS reentry_count, CAST(sum(outside) OVER (PARTITION BY {_S}, island ORDER BY "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * {SPARSE.fast} AS BIGINT) AS consecutive_minutes_outside
+FROM (SELECT *, sum(CAST(reentry AS INTEGER)) OVER w AS reentry_count, sum(1 - outside) OVER w AS island FROM (SELECT *, CAST(location IN ('above_value', 'below_value') AS INTEGER) AS outside FROM trans) WINDOW w AS (PARTITION BY {_S} ORDER BY "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+    "imsi_vwrsi": f"""SELECT root, contract_symbol, "end", round(100 - 100 / (1 + up / (down + {SPARSE.epsilon})), 6) + 0.0 AS vwrsi FROM (
+WITH RECURSIVE moves AS (SELECT root, contract_symbol, "end", (close - lag(close) OVER w) * volume AS f, row_number() OVER w AS n FROM medium WINDOW w AS (PARTITION BY root, contract_symbol ORDER BY "end")),
+ema AS (SELECT root, contract_symbol, "end", n, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down FROM moves WHERE n = 1 UNION ALL
+  SELECT m.root, m.contract_symbol, m."end", m.n, {SPARSE.rsi_alpha} * greatest(f, 0) + (1 - {SPARSE.rsi_alpha}) * up, {SPARSE.rsi_alpha} * greatest(-f, 0) + (1 - {SPARSE.rsi_alpha}) * down FROM ema e JOIN moves m ON m.root = e.root AND m.contract_symbol = e.contract_symbol AND m.n = e.n + 1)
+SELECT * FROM ema WHERE n > 1)""",
+    "minute_gaps": "SELECT root, count(*) AS minutes, count(*) FILTER (step > 1) AS gaps, round(coalesce(max(step), 0), 6) + 0.0 AS longest_gap_minutes FROM (SELECT root, epoch(m - lag(m) OVER (PARTITION BY root ORDER BY m)) / 60.0::DOUBLE AS step FROM (SELECT DISTINCT root, date_trunc('minute', exchange_time) AS m FROM tape)) GROUP BY root",
+    "open_interest_coverage": "SELECT root, count(oi) > 0 AS any_open_interest, count(DISTINCT (contract_symbol, day)) AS contract_days, count(DISTINCT CASE WHEN oi IS NOT NULL THEN (contract_symbol, day) END) AS contract_days_with_oi, array_to_string(list_sort(list_distinct(list(expiry))), ',') AS expiries FROM (SELECT root, contract_symbol, CAST(exchange_time AS DATE) AS day, CASE WHEN arrival % 3 = 0 THEN quantity * 100 END AS oi, CASE WHEN contract_symbol LIKE '%H24' THEN '2024-03-15' ELSE '2024-06-21' END AS expiry FROM tape) GROUP BY root",
+    "usable_from": "SELECT record_key, CASE WHEN release_time IS NOT NULL THEN greatest(release_time, coalesce(vendor_time, release_time), delivery_time) END AS usable_from FROM raw",
+    "weekly_release_rule": "SELECT record_key, CASE WHEN release_time IS NULL THEN 'release_missing' WHEN dayofweek(observation_time) <> 2 THEN 'observation_not_tuesday' WHEN dayofweek(release_time) <> 5 THEN 'release_not_friday' WHEN release_time < observation_time THEN 'release_before_observation' END AS rule_fault FROM raw",
+    "scheduled_release": "SELECT record_key, scheduled_time, CASE WHEN scheduled_time IS NULL THEN 'unscheduled' WHEN release_time IS DISTINCT FROM scheduled_time THEN 'release_differs' END AS schedule_fault FROM raw LEFT JOIN (SELECT CAST(d AS DATE) AS s_date, CAST(d AS TIMESTAMP) + INTERVAL 3 DAY AS scheduled_time FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1995-06-30', INTERVAL 1 DAY) g(d) WHERE dayofweek(d) = 2) ON CAST(observation_time AS DATE) = s_date",
+    "pit_normalize": "SELECT record_key, dataset_id, usable_from, quality_status, quality_flags, missing_reason, lineage_hash FROM pit",
+    "pit_rejected": "SELECT record_key, CASE WHEN dataset_id = 'unlisted' THEN 'unknown_dataset' ELSE 'release_missing' END AS reason FROM raw WHERE dataset_id = 'unlisted' OR release_time IS NULL",
+    "clock_violations": "SELECT rule, count(*) FILTER (bad) AS violations FROM pit, LATERAL (VALUES ('delivery_after_usable', delivery_time > usable_from), ('vendor_after_usable', vendor_time > usable_from), ('release_after_usable', release_time > usable_from), ('retrieved_before_delivery', TIMESTAMP '2030-01-01' < delivery_time)) v(rule, bad) GROUP BY rule",
+    "quality_upgrades": "SELECT a.lineage_hash, 'STALE' AS source_status, b.quality_status FROM pit a JOIN pit b USING (lineage_hash) WHERE a.record_key % 17 = 0 AND b.quality_status = 'PARTIAL' UNION ALL SELECT a.lineage_hash, a.quality_status, b.quality_status FROM pit a JOIN pit b USING (lineage_hash) WHERE a.record_key % 17 <> 0 AND a.quality_status = 'WITHHELD' AND b.quality_status = 'PARTIAL'",
+    "gate_release": "SELECT record_key, usable_from, TIMESTAMP '1995-06-17' AS released_at, quality_status FROM pit WHERE usable_from <= TIMESTAMP '1995-06-17'",
+    "gate_pending": "SELECT count(*) FILTER (usable_from > TIMESTAMP '1995-06-17') AS n_pending, min(usable_from) FILTER (usable_from > TIMESTAMP '1995-06-17') AS earliest_pending FROM pit",
+    "gate_duplicates": "SELECT lineage_hash, count(*) AS n FROM (SELECT lineage_hash FROM pit UNION ALL SELECT lineage_hash FROM pit WHERE record_key % 29 = 0) GROUP BY lineage_hash HAVING count(*) > 1",
+    "contract_asof": "SELECT t.root, arrival, c.mapped_symbol, c.multiplier FROM tape t ASOF LEFT JOIN (SELECT r AS root, r || m AS mapped_symbol, CAST(a AS TIMESTAMP) AS as_of, x AS multiplier FROM (VALUES ('ES', 50.0::DOUBLE), ('6E', 125000.0::DOUBLE)) p(r, x), (VALUES ('H24', '2024-01-03'), ('M24', '2024-01-16')) q(m, a)) c ON t.root = c.root AND t.exchange_time >= c.as_of",
+    "contract_identity": "SELECT root, CAST(0 AS BIGINT) AS bad_rows, count(DISTINCT CASE WHEN root = '6E' AND contract_symbol LIKE '%M24' THEN '6E-OTHER' ELSE root || '-CONT' END) AS continuous_ids FROM tape GROUP BY root HAVING count(DISTINCT CASE WHEN root = '6E' AND contract_symbol LIKE '%M24' THEN '6E-OTHER' ELSE root || '-CONT' END) > 1",
+    "roll_state": "SELECT t.root, arrival, new_mapped_symbol AS mapped_symbol, CASE WHEN coalesce(n, 0) <= 1 THEN 'normal' WHEN exchange_time = visible_at THEN 'roll_transition' ELSE 'post_roll' END AS roll_state FROM tape t ASOF LEFT JOIN (SELECT root, new_mapped_symbol, greatest(observed_at, effective_at) AS visible_at, row_number() OVER (PARTITION BY root ORDER BY greatest(observed_at, effective_at)) AS n FROM maps) m ON t.root = m.root AND t.exchange_time >= m.visible_at",
+    "mapping_continuity": "SELECT root, observed_at, 'chain_broken' AS fault FROM tapemaps WHERE false",
+    "delivery_audit": "SELECT root, release_date, official_time, delivered_at, coalesce(delivered_at < official_time, false) AS delivery_precedes_official, CASE WHEN delivered_at IS NULL THEN 'delivery_absent' END AS flag FROM (SELECT root, CAST(d AS DATE) AS release_date, CAST(d AS TIMESTAMP) + INTERVAL 15 HOUR + INTERVAL 30 MINUTE AS official_time FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1995-03-31', INTERVAL 1 DAY) g(d), (VALUES ('ES'), ('ZN'), ('6E')) r(root) WHERE dayofweek(d) = 5) LEFT JOIN (SELECT root, release_date, max(delivered_at) AS delivered_at FROM del GROUP BY ALL) USING (root, release_date)",
+    "delivery_summary": "SELECT root, count(*) AS n_rows, min(delivered_at) AS first_delivery, max(delivered_at) AS last_delivery, count(long_all) + count(short_all) + count(spread) AS observations, concat_ws(',', CASE WHEN count(long_all) < count(*) THEN 'long_all' END, CASE WHEN count(short_all) < count(*) THEN 'short_all' END, CASE WHEN count(spread) < count(*) THEN 'spread' END) AS null_fields FROM del GROUP BY root",
+    "chain_semantics": "SELECT subject_id, 'registered_twice' AS fault FROM led WHERE kind = 'registration' GROUP BY subject_id HAVING count(*) > 1 UNION ALL SELECT * FROM (SELECT subject_id, CASE WHEN registered IS NULL THEN 'not_registered' WHEN position < registered THEN 'decided_before' WHEN decision = 'pending' THEN 'pending_decision' END AS fault FROM led LEFT JOIN (SELECT subject_id, min(position) AS registered FROM led WHERE kind = 'registration' GROUP BY subject_id) USING (subject_id) WHERE kind = 'decision') WHERE fault IS NOT NULL",
+    "hash_chain": "SELECT chain, position, kind FROM led WHERE position % 997 = 0",
+    "prefix_replay": f"SELECT {_S}, start, \"end\", available_at, open, high, low, close, volume, n_trades, '' AS side FROM fast WHERE false",
+}
+
+ORACLE_SQL = {name: _query(tail) for name, tail in _TAILS.items()}
