@@ -62,12 +62,15 @@ def policies_of(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(F.struct(F.lit("weekly").alias("dataset_id"), F.lit("synthetic_timing_only").alias("extra_flag")), F.struct(F.lit("daily").alias("dataset_id"), F.lit(None).cast("string").alias("extra_flag")))))
 
 
-RETRIEVED = F.lit("2030-01-01 00:00:00").cast("timestamp_ntz")
-NOW = F.lit("1995-06-17 00:00:00").cast("timestamp_ntz")
+def _instant(text: str):
+    return F.lit(text).cast("timestamp_ntz")
+
+
+RETRIEVED, NOW = "2030-01-01 00:00:00", "1995-06-17 00:00:00"
 
 
 def _pit(spark, d):
-    return pit.normalize(raw_records(spark, d), policies_of(spark), RETRIEVED)
+    return pit.normalize(raw_records(spark, d), policies_of(spark), _instant(RETRIEVED))
 
 
 def _schedule(spark):
@@ -208,8 +211,8 @@ QUERIES = {
     "pit_rejected": lambda s, d: pit.rejected(raw_records(s, d), policies_of(s)).select("record_key", "reason"),
     "clock_violations": lambda s, d: pit.clock_violations(_pit(s, d)),
     "quality_upgrades": lambda s, d: pit.quality_upgrades(_pit(s, d).withColumn("quality_status", F.when(F.col("record_key") % 17 == 0, "STALE").otherwise(F.col("quality_status"))), _pit(s, d)).select("lineage_hash", "source_status", "quality_status"),
-    "gate_release": lambda s, d: pit.release(_pit(s, d), NOW).select("record_key", "usable_from", "released_at", "quality_status"),
-    "gate_pending": lambda s, d: pit.pending(_pit(s, d), NOW),
+    "gate_release": lambda s, d: pit.release(_pit(s, d), _instant(NOW)).select("record_key", "usable_from", "released_at", "quality_status"),
+    "gate_pending": lambda s, d: pit.pending(_pit(s, d), _instant(NOW)),
     "gate_duplicates": lambda s, d: pit.duplicate_lineage(_pit(s, d).select("lineage_hash").unionByName(_pit(s, d).filter("record_key % 29 = 0").select("lineage_hash"))),
     "contract_asof": lambda s, d: contracts.contract_asof(tape.events_tape(s, d).select("root", "arrival", "exchange_time"), contracts_of(s)).select("root", "arrival", F.col("contract.mapped_symbol").alias("mapped_symbol"), F.col("contract.multiplier").alias("multiplier")),
     "contract_identity": lambda s, d: contracts.identity_violations(_contract_rows(s, d)),
