@@ -35,7 +35,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if before == state or not state[0]:
             break
         before = state
-        edges = store(_star(_star(edges, True), False), "stars")
+        # few links need few files, whatever the number of shuffle partitions
+        edges = store(_star(_star(edges, True), False).coalesce(max(1, state[0] // 100_000)), "stars")
     else:
         raise RuntimeError("components did not settle")
     members = edges.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("id"), "comp")

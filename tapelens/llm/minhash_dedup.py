@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import sized_broadcast, store
 from .components import components
 from .wordvec import WORD_TABLE, as_bytes, batches, mix, span_hashes, words
 
@@ -212,8 +212,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> Data
     sig = reps.select("doc_id", "sig")
     rated = store(_rated(bucket.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), sig, threshold), "rated")
 
-    texts = base.join(bucket.select("doc_id").distinct(), "doc_id")
-    texts = store(texts, "texts")
+    wanted = store(bucket.select("doc_id").distinct(), "wanted")
+    texts = store(base.join(sized_broadcast(wanted, 16), "doc_id"), "texts")
     best = rated.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a")).select("a", "b")
     links = store(_verified(best, texts, k, threshold), "links")
     comp = components(links)

@@ -28,7 +28,8 @@ _UNWANTED = (
 ).split()
 _ORDINARY = (
     "example thering ththre tharen onther station anterest ingles tiond there reading eston alther hereat nation theory blethe ththan "
-    "library news garden science river weather cooking history travel museum school forum wiki photo music health market city-hall day-book"
+    "library news garden science river weather cooking history travel museum school forum wiki photo music health market "
+    "city-hall day-book garden-notes train-times open-science river-school weather-maps history-museum daily-news bird-watch home-cooking data-tables old-maps north-coast"
 ).split()
 _ORDINARY += [a + b for a in ("th", "ther", "thth", "tion", "on", "re") for b in ("er", "on", "es", "ing", "ed", "at")]
 _SUBS, _ENDS = ("", "www.", "blog.", "m."), ("example.org", "example.com", "example.net", "org")
