@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+
 from .policy import SPARSE
 from .sources.dims import session_rows
 
@@ -59,6 +61,13 @@ _W = f"PARTITION BY {_S} ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1
 _JSON = """'session_' || sha256('{"anchor_date":"' || strftime(anchor, '%Y-%m-%d') || '","policy_version":"' || policy_version || '","root":"' || root || '","session_name":"' || session_name || '","session_type":"' || session_type || '"}')"""
 _ID = """'event_' || sha256('["' || root || '","' || contract_symbol || '","' || {kind} || '","' || strftime({at}, '%Y-%m-%dT%H:%M:%S.%fZ') || '",' || coalesce('"' || {parent} || '"', 'null') || ']')"""
 
+_GAP_ID = """'gap_' || sha256('["' || root || '","' || contract_symbol || '","' || direction || '","' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ') || '",null]')"""
+_N = SPARSE.icm_windows["ES"]
+_TAU = (np.arange(_N) - (_N - 1)) / (_N - 1)
+_ROWS = ["[" + ", ".join(repr(float(x)) for x in row) + "]" for row in np.linalg.pinv(np.column_stack([np.ones(_N), _TAU, _TAU**2]))]
+_TAUS = "[" + ", ".join(repr(float(x)) for x in _TAU) + "]"
+_E = SPARSE.epsilon
+
 STEPS = {
     "win": f"SELECT * FROM (VALUES {_values(session_rows())}) w(root, session_name, session_type, zone, start_sec, end_sec, crosses_midnight, policy_version)",
     "maps": "SELECT root, old_mapped_symbol, new_mapped_symbol, CAST(observed_at AS TIMESTAMP) AS observed_at, CAST(effective_at AS TIMESTAMP) AS effective_at FROM (VALUES ('ES', NULL, 'ESH24', '2023-12-15 12:00:00', '2023-12-15 12:00:00'), ('ES', 'ESH24', 'ESM24', '2024-01-10 00:00:00', '2024-01-16 00:00:00'), ('6E', NULL, '6EH24', '2023-12-15 12:00:00', '2023-12-15 12:00:00'), ('6E', '6EH24', '6EM24', '2024-01-10 00:00:00', '2024-01-16 00:00:00')) m(root, old_mapped_symbol, new_mapped_symbol, observed_at, effective_at)",
@@ -140,6 +149,24 @@ FROM (SELECT *, NOT expired AND beyond AS invalid, NOT expired AND NOT beyond AN
 FROM (SELECT *, CASE WHEN wick IS NOT NULL AND volume_z IS NOT NULL THEN (ln(1 + quality) + ln(1 + wick) + ln(1 + greatest(volume_z, {SPARSE.volume_z_floor})) + 0.5 * least(greatest(close_position, 0), 1)) * decay END AS score FROM gb1)""",
     "gb": """SELECT *, coalesce(happened NOT IN ('expired', 'invalidated', 'absorbed'), true) AS alive, min(CASE WHEN retest THEN age END) OVER (PARTITION BY root, contract_symbol, gap_idx) AS first_age
 FROM (SELECT *, min(CASE WHEN happened IN ('expired', 'invalidated', 'absorbed') THEN age END) OVER (PARTITION BY root, contract_symbol, gap_idx) AS end_age FROM gb2) WHERE end_age IS NULL OR age <= end_age""",
+    "icm0": f"""SELECT *, list_dot_product(y, {_ROWS[0]}) AS b0, list_dot_product(y, {_ROWS[1]}) AS b1, list_dot_product(y, {_ROWS[2]}) AS b2
+FROM (SELECT root, contract_symbol, session_id, "end", available_at, close, list(close) OVER (PARTITION BY root, contract_symbol ORDER BY "end" ROWS BETWEEN {_N - 1} PRECEDING AND CURRENT ROW) AS y FROM medium) WHERE len(y) = {_N}""",
+    "icm1": f"""SELECT *, sqrt(list_dot_product(res, res) / {_N - 3}) AS sigma_ols, 1.4826 * list_aggregate(list_transform(res, lambda x: abs(x - list_aggregate(res, 'median'))), 'median') AS sigma_mad,
+  list_transform(res[1:{_N - 1}], lambda x: x - list_aggregate(res[1:{_N - 1}], 'avg')) AS l, list_transform(res[2:{_N}], lambda x: x - list_aggregate(res[2:{_N}], 'avg')) AS r
+FROM (SELECT *, list_transform(range(1, {_N + 1}), lambda i: y[i] - (b0 + b1 * {_TAUS}[i] + b2 * {_TAUS}[i] * {_TAUS}[i])) AS res FROM icm0)""",
+    "icm2": f"""SELECT *, CASE WHEN blend > {_E} THEN (close - b0) / (blend + {_E}) END AS z_raw, b1 / {_N - 1} AS slope_per_bar, 2 * b2 / {(_N - 1) ** 2} AS curvature_per_bar2, sqrt(list_dot_product(l, l) * list_dot_product(r, r)) AS bottom
+FROM (SELECT *, (sigma_ols + sigma_mad) / 2 AS blend, sigma_ols / (sigma_mad + {_E}) AS r_ratio FROM icm1)""",
+    "rsi": f"""SELECT * FROM medium JOIN (SELECT root, contract_symbol, "end", 100 - 100 / (1 + up / (down + {_E})) AS vwrsi FROM (
+WITH RECURSIVE moves AS (SELECT root, contract_symbol, "end", (close - lag(close) OVER w) * volume AS f, row_number() OVER w AS n FROM medium WINDOW w AS (PARTITION BY root, contract_symbol ORDER BY "end")),
+ema AS (SELECT root, contract_symbol, "end", n, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down FROM moves WHERE n = 1 UNION ALL
+  SELECT m.root, m.contract_symbol, m."end", m.n, {SPARSE.rsi_alpha} * greatest(f, 0) + (1 - {SPARSE.rsi_alpha}) * up, {SPARSE.rsi_alpha} * greatest(-f, 0) + (1 - {SPARSE.rsi_alpha}) * down FROM ema e JOIN moves m ON m.root = e.root AND m.contract_symbol = e.contract_symbol AND m.n = e.n + 1)
+SELECT * FROM ema WHERE n > 1)) USING (root, contract_symbol, "end")""",
+    "retests": f"""SELECT *, {_ID.format(kind="event_type", at='"end"', parent="parent_event_id")} AS event_id FROM (SELECT *, {_GAP_ID} AS parent_event_id, CASE WHEN direction = 'bullish' THEN 'iae_retest_bull' ELSE 'iae_retest_bear' END AS event_type FROM gb WHERE retest AND age = first_age)""",
+    "evts": f"""SELECT {_S}, "end", event_id, event_type, parent_event_id FROM (
+  SELECT {_S}, "end", {_ID.format(kind="CASE WHEN exit = 1 THEN 'value_exit_up' ELSE 'value_exit_down' END", at='"end"', parent="NULL::VARCHAR")} AS event_id, CASE WHEN exit = 1 THEN 'value_exit_up' ELSE 'value_exit_down' END AS event_type, NULL::VARCHAR AS parent_event_id FROM trans WHERE exit IS NOT NULL
+  UNION ALL SELECT {_S}, "end", {_ID.format(kind="CASE WHEN dir = 1 THEN 'value_reentry_from_above' ELSE 'value_reentry_from_below' END", at='"end"', parent="exit_id")}, CASE WHEN dir = 1 THEN 'value_reentry_from_above' ELSE 'value_reentry_from_below' END, exit_id FROM trans WHERE reentry
+  UNION ALL SELECT {_S}, "end", {_ID.format(kind="CASE WHEN dir = 1 THEN 'poc_migration_above_prior_vah' ELSE 'poc_migration_below_prior_val' END", at='"end"', parent="exit_id")}, CASE WHEN dir = 1 THEN 'poc_migration_above_prior_vah' ELSE 'poc_migration_below_prior_val' END, exit_id FROM trans WHERE migration
+  UNION ALL SELECT {_S}, "end", event_id, event_type, parent_event_id FROM retests)""",
     "raw": """SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'unlisted' WHEN o_orderkey % 2 = 0 THEN 'weekly' ELSE 'daily' END AS dataset_id, 'series-' || o_orderstatus AS series_id, o_orderkey AS record_key, o_orderdate AS observation_time,
   CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate + to_days(CAST(o_orderkey % 5 AS INTEGER)) END AS release_time, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate + to_days(CAST(o_orderkey % 5 AS INTEGER)) + INTERVAL 1 HOUR END AS vendor_time,
   o_orderdate + to_days(CAST(o_orderkey % 5 AS INTEGER)) + to_hours(o_orderkey % 3) AS delivery_time, CASE WHEN o_orderkey % 13 <> 0 THEN 'p' || o_orderkey END AS value FROM orders""",
@@ -233,6 +260,21 @@ WITH RECURSIVE moves AS (SELECT root, contract_symbol, "end", (close - lag(close
 ema AS (SELECT root, contract_symbol, "end", n, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down FROM moves WHERE n = 1 UNION ALL
   SELECT m.root, m.contract_symbol, m."end", m.n, {SPARSE.rsi_alpha} * greatest(f, 0) + (1 - {SPARSE.rsi_alpha}) * up, {SPARSE.rsi_alpha} * greatest(-f, 0) + (1 - {SPARSE.rsi_alpha}) * down FROM ema e JOIN moves m ON m.root = e.root AND m.contract_symbol = e.contract_symbol AND m.n = e.n + 1)
 SELECT * FROM ema WHERE n > 1)""",
+    "icm_fit": f"SELECT root, contract_symbol, \"end\", round(b0, 6) + 0.0 AS fair_value, {_r('slope_per_bar', 'curvature_per_bar2', 'sigma_ols', 'sigma_mad', 'r_ratio')} FROM icm2",
+    "icm_state": f"""SELECT root, contract_symbol, "end", {_r('z_raw')}, round(zc, 6) + 0.0 AS z_capped, round(CASE WHEN blend > {_E} AND r_ratio <= {SPARSE.regime_ratio} THEN zc END, 6) + 0.0 AS z_effective, round(CASE WHEN blend > 0 THEN slope_per_bar / blend END, 6) + 0.0 AS slope_normalized,
+  round(CASE WHEN blend > 0 THEN curvature_per_bar2 / blend END, 6) + 0.0 AS curvature_normalized, round(CASE WHEN bottom > {_E} THEN least(greatest(list_dot_product(l, r) / bottom, -1), 1) END, 6) + 0.0 AS residual_autocorrelation, round((close - b0) / atr, 6) + 0.0 AS fair_value_distance_vol
+FROM (SELECT i.*, a.atr, least(greatest(z_raw, -{SPARSE.z_cap}), {SPARSE.z_cap}) AS zc FROM icm2 i LEFT JOIN (SELECT root, contract_symbol, "end", atr FROM atr) a USING (root, contract_symbol, "end"))""",
+    "imsi_tod": f"""SELECT root, contract_symbol, "end", slot, tod_n, round(CASE WHEN tod_n >= {SPARSE.imsi_tod_min} THEN vwrsi - med END, 6) + 0.0 AS adjusted FROM (SELECT *, count(*) OVER w AS tod_n, median(vwrsi) OVER w AS med FROM (SELECT *, CAST(floor(epoch(start - session_start) / {SPARSE.medium * 60}) AS INTEGER) AS slot FROM rsi)
+  WINDOW w AS (PARTITION BY root, contract_symbol, session_type, slot ORDER BY "end" ROWS BETWEEN {SPARSE.tod_sessions} PRECEDING AND 1 PRECEDING))""",
+    "synergy_align": f"""SELECT {_K}, imsi_end, icm_end, iae_end, imsi_end IS NOT NULL AND icm_end IS NOT NULL AND iae_end IS NOT NULL AS present,
+  coalesce("end" - imsi_end <= INTERVAL {SPARSE.medium} MINUTE AND "end" - icm_end <= INTERVAL {SPARSE.medium} MINUTE AND "end" - iae_end <= INTERVAL {SPARSE.fast} MINUTE, false) AS fresh
+FROM (SELECT {_K} FROM fast) f ASOF LEFT JOIN (SELECT {_S}, min("end") AS imsi_end FROM rsi GROUP BY {_S}, available_at) a ON f.root = a.root AND f.contract_symbol = a.contract_symbol AND f.session_id = a.session_id AND f."end" >= a.imsi_end
+ASOF LEFT JOIN (SELECT {_S}, min("end") AS icm_end FROM icm0 GROUP BY {_S}, available_at) b ON f.root = b.root AND f.contract_symbol = b.contract_symbol AND f.session_id = b.session_id AND f."end" >= b.icm_end
+ASOF LEFT JOIN (SELECT {_S}, min("end") AS iae_end FROM fast GROUP BY {_S}, available_at) c ON f.root = c.root AND f.contract_symbol = c.contract_symbol AND f.session_id = c.session_id AND f."end" >= c.iae_end""".replace(f"SELECT {_K}, imsi_end", "SELECT f.root, f.contract_symbol, f.session_id, f.\"end\", imsi_end").replace('coalesce("end" -', 'coalesce(f."end" -').replace('AND "end" -', 'AND f."end" -'),
+    "synergy_retest": f"SELECT {_K}, event_id, parent_event_id, event_type, CAST(CASE WHEN direction = 'bullish' THEN 1 ELSE -1 END AS INTEGER) AS direction FROM retests",
+    "event_duplicates": "SELECT event_id, count(*) AS n FROM evts GROUP BY event_id HAVING count(*) > 1",
+    "coverage_by_dim": f"SELECT dim, value, count(*) AS n FROM (SELECT e.*, coalesce(session_type, 'unknown') AS session_type FROM evts e LEFT JOIN (SELECT {_S}, session_type FROM finals) USING ({_S})), LATERAL (VALUES ('month', strftime(\"end\", '%Y-%m')), ('contract_symbol', contract_symbol), ('event_type', event_type), ('root', root), ('session_type', session_type)) v(dim, value) GROUP BY ALL",
+    "runtime_summary": "SELECT root, counter, n FROM (SELECT root, count(*) AS ticks, count(*) FILTER (admitted) AS admitted, count(DISTINCT contract_symbol) AS contracts, count(DISTINCT session_id) AS sessions, count(*) FILTER (tick_type <> 'TRADE') AS quotes FROM adm GROUP BY root) UNPIVOT (n FOR counter IN (ticks, admitted, contracts, sessions, quotes)) UNION ALL SELECT root, 'fast_bars', count(*) FROM fast GROUP BY root UNION ALL SELECT root, 'medium_bars', count(*) FROM medium GROUP BY root UNION ALL SELECT root, 'final_profiles', count(*) FROM finpoc GROUP BY root UNION ALL SELECT root, 'gaps', count(*) FROM gap WHERE guard IS NULL GROUP BY root",
     "minute_gaps": "SELECT root, count(*) AS minutes, count(*) FILTER (step > 1) AS gaps, round(coalesce(max(step), 0), 6) + 0.0 AS longest_gap_minutes FROM (SELECT root, epoch(m - lag(m) OVER (PARTITION BY root ORDER BY m)) / 60.0::DOUBLE AS step FROM (SELECT DISTINCT root, date_trunc('minute', exchange_time) AS m FROM tape)) GROUP BY root",
     "open_interest_coverage": "SELECT root, count(oi) > 0 AS any_open_interest, count(DISTINCT (contract_symbol, day)) AS contract_days, count(DISTINCT CASE WHEN oi IS NOT NULL THEN (contract_symbol, day) END) AS contract_days_with_oi, array_to_string(list_sort(list_distinct(list(expiry))), ',') AS expiries FROM (SELECT root, contract_symbol, CAST(exchange_time AS DATE) AS day, CASE WHEN arrival % 3 = 0 THEN quantity * 100 END AS oi, CASE WHEN contract_symbol LIKE '%H24' THEN '2024-03-15' ELSE '2024-06-21' END AS expiry FROM tape) GROUP BY root",
     "usable_from": "SELECT record_key, CASE WHEN release_time IS NOT NULL THEN greatest(release_time, coalesce(vendor_time, release_time), delivery_time) END AS usable_from FROM raw",
