@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import sized_broadcast, store
 from .wordvec import WORD_TABLE, as_bytes, batches, span_hashes, words
 
 #: Windows, or benchmark words, that one block sends to the tasks (about 25 MB of windows).
@@ -161,4 +161,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n_words: int = 10) -> D
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n_words: int = 10) -> DataFrame:
     """The rows of docs, all columns, in which no benchmark window occurs."""
     hits = store(contamination(docs, benchmark, n_words).filter(F.size("items") > 0).select("doc_id"), "hits")
-    return docs.join(hits, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(sized_broadcast(hits, 16), "doc_id", "left_anti").select(docs.columns)

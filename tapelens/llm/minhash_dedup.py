@@ -258,5 +258,5 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
     """The rows of docs, all columns, that are the least doc_id of their near-duplicate class."""
-    keep = near_duplicates(docs, threshold, k).filter("doc_id = class_id").select("doc_id")
-    return docs.join(store(keep, "keep"), "doc_id", "left_semi").select(docs.columns)
+    gone = store(near_duplicates(docs, threshold, k).filter("doc_id <> class_id").select("doc_id"), "gone")
+    return docs.join(sized_broadcast(gone, 16), "doc_id", "left_anti").select(docs.columns)
