@@ -99,26 +99,33 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     )
 
 
-def block_keys(fp: Column, radius: int = RADIUS) -> Column:
-    """One key for each permuted table: the bits of `radius` of 2 * radius blocks; others are zero."""
+def block_masks(radius: int = RADIUS) -> list[int]:
+    """The bits that each permuted table compares: those of `radius` of 2 * radius blocks, as signed longs."""
     blocks, start = [], 0
     for i in range(2 * radius):
         size = 64 // (2 * radius) + (i < 64 % (2 * radius))
         blocks.append(((1 << size) - 1) << start)
         start += size
     masks = [sum(chosen) for chosen in combinations(blocks, radius)]
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    return F.array(*[F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+
+
+def block_keys(fp: Column, masks: list[int]) -> Column:
+    """One key for each permuted table: its bits, all others zero."""
+    return F.array(*[F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
 
 
 def within_radius(asked: DataFrame, held: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, n_within): for each distinct fp of asked, the number of rows of held(fp) whose fingerprint is within the radius.
 
-    Equal fingerprints are one entry with a count, so copies cost nothing more.
+    Equal fingerprints are one entry with a count, so copies cost nothing more, and
+    a pair is taken in the first table alone in which it agrees.
     """
+    masks = block_masks(radius)
     entries = held.groupBy("fp").agg(F.count("*").alias("n"))
-    keyed = entries.select(F.col("fp").alias("other"), "n", F.explode(block_keys(F.col("fp"), radius)).alias("key"))
-    questions = asked.select("fp").distinct().select("fp", F.explode(block_keys(F.col("fp"), radius)).alias("key"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius
-    found = questions.join(keyed, "key").filter(near).select("fp", "other", "n").distinct()
+    keyed = entries.select(F.col("fp").alias("other"), "n", F.posexplode(block_keys(F.col("fp"), masks)).alias("t", "key")).select("other", "n", "key")
+    questions = asked.select("fp").distinct().select("fp", F.posexplode(block_keys(F.col("fp"), masks)).alias("t", "key"))
+    x = F.col("fp").bitwiseXOR(F.col("other"))
+    first = reduce(lambda rest, i: F.when(x.bitwiseAND(F.lit(masks[i])) == 0, i).otherwise(rest), reversed(range(len(masks))), F.lit(-1))
+    found = questions.join(keyed, "key").filter((F.bit_count(x) <= radius) & (first == F.col("t")))
     return found.groupBy("fp").agg(F.sum("n").alias("n_within"))
