@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import sized_broadcast, store
 
 RADIUS = 3
 _LANES = (1 << 32) | 1
@@ -73,8 +73,9 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     chain = next_ids(docs)
     other = base.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"))
     cut = F.floor(F.length("text") / 3).cast("int")
-    size = base.select("doc_id", cut.alias("cut")).join(chain, "doc_id")
-    heads = size.join(other, "next_id").select("doc_id", "next_id", "cut", F.substring(F.col("next_text"), F.lit(1), F.col("cut")).alias("head"))
+    # ids and lengths go to the next text, which gives its head; only that is moved to the text it edits
+    size = store(base.select("doc_id", cut.alias("cut")).join(chain, "doc_id"), "cuts")
+    heads = other.join(sized_broadcast(size, 28), "next_id").select("doc_id", "next_id", "cut", F.substring(F.col("next_text"), F.lit(1), F.col("cut")).alias("head"))
     joined = base.join(heads, "doc_id")
     kept = F.substring(F.col("text"), F.lit(1), F.length("text") - F.col("cut"))
     return joined.select("doc_id", "next_id", "text", F.concat(kept, "head").alias("edited"))
