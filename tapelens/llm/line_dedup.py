@@ -1,30 +1,30 @@
-"""Fuzzy line dedup, with DataFrame functions alone.
-
-Equal lines are one node (a 64-bit hash). A line's MinHash signature comes from
-hashed character shingles that begin at its words (or at every character, if it
-has few words for its length): with the hashes laid on a ring, the value of
-signature place j is the first hash at or after point j, so two lines agree in a
-place with the probability of their Jaccard similarity. Bands of the signature
-give candidates; each is compared with the least line of its bucket by the exact
-Jaccard similarity of all character 5-shingles, lines of a bucket that are still
-apart are compared with further hubs, and distributed union-find joins the links.
-Of each component the first line (least doc_id, then place) stays.
+"""Fuzzy line dedup.
+
+Equal lines are one node (a 64-bit hash). A line's MinHash signature is taken of
+the character 5-shingles that are verified, one independent permutation a place.
+Bands of the signature give candidates; each is compared with the least line of
+its bucket by the exact Jaccard similarity of the shingles, lines of a bucket that
+are still apart are compared with further hubs,
+and distributed union-find joins the links. Of each component the first line
+(least doc_id, then place) stays.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import sized_broadcast, store
 from .components import components
+from .wordvec import batches, mix
 
-BANDS, ROWS = 8, 4
+BANDS, ROWS = 20, 5
 PLACES = BANDS * ROWS
 #: Further hubs of a bucket whose lines the first hub does not all join.
 HUBS = 3
-#: A line with fewer words than its length over this is shingled at every character.
-SPARSE = 24
+_SEEDS = mix(np.arange(2 * PLACES, dtype=np.uint64) + np.uint64(1)).reshape(2, PLACES).astype(np.uint32)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -33,23 +33,36 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "pos", F.trim("line").alias("line")).filter("line <> ''")
 
 
-def _slot(x: Column) -> Column:
-    return F.shiftright(F.shiftright(x, 32) * PLACES, 31)
-
-
-def _with_bands(lines: DataFrame) -> DataFrame:
-    """lines with b0, b1, ..., the band keys of each line's signature."""
-    low = F.lower("line")
-    at_words = F.regexp_extract_all(low, F.lit(r"(?s)(?:^|\s)(?=(\S.{0,7}))"), 1)
-    at_all = F.regexp_extract_all(low, F.lit(r"(?s)(?=(.{1,8}))"), 1)
-    blanks = F.length("line") - F.length(F.translate(F.col("line"), " \t", ""))
-    out = lines.withColumn("s", F.when((blanks + 1) * SPARSE < F.length("line"), at_all).otherwise(at_words))
-    out = out.withColumn("s", F.sort_array(F.transform("s", lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << 63) - 1)))))
-    steps = F.transform("s", lambda x, i: F.array_repeat(x, (_slot(x) - F.when(i == 0, F.lit(-1)).otherwise(_slot(F.element_at("s", F.greatest(i, F.lit(1)))))).cast("int")))
-    tail = F.array_repeat(F.element_at("s", 1), (PLACES - 1 - _slot(F.element_at("s", -1))).cast("int"))
-    out = out.withColumn("sig", F.concat(F.flatten(steps), tail)).drop("s")
-    keys = [F.xxhash64(F.lit(b), *[F.col("sig")[b + r * BANDS] for r in range(ROWS)]).alias(f"b{b}") for b in range(BANDS)]
-    return out.select("h", *keys)
+def signatures(lines: list[str]) -> np.ndarray:
+    """(lines, PLACES) MinHash of the lines' 5-character shingles; a shorter line is one shingle."""
+    pad = "\0" * 4
+    chars = np.frombuffer((pad.join(lines) + pad).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.array([len(x) for x in lines])
+    first = np.cumsum(size + 4) - size - 4
+    n = np.maximum(size - 4, 1)
+    begin = np.cumsum(n) - n
+    h = np.zeros(len(chars) - 4, np.uint64)
+    for k in range(5):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + chars[k : len(h) + k]
+    h = (mix(h[np.repeat(first - begin, n) + np.arange(int(n.sum()))]) >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(lines), PLACES), np.uint32)
+    made = np.empty_like(h)
+    for j in range(PLACES):
+        np.bitwise_xor(h, _SEEDS[0, j], out=made)
+        np.multiply(made, _SEEDS[1, j] | np.uint32(1), out=made)
+        out[:, j] = np.minimum.reduceat(made, begin)
+    return (out ^ out >> np.uint32(16)).astype(np.uint16)
+
+
+def _signature_rows(it):
+    for batch in it:
+        # a line that a batch repeats is signed once
+        _, at = np.unique(batch.column(0).to_numpy(), return_index=True)
+        batch = batch.take(pa.array(at))
+        ids, lines = batch.column(0), batch.column(1).to_pylist()
+        for part in batches(lines, 150_000):
+            rows = pa.array([x.tobytes() for x in signatures(lines[part])], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids[part.start : part.stop], rows], names=["h", "sig"])
 
 
 def shingles(line: Column) -> Column:
@@ -70,14 +83,17 @@ def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def similar_lines(lines: DataFrame, threshold: float) -> DataFrame:
     """(id, comp): the component of each line hash that has a link to another."""
     hashed = lines.select(F.xxhash64("line").alias("h"), "line")
-    banded = _with_bands(hashed)
-    one = banded.groupBy("h").agg(*[F.min(f"b{b}").alias(f"b{b}") for b in range(BANDS)])
-    rows = one.select("h", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band"))
+    signed = store(hashed.select("h", F.lower("line")).mapInArrow(_signature_rows, "h long, sig binary"), "signed")
+    # the low five bits of a band key are its place
+    keys = [F.xxhash64(F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS)).bitwiseAND(F.lit(-32)).bitwiseOR(F.lit(b)) for b in range(BANDS)]
+    # one shuffle by band for the hubs and for their buckets
+    rows = signed.select("h", F.explode(F.array(*keys)).alias("band")).repartition("band")
     hubs = rows.groupBy("band").agg(F.min("h").alias("hub"), F.max("h").alias("far")).filter("hub < far").select("band", "hub")
-    bucket = store(rows.join(hubs, "band"), "bucket")
-    pairs = store(bucket.filter("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct(), "pairs")
+    bucket = store(rows.join(hubs, "band").distinct(), "bucket")
     wanted = store(bucket.select("h").distinct(), "wanted")
-    texts = store(hashed.join(sized_broadcast(wanted, 8), "h").groupBy("h").agg(F.min("line").alias("line")), "texts")
+    few = sized_broadcast(wanted, 8)
+    texts = store(hashed.join(few, "h").groupBy("h").agg(F.min("line").alias("line")), "texts")
+    pairs = store(bucket.filter("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct(), "pairs")
     links = store(_linked(pairs, texts, threshold), "links")
     comp = store(components(links), "comp")
     full = bucket.select("band", "h").join(comp.withColumnRenamed("id", "h"), "h", "left").withColumn("comp", F.coalesce("comp", "h"))

@@ -127,6 +127,26 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def jaccard(a, b):
+    x, y = ({t[p : p + 5] for p in range(max(1, len(t) - 4))} for t in (a.lower(), b.lower()))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_short_lines_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    lines = []
+    for i in range(600):
+        a = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(rng.integers(5, 21)))
+        p = int(rng.integers(0, len(a)))
+        lines += [(2 * i, a), (2 * i + 1, a[:p] + "Q" + a[p + 1 :])]
+    near = [i for i in range(600) if jaccard(lines[2 * i][1], lines[2 * i + 1][1]) >= 0.8]
+    df = spark.createDataFrame(lines, "pos long, line string")
+    ids = {r.line: r.h for r in df.select("line", F.xxhash64("line").alias("h")).collect()}
+    comp = {r.id: r.comp for r in line_dedup.similar_lines(df, 0.8).collect()}
+    got = [i for i in range(600) if (a := ids[lines[2 * i][1]]) in comp and comp[a] == comp[ids[lines[2 * i + 1][1]]]]
+    assert set(got) <= set(near) and len(got) >= 0.995 * len(near) > 200
+
+
 def test_decontamination(spark):
     item = words(5, 25)
     bench = spark.createDataFrame([(7, " ".join(item)), (10, "Short Item, here!"), (11, None), (12, "...")], "item_id long, text string")
