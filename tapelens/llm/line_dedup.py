@@ -3,8 +3,8 @@
 Equal lines are one node (a 64-bit hash). A line's MinHash signature is taken of
 the character 5-shingles that are verified, one independent permutation a place.
 Bands of the signature give candidates; each is compared with the least line of
-its bucket by the exact Jaccard similarity of the shingles, lines of a bucket that
-are still apart are compared with further hubs,
+its bucket by the exact Jaccard similarity of the shingles, every pair of lines
+of a bucket that are still apart is compared by its signatures and then exactly,
 and distributed union-find joins the links. Of each component the first line
 (least doc_id, then place) stays.
 """
@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 from .common import sized_broadcast, store
 from .components import components
+from .pairs import apart_pairs
 from .wordvec import batches, mix
 
 BANDS, ROWS = 20, 5
 PLACES = BANDS * ROWS
-#: Further hubs of a bucket whose lines the first hub does not all join.
-HUBS = 3
+#: A pair is verified if its signatures agree in the threshold less this (four standard deviations) or more.
+MARGIN = 0.16
 _SEEDS = mix(np.arange(2 * PLACES, dtype=np.uint64) + np.uint64(1)).reshape(2, PLACES).astype(np.uint32)
 
 
@@ -92,18 +93,15 @@ def similar_lines(lines: DataFrame, threshold: float) -> DataFrame:
     bucket = store(rows.join(hubs, "band").distinct(), "bucket")
     wanted = store(bucket.select("h").distinct(), "wanted")
     few = sized_broadcast(wanted, 8)
+    sig = store(signed.join(few, "h").groupBy("h").agg(F.min("sig").alias("sig")), "sig")
     texts = store(hashed.join(few, "h").groupBy("h").agg(F.min("line").alias("line")), "texts")
     pairs = store(bucket.filter("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct(), "pairs")
     links = store(_linked(pairs, texts, threshold), "links")
     comp = store(components(links), "comp")
-    full = bucket.select("band", "h").join(comp.withColumnRenamed("id", "h"), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
-    # buckets with several components get further hubs, from components picked by hash: as many pairs as lines, not squares
-    picks = [F.min_by(F.struct("h", "comp"), F.struct(F.xxhash64("comp", F.lit(r)), "h")) for r in range(HUBS)]
-    apart = full.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.array_distinct(F.array(*picks)).alias("hubs")).filter("least < most")
-    chosen = store(apart.select("band", F.explode("hubs").alias("hub")).select("band", F.col("hub.h").alias("a"), F.col("hub.comp").alias("ca")), "hubs")
-    more = full.select("band", F.col("h").alias("b"), "comp").join(chosen, "band").filter("comp <> ca").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    found = store(_linked(more, texts, threshold), "more")
+    full = bucket.select(F.pmod("band", F.lit(32)).cast("int").alias("place"), "band", F.col("h").alias("id")).join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    left = apart_pairs(full, sig.withColumnRenamed("h", "id"), PLACES, ROWS, threshold - MARGIN)
+    left = store(left.join(pairs, ["a", "b"], "left_anti"), "left")
+    found = store(_linked(left, texts, threshold), "more")
     return components(links.unionByName(found)) if found.head(1) else comp
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapelens.llm import decontaminate, html_extract, language_model, line_dedup, minhash_dedup, packing, quality, simhash, substring_dedup, url_filter
+from tapelens.llm import decontaminate, html_extract, language_model, line_dedup, minhash_dedup, packing, pairs, quality, simhash, substring_dedup, url_filter
 from tapelens.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -147,6 +147,24 @@ def test_similar_short_lines_against_all_pairs(spark):
     assert set(got) <= set(near) and len(got) >= 0.995 * len(near) > 200
 
 
+def test_pairs_of_families_in_one_bucket(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 7)
+    sig = {i: np.r_[np.zeros(5), np.full(95, i % 30 + 1)].astype(np.uint16).tobytes() for i in range(60)}
+    for joined in (0, 40):
+        rows = [(0, 5, i, 99 if i < joined else i) for i in range(60)]
+        got = pairs.apart_pairs(spark.createDataFrame(rows, "place int, band long, id long, comp long"), spark.createDataFrame(list(sig.items()), "id long, sig binary"), 100, 5, 0.64).collect()
+        assert sorted((r.a, r.b) for r in got) == [(i, i + 30) for i in range(30) if i + 30 >= joined]
+
+
+def test_lines_of_families_in_one_bucket(spark, monkeypatch):
+    # all lines share every band; 30 families of two lines are linked only among themselves
+    monkeypatch.setattr(line_dedup, "signatures", lambda lines: np.zeros((len(lines), line_dedup.PLACES), np.uint16))
+    base = [" ".join(words(50 + i, 12)) for i in range(30)]
+    df = spark.createDataFrame([(x,) for b in base for x in (b, b + "z")], "line string")
+    comp = line_dedup.similar_lines(df, 0.8).collect()
+    assert len(comp) == 60 and len({r.comp for r in comp}) == 30
+
+
 def test_decontamination(spark):
     item = words(5, 25)
     bench = spark.createDataFrame([(7, " ".join(item)), (10, "Short Item, here!"), (11, None), (12, "...")], "item_id long, text string")
