@@ -25,14 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import sized_broadcast, store
 from .components import components
+from .pairs import apart_pairs
 from .wordvec import WORD_TABLE, as_bytes, batches, mix, span_hashes, words
 
 COMPONENTS = 128
 BANDS, ROWS = 25, 5
 #: A pair is verified if its signatures agree in the threshold less this (four standard deviations) or more.
 MARGIN = 0.14
-#: Members of a bucket's largest component that one task compares with the others.
-BLOCK = 4_000
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -151,45 +150,6 @@ def _verify(k: int, threshold: float):
     return run
 
 
-def _residual(k: int, threshold: float):
-    """Links between members of one bucket (or of a block of it) that are still in different components.
-
-    Members of the largest component are compared with the others alone. A pair is
-    looked at in the first band that it shares, by its signatures and then exactly.
-    """
-
-    def run(pdf):
-        import pandas as pd
-
-        sig = np.frombuffer(b"".join(pdf.sig), np.uint16).reshape(-1, COMPONENTS)
-        ids, comp, main, place = pdf.doc_id.to_numpy(), pdf.comp.to_numpy(), pdf.main.to_numpy(), int(pdf.place.iloc[0])
-        earlier = sig[:, : place * ROWS].reshape(len(sig), place, ROWS)
-        bags: dict[int, tuple] = {}
-
-        def bag(i: int):
-            if i not in bags:
-                _, shingle, weight, _ = bag_of_shingles(as_bytes([pdf.text.iloc[i]]), k)
-                bags[i] = shingle, weight, int(weight.sum())
-            return bags[i]
-
-        found = []
-        for i in np.flatnonzero(~main):
-            hit = np.flatnonzero((comp != comp[i]) & (main | (ids > ids[i])))
-            hit = hit[(sig[hit] == sig[i]).mean(axis=1) >= threshold - MARGIN]
-            hit = hit[~(earlier[hit] == earlier[i]).all(axis=2).any(axis=1)] if place else hit
-            for j in hit.tolist():
-                (ha, wa, na), (hb, wb, nb) = bag(int(i)), bag(j)
-                if min(na, nb) < threshold * max(na, nb):
-                    continue
-                _, x, y = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-                shared = int(np.minimum(wa[x], wb[y]).sum())
-                if shared >= threshold * (na + nb - shared) - 1e-9:
-                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return pd.DataFrame(found, columns=["a", "b"]).astype({"a": ids.dtype, "b": ids.dtype})
-
-    return run
-
-
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its near-duplicate class), exact_id (the least doc_id with the same words).
 
@@ -223,15 +183,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> Data
     found = store(links.unionByName(_verified(more, texts, k, threshold)), "links")
     comp = store(components(found), "comp")
     full = bucket.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("place", "band", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-    split = full.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(
-        F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.sum("n").alias("n")
-    ).filter("comps > 1")
-    rest = full.join(split, "band").withColumn("main", F.col("comp") == F.col("largest"))
-    # the largest component's members are dealt to blocks, the few others go to each block
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rest.withColumn("block", F.explode(F.when(F.col("main"), F.array(F.pmod(F.hash("doc_id"), blocks))).otherwise(F.sequence(F.lit(0), blocks - 1))))
-    dealt = dealt.select("place", "band", "block", "doc_id", "comp", "main").join(sig, "doc_id").join(texts, "doc_id")
-    links = store(dealt.groupBy("band", "block").applyInPandas(_residual(k, threshold), f"a {id_type}, b {id_type}").distinct(), "rest")
+    # what the hubs do not show: signatures alone travel to the groups, and texts to the pairs that pass
+    left = apart_pairs(full.withColumnRenamed("doc_id", "id"), sig.withColumnRenamed("doc_id", "id"), COMPONENTS, ROWS, threshold - MARGIN)
+    left = store(left.join(rated.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "left")
+    links = store(_verified(left, texts, k, threshold), "rest")
     last = components(found.unionByName(links))
     joined = member.join(last.select(F.col("id").alias("exact_id"), "comp"), "exact_id", "left")
     return joined.select("doc_id", F.coalesce("comp", "exact_id").alias("class_id"), "exact_id")
