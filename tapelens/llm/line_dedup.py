@@ -25,13 +25,15 @@ BANDS, ROWS = 20, 5
 PLACES = BANDS * ROWS
 #: A pair is verified if its signatures agree in the threshold less this (four standard deviations) or more.
 MARGIN = 0.16
+#: White space, that lines are trimmed of: bytes 9-13 and 32.
+SPACE = "\t\n\x0b\x0c\r "
 _SEEDS = mix(np.arange(2 * PLACES, dtype=np.uint64) + np.uint64(1)).reshape(2, PLACES).astype(np.uint32)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, line) of all lines that are not blank; the line is trimmed for comparison."""
     split = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return split.select("doc_id", "pos", F.trim("line").alias("line")).filter("line <> ''")
+    return split.select("doc_id", "pos", F.btrim("line", F.lit(SPACE)).alias("line")).filter("line <> ''")
 
 
 def signatures(lines: list[str]) -> np.ndarray:

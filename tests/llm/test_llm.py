@@ -127,6 +127,12 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def test_line_dedup_of_white_space_lines(spark):
+    texts = ["one line\r\n\r\nother words here\r", "\t\n\x0b\x0c \t\r", "one line\t"]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}
+    assert got == {0: (texts[0], 3, 0), 1: (texts[1], 2, 0), 2: ("", 1, 1)}
+
+
 def jaccard(a, b):
     x, y = ({t[p : p + 5] for p in range(max(1, len(t) - 4))} for t in (a.lower(), b.lower()))
     return len(x & y) / len(x | y)
