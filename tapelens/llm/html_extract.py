@@ -86,7 +86,16 @@ def _label(tag: str, attr: str) -> str:
                 words.append("hidden")
         else:
             words += re.sub(r"\d+", "0", value).split()
-    return ".".join([tag, *sorted(set(words))[:6]])[:120]
+    names = {n for w in words for n in w.split(".")}
+    # all words that decide what is left out or kept, then some of the others, uncut, for the alignment
+    telling = (names & _MAIN_WORDS) | ({x for n in names for x in re.split(r"[-_]", n)} & (_OUT_WORDS | {"comment", "comments", "hidden"}))
+    shown, room = [tag], 120 - len(tag)
+    for w in sorted(set(words))[:6]:
+        if len(w) < room:
+            shown.append(w)
+            room -= len(w) + 1
+    seen = {x for w in shown[1:] for n in w.split(".") for x in (n, *re.split(r"[-_]", n))}
+    return ".".join([*shown, *sorted(telling - seen)])
 
 
 @lru_cache(maxsize=4096)

@@ -309,6 +309,14 @@ def test_html_extraction(spark):
     assert got[10].text == got[11].text == "" and got[12].text == "loose text\nmore" and got[13].text == "unclosed tag"
 
 
+def test_html_extraction_by_late_class_words(spark):
+    many, long = "col-12 col-lg-4 col-md-6 d-none mt-3 order-2", "a" * 130
+    out = f'<div class="{many} sidebar">side</div><div class="{long} sidebar">side</div><div class="{"b" * 114} c-advanced">fine</div>'
+    rows = [(1, "http://a.example/", f"<article><p>text</p>{out}</article>"), (2, "http://b.example/", f'<div>off the body words that are long</div><div class="{many} post-content"><p>body</p></div>')]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "text\nfine", 2: "body"}
+
+
 def test_wrapper_expression():
     pages = ["<article><h1>a</h1><p>x</p><p>y</p></article>", "<article><h1>b</h1><p>z</p><ul><li>1<li>2</ul><p>w</p></article><div>end</div>"]
     parts = [html_extract.as_part(html_extract.parse(p)) for p in pages]
