@@ -1,33 +1,49 @@
-"""Fuzzy line dedup.
-
-Equal lines are one node (a 64-bit hash). A line's MinHash signature is taken of
-the character 5-shingles that are verified, one independent permutation a place.
-Bands of the signature give candidates; each is compared with the least line of
-its bucket by the exact Jaccard similarity of the shingles, every pair of lines
-of a bucket that are still apart is compared by its signatures and then exactly,
-and distributed union-find joins the links. Of each component the first line
-(least doc_id, then place) stays.
+"""Fuzzy line dedup, in DataFrame functions alone.
+
+Equal lines are one node (a 64-bit hash). A line is the set of its character
+5-shingles. Its MinHash signature is that set in the order of a hash, taken as
+a ring: two lines of Jaccard J agree in a run of r values, from a value of
+either, with a probability of about J^r. The runs that begin at values picked by
+other bits of the hash are the bands, so a line that has few values still has as
+many bands as it needs, and all lines pick alike. Long lines are signed by those
+of their shingles that begin with one of a fixed set of characters; lines near
+the border are signed both ways, so that no pair falls between the two.
+
+Bands give candidates; each is compared with the least line of its bucket by the
+exact Jaccard similarity of all shingles, every pair of lines of a bucket that
+are still apart is compared as well, in pairs of bounded blocks, and distributed
+union-find joins the links. Of each component the first line (least doc_id, then
+place) stays.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import sized_broadcast, store
 from .components import components
-from .pairs import apart_pairs
-from .wordvec import batches, mix
+from .pairs import dealt_to_blocks
 
-BANDS, ROWS = 20, 5
-PLACES = BANDS * ROWS
-#: A pair is verified if its signatures agree in the threshold less this (four standard deviations) or more.
-MARGIN = 0.16
 #: White space, that lines are trimmed of: bytes 9-13 and 32.
 SPACE = "\t\n\x0b\x0c\r "
-_SEEDS = mix(np.arange(2 * PLACES, dtype=np.uint64) + np.uint64(1)).reshape(2, PLACES).astype(np.uint32)
+ALL = r"(?s)(?=(.....))"
+#: Shingles that begin with a Latin letter or digit of this set (code points 1 mod 4), or with any character from U+0100 on.
+SOME = r"(?s)(?=([aeimquy159\x{100}-\x{10ffff}]....))"
+#: A line is signed by SOME of its shingles if it has FEW of them or more, and by ALL if it has fewer than MANY.
+FEW, MANY = 24, 36
+#: Values of a line that make its ring.
+RING = 128
+#: (length of a run, least and most values of a line): ranges overlap by a quarter, so both lines of a pair of 0.8 are in one.
+RUNS = [(4, 0, 20), (5, 16, 64), (6, 48, None)]
+#: The run of lines that are signed by SOME.
+LONG_RUN = 6
+#: A line begins a run at each of its values, or where it has 2 * STARTS or more, at a power of two fewer: STARTS at least.
+STARTS = 16
+#: Lines of a block of a bucket whose lines are still apart.
+BLOCK = 1_000
+#: Values that a pair is judged by before its texts are compared, and the share of them that is asked for.
+SKETCH, SHARE = 64, 0.6
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -36,73 +52,87 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "pos", F.btrim("line", F.lit(SPACE)).alias("line")).filter("line <> ''")
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """(lines, PLACES) MinHash of the lines' 5-character shingles; a shorter line is one shingle."""
-    pad = "\0" * 4
-    chars = np.frombuffer((pad.join(lines) + pad).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    size = np.array([len(x) for x in lines])
-    first = np.cumsum(size + 4) - size - 4
-    n = np.maximum(size - 4, 1)
-    begin = np.cumsum(n) - n
-    h = np.zeros(len(chars) - 4, np.uint64)
-    for k in range(5):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + chars[k : len(h) + k]
-    h = (mix(h[np.repeat(first - begin, n) + np.arange(int(n.sum()))]) >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(lines), PLACES), np.uint32)
-    made = np.empty_like(h)
-    for j in range(PLACES):
-        np.bitwise_xor(h, _SEEDS[0, j], out=made)
-        np.multiply(made, _SEEDS[1, j] | np.uint32(1), out=made)
-        out[:, j] = np.minimum.reduceat(made, begin)
-    return (out ^ out >> np.uint32(16)).astype(np.uint16)
-
-
-def _signature_rows(it):
-    for batch in it:
-        # a line that a batch repeats is signed once
-        _, at = np.unique(batch.column(0).to_numpy(), return_index=True)
-        batch = batch.take(pa.array(at))
-        ids, lines = batch.column(0), batch.column(1).to_pylist()
-        for part in batches(lines, 150_000):
-            rows = pa.array([x.tobytes() for x in signatures(lines[part])], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids[part.start : part.stop], rows], names=["h", "sig"])
-
-
 def shingles(line: Column) -> Column:
     """The set of 5-character shingles of a lower-cased line; a shorter line is one shingle."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(r"(?s)(?=(.{5}))"), 1))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(ALL), 1))
     return F.when(F.length(line) >= 5, found).otherwise(F.array(F.lower(line)))
 
 
+def _values(pattern: str) -> Column:
+    """The hashes of the shingles of `low` that a pattern finds, each once, in order."""
+    return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all("low", F.lit(pattern), 1), lambda x: F.xxhash64(x))))
+
+
+def _all_values() -> Column:
+    return F.when(F.length("low") < 5, F.array(F.xxhash64("low"))).otherwise(_values(ALL))
+
+
+def _every(n: str) -> Column:
+    """Of how many values of a ring of n one is a start, about: a power of two."""
+    return F.expr(f"cast(pow(2, greatest(floor(log2({n} / {STARTS}.0)), 0)) as bigint)")
+
+
+def _bands(length: int, kind: int, ring: str, n: str, every: str) -> Column:
+    """The band keys of a line: hashes of `length` values on, from each value of its ring that is a start."""
+    return F.expr(f"transform(filter(sequence(1, {n}), i -> element_at({ring}, i) & ({every} - 1) = 0), i -> xxhash64(slice({ring}, i, {length}), {kind}))")
+
+
+def banded(hashed: DataFrame) -> DataFrame:
+    """(h, bands) of each line of hashed(h, line): the keys of its runs."""
+    low = hashed.select("h", F.lower("line").alias("low")).select("h", "low", _values(SOME).alias("some"))
+    both = low.select("h", F.when(F.size("some") >= FEW, F.col("some")).alias("some"), F.when(F.size("some") < MANY, _all_values()).alias("all"))
+    longest = max(length for length, _, _ in RUNS)
+    # each step is a projection of its own, as a lambda would make what it holds once a value
+    cut = both.select("h", F.slice("some", 1, RING).alias("some"), F.slice("all", 1, RING).alias("all"), F.size("all").alias("values"))
+    rings = cut.select(
+        "h", "values", F.size("some").alias("n_some"), F.size("all").alias("n_all"),
+        *(F.expr(f"concat({c}, slice(flatten(array_repeat({c}, {longest})), 1, {longest - 1}))").alias(c) for c in ("some", "all")),
+    ).select("*", _every("n_some").alias("every_some"), _every("n_all").alias("every_all"))
+    found = [F.when(F.col("some").isNotNull(), _bands(LONG_RUN, 0, "some", "n_some", "every_some"))]
+    for length, least, most in RUNS:
+        fits = (F.col("values") >= least) & (F.lit(True) if most is None else F.col("values") < most)
+        found.append(F.when(F.col("all").isNotNull() & fits, _bands(length, length, "all", "n_all", "every_all")))
+    none = F.array().cast("array<bigint>")
+    return rings.select("h", F.array_distinct(F.concat(*(F.coalesce(x, none) for x in found))).alias("bands"))
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of line hashes whose shingle sets reach the threshold; lines travel, not their shingles."""
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
-    # the sets and counts are bound by lambdas, so each is made once a pair
-    sets = F.array(F.struct(shingles(F.col("la")).alias("a"), shingles(F.col("lb")).alias("b")))
-    counts = F.transform(sets, lambda x: F.struct((F.size(x["a"]) + F.size(x["b"])).alias("n"), F.size(F.array_intersect(x["a"], x["b"])).alias("shared")))
-    return both.filter(F.exists(counts, lambda c: c["shared"] >= (c["n"] - c["shared"]) * threshold - 1e-9)).select("a", "b")
+    sets = both.select("a", "b", shingles(F.col("la")).alias("sa"), shingles(F.col("lb")).alias("sb"))
+    counts = sets.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    return counts.filter(F.col("shared") >= (F.col("n") - F.col("shared")) * threshold - 1e-9).select("a", "b")
+
+
+def _apart(bucket: DataFrame, comp: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of lines that share a bucket and are in different components, but for those whose least values are too unlike."""
+    full = bucket.withColumnRenamed("h", "id").join(comp, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
+    dealt = store(dealt_to_blocks(full, BLOCK), "dealt")
+    some = store(dealt.select(F.col("id").alias("h")).distinct(), "some")
+    lows = texts.join(sized_broadcast(some, 8), "h", "left_semi").select("h", F.lower("line").alias("low"))
+    sketch = store(lows.select(F.col("h").alias("id"), F.slice(_all_values(), 1, SKETCH).alias("sketch")), "sketch")
+    known = dealt.join(sketch, "id")
+    left = known.filter("block = lo").select("band", "lo", "hi", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("sa"))
+    right = known.filter("block = hi").select("band", "lo", "hi", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("sb"))
+    both = left.join(right, ["band", "lo", "hi"]).filter((F.col("ca") != F.col("cb")) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b"))))
+    alike = both.filter(F.size(F.array_intersect("sa", "sb")) >= F.least(F.size("sa"), F.size("sb")) * SHARE)
+    return alike.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_lines(lines: DataFrame, threshold: float) -> DataFrame:
     """(id, comp): the component of each line hash that has a link to another."""
     hashed = lines.select(F.xxhash64("line").alias("h"), "line")
-    signed = store(hashed.select("h", F.lower("line")).mapInArrow(_signature_rows, "h long, sig binary"), "signed")
-    # the low five bits of a band key are its place
-    keys = [F.xxhash64(F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS)).bitwiseAND(F.lit(-32)).bitwiseOR(F.lit(b)) for b in range(BANDS)]
-    # one shuffle by band for the hubs and for their buckets
-    rows = signed.select("h", F.explode(F.array(*keys)).alias("band")).repartition("band")
+    # equal lines are one before they are dealt by band, so that a line that fills a third of all texts is no hot band
+    once = banded(hashed).groupBy("h").agg(F.any_value("bands").alias("bands"))
+    rows = once.select("h", F.explode("bands").alias("band")).repartition("band")
     hubs = rows.groupBy("band").agg(F.min("h").alias("hub"), F.max("h").alias("far")).filter("hub < far").select("band", "hub")
-    bucket = store(rows.join(hubs, "band").distinct(), "bucket")
+    bucket = store(rows.join(hubs, "band"), "bucket")
     wanted = store(bucket.select("h").distinct(), "wanted")
-    few = sized_broadcast(wanted, 8)
-    sig = store(signed.join(few, "h").groupBy("h").agg(F.min("sig").alias("sig")), "sig")
-    texts = store(hashed.join(few, "h").groupBy("h").agg(F.min("line").alias("line")), "texts")
+    texts = store(hashed.join(sized_broadcast(wanted, 8), "h").groupBy("h").agg(F.any_value("line").alias("line")), "texts")
     pairs = store(bucket.filter("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct(), "pairs")
     links = store(_linked(pairs, texts, threshold), "links")
     comp = store(components(links), "comp")
-    full = bucket.select(F.pmod("band", F.lit(32)).cast("int").alias("place"), "band", F.col("h").alias("id")).join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    left = apart_pairs(full, sig.withColumnRenamed("h", "id"), PLACES, ROWS, threshold - MARGIN)
-    left = store(left.join(pairs, ["a", "b"], "left_anti"), "left")
+    left = store(_apart(bucket, comp, texts).join(pairs, ["a", "b"], "left_anti"), "left")
     found = store(_linked(left, texts, threshold), "more")
     return components(links.unionByName(found)) if found.head(1) else comp
 
@@ -113,7 +143,8 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     comp = store(similar_lines(lines, threshold), "lines")
     placed = lines.select("doc_id", "pos", F.xxhash64("line").alias("id")).join(sized_broadcast(comp, 16), "id", "left")
     placed = store(placed.select("doc_id", "pos", F.coalesce("comp", "id").alias("key")), "placed")
-    first = placed.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # stored, so that the rows of a hot line can be split where they are joined
+    first = store(placed.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first"), "first")
     later = placed.join(first, "key").filter(F.struct("doc_id", "pos") > F.col("first"))
     return later.groupBy("doc_id").agg(F.collect_list("pos").alias("removed"))
 

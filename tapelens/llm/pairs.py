@@ -49,21 +49,31 @@ def _alike(places: int, rows: int, least: float):
     return run
 
 
-def apart_pairs(bucket: DataFrame, sig: DataFrame, places: int, rows: int, least: float) -> DataFrame:
-    """(a, b), a < b: pairs of bucket(place, band, id, comp) that share a band, are in different components and agree in `least` of sig(id, sig) or more.
+def dealt_to_blocks(bucket: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Rows of bucket(band, id, comp, ...) whose band has several components, with block, lo and hi: one row for each pair of blocks that its block is in.
 
-    sig holds `places` 16-bit values, of which band p has those from p * rows on.
+    A pair of rows of different components of a band meets in one pair of blocks,
+    and a block has about `size` rows.
     """
     sizes = bucket.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(
         F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most")
     ).filter("comps > 1")
-    others, mains = (F.ceil(c / BLOCK).cast("int") for c in (F.col("n") - F.col("most"), F.col("most")))
-    rest = bucket.join(sizes.select("band", "largest", others.alias("others"), mains.alias("mains")), "band").withColumn("main", F.col("comp") == F.col("largest"))
+    others, mains = (F.ceil(c / size).cast("int") for c in (F.col("n") - F.col("most"), F.col("most")))
+    sizes = store(sizes.select("band", "largest", others.alias("others"), mains.alias("mains")), "sizes")
+    rest = bucket.join(sizes, "band").withColumn("main", F.col("comp") == F.col("largest"))
     at = F.xxhash64("id", F.lit(1))
     dealt = rest.withColumn("block", F.when(F.col("main"), F.col("others") + F.pmod(at, "mains")).otherwise(F.pmod(at, "others")).cast("int"))
     last = F.when(F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), last)))
-    dealt = dealt.select("place", "band", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "id", "comp").join(sig, "id")
+    return dealt.select(*bucket.columns, "block", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
+
+
+def apart_pairs(bucket: DataFrame, sig: DataFrame, places: int, rows: int, least: float) -> DataFrame:
+    """(a, b), a < b: pairs of bucket(place, band, id, comp) that share a band, are in different components and agree in `least` of sig(id, sig) or more.
+
+    sig holds `places` 16-bit values, of which band p has those from p * rows on.
+    """
+    dealt = dealt_to_blocks(bucket).join(sig, "id")
     kind = bucket.schema["id"].dataType.simpleString()
     dealt = store(dealt, "dealt")
     group = F.pmod(F.xxhash64("band", "lo", "hi"), F.lit(max(1, dealt.count() // GROUP)))
