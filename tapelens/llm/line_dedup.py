@@ -33,17 +33,17 @@ SOME = r"(?s)(?=([aeimquy159\x{100}-\x{10ffff}]....))"
 #: A line is signed by SOME of its shingles if it has FEW of them or more, and by ALL if it has fewer than MANY.
 FEW, MANY = 24, 36
 #: Values of a line that make its ring.
-RING = 128
+RING = 64
 #: (length of a run, least and most values of a line): ranges overlap by a quarter, so both lines of a pair of 0.8 are in one.
 RUNS = [(4, 0, 20), (5, 16, 64), (6, 48, None)]
 #: The run of lines that are signed by SOME.
 LONG_RUN = 6
 #: A line begins a run at each of its values, or where it has 2 * STARTS or more, at a power of two fewer: STARTS at least.
-STARTS = 16
+STARTS = 12
 #: Lines of a block of a bucket whose lines are still apart.
 BLOCK = 1_000
-#: Values that a pair is judged by before its texts are compared, and the share of them that is asked for.
-SKETCH, SHARE = 64, 0.6
+#: A pair is compared by its texts if its rings share this part of the values, less SLACK / sqrt(values): four standard deviations.
+SLACK = 1.6
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -77,14 +77,18 @@ def _bands(length: int, kind: int, ring: str, n: str, every: str) -> Column:
     return F.expr(f"transform(filter(sequence(1, {n}), i -> element_at({ring}, i) & ({every} - 1) = 0), i -> xxhash64(slice({ring}, i, {length}), {kind}))")
 
 
-def banded(hashed: DataFrame) -> DataFrame:
-    """(h, bands) of each line of hashed(h, line): the keys of its runs."""
+def _rings(hashed: DataFrame) -> DataFrame:
+    """(h, some, all, values) of each line of hashed(h, line): the least values it is signed by, of either kind or null, and how many ALL finds."""
     low = hashed.select("h", F.lower("line").alias("low")).select("h", "low", _values(SOME).alias("some"))
     both = low.select("h", F.when(F.size("some") >= FEW, F.col("some")).alias("some"), F.when(F.size("some") < MANY, _all_values()).alias("all"))
+    return both.select("h", F.slice("some", 1, RING).alias("some"), F.slice("all", 1, RING).alias("all"), F.size("all").alias("values"))
+
+
+def banded(hashed: DataFrame) -> DataFrame:
+    """(h, bands) of each line of hashed(h, line): the keys of its runs."""
     longest = max(length for length, _, _ in RUNS)
     # each step is a projection of its own, as a lambda would make what it holds once a value
-    cut = both.select("h", F.slice("some", 1, RING).alias("some"), F.slice("all", 1, RING).alias("all"), F.size("all").alias("values"))
-    rings = cut.select(
+    rings = _rings(hashed).select(
         "h", "values", F.size("some").alias("n_some"), F.size("all").alias("n_all"),
         *(F.expr(f"concat({c}, slice(flatten(array_repeat({c}, {longest})), 1, {longest - 1}))").alias(c) for c in ("some", "all")),
     ).select("*", _every("n_some").alias("every_some"), _every("n_all").alias("every_all"))
@@ -99,23 +103,50 @@ def banded(hashed: DataFrame) -> DataFrame:
 def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of line hashes whose shingle sets reach the threshold; lines travel, not their shingles."""
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
-    sets = both.select("a", "b", shingles(F.col("la")).alias("sa"), shingles(F.col("lb")).alias("sb"))
-    counts = sets.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
-    return counts.filter(F.col("shared") >= (F.col("n") - F.col("shared")) * threshold - 1e-9).select("a", "b")
+    # the sets and counts are bound by lambdas, so each is made once a pair
+    sets = F.array(F.struct(shingles(F.col("la")).alias("a"), shingles(F.col("lb")).alias("b")))
+    counts = F.transform(sets, lambda x: F.struct((F.size(x["a"]) + F.size(x["b"])).alias("n"), F.size(F.array_intersect(x["a"], x["b"])).alias("shared")))
+    return both.filter(F.exists(counts, lambda c: c["shared"] >= (c["n"] - c["shared"]) * threshold - 1e-9)).select("a", "b")
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(id, sketch) of texts(h, line): the rings as 31-bit numbers, and whether `all` is whole."""
+    short = lambda c: F.transform(c, lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    return _rings(texts).select(F.col("h").alias("id"), F.struct(short("some").alias("some"), short("all").alias("all"), (F.col("values") <= RING).alias("whole")).alias("sketch"))
+
+
+def _alike(a: str, b: str, threshold: float) -> Column:
+    """Whether two sketches allow a Jaccard of the threshold.
+
+    Two sets of that Jaccard share as large a part of the smaller one, and so do
+    their least values but for the noise of a sample; whole sets have none.
+    """
+
+    def part(kind: str, noise: Column) -> Column:
+        n = F.least(F.size(f"{a}.{kind}"), F.size(f"{b}.{kind}"))
+        return F.size(F.array_intersect(f"{a}.{kind}", f"{b}.{kind}")) >= n * threshold - noise * F.sqrt(n) - 1e-9
+
+    both_some = F.col(f"{a}.some").isNotNull() & F.col(f"{b}.some").isNotNull()
+    both_whole = F.col(f"{a}.whole") & F.col(f"{b}.whole")
+    whole = F.coalesce(both_whole, F.lit(False))
+    by_all = part("all", F.when(whole, 0.0).otherwise(SLACK))
+    # lines of which one has no ring of the other's kind are too unlike, or so near the border that the texts decide
+    return F.coalesce(F.when(whole, by_all).when(both_some, part("some", F.lit(SLACK))).otherwise(by_all), F.lit(True))
+
+
+def _candidates(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
+    both = pairs.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+    return both.filter(_alike("sa", "sb", threshold)).select("a", "b")
 
 
-def _apart(bucket: DataFrame, comp: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of lines that share a bucket and are in different components, but for those whose least values are too unlike."""
+def _apart(bucket: DataFrame, comp: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: pairs of lines that share a bucket and are in different components, but for those whose sketches are too unlike."""
     full = bucket.withColumnRenamed("h", "id").join(comp, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
-    dealt = store(dealt_to_blocks(full, BLOCK), "dealt")
-    some = store(dealt.select(F.col("id").alias("h")).distinct(), "some")
-    lows = texts.join(sized_broadcast(some, 8), "h", "left_semi").select("h", F.lower("line").alias("low"))
-    sketch = store(lows.select(F.col("h").alias("id"), F.slice(_all_values(), 1, SKETCH).alias("sketch")), "sketch")
-    known = dealt.join(sketch, "id")
+    known = store(dealt_to_blocks(full, BLOCK).join(sketch, "id"), "dealt")
     left = known.filter("block = lo").select("band", "lo", "hi", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("sa"))
     right = known.filter("block = hi").select("band", "lo", "hi", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("sb"))
     both = left.join(right, ["band", "lo", "hi"]).filter((F.col("ca") != F.col("cb")) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b"))))
-    alike = both.filter(F.size(F.array_intersect("sa", "sb")) >= F.least(F.size("sa"), F.size("sb")) * SHARE)
+    alike = both.filter(_alike("sa", "sb", threshold))
     return alike.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -126,13 +157,16 @@ def similar_lines(lines: DataFrame, threshold: float) -> DataFrame:
     once = banded(hashed).groupBy("h").agg(F.any_value("bands").alias("bands"))
     rows = once.select("h", F.explode("bands").alias("band")).repartition("band")
     hubs = rows.groupBy("band").agg(F.min("h").alias("hub"), F.max("h").alias("far")).filter("hub < far").select("band", "hub")
-    bucket = store(rows.join(hubs, "band"), "bucket")
+    # few bands have several lines: they are looked up, and the lines' own rows need no sort
+    bucket = store(rows.join(hubs.hint("shuffle_hash"), "band"), "bucket")
     wanted = store(bucket.select("h").distinct(), "wanted")
     texts = store(hashed.join(sized_broadcast(wanted, 8), "h").groupBy("h").agg(F.any_value("line").alias("line")), "texts")
+    sketch = store(sketches(texts), "sketch")
     pairs = store(bucket.filter("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct(), "pairs")
-    links = store(_linked(pairs, texts, threshold), "links")
+    likely = store(_candidates(pairs, sketch, threshold), "likely")
+    links = store(_linked(likely, texts, threshold), "links")
     comp = store(components(links), "comp")
-    left = store(_apart(bucket, comp, texts).join(pairs, ["a", "b"], "left_anti"), "left")
+    left = store(_apart(bucket, comp, sketch, threshold).join(pairs, ["a", "b"], "left_anti"), "left")
     found = store(_linked(left, texts, threshold), "more")
     return components(links.unionByName(found)) if found.head(1) else comp
 
