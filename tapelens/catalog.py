@@ -24,8 +24,8 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if c in doubles else F.col(c) for c in columns or df.columns])
 
 
-def run_of(spark: SparkSession, sf_dir: str) -> Measurement:
-    return Measurement(tape.events_tape(ship(spark), sf_dir), mappings_of(spark), SPARSE, ordered=True)
+def run_of(spark: SparkSession, sf_dir: str, stored: bool = False) -> Measurement:
+    return Measurement(tape.events_tape(ship(spark), sf_dir), mappings_of(spark), SPARSE, ordered=True, stored=stored)
 
 
 def mappings_of(spark: SparkSession) -> DataFrame:
@@ -101,9 +101,9 @@ def _profile_rows(df: DataFrame) -> DataFrame:
     return df.select("root", "contract_symbol", "session_id", "end", "tick", "volume")
 
 
-def _q(f):
-    """A query over the measurement tables of the events tape."""
-    return lambda spark, d: f(run_of(spark, d))
+def _q(f, stored: bool = False):
+    """A query over the measurement tables of the events tape; stored, where several branches read the same tables."""
+    return lambda spark, d: f(run_of(spark, d, stored))
 
 
 def _features(m: Measurement) -> DataFrame:
@@ -115,29 +115,53 @@ def _flags(c):
     return F.array_join(c, ",")
 
 
+CUTS = ("2024-01-06 00:00:00", "2024-01-12 00:00:00", "2024-01-18 12:00:00")
+
+
 def _replay(spark, d):
-    """Prefix replay: final minute bins of the tape cut at a time against the full run's bins up to then; rows are differences."""
-    full = run_of(spark, d)
-    cut = F.lit("2024-01-12 00:00:00").cast("timestamp_ntz")
-    short = Measurement(full.tape.filter(F.col("available_at") < cut), full.mappings, SPARSE, ordered=True)
-    columns = list(BAR)
-    return integrity.differences(full.fast.filter(F.col("available_at") < cut).select(columns), short.fast.select(columns))
+    """Prefix replay at several cuts: what the tape up to a cut gives, against the full run's rows that were known by then.
+
+    As a planted fault, the short run of the last cut is compared with a full run
+    from which the bars of one session have been taken out, so the check has rows.
+    """
+    full = run_of(spark, d, stored=True)
+    out = None
+    for i, text in enumerate(CUTS):
+        cut = _instant(text)
+        short = Measurement(full.tape.filter(F.col("available_at") < cut), full.mappings, SPARSE, ordered=True, stored=True)
+        states = lambda m: m.auction_state.select(*KEY, "available_at", "location", "measurement_ready", _flags("quality_flags").alias("quality_flags"))
+        parts = [("bars", full.fast.select(*BAR), short.fast.select(*BAR)), ("auction", states(full), states(short))]
+        for name, a, b in parts:
+            known = a.filter(F.col("available_at") < cut)
+            if name == "bars" and i == len(CUTS) - 1:
+                known = known.filter(F.col("start") != _instant("2024-01-10 15:00:00"))
+            rows = integrity.differences(known, b).select(*KEY, "side", F.lit(text).alias("cut"), F.lit(name).alias("table_name"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def _ledger(spark, d):
-    """Orders as a chained ledger of each clerk-sized group: hashes are right but for rows whose key is divisible by 997."""
-    from pyspark.sql import Window
+    """Orders as the ledger of registrations and decisions about each customer."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.select(F.col("o_orderkey").alias("position"), F.when(F.col("o_orderkey") % 5 == 0, "decision").otherwise("registration").alias("kind"), F.col("o_custkey").alias("subject_id"), F.when(F.col("o_orderstatus") == "P", "pending").otherwise("pass").alias("decision"))
+
 
+def _chained(spark, d):
+    """Orders as one hash chain for each customer, so chains stay short and grow in number; then some contents are changed and some rows taken out."""
     o = spark.read.parquet(f"{d}/orders.parquet")
-    rows = o.select((F.col("o_custkey") % 50).alias("chain"), F.col("o_orderkey").alias("position"), F.when(F.col("o_orderkey") % 5 == 0, "decision").otherwise("registration").alias("kind"), F.concat_ws("/", "o_custkey", "o_orderstatus").alias("payload"), F.col("o_custkey").alias("subject_id"), F.when(F.col("o_orderstatus") == "P", "pending").otherwise("pass").alias("decision"))
-    own = rows.withColumn("record_hash", integrity.record_hash(F.lit(""), F.col("kind"), F.col("payload")))
-    linked = own.withColumn("previous_hash", F.lag("record_hash").over(Window.partitionBy("chain").orderBy("position")))
-    return linked.withColumn("payload", F.when(F.col("position") % 997 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    kind = F.when(F.col("o_orderkey") % 83 == 0, "note").when(F.col("o_orderkey") % 5 == 0, "decision").otherwise("registration")
+    rows = o.select(F.col("o_custkey").alias("chain"), F.struct(F.col("o_orderkey").alias("position"), kind.alias("kind"), F.concat_ws("/", "o_custkey", "o_orderstatus").alias("payload")).alias("r"))
+    listed = rows.groupBy("chain").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    own = lambda s, r: integrity.record_hash(F.element_at(s, -1), r["kind"], r["payload"])
+    hashes = F.aggregate("rows", F.array(F.lit(None).cast("string")), lambda s, r: F.array_append(s, own(s, r)))
+    each = listed.withColumn("hashes", hashes).select("chain", "hashes", F.posexplode("rows").alias("i", "r"))
+    ledger = each.select("chain", "r.*", F.get("hashes", F.col("i")).alias("previous_hash"), F.get("hashes", F.col("i") + 1).alias("record_hash"))
+    changed = F.when(F.col("position") % 97 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))
+    return ledger.withColumn("payload", changed).filter("position % 89 <> 0")
 
 
 def _hash_chain(spark, d):
-    led = _ledger(spark, d).withColumn("expected", integrity.record_hash(F.lit(""), F.col("kind"), F.col("payload")))
-    return led.filter("record_hash <> expected").select("chain", "position", "kind")
+    return integrity.chain_faults(_chained(spark, d)).select("chain", "position", "fault")
 
 
 QUERIES = {
@@ -162,22 +186,22 @@ QUERIES = {
     "bar_constraints": _q(lambda m: bars.bar_constraints(m.fast)),
     "session_tail_counts": _q(lambda m: bars.session_tail_counts(m.trades, SPARSE.fast)),
     "minute_bins": _q(lambda m: m.bins.select("root", "contract_symbol", "session_id", "minute_end", "tick", "volume")),
-    "profile_developing": _q(lambda m: _profile_rows(profiles.developing(m.bins, m.fast))),
-    **{f"profile_rolling_{n}": _q(lambda m, n=n: _profile_rows(profiles.rolling(m.bins, m.fast, n))) for n in SPARSE.rolling},
+    "profile_developing": _q(lambda m: _profile_rows(profiles.developing(m.bins, m.fast, SPARSE.fast))),
+    **{f"profile_rolling_{n}": _q(lambda m, n=n: _profile_rows(profiles.rolling(m.bins, m.fast, n, SPARSE.fast))) for n in SPARSE.rolling},
     "profile_final": _q(lambda m: m.finals.select("root", "contract_symbol", "session_id", "as_of", "available_at", "total_volume", F.size("histogram").alias("n_ticks"))),
     "poc": _q(lambda m: m.finals.select("root", "contract_symbol", "session_id", "poc_tick")),
     "value_area": _q(lambda m: m.finals.select("root", "contract_symbol", "session_id", "val_tick", "vah_tick")),
-    "volume_conservation": _q(lambda m: profiles.volume_conservation(m.finals, m.trades)),
+    "volume_conservation": _q(lambda m: profiles.volume_conservation(m.finals, m.trades.withColumn("quantity", F.when(F.col("arrival") % 499 == 0, F.col("quantity") + 1).otherwise(F.col("quantity"))))),
     "profile_moments": _q(lambda m: rounded(m.finals, "root", "contract_symbol", "session_id", "profile_entropy", "profile_skew", "profile_kurtosis", "degenerate")),
     "profile_references": _q(lambda m: m.references.select("root", "contract_symbol", "session_id", "prior_session_id", "prior_poc_tick", "prior_val_tick", "prior_vah_tick", "prior_rth_id", "prior_eth_id")),
     "auction_location": _q(lambda m: m.located.select(*KEY, "close_tick", "location")),
-    "auction_features": _q(_features),
-    "auction_state": _q(lambda m: m.auction_state.select(*KEY, "location", "measurement_ready", _flags("quality_flags").alias("quality_flags"))),
+    "auction_features": _q(_features, stored=True),
+    "auction_state": _q(lambda m: m.auction_state.select(*KEY, "location", "measurement_ready", _flags("quality_flags").alias("quality_flags")), stored=True),
     "atr": _q(lambda m: rounded(windows.atr(m.fast, SPARSE), *KEY, "true_range", "atr", "atr_ready")),
     "session_vwap": _q(lambda m: rounded(windows.session_vwap(m.medium), *KEY, "session_vwap", "vwap_distance")),
     "tod_volume_z": _q(lambda m: rounded(windows.tod_volume_z(m.fast, SPARSE), *KEY, "slot", "tod_n", "volume_z", "tod_flag")),
     "icm_fit": _q(lambda m: rounded(m.icm, "root", "contract_symbol", "end", "fair_value", "slope_per_bar", "curvature_per_bar2", "sigma_ols", "sigma_mad", "r_ratio")),
-    "icm_state": _q(lambda m: rounded(m.icm, "root", "contract_symbol", "end", "z_raw", "z_capped", "z_effective", "slope_normalized", "curvature_normalized", "residual_autocorrelation", "fair_value_distance_vol")),
+    "icm_state": _q(lambda m: rounded(m.icm, "root", "contract_symbol", "end", "z_raw", "z_capped", "z_effective", "slope_normalized", "curvature_normalized", "residual_autocorrelation", "fair_value_distance_vol"), stored=True),
     "imsi_vwrsi": _q(lambda m: rounded(imsi.vwrsi(m.medium, SPARSE), "root", "contract_symbol", "end", "vwrsi")),
     "imsi_tod": _q(lambda m: rounded(imsi.tod_adjusted(imsi.vwrsi(m.medium, SPARSE), SPARSE), "root", "contract_symbol", "end", "slot", "tod_n", "adjusted")),
     "imsi_state": _q(lambda m: rounded(m.imsi, "root", "contract_symbol", "end", "adjusted", "vwap_distance", "distance", "rarity", "neighbour_mean", "neighbour_p90", "neighbour_support", "state_flag")),
@@ -185,22 +209,23 @@ QUERIES = {
     "gap_formation": _q(lambda m: rounded(m.gaps, "root", "contract_symbol", "created_at", "direction", "gap_bot", "gap_top", "z_displacement", "z_gap", "efficiency", "quality", "guard")),
     "gap_retests": _q(lambda m: rounded(m.gap_bars.filter("retest"), "root", "contract_symbol", "created_at", "end", "age", "depth", "wick", "close_position", "decay", "score", "guard", "happened")),
     "gap_lifecycle": _q(lambda m: gaps.lifecycle(m.gap_bars).select("root", "contract_symbol", "created_at", "direction", "state", "end_age", "retests", "first_retest_age")),
-    "gap_first_retest": _q(lambda m: gaps.first_retests(m.gap_bars).select("root", "contract_symbol", "created_at", "end", "age", "active_gaps")),
-    "gap_bar_state": _q(lambda m: m.gap_states.select("root", "contract_symbol", "end", "gap_idx", "gap_event", "direction", "active_gaps", _flags("quality_flags").alias("quality_flags"))),
-    "value_exits": _q(lambda m: _events(m, "value_exit_up", "value_exit_down")),
-    "value_reentries": _q(lambda m: _events(m, "value_reentry_from_above", "value_reentry_from_below")),
-    "poc_migrations": _q(lambda m: _events(m, "poc_migration_above_prior_vah", "poc_migration_below_prior_val")),
-    "transition_counters": _q(lambda m: m.transitions.select(*KEY, F.col("reentry_count").cast("long").alias("reentry_count"), F.col("consecutive_minutes_outside").cast("long").alias("consecutive_minutes_outside"))),
-    "synergy_align": _q(lambda m: m.synergy.select(*KEY, F.col("imsi.state_end").alias("imsi_end"), F.col("icm.state_end").alias("icm_end"), F.col("iae.state_end").alias("iae_end"), "present", "fresh")),
-    "synergy_flags": _q(lambda m: m.synergy.select(*KEY, _flags("blocking_quality_flags").alias("blocking"), _flags("all_quality_flags").alias("flags"))),
-    "synergy_retest": _q(lambda m: m.retests.select("root", "contract_symbol", "session_id", "end", "event_id", "parent_event_id", "event_type", "direction")),
-    "candidate_events": _q(lambda m: m.events.select(*KEY, "event_id", "event_type", "direction", "parent_event_id", "research_ready")),
-    "event_duplicates": _q(lambda m: align.event_duplicates(m.events)),
-    "coverage_by_dim": _q(lambda m: reports.coverage_by_dim(_typed(m))),
-    "coverage_totals": _q(lambda m: reports.coverage_totals(m.events)),
-    "coverage_reconcile": _q(lambda m: reports.reconcile(reports.coverage_totals(m.events))),
-    "runtime_summary": _q(lambda m: m.summary()),
-    "flag_histogram": _q(lambda m: reports.flag_histogram([("iae", m.gap_states), ("icm", m.icm), ("imsi", m.imsi)])),
+    "gap_first_retest": _q(lambda m: gaps.first_retests(m.gap_bars).select("root", "contract_symbol", "created_at", "end", "age", "active_gaps"), stored=True),
+    "gap_bar_state": _q(lambda m: m.gap_states.select("root", "contract_symbol", "end", "gap_idx", "gap_event", "direction", "active_gaps", _flags("quality_flags").alias("quality_flags")), stored=True),
+    "value_exits": _q(lambda m: _events(m, "value_exit_up", "value_exit_down"), stored=True),
+    "value_reentries": _q(lambda m: _events(m, "value_reentry_from_above", "value_reentry_from_below"), stored=True),
+    "poc_migrations": _q(lambda m: _events(m, "poc_migration_above_prior_vah", "poc_migration_below_prior_val"), stored=True),
+    "transition_counters": _q(lambda m: m.transitions.select(*KEY, F.col("reentry_count").cast("long").alias("reentry_count"), F.col("consecutive_minutes_outside").cast("long").alias("consecutive_minutes_outside")), stored=True),
+    "synergy_align": _q(lambda m: m.synergy.select(*KEY, F.col("imsi.state_end").alias("imsi_end"), F.col("icm.state_end").alias("icm_end"), F.col("iae.state_end").alias("iae_end"), "present", "fresh"), stored=True),
+    "synergy_flags": _q(lambda m: m.synergy.select(*KEY, _flags("blocking_quality_flags").alias("blocking"), _flags("all_quality_flags").alias("flags")), stored=True),
+    "synergy_retest": _q(lambda m: m.retests.select("root", "contract_symbol", "session_id", "end", "event_id", "parent_event_id", "event_type", "direction"), stored=True),
+    "candidate_events": _q(lambda m: m.events.select(*KEY, "event_id", "event_type", "direction", "parent_event_id", "research_ready"), stored=True),
+    "event_duplicates": _q(lambda m: align.event_duplicates(m.events.select("event_id").unionByName(m.events.filter("event_type = 'value_exit_up'").select("event_id"))), stored=True),
+    "coverage_by_dim": _q(lambda m: reports.coverage_by_dim(_typed(m)), stored=True),
+    "coverage_totals": _q(lambda m: reports.coverage_totals(m.events), stored=True),
+    "coverage_reconcile": _q(lambda m: reports.reconcile(reports.coverage_totals(m.events)), stored=True),
+    "runtime_summary": _q(lambda m: m.summary(), stored=True),
+    "flag_histogram": _q(lambda m: reports.flag_histogram([("auction", m.auction_state)]), stored=True),
+    "flag_histogram_states": _q(lambda m: reports.flag_histogram([("iae", m.gap_states), ("icm", m.icm), ("imsi", m.imsi), ("synergy", m.synergy.withColumnRenamed("all_quality_flags", "flags").drop("quality_flags").withColumnRenamed("flags", "quality_flags"))]), stored=True),
     "minute_gaps": lambda s, d: rounded(reports.minute_gaps(tape.events_tape(s, d))),
     "probe_coverage": lambda s, d: _probe(s, d),
     "open_interest_coverage": lambda s, d: reports.open_interest_coverage(_open_interest(s, d)).withColumn("expiries", F.array_join("expiries", ",")),
@@ -217,7 +242,7 @@ QUERIES = {
     "contract_asof": lambda s, d: contracts.contract_asof(tape.events_tape(s, d).select("root", "arrival", "exchange_time"), contracts_of(s)).select("root", "arrival", F.col("contract.mapped_symbol").alias("mapped_symbol"), F.col("contract.multiplier").alias("multiplier")),
     "contract_identity": lambda s, d: contracts.identity_violations(_contract_rows(s, d)),
     "roll_state": lambda s, d: contracts.roll_state(tape.events_tape(s, d).select("root", "arrival", "exchange_time"), mappings_of(s)).select("root", "arrival", "mapped_symbol", "roll_state"),
-    "mapping_continuity": lambda s, d: contracts.mapping_violations(_tape_mappings(s, d)),
+    "mapping_continuity": lambda s, d: contracts.mapping_violations(_tape_mappings(s, d).withColumn("old_mapped_symbol", F.when(F.col("old_mapped_symbol") == "6EH24", "6EZ23").otherwise(F.col("old_mapped_symbol")))),
     "delivery_audit": _delivery_audit,
     "delivery_summary": lambda s, d: reports.delivery_summary(_deliveries(s, d), ["long_all", "short_all", "spread"], ["root"]).withColumn("null_fields", _flags("null_fields")),
     "hash_chain": _hash_chain,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clocks import micros
@@ -29,7 +29,9 @@ def admit_ordered(trades: DataFrame) -> DataFrame:
     out = trades.withColumn("tick", price_to_tick(F.col("price"), F.col("minimum_tick")))
     sound = ~F.array_contains("source_flags", "SOURCE_SUSPICIOUS") & (F.col("price") > 0) & (F.col("quantity") > 0)
     out = out.withColumn("seen", F.max(t).over(past))
-    late = F.coalesce(t < F.col("seen") - F.col("seen") % 60_000_000, F.lit(False))
+    after_final = F.coalesce(F.col("arrival") > F.col("final_at"), F.lit(False)) if "final_at" in trades.columns else F.lit(False)
+    out = out.withColumn("after_final", after_final)
+    late = F.col("after_final") | F.coalesce(t < F.col("seen") - F.col("seen") % 60_000_000, F.lit(False))
     out = out.withColumn("fit", sound & F.col("tick").isNotNull() & ~late)
     out = out.withColumn("ahead", F.max(F.when(F.col("fit"), t)).over(past))
     behind = F.coalesce(t < F.col("ahead"), F.lit(False))
@@ -52,7 +54,34 @@ def admit_ordered(trades: DataFrame) -> DataFrame:
     )
     out = out.withColumn("reject_flag", reason).withColumn("admitted", F.col("reject_flag").isNull())
     unverifiable = F.col("source_event_id").isNull() & F.col("source_sequence").isNull()
-    return out.withColumn("unverifiable", unverifiable).drop("seen", "fit", "ahead", "same_id", "same_sequence")
+    return out.withColumn("unverifiable", unverifiable).drop("seen", "fit", "ahead", "same_id", "same_sequence", "final_at")
+
+
+def arrival_flags() -> Column:
+    """The quality flags that one admitted or rejected trade leaves on its session, as an array."""
+    unsound = F.col("reject_flag").isin(*(FLAG[k] for k in ("suspicious", "price", "quantity", "id", "sequence")))
+    own = F.array_compact(
+        F.array(
+            F.col("reject_flag"),
+            F.when(F.col("unverifiable") & ~F.coalesce(unsound, F.lit(False)), "DATA:DEDUPLICATION_UNVERIFIABLE"),
+            F.when(F.col("reject_flag") == FLAG["late"], F.when(F.col("after_final"), "DATA:LATE_TRADE_AFTER_FINAL_PROFILE").otherwise("DATA:LATE_TRADE_IGNORED")),
+            F.when(F.col("reject_flag") == FLAG["order"], "DATA:OUT_OF_ORDER_TRADE_IGNORED"),
+        )
+    )
+    return F.array_union(own, F.transform(F.coalesce("source_flags", F.array().cast("array<string>")), lambda f: F.concat(F.lit("DATA:"), f)))
+
+
+def final_arrivals(trades: DataFrame) -> DataFrame:
+    """(session, final_at): the first arrival of any later session of the contract, which makes the session's profile final."""
+    first = trades.groupBy(*KEYS, "session_start").agg(F.min("arrival").alias("first_arrival"))
+    later = Window.partitionBy("root", "contract_symbol").orderBy("session_start").rowsBetween(1, Window.unboundedFollowing)
+    return first.select(*KEYS, F.min("first_arrival").over(later).alias("final_at"))
+
+
+def identity_faults(trades: DataFrame) -> DataFrame:
+    """(session, ticks, types): sessions whose trades differ in minimum_tick or session type, which no profile may mix."""
+    kinds = trades.groupBy(*KEYS).agg(F.count_distinct("minimum_tick").alias("ticks"), F.count_distinct("session_type").alias("types"), F.count_if(F.col("minimum_tick").isNull()).alias("without_tick"))
+    return kinds.filter("ticks <> 1 or types <> 1 or without_tick > 0")
 
 
 def order_violations(trades: DataFrame) -> DataFrame:
@@ -69,6 +98,7 @@ def admit_sequential(pdf):
     pdf = pdf.sort_values("arrival", kind="stable").reset_index(drop=True)
     ids, sequences, minute, last = set(), set(), None, None
     reasons = np.full(len(pdf), None, object)
+    after = pdf.after_final.to_numpy()
     for i, r in enumerate(pdf.itertuples(index=False)):
         t = r.exchange_time
         reason = None
@@ -82,7 +112,7 @@ def admit_sequential(pdf):
             reason = FLAG["id"]
         elif r.source_sequence == r.source_sequence and r.source_sequence is not None and r.source_sequence in sequences:
             reason = FLAG["sequence"]
-        elif minute is not None and t < minute:
+        elif after[i] or minute is not None and t < minute:
             reason = FLAG["late"]
         elif last is not None and t < last:
             reason = FLAG["order"]
@@ -109,9 +139,13 @@ def admit(trades: DataFrame) -> DataFrame:
     start afresh with each.
     """
     ship(trades.sparkSession)
-    hostile = order_violations(trades).select(*KEYS)
+    trades = trades.join(final_arrivals(trades), list(KEYS))
+    late = trades.filter(F.col("arrival") > F.col("final_at")).select(*KEYS)
+    hostile = order_violations(trades).select(*KEYS).unionByName(late).distinct()
     ordered = admit_ordered(trades.join(hostile, list(KEYS), "left_anti"))
-    other = trades.join(hostile, list(KEYS), "left_semi").withColumn("tick", price_to_tick(F.col("price"), F.col("minimum_tick"))).withColumn("reject_flag", F.lit(None).cast("string")).withColumn("admitted", F.lit(False))
+    after_final = F.coalesce(F.col("arrival") > F.col("final_at"), F.lit(False))
+    other = trades.join(hostile, list(KEYS), "left_semi").withColumn("tick", price_to_tick(F.col("price"), F.col("minimum_tick"))).withColumn("after_final", after_final)
+    other = other.withColumn("reject_flag", F.lit(None).cast("string")).withColumn("admitted", F.lit(False)).drop("final_at")
     other = other.groupBy(*KEYS).applyInPandas(admit_sequential, other.schema)
     other = other.withColumn("unverifiable", F.col("source_event_id").isNull() & F.col("source_sequence").isNull())
     return ordered.unionByName(other.select(ordered.columns))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clocks import minutes_between
+from ..functions.ids import list_id
 from ..policy import PRODUCTION, Policy
 from .asof import asof
 
@@ -27,6 +28,11 @@ def align(auction: DataFrame, imsi: DataFrame, icm: DataFrame, iae: DataFrame, p
     out = auction
     for name, states in (("imsi", imsi), ("icm", icm), ("iae", iae)):
         out = asof(out, _first_known(states).withColumn("state_end", F.col("end")), list(SESSION), "end", "end", ["state_end", "measurement_ready", "quality_flags"], name)
+    return _judged(out, policy)
+
+
+def _judged(out: DataFrame, policy: Policy) -> DataFrame:
+    """Whether the bound states are there, fresh and ready, and the flags of all."""
     ages = {"imsi": policy.medium, "icm": policy.medium, "iae": policy.fast}
     here = {n: F.col(n).isNotNull() for n in ages}
     fresh = {n: F.coalesce(minutes_between(F.col(f"{n}.state_end"), F.col("end")).between(0, m), F.lit(False)) for n, m in ages.items()}
@@ -49,15 +55,38 @@ def align(auction: DataFrame, imsi: DataFrame, icm: DataFrame, iae: DataFrame, p
     both = F.array_compact(F.array(*marks))
     out = out.withColumn("component_quality_flags", F.array_sort(F.array_union(component, both)))
     out = out.withColumn("blocking_quality_flags", F.array_sort(F.array_union(both, F.array_compact(F.array(*blocking)))))
-    return out.withColumn("all_quality_flags", F.array_sort(F.array_union("component_quality_flags", "blocking_quality_flags")))
+    out = out.withColumn("all_quality_flags", F.array_sort(F.array_union("component_quality_flags", "blocking_quality_flags")))
+    bound = [F.date_format(F.col(f"{n}.state_end"), "yyyy-MM-dd'T'HH:mm:ss") for n in ages]
+    gap = [F.col("gap_id")] if "gap_id" in out.columns else []
+    return out.withColumn("synergy_id", list_id("synergy", [F.col("auction_id"), *bound, *gap]))
+
+
+def align_exact(synergy: DataFrame, states: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
+    """synergy's rows of the bars of states(session, end, gap_id, measurement_ready, quality_flags), each bound to that state in place of the latest gap state.
+
+    One row per state: a bar on which two gaps are first retested has two.
+    """
+    exact = states.select(*SESSION, "end", "gap_id", F.struct(F.col("end").alias("state_end"), "measurement_ready", "quality_flags").alias("exact"))
+    rows = synergy.join(exact, [*SESSION, "end"]).withColumn("iae", F.col("exact")).drop("exact", "present", "fresh", "ready", "component_quality_flags", "blocking_quality_flags", "all_quality_flags", "synergy_id")
+    return _judged(rows, policy)
 
 
-def candidate_events(transition_events: DataFrame, retests: DataFrame, synergy: DataFrame) -> DataFrame:
-    """Transition events and first retests with the alignment of their bar. retests has end, event_type, direction, parent_event_id, event_id."""
+def candidate_events(transition_events: DataFrame, retests: DataFrame, synergy: DataFrame, retest_synergy: DataFrame | None = None) -> DataFrame:
+    """Transition events and first retests with the alignment of their bar; a retest has that of its own gap, where retest_synergy is given.
+
+    retests has end, event_type, direction, parent_event_id (its gap), event_id.
+    data_hash covers what the event was made from, so a replay gives it again.
+    """
     columns = [*SESSION, "end", "event_id", "event_type", "direction", "parent_event_id"]
-    both = transition_events.select(columns).unionByName(retests.select(columns))
-    bar = synergy.select(*SESSION, "end", "available_at", "present", "fresh", "ready", *[F.col(n).isNotNull().alias(f"has_{n}") for n in ("imsi", "icm", "iae")])
-    return both.join(bar, [*SESSION, "end"]).withColumn("research_ready", F.col("ready"))
+    taken = ["available_at", "auction_id", "synergy_id", "present", "fresh", "ready", *[F.col(n).isNotNull().alias(f"has_{n}") for n in ("imsi", "icm", "iae")]]
+    bar = synergy.select(*SESSION, "end", *taken)
+    if retest_synergy is None:
+        out = transition_events.select(columns).unionByName(retests.select(columns)).join(bar, [*SESSION, "end"])
+    else:
+        own = retest_synergy.select(*SESSION, "end", F.col("gap_id").alias("parent_event_id"), *taken)
+        out = transition_events.select(columns).join(bar, [*SESSION, "end"]).unionByName(retests.select(columns).join(own, [*SESSION, "end", "parent_event_id"]))
+    made_of = [F.col("event_id"), F.col("auction_id"), F.col("synergy_id"), F.col("parent_event_id"), F.col("direction").cast("string")]
+    return out.withColumn("research_ready", F.col("ready")).withColumn("data_hash", list_id("data", made_of))
 
 
 def event_duplicates(events: DataFrame) -> DataFrame:

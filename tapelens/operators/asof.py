@@ -1,15 +1,19 @@
-"""As-of joins by union and window: one shuffle, no row explosion."""
+"""As-of joins: by broadcast intervals for small right sides, else by union and window; no row explosion."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import is_small
+
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, take: list[str], name: str = "hit") -> DataFrame:
     """left with `name`, a struct of right's `take` columns of the last right row with right_at <= at and equal keys; null if none.
 
     Several right rows at one instant must be settled before (the last is taken).
+    One shuffle by the keys; for keys with few values and a small right side use
+    asof_dimension.
     """
     kinds = {f.name: f.dataType for f in left.schema}
     packed = F.struct(*take)
@@ -18,3 +22,18 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at:
     w = Window.partitionBy(*keys).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
     out = r.unionByName(ls).withColumn(name, F.last(name, ignorenulls=True).over(w)).filter("__side = 1")
     return out.select(*[F.col(f"__row.{c}").cast(kinds[c]).alias(c) for c in left.columns], name)
+
+
+def asof_dimension(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, take: list[str], name: str = "hit") -> DataFrame:
+    """asof() for a right side of dimension size: its rows become intervals [since, until) that are broadcast, so left is not shuffled.
+
+    The size of the right side is checked; a larger one is joined by asof().
+    """
+    if not is_small(right):
+        return asof(left, right, keys, at, right_at, take, name)
+    until = F.lead(right_at).over(Window.partitionBy(*keys).orderBy(right_at))
+    spans = right.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(right_at).alias("__since"), until.alias("__until"), F.struct(*take).alias(name))
+    on = (F.col(at) >= F.col("__since")) & (F.col("__until").isNull() | (F.col(at) < F.col("__until")))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"__{k}"))
+    return left.join(F.broadcast(spans), on, "left").drop("__since", "__until", *[f"__{k}" for k in keys])

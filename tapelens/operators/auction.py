@@ -27,11 +27,12 @@ def references(finals: DataFrame) -> DataFrame:
 
 
 def located(bars: DataFrame, refs: DataFrame) -> DataFrame:
-    """bars with the prior profile and their location against it, by the completed close."""
+    """bars with the prior profile and their location against it, by the completed close; a close that is not on the contract's price grid is `off_grid`."""
     out = bars.join(refs.drop("session_type", "session_start"), list(SESSION), "left")
     out = out.withColumn("close_tick", price_to_tick(F.col("close"), F.col("minimum_tick")))
     where = (
         F.when(F.col("prior_vah_tick").isNull(), "no_reference")
+        .when(F.col("close_tick").isNull(), "off_grid")
         .when(F.col("close_tick") > F.col("prior_vah_tick"), "above_value")
         .when(F.col("close_tick") < F.col("prior_val_tick"), "below_value")
         .otherwise("inside_value")

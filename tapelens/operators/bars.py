@@ -18,17 +18,25 @@ def bucketed(trades: DataFrame, minutes: int) -> DataFrame:
     return trades.withColumn("start", bucket).withColumn("end", plus_minutes(F.col("start"), minutes))
 
 
+def closings(admitted: DataFrame) -> DataFrame:
+    """(session, next_arrival, next_at): the first arrival of the contract's next session, which closes the last bars of a session."""
+    first = admitted.groupBy("root", "contract_symbol", "session_id").agg(F.min("arrival").alias("first_arrival"), F.min_by("available_at", "arrival").alias("first_at"))
+    w = Window.partitionBy("root", "contract_symbol").orderBy("first_arrival")
+    return first.select("root", "contract_symbol", "session_id", F.lead("first_arrival").over(w).alias("later_arrival"), F.lead("first_at").over(w).alias("later_at"))
+
+
 def bars(admitted: DataFrame, minutes: int, finalize_at=None) -> DataFrame:
     """OHLCV bars of admitted trades with the time from which each could be known.
 
     A bar is known when the first trade, admitted or not, arrives at or after its
-    end, at the earliest at its end; the last bars of a contract, which no trade
-    closes, come only with finalize_at (a timestamp_ntz column), if they are due
-    then. A bucket that ends after its session gives no bar. One window by contract
-    for the arrivals, then one partial and final hash aggregation.
+    end, at the earliest at its end; closed_by is that trade's arrival. The last
+    bars of a contract, which no trade closes, come only with finalize_at (a
+    timestamp_ntz column), if they are due then. A bucket that ends after its
+    session gives no bar. Arrivals are looked at within a session, so a window
+    holds a session's ticks; what comes after a session is a join of session rows.
     """
-    arrivals = Window.partitionBy("root", "contract_symbol").orderBy("arrival")
-    rows = bucketed(admitted, minutes).withColumn("next_at", F.lead("available_at").over(arrivals)).filter(F.col("end") <= F.col("session_end"))
+    arrivals = Window.partitionBy("root", "contract_symbol", "session_id").orderBy("arrival")
+    rows = bucketed(admitted, minutes).withColumn("next", F.lead(F.struct("arrival", "available_at")).over(arrivals)).filter(F.col("end") <= F.col("session_end"))
     ok = F.col("admitted")
     out = rows.groupBy(*SESSION, "start", "end").agg(
         F.min_by(F.when(ok, F.col("price")), F.when(ok, F.col("arrival"))).alias("open"),
@@ -37,11 +45,15 @@ def bars(admitted: DataFrame, minutes: int, finalize_at=None) -> DataFrame:
         F.max_by(F.when(ok, F.col("price")), F.when(ok, F.col("arrival"))).alias("close"),
         F.sum(F.when(ok, F.col("quantity"))).alias("volume"),
         F.count_if(ok).alias("n_trades"),
-        F.max_by("next_at", "arrival").alias("next_at"),
+        F.max_by(F.when(ok, F.col("exchange_time")), F.when(ok, F.col("arrival"))).alias("last_trade_at"),
+        F.min("minimum_tick").alias("minimum_tick"),
+        F.max_by("next", "arrival").alias("next"),
     )
-    known = F.col("next_at") if finalize_at is None else F.coalesce("next_at", F.when(F.col("end") <= finalize_at, finalize_at))
-    out = out.filter("n_trades > 0").withColumn("available_at", F.greatest(known, F.when(known.isNotNull(), F.col("end"))))
-    return out.filter("available_at is not null").withColumn("period_minutes", F.lit(minutes)).drop("next_at")
+    out = out.filter("n_trades > 0").join(closings(admitted), ["root", "contract_symbol", "session_id"], "left")
+    next_at = F.coalesce("next.available_at", "later_at")
+    known = next_at if finalize_at is None else F.coalesce(next_at, F.when(F.col("end") <= finalize_at, finalize_at))
+    out = out.withColumn("closed_by", F.coalesce("next.arrival", "later_arrival")).withColumn("available_at", F.greatest(known, F.when(known.isNotNull(), F.col("end"))))
+    return out.filter("available_at is not null").withColumn("period_minutes", F.lit(minutes)).drop("next", "later_arrival", "later_at")
 
 
 def session_tail_counts(admitted: DataFrame, minutes: int) -> DataFrame:

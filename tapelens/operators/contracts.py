@@ -5,12 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .asof import asof
+from .asof import asof_dimension
 
 
 def contract_asof(left: DataFrame, contracts: DataFrame, at: str = "exchange_time") -> DataFrame:
-    """left with the contract snapshot of its root as of its time; rows before the first snapshot have null."""
-    return asof(left, contracts, ["root"], at, "as_of", ["as_of", "mapped_symbol", "expiry", "multiplier"], "contract")
+    """left with the contract snapshot of its root as of its time; rows before the first snapshot have null (contract_rejects counts them).
+
+    Snapshots that share an instant are a fault (snapshot_faults); one of them is taken.
+    """
+    return asof_dimension(left, contracts.dropDuplicates(["root", "as_of"]), ["root"], at, "as_of", ["as_of", "mapped_symbol", "expiry", "multiplier"], "contract")
+
+
+def contract_rejects(joined: DataFrame) -> DataFrame:
+    """(root, n): rows of contract_asof() that come before their root's first snapshot."""
+    return joined.filter("contract is null").groupBy("root").agg(F.count("*").alias("n"))
+
+
+def snapshot_faults(contracts: DataFrame) -> DataFrame:
+    """(root, as_of, n): instants at which a root has several snapshots."""
+    return contracts.groupBy("root", "as_of").agg(F.count("*").alias("n")).filter("n > 1")
 
 
 def identity_violations(contracts: DataFrame) -> DataFrame:
@@ -27,7 +40,7 @@ def visible(mappings: DataFrame) -> DataFrame:
 
 def roll_state(left: DataFrame, mappings: DataFrame, at: str = "exchange_time") -> DataFrame:
     """left with mapped_symbol and roll_state: normal up to the first mapping, roll_transition at the instant of a later one, post_roll after it."""
-    out = asof(left, visible(mappings), ["root"], at, "visible_at", ["visible_at", "n", "new_mapped_symbol"], "m")
+    out = asof_dimension(left, visible(mappings), ["root"], at, "visible_at", ["visible_at", "n", "new_mapped_symbol"], "m")
     n = F.coalesce("m.n", F.lit(0))
     state = F.when(n <= 1, "normal").when(F.col(at) == F.col("m.visible_at"), "roll_transition").otherwise("post_roll")
     return out.select(*left.columns, F.col("m.new_mapped_symbol").alias("mapped_symbol"), state.alias("roll_state"))

@@ -24,14 +24,14 @@ def segments(bars: DataFrame) -> DataFrame:
     return out.withColumn("segment", F.sum("new_segment").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new_segment")
 
 
-def formations(segmented: DataFrame, policy: Policy = PRODUCTION, tick_size: float = 0.25) -> DataFrame:
+def formations(segmented: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
     """Every three-bar gap at a warm scale: direction, edges, gates and quality, with formed and guard."""
     w = Window.partitionBy(*CONTRACT, "segment").orderBy("idx")
     first = {c: F.lag(c, 2).over(w) for c in ("high", "low")}
     impulse = {c: F.lag(c, 1).over(w) for c in ("open", "high", "low", "close")}
     out = segmented.select("*", *[v.alias(f"first_{k}") for k, v in first.items()], *[v.alias(f"impulse_{k}") for k, v in impulse.items()])
-    bull = (F.col("low") > F.col("first_high")) & (F.col("impulse_close") > F.col("first_high")) & (F.col("low") - F.col("first_high") >= tick_size)
-    bear = (F.col("high") < F.col("first_low")) & (F.col("impulse_close") < F.col("first_low")) & (F.col("first_low") - F.col("high") >= tick_size)
+    bull = (F.col("low") > F.col("first_high")) & (F.col("impulse_close") > F.col("first_high")) & (F.col("low") - F.col("first_high") >= F.col("minimum_tick"))
+    bear = (F.col("high") < F.col("first_low")) & (F.col("impulse_close") < F.col("first_low")) & (F.col("first_low") - F.col("high") >= F.col("minimum_tick"))
     out = out.withColumn("direction", F.when(bull, "bullish").when(bear, "bearish")).filter("direction is not null and atr is not null")
     up = F.col("direction") == "bullish"
     out = out.withColumn("gap_bot", F.when(up, F.col("first_high")).otherwise(F.col("high"))).withColumn("gap_top", F.when(up, F.col("low")).otherwise(F.col("first_low")))
@@ -95,12 +95,18 @@ def lifecycle(rows: DataFrame) -> DataFrame:
 def first_retests(rows: DataFrame) -> DataFrame:
     """The first retest of each gap, with the number of active gaps at that point of the bar's walk through the gaps.
 
-    Gaps made earlier are counted after this bar, later ones before it.
+    Gaps made earlier are counted after this bar, later ones before it; guards holds
+    the retest guards of the bar's gaps up to this one.
     """
     w = Window.partitionBy(*CONTRACT, "idx")
     before = w.orderBy("gap_idx").rowsBetween(Window.unboundedPreceding, 0)
     active = F.sum(F.col("alive").cast("int")).over(before) + F.count("*").over(w) - F.count("*").over(before)
-    return rows.withColumn("active_gaps", active).filter("first_retest")
+    return rows.withColumn("active_gaps", active).withColumn("guards", F.collect_set("guard").over(before)).filter("first_retest")
+
+
+def bar_flags():
+    """What a bar itself says before its gaps are looked at: a missing bar before it, no time-of-day baseline, no scale."""
+    return F.array_compact(F.array(F.when(F.col("reset"), "IAE_BAR_GAP_RESET"), F.col("tod_flag"), F.when(~F.col("atr_ready"), "IAE_ATR_WARMUP")))
 
 
 def bar_states(rows: DataFrame, gaps: DataFrame, segmented: DataFrame) -> DataFrame:
@@ -114,8 +120,7 @@ def bar_states(rows: DataFrame, gaps: DataFrame, segmented: DataFrame) -> DataFr
     out = segmented.select(*CONTRACT, "session_id", "idx", "end", "reset", "tod_flag", "atr_ready").join(best, [*CONTRACT, "idx"], "left")
     formation = gaps.filter("guard is not null").select(*CONTRACT, "idx", F.col("guard").alias("formation_guard"))
     out = out.join(formation, [*CONTRACT, "idx"], "left")
-    own = F.array_compact(F.array(F.when(F.col("reset"), "IAE_BAR_GAP_RESET"), F.col("tod_flag"), F.when(~F.col("atr_ready"), "IAE_ATR_WARMUP"), F.col("formation_guard")))
-    flags = F.array_sort(F.array_union(own, F.coalesce("guards", F.array().cast("array<string>"))))
+    flags = F.array_sort(F.array_union(F.array_compact(F.array_append(bar_flags(), F.col("formation_guard"))), F.coalesce("guards", F.array().cast("array<string>"))))
     shown = F.col("c.rank") > 0
     return out.select(
         *CONTRACT, "session_id", "idx", "end", F.when(shown, F.col("c.gap_idx")).alias("gap_idx"), F.when(shown, F.col("c.what")).alias("gap_event"), F.when(shown, F.col("c.direction")).alias("direction"),

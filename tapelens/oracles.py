@@ -20,12 +20,12 @@ def _values(rows) -> str:
 def _bars(minutes: int) -> str:
     return f"""
 SELECT root, contract_symbol, session_id, session_name, session_type, session_start, session_end, start, start + INTERVAL {minutes} MINUTE AS "end",
-       greatest(next_at, start + INTERVAL {minutes} MINUTE) AS available_at, open, high, low, close, volume, n_trades
+       greatest(next_at, start + INTERVAL {minutes} MINUTE) AS available_at, open, high, low, close, volume, n_trades, closed_by, last_trade_at
 FROM (SELECT root, contract_symbol, session_id, session_name, session_type, session_start, session_end, start,
              arg_min(price, arrival) FILTER (admitted) AS open, max(price) FILTER (admitted) AS high, min(price) FILTER (admitted) AS low, arg_max(price, arrival) FILTER (admitted) AS close,
-             sum(quantity) FILTER (admitted) AS volume, count(*) FILTER (admitted) AS n_trades, arg_max(next_at, arrival) AS next_at, bool_or(is_last) AS has_last
+             sum(quantity) FILTER (admitted) AS volume, count(*) FILTER (admitted) AS n_trades, arg_max(next_at, arrival) AS next_at, arg_max(next_arrival, arrival) AS closed_by, arg_max(exchange_time, arrival) FILTER (admitted) AS last_trade_at, bool_or(is_last) AS has_last
       FROM (SELECT *, time_bucket(INTERVAL {minutes} MINUTE, exchange_time, session_start) AS start, lead(available_at) OVER (PARTITION BY root, contract_symbol ORDER BY arrival) AS next_at,
-                   lead(available_at) OVER (PARTITION BY root, contract_symbol ORDER BY arrival) IS NULL AS is_last FROM adm)
+                   lead(arrival) OVER (PARTITION BY root, contract_symbol ORDER BY arrival) AS next_arrival, lead(available_at) OVER (PARTITION BY root, contract_symbol ORDER BY arrival) IS NULL AS is_last FROM adm)
       WHERE start + INTERVAL {minutes} MINUTE <= session_end GROUP BY ALL)
 WHERE n_trades > 0 AND NOT has_last"""
 
@@ -88,7 +88,7 @@ FROM (SELECT *, CAST(CAST(loc AS DATE) - CASE WHEN crosses_midnight AND sod < en
   FROM (SELECT *, coalesce(max(CAST(fit AND NOT behind AS INTEGER)) OVER (PARTITION BY {_S}, source_event_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, false) AS same_id
     FROM (SELECT *, coalesce(exchange_time < max(CASE WHEN fit THEN exchange_time END) OVER ({_W}), false) AS behind
       FROM (SELECT *, NOT suspicious AND price > 0 AND quantity > 0 AND tick IS NOT NULL AND NOT late AS fit
-        FROM (SELECT *, coalesce(exchange_time < date_trunc('minute', max(exchange_time) OVER ({_W})), false) AS late FROM sess)))))""",
+        FROM (SELECT *, coalesce(exchange_time < date_trunc('minute', max(exchange_time) OVER ({_W})), false) AS late FROM sess WHERE tick_type = 'TRADE')))))""",
     "fast": _bars(SPARSE.fast),
     "medium": _bars(SPARSE.medium),
     "bins": f"SELECT {_S}, session_type, date_trunc('minute', exchange_time) + INTERVAL 1 MINUTE AS minute_end, tick, sum(quantity) AS volume FROM adm WHERE admitted GROUP BY ALL",
@@ -121,6 +121,17 @@ FROM (SELECT *, CAST(excursion > 0 AND backs = 0 AND CASE WHEN dir = 1 THEN last
   FROM (SELECT *, sum(back) OVER e AS backs FROM (SELECT *, CAST(coalesce(location = 'inside_value' AND (last_location = 'above_value' AND dir = 1 OR last_location = 'below_value' AND dir = -1), false) AS INTEGER) AS back FROM trips)
     WINDOW e AS (PARTITION BY {_S}, excursion ORDER BY "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))
 WINDOW e AS (PARTITION BY {_S}, excursion ORDER BY "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "sflags": f"""SELECT {_S}, flag, min(arrival) AS since FROM (SELECT {_S}, arrival, unnest([reject_flag, CASE WHEN suspicious THEN 'DATA:SOURCE_SUSPICIOUS' END]) AS flag FROM adm) WHERE flag IS NOT NULL GROUP BY ALL""",
+    "rolls": "SELECT root, greatest(observed_at, effective_at) AS visible_at, row_number() OVER (PARTITION BY root ORDER BY greatest(observed_at, effective_at)) AS n_map FROM maps",
+    "auc": f"""SELECT *, prior_vah_tick IS NOT NULL AND atr IS NOT NULL AND NOT list_contains(list_transform(flags, lambda f: starts_with(f, 'DATA:')), true) AND roll_state = 'normal' AS measurement_ready
+FROM (SELECT *, list_sort(list_distinct(list_filter(list_concat([CASE WHEN degenerate THEN 'DEGENERATE_PROFILE' END, CASE WHEN prior_vah_tick IS NULL THEN 'NO_PRIOR_SAME_SESSION_TYPE_PROFILE' END, CASE WHEN prior_degenerate THEN 'DEGENERATE_PROFILE' END, 'ROLL:' || upper(roll_state)],
+    coalesce(own_flags, []), coalesce(prior_flags, [])), lambda f: f IS NOT NULL))) AS flags
+  FROM (SELECT l.*, degenerate, own_flags, prior_flags, prior_degenerate, CASE WHEN coalesce(n_map, 0) <= 1 THEN 'normal' WHEN last_trade_at = visible_at THEN 'roll_transition' ELSE 'post_roll' END AS roll_state
+    FROM located l ASOF LEFT JOIN rolls r ON l.root = r.root AND l.last_trade_at >= r.visible_at
+    JOIN (SELECT {_S}, "end", count(*) = 1 AS degenerate FROM dev GROUP BY ALL) d ON d.root = l.root AND d.contract_symbol = l.contract_symbol AND d.session_id = l.session_id AND d."end" = l."end"
+    LEFT JOIN (SELECT {_S}, "end", list(flag) AS own_flags FROM fast JOIN sflags USING ({_S}) WHERE since < closed_by GROUP BY ALL) o ON o.root = l.root AND o.contract_symbol = l.contract_symbol AND o.session_id = l.session_id AND o."end" = l."end"
+    LEFT JOIN (SELECT {_S}, list(flag) AS prior_flags FROM sflags GROUP BY ALL) p ON p.root = l.root AND p.contract_symbol = l.contract_symbol AND p.session_id = l.prior_session_id
+    LEFT JOIN (SELECT {_S}, count(*) = 1 AS prior_degenerate FROM fin GROUP BY ALL) g ON g.root = l.root AND g.contract_symbol = l.contract_symbol AND g.session_id = l.prior_session_id))""",
     "tod": f"""SELECT *, CASE WHEN tod_n < {SPARSE.tod_min} THEN 'IAE_TOD_WARMUP' WHEN sd * sd <= {SPARSE.epsilon} THEN 'IAE_TOD_DEGENERATE' END AS tod_flag,
   CASE WHEN tod_n >= {SPARSE.tod_min} AND sd * sd > {SPARSE.epsilon} THEN (volume - mean) / (sd + {SPARSE.epsilon}) END AS volume_z
 FROM (SELECT *, count(*) OVER w AS tod_n, avg(volume) OVER w AS mean, stddev_pop(volume) OVER w AS sd
@@ -232,7 +243,7 @@ _TAILS = {
     "profile_final": f"SELECT {_S}, as_of, available_at, total_volume, n_ticks FROM finpoc JOIN ends USING ({_S}) JOIN (SELECT {_S}, CAST(count(*) AS INTEGER) AS n_ticks FROM fin GROUP BY ALL) USING ({_S})",
     "poc": f"SELECT {_S}, poc_tick FROM finpoc",
     "value_area": f"SELECT {_S}, val_tick, vah_tick FROM finarea",
-    "volume_conservation": f"SELECT {_S}, total_volume, admitted_volume FROM (SELECT {_S}, sum(quantity) AS admitted_volume FROM adm WHERE admitted GROUP BY ALL) FULL JOIN finpoc USING ({_S}) WHERE total_volume IS DISTINCT FROM admitted_volume",
+    "volume_conservation": f"SELECT {_S}, total_volume, admitted_volume FROM (SELECT {_S}, sum(CASE WHEN arrival % 499 = 0 THEN quantity + 1 ELSE quantity END) AS admitted_volume FROM adm WHERE admitted GROUP BY ALL) FULL JOIN finpoc USING ({_S}) WHERE total_volume IS DISTINCT FROM admitted_volume",
     "profile_moments": f"SELECT {_S}, round(CASE WHEN n = 1 THEN 0 ELSE entropy END, 6) + 0.0 AS profile_entropy, round(CASE WHEN variance > 0 THEN m3 / pow(variance, 1.5) END, 6) + 0.0 AS profile_skew, round(CASE WHEN variance > 0 THEN m4 / (variance * variance) END, 6) + 0.0 AS profile_kurtosis, NOT variance > 0 AS degenerate FROM (SELECT {_S}, count(*) AS n, -sum(volume / total * ln(volume / total)) / CASE WHEN count(*) = 1 THEN 1 ELSE ln(count(*)) END AS entropy, sum(volume * pow(tick - mean, 2)) / any_value(total) AS variance, sum(volume * pow(tick - mean, 3)) / any_value(total) AS m3, sum(volume * pow(tick - mean, 4)) / any_value(total) AS m4 FROM (SELECT *, sum(volume) OVER w AS total, sum(volume * tick) OVER w / sum(volume) OVER w AS mean FROM fin WINDOW w AS (PARTITION BY {_S})) GROUP BY ALL)",
     "profile_references": "SELECT * FROM refs",
     "auction_location": f"SELECT {_K}, close_tick, location FROM located",
@@ -272,9 +283,11 @@ FROM (SELECT {_K} FROM fast) f ASOF LEFT JOIN (SELECT {_S}, min("end") AS imsi_e
 ASOF LEFT JOIN (SELECT {_S}, min("end") AS icm_end FROM icm0 GROUP BY {_S}, available_at) b ON f.root = b.root AND f.contract_symbol = b.contract_symbol AND f.session_id = b.session_id AND f."end" >= b.icm_end
 ASOF LEFT JOIN (SELECT {_S}, min("end") AS iae_end FROM fast GROUP BY {_S}, available_at) c ON f.root = c.root AND f.contract_symbol = c.contract_symbol AND f.session_id = c.session_id AND f."end" >= c.iae_end""".replace(f"SELECT {_K}, imsi_end", "SELECT f.root, f.contract_symbol, f.session_id, f.\"end\", imsi_end").replace('coalesce("end" -', 'coalesce(f."end" -').replace('AND "end" -', 'AND f."end" -'),
     "synergy_retest": f"SELECT {_K}, event_id, parent_event_id, event_type, CAST(CASE WHEN direction = 'bullish' THEN 1 ELSE -1 END AS INTEGER) AS direction FROM retests",
-    "event_duplicates": "SELECT event_id, count(*) AS n FROM evts GROUP BY event_id HAVING count(*) > 1",
+    "event_duplicates": "SELECT event_id, count(*) AS n FROM (SELECT event_id FROM evts UNION ALL SELECT event_id FROM evts WHERE event_type = 'value_exit_up') GROUP BY event_id HAVING count(*) > 1",
+    "auction_state": f"SELECT {_K}, location, measurement_ready, array_to_string(flags, ',') AS quality_flags FROM auc",
+    "flag_histogram": "SELECT 'auction' AS source, flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM auc) GROUP BY flag",
     "coverage_by_dim": f"SELECT dim, value, count(*) AS n FROM (SELECT e.*, coalesce(session_type, 'unknown') AS session_type FROM evts e LEFT JOIN (SELECT {_S}, session_type FROM finals) USING ({_S})), LATERAL (VALUES ('month', strftime(\"end\", '%Y-%m')), ('contract_symbol', contract_symbol), ('event_type', event_type), ('root', root), ('session_type', session_type)) v(dim, value) GROUP BY ALL",
-    "runtime_summary": "SELECT root, counter, n FROM (SELECT root, count(*) AS ticks, count(*) FILTER (admitted) AS admitted, count(DISTINCT contract_symbol) AS contracts, count(DISTINCT session_id) AS sessions, count(*) FILTER (tick_type <> 'TRADE') AS quotes FROM adm GROUP BY root) UNPIVOT (n FOR counter IN (ticks, admitted, contracts, sessions, quotes)) UNION ALL SELECT root, 'fast_bars', count(*) FROM fast GROUP BY root UNION ALL SELECT root, 'medium_bars', count(*) FROM medium GROUP BY root UNION ALL SELECT root, 'final_profiles', count(*) FROM finpoc GROUP BY root UNION ALL SELECT root, 'gaps', count(*) FROM gap WHERE guard IS NULL GROUP BY root",
+    "runtime_summary": "SELECT root, counter, n FROM (SELECT root, count(*) AS ticks, count(*) FILTER (admitted) AS admitted, count(DISTINCT contract_symbol) AS contracts, count(DISTINCT session_id) AS sessions, count(DISTINCT contract_symbol) - 1 AS rolls FROM adm GROUP BY root) UNPIVOT (n FOR counter IN (ticks, admitted, contracts, sessions, rolls)) UNION ALL SELECT root, 'quotes', count(*) FROM tape WHERE tick_type <> 'TRADE' GROUP BY root UNION ALL SELECT root, 'fast_bars', count(*) FROM fast GROUP BY root UNION ALL SELECT root, 'medium_bars', count(*) FROM medium GROUP BY root UNION ALL SELECT root, 'final_profiles', count(*) FROM finpoc GROUP BY root UNION ALL SELECT root, 'gaps', count(*) FROM gap WHERE guard IS NULL GROUP BY root UNION ALL SELECT root, 'auction_snapshots', count(*) FROM located GROUP BY root UNION ALL SELECT root, 'icm_snapshots', count(*) FROM icm0 GROUP BY root",
     "minute_gaps": "SELECT root, count(*) AS minutes, count(*) FILTER (step > 1) AS gaps, round(coalesce(max(step), 0), 6) + 0.0 AS longest_gap_minutes FROM (SELECT root, epoch(m - lag(m) OVER (PARTITION BY root ORDER BY m)) / 60.0::DOUBLE AS step FROM (SELECT DISTINCT root, date_trunc('minute', exchange_time) AS m FROM tape)) GROUP BY root",
     "open_interest_coverage": "SELECT root, count(oi) > 0 AS any_open_interest, count(DISTINCT (contract_symbol, day)) AS contract_days, count(DISTINCT CASE WHEN oi IS NOT NULL THEN (contract_symbol, day) END) AS contract_days_with_oi, array_to_string(list_sort(list_distinct(list(expiry))), ',') AS expiries FROM (SELECT root, contract_symbol, CAST(exchange_time AS DATE) AS day, CASE WHEN arrival % 3 = 0 THEN quantity * 100 END AS oi, CASE WHEN contract_symbol LIKE '%H24' THEN '2024-03-15' ELSE '2024-06-21' END AS expiry FROM tape) GROUP BY root",
     "usable_from": "SELECT record_key, CASE WHEN release_time IS NOT NULL THEN greatest(release_time, coalesce(vendor_time, release_time), delivery_time) END AS usable_from FROM raw",
@@ -290,12 +303,14 @@ ASOF LEFT JOIN (SELECT {_S}, min("end") AS iae_end FROM fast GROUP BY {_S}, avai
     "contract_asof": "SELECT t.root, arrival, c.mapped_symbol, c.multiplier FROM tape t ASOF LEFT JOIN (SELECT r AS root, r || m AS mapped_symbol, CAST(a AS TIMESTAMP) AS as_of, x AS multiplier FROM (VALUES ('ES', 50.0::DOUBLE), ('6E', 125000.0::DOUBLE)) p(r, x), (VALUES ('H24', '2024-01-03'), ('M24', '2024-01-16')) q(m, a)) c ON t.root = c.root AND t.exchange_time >= c.as_of",
     "contract_identity": "SELECT root, CAST(0 AS BIGINT) AS bad_rows, count(DISTINCT CASE WHEN root = '6E' AND contract_symbol LIKE '%M24' THEN '6E-OTHER' ELSE root || '-CONT' END) AS continuous_ids FROM tape GROUP BY root HAVING count(DISTINCT CASE WHEN root = '6E' AND contract_symbol LIKE '%M24' THEN '6E-OTHER' ELSE root || '-CONT' END) > 1",
     "roll_state": "SELECT t.root, arrival, new_mapped_symbol AS mapped_symbol, CASE WHEN coalesce(n, 0) <= 1 THEN 'normal' WHEN exchange_time = visible_at THEN 'roll_transition' ELSE 'post_roll' END AS roll_state FROM tape t ASOF LEFT JOIN (SELECT root, new_mapped_symbol, greatest(observed_at, effective_at) AS visible_at, row_number() OVER (PARTITION BY root ORDER BY greatest(observed_at, effective_at)) AS n FROM maps) m ON t.root = m.root AND t.exchange_time >= m.visible_at",
-    "mapping_continuity": "SELECT root, observed_at, 'chain_broken' AS fault FROM tapemaps WHERE false",
+    "mapping_continuity": "SELECT root, observed_at, 'chain_broken' AS fault FROM tapemaps WHERE root = '6E' AND old_mapped_symbol IS NOT NULL",
     "delivery_audit": "SELECT root, release_date, official_time, delivered_at, coalesce(delivered_at < official_time, false) AS delivery_precedes_official, CASE WHEN delivered_at IS NULL THEN 'delivery_absent' END AS flag FROM (SELECT root, CAST(d AS DATE) AS release_date, CAST(d AS TIMESTAMP) + INTERVAL 15 HOUR + INTERVAL 30 MINUTE AS official_time FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1995-03-31', INTERVAL 1 DAY) g(d), (VALUES ('ES'), ('ZN'), ('6E')) r(root) WHERE dayofweek(d) = 5) LEFT JOIN (SELECT root, release_date, max(delivered_at) AS delivered_at FROM del GROUP BY ALL) USING (root, release_date)",
     "delivery_summary": "SELECT root, count(*) AS n_rows, min(delivered_at) AS first_delivery, max(delivered_at) AS last_delivery, count(long_all) + count(short_all) + count(spread) AS observations, concat_ws(',', CASE WHEN count(long_all) < count(*) THEN 'long_all' END, CASE WHEN count(short_all) < count(*) THEN 'short_all' END, CASE WHEN count(spread) < count(*) THEN 'spread' END) AS null_fields FROM del GROUP BY root",
     "chain_semantics": "SELECT subject_id, 'registered_twice' AS fault FROM led WHERE kind = 'registration' GROUP BY subject_id HAVING count(*) > 1 UNION ALL SELECT * FROM (SELECT subject_id, CASE WHEN registered IS NULL THEN 'not_registered' WHEN position < registered THEN 'decided_before' WHEN decision = 'pending' THEN 'pending_decision' END AS fault FROM led LEFT JOIN (SELECT subject_id, min(position) AS registered FROM led WHERE kind = 'registration' GROUP BY subject_id) USING (subject_id) WHERE kind = 'decision') WHERE fault IS NOT NULL",
-    "hash_chain": "SELECT chain, position, kind FROM led WHERE position % 997 = 0",
-    "prefix_replay": f"SELECT {_S}, start, \"end\", available_at, open, high, low, close, volume, n_trades, '' AS side FROM fast WHERE false",
+    "hash_chain": f"""SELECT chain, position, fault FROM (SELECT *, CASE WHEN kind NOT IN ('registration', 'decision') THEN 'unknown_kind' WHEN record_hash <> sha256(coalesce(previous_hash, '') || '|' || kind || '|' || shown) THEN 'content_changed' WHEN previous_hash IS DISTINCT FROM lag(record_hash) OVER (PARTITION BY chain ORDER BY position) THEN 'link_broken' END AS fault
+FROM (SELECT *, CASE WHEN position % 97 = 0 THEN payload || '!' ELSE payload END AS shown FROM (WITH RECURSIVE rows AS (SELECT o_custkey AS chain, o_orderkey AS position, CASE WHEN o_orderkey % 83 = 0 THEN 'note' WHEN o_orderkey % 5 = 0 THEN 'decision' ELSE 'registration' END AS kind, o_custkey || '/' || o_orderstatus AS payload, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+linked AS (SELECT chain, position, kind, payload, n, CAST(NULL AS VARCHAR) AS previous_hash, sha256('|' || kind || '|' || payload) AS record_hash FROM rows WHERE n = 1 UNION ALL SELECT r.chain, r.position, r.kind, r.payload, r.n, l.record_hash, sha256(l.record_hash || '|' || r.kind || '|' || r.payload) FROM linked l JOIN rows r ON r.chain = l.chain AND r.n = l.n + 1) SELECT * FROM linked) WHERE position % 89 <> 0)) WHERE fault IS NOT NULL""",
+    "prefix_replay": f"SELECT {_K}, 'right' AS side, '2024-01-18 12:00:00' AS cut, 'bars' AS table_name FROM fast WHERE start = TIMESTAMP '2024-01-10 15:00:00' AND available_at < TIMESTAMP '2024-01-18 12:00:00'",
 }
 
 ORACLE_SQL = {name: _query(tail) for name, tail in _TAILS.items()}

@@ -10,54 +10,64 @@ from pyspark.sql import functions as F
 from ..functions.ids import list_id
 from ..functions.clocks import utc_text
 from ..operators import align, auction, bars, gaps, imsi, profiles, windows
-from ..operators.admission import admit, admit_ordered
+from ..operators.admission import admit, admit_ordered, arrival_flags
 from ..operators.contracts import roll_state
 from ..operators.sessions import with_session
 from ..policy import PRODUCTION, Policy
+from ..sources.tape import front_contract, split_ticks
+from ..storage import store
 
 SESSION = ["root", "contract_symbol", "session_id"]
 
 
 class Measurement:
-    """Tables over tape(root, contract_symbol, exchange_time, available_at, price, quantity, ...), built when asked for.
+    """Tables over tape(root, contract_symbol, exchange_time, available_at, price, quantity, tick_type, ...), built when asked for.
 
+    Trades alone are measured, and with mappings only those of the contract that
+    is mapped at their time. Each contract's own minimum_tick is its price grid.
     ordered: the tape is known to arrive in order, so admission needs no look for
-    sessions that do not.
+    sessions that do not. stored: tables that several others read (admitted
+    trades, bars, minute bins) are written once and read back; drop_stored()
+    deletes them when the results are written.
     """
 
-    def __init__(self, tape: DataFrame, mappings: DataFrame | None = None, policy: Policy = PRODUCTION, ordered: bool = False, tick_size: float = 0.25) -> None:
-        self.tape, self.mappings, self.policy, self.ordered, self.tick_size = tape, mappings, policy, ordered, tick_size
+    def __init__(self, tape: DataFrame, mappings: DataFrame | None = None, policy: Policy = PRODUCTION, ordered: bool = False, stored: bool = False) -> None:
+        self.tape, self.mappings, self.policy, self.ordered, self.stored = tape, mappings, policy, ordered, stored
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        return store(df, name) if self.stored else df
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return with_session(self.tape)
+        trades = split_ticks(self.tape)[0]
+        return with_session(trades if self.mappings is None else front_contract(trades, self.mappings))
 
     @cached_property
     def trades(self) -> DataFrame:
-        return (admit_ordered if self.ordered else admit)(self.sessions)
+        return self._kept((admit_ordered if self.ordered else admit)(self.sessions), "trades")
 
     @cached_property
     def fast(self) -> DataFrame:
-        return bars.bars(self.trades, self.policy.fast).withColumn("minimum_tick", F.lit(self.tick_size))
+        return self._kept(bars.bars(self.trades, self.policy.fast), "fast")
 
     @cached_property
     def medium(self) -> DataFrame:
-        return bars.bars(self.trades, self.policy.medium)
+        return self._kept(bars.bars(self.trades, self.policy.medium), "medium")
 
     @cached_property
     def bins(self) -> DataFrame:
-        return profiles.minute_bins(self.trades)
+        return self._kept(profiles.minute_bins(self.trades), "bins")
 
     @cached_property
     def finals(self) -> DataFrame:
-        return profiles.final_profiles(self.trades, self.policy.value_area)
+        return self._kept(profiles.final_profiles(self.trades, self.bins, self.policy.value_area), "finals")
 
     @cached_property
     def developing(self) -> DataFrame:
-        return profiles.profiles(profiles.developing(self.bins, self.fast), [*SESSION, "end"], self.policy.value_area)
+        return self._kept(profiles.profiles(profiles.developing(self.bins, self.fast, self.policy.fast), [*SESSION, "end"], self.policy.value_area), "developing")
 
     def rolling(self, minutes: int) -> DataFrame:
-        return profiles.profiles(profiles.rolling(self.bins, self.fast, minutes), [*SESSION, "end"], self.policy.value_area)
+        return profiles.profiles(profiles.rolling(self.bins, self.fast, minutes, self.policy.fast), [*SESSION, "end"], self.policy.value_area)
 
     @cached_property
     def references(self) -> DataFrame:
@@ -78,21 +88,40 @@ class Measurement:
         rows = self.located.join(shape, [*SESSION, "end"])
         return auction.features(rows.withColumn("price_tick", F.col("close_tick")))
 
+    @cached_property
+    def first_flags(self) -> DataFrame:
+        """(session, flag, since): each flag that a session's trades leave, with the arrival that brought it first."""
+        rows = self.trades.select(*SESSION, "arrival", F.explode(arrival_flags()).alias("flag"))
+        return self._kept(rows.groupBy(*SESSION, "flag").agg(F.min("arrival").alias("since")), "flags")
+
     @cached_property
     def data_flags(self) -> DataFrame:
-        """Flags that a session's rejected and unverifiable trades leave on its profiles."""
-        t = self.trades
-        return t.groupBy(*SESSION).agg(F.array_sort(F.array_compact(F.array_append(F.collect_set("reject_flag"), F.max(F.when(F.col("unverifiable"), "DATA:DEDUPLICATION_UNVERIFIABLE"))))).alias("data_flags"))
+        """(session, end, data_flags): the flags of each fast bar's session that had arrived when the bar was closed."""
+        known = self.fast.select(*SESSION, "end", "closed_by").join(self.first_flags, SESSION).filter(F.col("since") < F.col("closed_by"))
+        return known.groupBy(*SESSION, "end").agg(F.collect_set("flag").alias("data_flags"))
+
+    @cached_property
+    def prior_flags(self) -> DataFrame:
+        """(session, prior_flags): the flags of the whole session that is a session's prior profile, and of that profile."""
+        all_flags = self.first_flags.groupBy(*SESSION).agg(F.collect_set("flag").alias("flags"))
+        shape = self.finals.select(*SESSION, "degenerate").join(all_flags, SESSION, "left")
+        marks = F.array_compact(F.array(F.when(F.col("degenerate"), "DEGENERATE_PROFILE")))
+        shape = shape.select("root", "contract_symbol", F.col("session_id").alias("prior_session_id"), F.array_union(marks, F.coalesce("flags", F.array().cast("array<string>"))).alias("prior_flags"))
+        return self.references.select(*SESSION, "prior_session_id").join(shape, ["root", "contract_symbol", "prior_session_id"]).drop("prior_session_id")
 
     @cached_property
     def auction_state(self) -> DataFrame:
-        """One row per fast bar: location, readiness and flags. The roll state is that of the bar's last trade."""
-        rows = self.features.join(self.data_flags, SESSION, "left")
+        """One row per fast bar: location, readiness and flags, as they were known when the bar was closed.
+
+        The roll state is that of the bar's last admitted trade. Flags are those of
+        the developing profile so far and of the prior profile.
+        """
+        rows = self.features.join(self.data_flags, [*SESSION, "end"], "left").join(self.prior_flags, SESSION, "left")
         if self.mappings is None:
             rows = rows.withColumn("roll_state", F.lit("normal"))
         else:
-            states = roll_state(rows.select("root", "contract_symbol", "end"), self.mappings, "end")
-            rows = rows.join(states.select("root", "contract_symbol", "end", "roll_state"), ["root", "contract_symbol", "end"])
+            rows = roll_state(rows, self.mappings, "last_trade_at")
+        none = F.array().cast("array<string>")
         flags = F.array_compact(
             F.array(
                 F.when(F.col("degenerate"), "DEGENERATE_PROFILE"),
@@ -100,21 +129,24 @@ class Measurement:
                 F.concat(F.lit("ROLL:"), F.upper("roll_state")),
             )
         )
-        rows = rows.withColumn("quality_flags", F.array_sort(F.array_union(flags, F.coalesce("data_flags", F.array().cast("array<string>")))))
+        flags = F.array_union(F.array_union(flags, F.coalesce("data_flags", none)), F.coalesce("prior_flags", none))
+        rows = rows.withColumn("quality_flags", F.array_sort(flags))
         clean = ~F.exists("quality_flags", lambda f: f.startswith("DATA:"))
-        return rows.withColumn("measurement_ready", F.col("prior_vah_tick").isNotNull() & F.col("atr_ready") & clean & (F.col("roll_state") == "normal"))
+        ready = F.col("prior_vah_tick").isNotNull() & F.col("atr_ready") & clean & (F.col("roll_state") == "normal")
+        identity = [F.col("root"), F.col("contract_symbol"), F.col("session_id"), utc_text(F.col("end")), F.col("location"), F.col("prior_session_id"), F.col("poc_tick").cast("string"), ready.cast("string")]
+        return self._kept(rows.withColumn("measurement_ready", ready).withColumn("auction_id", list_id("auction", identity)), "auction")
 
     @cached_property
     def segmented(self) -> DataFrame:
-        return gaps.segments(windows.tod_volume_z(windows.atr(self.fast, self.policy), self.policy))
+        return self._kept(gaps.segments(windows.tod_volume_z(windows.atr(self.fast, self.policy), self.policy)), "segmented")
 
     @cached_property
     def gaps(self) -> DataFrame:
-        return gaps.formations(self.segmented, self.policy, self.tick_size)
+        return gaps.formations(self.segmented, self.policy)
 
     @cached_property
     def gap_bars(self) -> DataFrame:
-        return gaps.gap_bars(self.gaps, self.segmented, self.policy)
+        return self._kept(gaps.gap_bars(self.gaps, self.segmented, self.policy), "gap_bars")
 
     @cached_property
     def gap_states(self) -> DataFrame:
@@ -128,17 +160,27 @@ class Measurement:
     def imsi(self) -> DataFrame:
         return imsi.imsi(self.medium, self.policy)
 
-    @cached_property
-    def synergy(self) -> DataFrame:
+    def _states(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         columns = [*SESSION, "end", "available_at", "measurement_ready", "quality_flags"]
         iae = self.gap_states.join(self.fast.select("root", "contract_symbol", "end", "available_at"), ["root", "contract_symbol", "end"])
-        iae = iae.withColumn("measurement_ready", F.col("atr_ready") & ~F.array_contains("quality_flags", "IAE_TOD_WARMUP"))
-        return align.align(self.auction_state.select(columns), self.imsi.select(columns), self.icm.select(columns), iae.select(columns), self.policy)
+        iae = iae.withColumn("measurement_ready", F.col("atr_ready") & F.col("gap_idx").isNotNull())
+        return self.auction_state.select(*columns, "auction_id"), self.imsi.select(columns), self.icm.select(columns), iae.select(columns)
+
+    @cached_property
+    def synergy(self) -> DataFrame:
+        return self._kept(align.align(*self._states(), self.policy), "synergy")
+
+    @cached_property
+    def retest_synergy(self) -> DataFrame:
+        """The alignment of each first retest's bar with the retest's own gap in place of the bar's latest gap state."""
+        own = self.retests.select(*SESSION, "end", F.col("parent_event_id").alias("gap_id"), "quality_flags", F.col("atr_ready").alias("measurement_ready"))
+        return align.align_exact(self.synergy, own, self.policy)
 
     @cached_property
     def retests(self) -> DataFrame:
         """First retests as events; the parent is the gap."""
-        rows = gaps.first_retests(self.gap_bars)
+        known = self.segmented.select("root", "contract_symbol", "idx", "reset", "tod_flag", "atr_ready")
+        rows = gaps.first_retests(self.gap_bars).join(known, ["root", "contract_symbol", "idx"]).withColumn("quality_flags", F.array_sort(F.array_union(gaps.bar_flags(), F.col("guards"))))
         gap = list_id("gap", [F.col("root"), F.col("contract_symbol"), F.col("direction"), utc_text(F.col("created_at")), F.lit(None).cast("string")])
         rows = rows.withColumn("parent_event_id", gap).withColumn("event_type", F.when(F.col("direction") == "bullish", "iae_retest_bull").otherwise("iae_retest_bear"))
         rows = rows.withColumn("direction", F.when(F.col("direction") == "bullish", 1).otherwise(-1))
@@ -146,21 +188,31 @@ class Measurement:
 
     @cached_property
     def events(self) -> DataFrame:
-        return align.candidate_events(auction.transition_events(self.transitions), self.retests, self.synergy)
+        return align.candidate_events(auction.transition_events(self.transitions), self.retests, self.synergy, self.retest_synergy)
 
     def summary(self) -> DataFrame:
-        """Counters of the run by root: (root, counter, n)."""
+        """Counters of the run by root: (root, counter, n). Quotes are those that were ignored; rolls are changes of contract."""
         t = self.trades.groupBy("root").agg(
             F.count("*").alias("ticks"), F.count_if("admitted").alias("admitted"), F.count_distinct("contract_symbol").alias("contracts"), F.count_distinct("session_id").alias("sessions"),
-            F.count_if(F.col("tick_type") != "TRADE").alias("quotes"),
+            (F.count_distinct("contract_symbol") - 1).alias("rolls"),
         )
         parts = [t.unpivot("root", [c for c in t.columns if c != "root"], "counter", "n")]
-        tables = {"fast_bars": self.fast, "medium_bars": self.medium, "final_profiles": self.finals, "gaps": self.gaps.filter("formed")}
+        tables = {"quotes": split_ticks(self.tape)[1], "fast_bars": self.fast, "medium_bars": self.medium, "final_profiles": self.finals, "gaps": self.gaps.filter("formed"), "auction_snapshots": self.located, "icm_snapshots": self.icm}
         parts += [df.groupBy("root").agg(F.count("*").alias("n")).select("root", F.lit(k).alias("counter"), "n") for k, df in tables.items()]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
 
+    TABLES = ("fast", "medium", "bins", "finals", "auction_state", "imsi", "icm", "gap_states", "synergy", "events")
+
+    def write(self, path: str, tables: tuple[str, ...] = TABLES) -> list[str]:
+        """Write measurement tables below path, partitioned by root and contract; ticks stay in the private store."""
+        for name in tables:
+            table = getattr(self, name)
+            # Parquet has no empty structs, and every table has both keys
+            table.write.mode("overwrite").partitionBy("root", "contract_symbol").parquet(f"{path}/{name}")
+        return [f"{path}/{name}" for name in tables]
+
 
 __all__ = ["Measurement"]

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from tapelens.functions.prices import price_to_tick
 from tapelens.operators import auction, gaps, imsi, profiles, windows
-from tapelens.operators.admission import admit, admit_ordered, admit_sequential
+from tapelens.operators.admission import admit, admit_ordered, arrival_flags, identity_faults
 from tapelens.operators.asof import asof
 from tapelens.operators.bars import bars
 from tapelens.operators.sessions import with_session
+from tapelens.plans.measurement import Measurement
 from tapelens.policy import Policy
 from tapelens.sources import dims
+from tapelens.storage import drop_stored
 
 T0 = dt.datetime(2024, 3, 4, 14, 30)
 TRADE = "root string, contract_symbol string, exchange_time timestamp_ntz, available_at timestamp_ntz, price double, quantity double, minimum_tick double, source_event_id string, source_sequence long, source_flags array<string>, tick_type string, arrival long"
@@ -86,17 +88,135 @@ def test_admission_reasons(spark):
     assert got == [None, None, "DATA:DUPLICATE_SOURCE_ID", "DATA:SOURCE_SUSPICIOUS", "DATA:OFF_TICK_GRID", "DATA:NON_POSITIVE_QUANTITY", "DATA:NON_POSITIVE_PRICE"]
 
 
+def one_by_one(rows, final_at=None):
+    """The admission rule as plain Python over one session's (arrival, seconds, price, quantity, id, flags)."""
+    ids, newest_minute, last, out = set(), None, None, {}
+    for arrival, t, price, quantity, event, flags in sorted(rows):
+        checks = [
+            ("SOURCE_SUSPICIOUS" in flags, "SOURCE_SUSPICIOUS"), (price <= 0, "NON_POSITIVE_PRICE"), (quantity <= 0, "NON_POSITIVE_QUANTITY"), (event in ids, "DUPLICATE_SOURCE_ID"),
+            (final_at is not None and arrival > final_at or newest_minute is not None and t < newest_minute, "LATE"), (last is not None and t < last, "OUT_OF_ORDER"), (round(price * 4) != price * 4, "OFF_TICK_GRID"),
+        ]
+        out[arrival] = next((f"DATA:{name}" for bad, name in checks if bad), None)
+        newest_minute = max(newest_minute or 0, t - t % 60)
+        if out[arrival] is None:
+            last = t
+            ids.add(event)
+    return out
+
+
 def test_admission_equals_the_sequential_rule_on_a_hostile_tape(spark):
     rng = random.Random(1729)
     rows = [trade(i, 3 * i - (40 if rng.random() < 0.1 else 0), 100 + rng.choice([0, 0.25, 0.1]), rng.choice([0, 1, 2]), event=f"e{rng.randrange(150)}", root=rng.choice(["ES", "6E"])) for i in range(300)]
-    df = with_session(frame(spark, rows))
-    got = {r.arrival: r.reject_flag for r in admit(df).collect()}
-    pdf = df.withColumn("tick", price_to_tick(F.col("price"), F.col("minimum_tick"))).toPandas()
+    got = {r.arrival: r.reject_flag for r in admit(with_session(frame(spark, rows))).collect()}
     want = {}
-    for _, g in pdf.groupby(["root", "contract_symbol", "session_id"]):
-        out = admit_sequential(g)
-        want |= dict(zip(out.arrival, out.reject_flag))
-    assert {k: v for k, v in got.items()} == {int(k): v for k, v in want.items()}
+    for root in ("ES", "6E"):
+        want |= one_by_one([(r[-1], (r[2] - dt.datetime(2024, 3, 4)).total_seconds(), r[4], r[5], r[7], r[9]) for r in rows if r[0] == root])
+    assert got == want and len({v for v in want.values()}) >= 5
+
+
+def test_a_trade_after_its_session_was_closed_is_late(spark):
+    day = 24 * 3600
+    rows = [trade(0, 0, 100), trade(1, 60, 100), trade(2, day, 101), trade(3, 120, 100), trade(4, day + 60, 101)]
+    out = admit(with_session(frame(spark, rows)))
+    got = {r.arrival: (r.reject_flag, sorted(r.flags)) for r in out.select("arrival", "reject_flag", arrival_flags().alias("flags")).collect()}
+    assert got[3] == ("DATA:LATE", ["DATA:LATE", "DATA:LATE_TRADE_AFTER_FINAL_PROFILE"])
+    assert [got[i][0] for i in (0, 1, 2, 4)] == [None] * 4
+
+
+def test_sequence_numbers_repeat(spark):
+    rows = [(*trade(i, i, 100)[:7], None, n, [], "TRADE", i) for i, n in enumerate([1, 2, 1, 3, None])]
+    out = admit_ordered(with_session(frame(spark, rows))).select("arrival", "reject_flag", arrival_flags().alias("flags")).orderBy("arrival").collect()
+    assert [r.reject_flag for r in out] == [None, None, "DATA:DUPLICATE_SOURCE_SEQUENCE", None, None]
+    assert out[4].flags == ["DATA:DEDUPLICATION_UNVERIFIABLE"] and out[0].flags == []
+
+
+def test_identity_faults(spark):
+    rows = [trade(0, 0, 100), (*trade(1, 1, 100)[:6], 0.5, *trade(1, 1, 100)[7:]), trade(2, 2, 100, root="6E")]
+    got = identity_faults(with_session(frame(spark, rows))).collect()
+    assert [(r.root, r.ticks) for r in got] == [("ES", 2)]
+
+
+def test_value_area_against_unit_steps(spark):
+    rng = random.Random(3)
+    for _ in range(25):
+        h = {rng.randrange(0, 60): rng.choice([1, 2, 2, 5, 9]) for _ in range(rng.randrange(1, 14))}
+        fraction = rng.choice([0.3, 0.7, 0.95, 1.0])
+        row = shape(spark, h, fraction)
+        lo = hi = row.poc_tick
+        cum = h[lo]
+        while cum < fraction * sum(h.values()) and (lo > min(h) or hi < max(h)):
+            down, up = (h.get(lo - 1, 0) if lo > min(h) else None), (h.get(hi + 1, 0) if hi < max(h) else None)
+            go_down, go_up = down is not None and (up is None or down >= up), up is not None and (down is None or up >= down)
+            lo, hi, cum = lo - go_down, hi + go_up, cum + go_down * (down or 0) + go_up * (up or 0)
+        assert (row.val_tick, row.vah_tick) == (lo, hi), (h, fraction)
+
+
+def test_a_wide_profile_is_walked_by_its_entries(spark):
+    row = shape(spark, {0: 50.0, 5_000_000_000: 1.0, -7_000_000_000: 1.0, 10: 3.0}, 1.0)
+    assert (row.val_tick, row.vah_tick) == (-7_000_000_000, 5_000_000_000)
+
+
+def walk_of(spark, n, bad_at=None, root="ES", tick=0.25, quotes=False):
+    """A tape of a day and a half with one trade each two minutes, and one suspicious trade."""
+    rng = random.Random(11)
+    rows, price = [], 100.0
+    for i in range(n):
+        price += rng.choice([-tick, 0, tick])
+        r = list(trade(i, 120 * i, price, 1 + rng.randrange(4), root=root, flags=["SOURCE_SUSPICIOUS"] if i == bad_at else []))
+        r[6] = tick
+        rows.append(tuple(r))
+        if quotes and i % 3 == 0:
+            q = list(r)
+            q[4], q[5], q[7], q[10] = price + 40 * tick, 500.0, f"q{i}", "QUOTE"
+            rows.append(tuple(q))
+    return frame(spark, rows)
+
+
+SMALL = Policy(fast=10, medium=30, atr_bars=3, tod_min=2, imsi_tod_min=2, min_states=4, min_rarity=2, icm_windows={"ES": 6, "6E": 6})
+
+
+def test_flags_do_not_look_ahead(spark):
+    run = Measurement(walk_of(spark, 900, bad_at=820), None, SMALL, ordered=True)
+    rows = run.auction_state.orderBy("end").collect()
+    bad = [r for r in rows if "DATA:SOURCE_SUSPICIOUS" in r.quality_flags]
+    since = T0 + dt.timedelta(seconds=120 * 820)
+    assert bad and all(r.available_at > since for r in bad)
+    before = [r for r in rows if r.available_at <= since]
+    assert before and not any(f.startswith("DATA:") for r in before for f in r.quality_flags) and any(r.measurement_ready for r in before)
+
+
+def test_quotes_are_not_measured(spark):
+    with_quotes, without = (Measurement(walk_of(spark, 200, quotes=q), None, SMALL, ordered=True) for q in (True, False))
+    columns = ["end", "open", "high", "low", "close", "volume"]
+    assert with_quotes.fast.select(columns).exceptAll(without.fast.select(columns)).count() == 0
+    assert with_quotes.bins.agg(F.sum("volume")).first() == without.bins.agg(F.sum("volume")).first()
+    assert {r.counter: r.n for r in with_quotes.summary().collect()}["quotes"] == 67
+
+
+def test_each_contract_has_its_own_price_grid(spark):
+    run = Measurement(walk_of(spark, 1500, root="6E", tick=0.00005), None, SMALL, ordered=True)
+    rows = run.located.select("minimum_tick", "close_tick", "location").collect()
+    assert {r.minimum_tick for r in rows} == {0.00005} and all(r.close_tick is not None for r in rows)
+    off = auction.located(run.fast.withColumn("close", F.col("close") + 0.00001), run.references).filter("location <> 'no_reference'")
+    assert {r.location for r in off.select("location").collect()} == {"off_grid"}
+
+
+def test_retests_bind_their_own_gap(spark):
+    run = Measurement(walk_of(spark, 900), None, SMALL, ordered=True)
+    own = run.retest_synergy
+    assert own.count() == run.retests.count()
+    assert own.join(run.retests.select("root", "contract_symbol", "session_id", "end", F.col("parent_event_id").alias("gap_id")), ["root", "contract_symbol", "session_id", "end", "gap_id"]).count() == own.count()
+    events = run.events
+    assert events.filter("synergy_id is null or auction_id is null or data_hash is null").count() == 0
+    assert events.count() == events.select("event_id").distinct().count()
+
+
+def test_tables_are_written_by_contract(spark, tmp_path):
+    run = Measurement(walk_of(spark, 300), None, SMALL, ordered=True, stored=True)
+    run.write(f"file://{tmp_path}", ("fast", "bins", "auction_state"))
+    back = spark.read.parquet(f"file://{tmp_path}/fast")
+    assert back.count() == run.fast.count() and (tmp_path / "fast" / "root=ES" / "contract_symbol=ESH24").exists()
+    assert drop_stored(spark) > 0
 
 
 def test_bars_against_a_loop(spark):
@@ -124,8 +244,8 @@ def bar_frame(spark, prices, volume=10.0, session="s1", start=dt.datetime(2024,
     rows = []
     for i, (o, h, l, c) in enumerate(prices):  # noqa: E741
         a = start + dt.timedelta(minutes=5 * i)
-        rows.append(("ES", "ESH24", session, "rth", start, start + dt.timedelta(hours=9), a, a + dt.timedelta(minutes=5), float(o), float(h), float(l), float(c), volume, 1.0, None, None, True))
-    return spark.createDataFrame(rows, "root string, contract_symbol string, session_id string, session_type string, session_start timestamp_ntz, session_end timestamp_ntz, start timestamp_ntz, end timestamp_ntz, open double, high double, low double, close double, volume double, atr double, volume_z double, tod_flag string, atr_ready boolean")
+        rows.append(("ES", "ESH24", session, "rth", start, start + dt.timedelta(hours=9), a, a + dt.timedelta(minutes=5), float(o), float(h), float(l), float(c), volume, 1.0, None, None, True, 0.25))
+    return spark.createDataFrame(rows, "root string, contract_symbol string, session_id string, session_type string, session_start timestamp_ntz, session_end timestamp_ntz, start timestamp_ntz, end timestamp_ntz, open double, high double, low double, close double, volume double, atr double, volume_z double, tod_flag string, atr_ready boolean, minimum_tick double")
 
 
 BULL = [(99.5, 100, 99, 99.75), (100, 102.25, 99.75, 102), (101, 103, 100.5, 102)]
