@@ -28,8 +28,8 @@ from .pairs import dealt_to_blocks
 #: White space, that lines are trimmed of: bytes 9-13 and 32.
 SPACE = "\t\n\x0b\x0c\r "
 ALL = r"(?s)(?=(.....))"
-#: Shingles that begin with a Latin letter or digit of this set (code points 1 mod 4), or with any character from U+0100 on.
-SOME = r"(?s)(?=([aeimquy159\x{100}-\x{10ffff}]....))"
+#: Shingles that begin with a Latin letter or digit of this set (code points 1 mod 8), or with any character from U+0100 on.
+SOME = r"(?s)(?=([aiqy19\x{100}-\x{10ffff}]....))"
 #: A line is signed by SOME of its shingles if it has FEW of them or more, and by ALL if it has fewer than MANY.
 FEW, MANY = 24, 36
 #: Values of a line that make its ring.
@@ -42,8 +42,8 @@ LONG_RUN = 6
 STARTS = 12
 #: Lines of a block of a bucket whose lines are still apart.
 BLOCK = 1_000
-#: A pair is compared by its texts if its rings share this part of the values, less SLACK / sqrt(values): four standard deviations.
-SLACK = 1.6
+#: Least values of a line that a pair is judged by before its texts are compared, and what their count may fall short by, times its square root.
+SKETCH, SLACK = 256, 1.2
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -78,17 +78,17 @@ def _bands(length: int, kind: int, ring: str, n: str, every: str) -> Column:
 
 
 def _rings(hashed: DataFrame) -> DataFrame:
-    """(h, some, all, values) of each line of hashed(h, line): the least values it is signed by, of either kind or null, and how many ALL finds."""
+    """(h, some, all) of each line of hashed(h, line): the values it is signed by, of either kind or null."""
     low = hashed.select("h", F.lower("line").alias("low")).select("h", "low", _values(SOME).alias("some"))
-    both = low.select("h", F.when(F.size("some") >= FEW, F.col("some")).alias("some"), F.when(F.size("some") < MANY, _all_values()).alias("all"))
-    return both.select("h", F.slice("some", 1, RING).alias("some"), F.slice("all", 1, RING).alias("all"), F.size("all").alias("values"))
+    return low.select("h", F.when(F.size("some") >= FEW, F.col("some")).alias("some"), F.when(F.size("some") < MANY, _all_values()).alias("all"))
 
 
 def banded(hashed: DataFrame) -> DataFrame:
     """(h, bands) of each line of hashed(h, line): the keys of its runs."""
     longest = max(length for length, _, _ in RUNS)
     # each step is a projection of its own, as a lambda would make what it holds once a value
-    rings = _rings(hashed).select(
+    cut = _rings(hashed).select("h", F.slice("some", 1, RING).alias("some"), F.slice("all", 1, RING).alias("all"), F.size("all").alias("values"))
+    rings = cut.select(
         "h", "values", F.size("some").alias("n_some"), F.size("all").alias("n_all"),
         *(F.expr(f"concat({c}, slice(flatten(array_repeat({c}, {longest})), 1, {longest - 1}))").alias(c) for c in ("some", "all")),
     ).select("*", _every("n_some").alias("every_some"), _every("n_all").alias("every_all"))
@@ -110,28 +110,24 @@ def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(id, sketch) of texts(h, line): the rings as 31-bit numbers, and whether `all` is whole."""
-    short = lambda c: F.transform(c, lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    return _rings(texts).select(F.col("h").alias("id"), F.struct(short("some").alias("some"), short("all").alias("all"), (F.col("values") <= RING).alias("whole")).alias("sketch"))
+    """(id, sketch) of texts(h, line): the least of all the line's values as 31-bit numbers, and how many values there are."""
+    low = texts.select(F.col("h").alias("id"), F.lower("line").alias("low")).select("id", _all_values().alias("all"))
+    least = F.transform(F.slice("all", 1, SKETCH), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    return low.select("id", F.struct(least.alias("least"), F.size("all").alias("n")).alias("sketch"))
 
 
 def _alike(a: str, b: str, threshold: float) -> Column:
     """Whether two sketches allow a Jaccard of the threshold.
 
-    Two sets of that Jaccard share as large a part of the smaller one, and so do
-    their least values but for the noise of a sample; whole sets have none.
+    Sets of n and m values of that Jaccard J share (n + m) J / (1 + J). Of the k
+    least values of the larger set the same part is shared, but for the noise of a
+    sample; sets that are held whole have none.
     """
-
-    def part(kind: str, noise: Column) -> Column:
-        n = F.least(F.size(f"{a}.{kind}"), F.size(f"{b}.{kind}"))
-        return F.size(F.array_intersect(f"{a}.{kind}", f"{b}.{kind}")) >= n * threshold - noise * F.sqrt(n) - 1e-9
-
-    both_some = F.col(f"{a}.some").isNotNull() & F.col(f"{b}.some").isNotNull()
-    both_whole = F.col(f"{a}.whole") & F.col(f"{b}.whole")
-    whole = F.coalesce(both_whole, F.lit(False))
-    by_all = part("all", F.when(whole, 0.0).otherwise(SLACK))
-    # lines of which one has no ring of the other's kind are too unlike, or so near the border that the texts decide
-    return F.coalesce(F.when(whole, by_all).when(both_some, part("some", F.lit(SLACK))).otherwise(by_all), F.lit(True))
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    larger = F.greatest(n, m)
+    k = F.least(larger, F.lit(SKETCH))
+    noise = F.when(larger > SKETCH, SLACK * F.sqrt(k)).otherwise(0.0)
+    return F.size(F.array_intersect(f"{a}.least", f"{b}.least")) >= k * (n + m) / larger * (threshold / (1 + threshold)) - noise - 1e-9
 
 
 def _candidates(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
