@@ -2,10 +2,13 @@
 
 Documents are dealt to shards by a hash of their id; a shard packs its pieces
 from the longest down. A piece goes to the open bin it fits best; if it fits
-none, the bin size that costs least for what it can be expected to hold (the
-piece and the shorter pieces still to come) is opened. At the end each bin
-shrinks to the least permitted length that holds its contents. A document
-longer than the largest length is cut into pieces of that length and a rest.
+none, the bin size that costs least a token for what it can be expected to hold
+(the piece and the shorter pieces still to come) is opened. At the end each bin
+shrinks to the least permitted length that holds its contents. The sizes are
+chosen jointly: the shard is packed by that rule and once for each size that all
+bins may be opened with (longer pieces aside), and the packing that is cheapest
+after shrinking is kept. A document longer than the largest length is cut into pieces of that
+length and a rest.
 
 Only (doc_id, length) is shuffled, and shards have a fixed number of documents,
 so work and memory of a task do not grow with the corpus; each shard leaves a
@@ -24,7 +27,8 @@ SIZES = (512, 1024, 2048, 4096)
 #: Documents that one shard packs.
 SHARD = 20_000
 #: The cost of a sequence of n tokens is n + n * n / QUADRATIC + EACH (attention grows with the square; each sequence has a price).
-QUADRATIC, EACH = 16_384, 32
+#: A token costs least in a full sequence of sqrt(QUADRATIC * EACH) tokens, 2,048, so neither the smallest nor the largest size wins by itself.
+QUADRATIC, EACH = 65_536, 64
 
 
 def token_count(text: Column) -> Column:
@@ -38,12 +42,25 @@ def cost(size: int) -> float:
 
 
 def best_fit(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bin, offset, capacity) of each piece; no length is over max(sizes).
+    """(bin, offset, capacity) of each piece, by the cheapest of the packings that choose each bin's size or open all with one; no length is over max(sizes)."""
+    found = [_best_fit(lengths, tuple(sorted(sizes)), only) for only in (None, *sorted(sizes))]
+    return min(found, key=lambda x: packing_cost(x[0], x[2]))
+
+
+def packing_cost(bins: np.ndarray, capacity: np.ndarray) -> float:
+    """The cost of the sequences of a packing."""
+    if not len(bins):
+        return 0.0
+    first = np.unique(bins, return_index=True)[1]
+    return float(sum(cost(int(c)) for c in capacity[first]))
+
+
+def _best_fit(lengths: np.ndarray, sizes: tuple[int, ...], only: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best fit by falling length; a bin is opened with the size that costs least a token, or with `only`, or the least size that holds its first piece.
 
     Pieces are taken by falling length, ties by their order. `room` keeps the bins
     with r free tokens in stacks, and one integer's bits tell which r have any.
     """
-    sizes = tuple(sorted(sizes))
     order = np.argsort(-lengths, kind="stable")
     bins = np.empty(len(lengths), np.int64)
     offset = np.empty(len(lengths), np.int64)
@@ -63,7 +80,7 @@ def best_fit(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES) -> tuple[np.nd
                 some &= ~(1 << r)
         else:
             b = len(used)
-            able = [c for c in sizes if c >= n]
+            able = [only] if only and only >= n else [c for c in sizes if c >= n][: 1 if only else None]
             capacity = min(able, key=lambda c: (cost(c) / min(c, n + still), c))
             used.append(0)
             opened.append(capacity)
