@@ -25,9 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import sized_broadcast, store
 from .url_filter import host
 
+#: Elements nested deeper than this are read as part of the one that holds them; those that are left out still are.
+DEPTH = 200
+#: A label that comes back more often among its siblings, apart from runs, makes a repeated group.
+RETURNS = 3
+#: Cells of the table that aligns two lists of siblings; longer lists are aligned label by label.
+CELLS = 250_000
 #: Partial wrappers that a task holds before it passes them on.
 HELD_HOSTS = 5_000
 
@@ -117,20 +124,21 @@ def _is_main(label: str) -> bool:
 def parse(page: str | None) -> Node:
     """A tree of the page's elements and texts; unclosed and stray tags are mended, scripts, styles and markup comments left out."""
     root = Node("html", "html")
-    stack = [root]
+    # (tag, the node that takes what the element holds); below DEPTH an element has no node of its own
+    stack = [("html", root)]
     for m in _TOKEN.finditer(page or ""):
         if (text := m["text"]) is not None:
-            stack[-1].kids.append(text)
+            stack[-1][1].kids.append(text)
             continue
         if (tag := m["tag"]) is None:
             continue
         tag = tag.lower()
         if m["end"]:
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
+                if stack[i][0] == tag:
                     del stack[i:]
                     break
-                if tag in _INLINE and stack[i].tag not in _INLINE:
+                if tag in _INLINE and stack[i][0] not in _INLINE:
                     break
             continue
         if tag in ("html", "body"):
@@ -138,17 +146,23 @@ def parse(page: str | None) -> Node:
         if tag in _ENDS or tag not in _INLINE:
             ends = _ENDS.get(tag, set())
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p" or stack[i].tag in ends:
+                if stack[i][0] == "p" or stack[i][0] in ends:
                     del stack[i:]
-                    if stack[-1].tag not in ends:
+                    if stack[-1][0] not in ends:
                         break
-                elif stack[i].tag in _SCOPE:
+                elif stack[i][0] in _SCOPE:
                     break
         node = Node(tag, _label(tag, m["attr"] or ""))
-        stack[-1].kids.append(node)
-        if tag not in _VOID and not (m["attr"] or "").endswith("/"):
-            if len(stack) < 200:
-                stack.append(node)
+        leaf = tag in _VOID or (m["attr"] or "").endswith("/")
+        if len(stack) < DEPTH or leaf:
+            stack[-1][1].kids.append(node)
+            if not leaf:
+                stack.append((tag, node))
+        elif _is_out(node.label):
+            stack.append((tag, node))  # in no tree: what it holds is left out
+        else:
+            stack[-1][1].kids.append(" " if tag not in _INLINE else "")
+            stack.append((tag, stack[-1][1]))
     return root
 
 
@@ -188,13 +202,24 @@ def as_part(node: Node) -> Part:
 
 
 def fold(kids: list[Part]) -> list[Part]:
-    """Resolve labels that come back: a run becomes one repeated part, and a stretch between two of its kind a repeated group of optional parts."""
+    """Resolve labels that come back: a run becomes one repeated part, and if a label has many runs, what stands from its first to its last a repeated group of optional parts.
+
+    A sibling that comes back a few times stays a part of its own, so a text that is
+    the same on all pages is seen.
+    """
+    runs: list[Part] = []
+    for k in kids:
+        if runs and runs[-1].label == k.label:
+            runs[-1] = align(runs[-1], k, same_page=True)
+            runs[-1].rep = True
+        else:
+            runs.append(k)
     at: dict[str, list[int]] = {}
-    for i, k in enumerate(kids):
+    for i, k in enumerate(runs):
         at.setdefault(k.label, []).append(i)
-    spans = sorted((v[0], v[-1]) for v in at.values() if len(v) > 1)
+    spans = sorted((v[0], v[-1]) for v in at.values() if len(v) > RETURNS)
     if not spans:
-        return kids
+        return runs
     merged = [list(spans[0])]
     for a, b in spans[1:]:
         if a <= merged[-1][1]:
@@ -203,21 +228,16 @@ def fold(kids: list[Part]) -> list[Part]:
             merged.append([a, b])
     out, done = [], 0
     for a, b in merged:
-        out += kids[done:a]
+        out += runs[done:a]
         group: dict[str, Part] = {}
-        for k in kids[a : b + 1]:
+        for k in runs[a : b + 1]:
             for x in k.kids if k.label == "()" else [k]:
                 group[x.label] = align(group[x.label], x, same_page=True) if x.label in group else x
-        if len(group) == 1:
-            (only,) = group.values()
-            only.rep = True
-            out.append(only)
-        else:
-            for x in group.values():
-                x.opt = True
-            out.append(Part("()", list(group.values()), rep=True, pages=max(x.pages for x in group.values()), chars=sum(x.chars for x in group.values()), links=sum(x.links for x in group.values())))
+        for x in group.values():
+            x.opt = True
+        out.append(Part("()", list(group.values()), rep=True, pages=max(x.pages for x in group.values()), chars=sum(x.chars for x in group.values()), links=sum(x.links for x in group.values())))
         done = b + 1
-    return out + kids[done:]
+    return out + runs[done:]
 
 
 def _absorb(a: list[Part], b: list[Part]) -> list[Part]:
@@ -254,26 +274,50 @@ def align(a: Part, b: Part, same_page: bool = False) -> Part:
         return out
     y = _absorb(x, y)
     x = _absorb(y, x)
+    i = j = 0
+    for p, q in _pairs([k.label for k in x], [k.label for k in y]):
+        for k in (*x[i:p], *y[j:q]):
+            k.opt = True
+            out.kids.append(k)
+        if p < len(x) and q < len(y):
+            out.kids.append(align(x[p], y[q], same_page))
+        i, j = p + 1, q + 1
+    out.kids = fold(out.kids)
+    return out
+
+
+def _pairs(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Index pairs of equal labels of both lists, rising in both, as many as can be; then the ends. Long lists pair equal ends and then each label with its next place."""
     n, m = len(x), len(y)
+    out = []
+    if n * m > CELLS:
+        places: dict[str, list[int]] = {}
+        for j in range(m - 1, -1, -1):
+            places.setdefault(y[j], []).append(j)
+        last = -1
+        for i, label in enumerate(x):
+            rest = places.get(label, [])
+            while rest and rest[-1] <= last:
+                rest.pop()
+            # a far jump would leave the labels between without a partner
+            if rest and rest[-1] - last <= 64:
+                last = rest.pop()
+                out.append((i, last))
+        return [*out, (n, m)]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i].label == y[j].label else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
     i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and x[i].label == y[j].label:
-            out.kids.append(align(x[i], y[j], same_page))
+    while i < n and j < m:
+        if x[i] == y[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j >= m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            x[i].opt = True
-            out.kids.append(x[i])
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            y[j].opt = True
-            out.kids.append(y[j])
             j += 1
-    out.kids = fold(out.kids)
-    return out
+    return [*out, (n, m)]
 
 
 def expression(part: Part) -> str:
@@ -461,6 +505,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     space inside a block becomes one space, blocks are joined by \\n, an inline
     element does not break a block and a line break (br) is white space.
     """
+    ship(pages.sparkSession)
     found = store(wrappers(pages).select("host", "decision"), "wrappers")
     named = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     joined = named.join(sized_broadcast(found, F.length("decision") + F.length("host") + 40), "host", "left")
