@@ -9,21 +9,26 @@ fixes where the window must start (positional bound) and end (length bound), and
 the candidate is verified word by word.
 
 The window index goes to the tasks in blocks of a fixed number of windows, so
-its size is bounded; a larger benchmark takes more blocks.
+its size is bounded; a benchmark with more windows takes one reading of the
+documents for each block, and the findings of a row are put together by a number
+that the row is given, so the result is the same with any number of blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import sized_broadcast, store
 from .wordvec import WORD_TABLE, as_bytes, batches, span_hashes, words
 
 #: Windows, or benchmark words, that one block sends to the tasks (about 25 MB of windows).
 BLOCK = 200_000
+#: Candidates, of a word that many windows are filed under, that a task verifies at once.
+CANDIDATES = 2_000_000
 
 
 def _window_rows(n_words: int):
@@ -91,7 +96,11 @@ class _Block:
         low, high = np.searchsorted(self.word, h), np.searchsorted(self.word, h, "right")
         at = np.flatnonzero(high > low)
         n = (high - low)[at]
-        row = np.repeat(low[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        found = [self._verified(w, at[part], low[at[part]], n[part]) for part in _parts(n)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+
+    def _verified(self, w, at: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
         start = np.repeat(at, n) - self.place[row]
         doc = np.repeat(w.doc[at], n)
         fits = (start >= w.first[doc]) & (start + self.size[row] <= w.first[doc + 1])
@@ -102,6 +111,17 @@ class _Block:
         return row[exact], start[exact]
 
 
+def _parts(n: np.ndarray):
+    """Slices of n whose sums are at most CANDIDATES, but for single places."""
+    ends = np.cumsum(n)
+    start = 0
+    while start < len(n):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + CANDIDATES, "right")))
+        yield slice(start, stop)
+        start = stop
+
+
 def _hit_rows(rows: pa.Table, item_type: pa.DataType):
     def run(it):
         block = _Block(rows)
@@ -136,26 +156,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n_words: int = 10) -> D
     read. Words are ASCII letters and digits and all bytes from 0x80 on, A-Z
     lower-cased. Null and empty texts have no words, no items and no hits; an item
     without words has no window; an empty benchmark hits nothing; repeated items
-    count by their item_id. A null doc_id stays null.
+    count by their item_id. A null or repeated doc_id is a row of its own and stays.
     """
-    spark: SparkSession = docs.sparkSession
+    ship(docs.sparkSession)
     index = store(window_index(docs, benchmark, n_words), "index")
     blocks = max(1, -(-index.count() // BLOCK))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, items array<{index.schema['item_id'].dataType.simpleString()}>, hit_words array<int>"
-    parts = []
-    for k in range(blocks):
-        rows = index.filter(F.pmod(F.hash("word", "window", "item_id"), blocks) == k).toArrow()
-        parts.append(docs.select("doc_id", "text").mapInArrow(_hit_rows(rows, rows.schema.field("item_id").type), schema))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    found = f"n_words long, items array<{index.schema['item_id'].dataType.simpleString()}>, hit_words array<int>"
+
+    def hits(rows: DataFrame, kind: str, k: int) -> DataFrame:
+        part = index.filter(F.pmod(F.hash("word", "window", "item_id"), blocks) == k).toArrow()
+        return rows.mapInArrow(_hit_rows(part, part.schema.field("item_id").type), f"doc_id {kind}, {found}")
+
     if blocks == 1:
-        return parts[0]
-    found = parts[0]
+        return hits(docs.select("doc_id", "text"), id_type, 0)
+    # rows are told apart by a number of their own, as ids may repeat or be null
+    numbered = store(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "numbered")
+    parts = [hits(numbered.select(F.col("row").alias("doc_id"), "text"), "long", k) for k in range(blocks)]
+    both = parts[0]
     for x in parts[1:]:
-        found = found.unionByName(x)
-    return found.groupBy("doc_id").agg(
+        both = both.unionByName(x)
+    whole = both.groupBy(F.col("doc_id").alias("row")).agg(
         F.max("n_words").alias("n_words"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
         F.array_distinct(F.flatten(F.collect_list("hit_words"))).alias("hit_words"),
     )
+    return numbered.select("row", "doc_id").join(whole, "row").drop("row")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n_words: int = 10) -> DataFrame:
