@@ -1,11 +1,12 @@
 """Substring dedup by level-wise doubling of repeated word windows.
 
-A passage that repeats at 20 words repeats at 5. So windows of a quarter of the
-wanted length are compared first, thinned to anchors: the least of some run of
-neighbouring windows, so that each window of the full length holds an anchor and
-equal windows hold equal ones. Windows of the full length are formed only where
-their anchor occurs twice (two doublings in one step, as one pass over the text
-gives both), hashed with 96 bits and compared.
+A passage that repeats at 20 words repeats at 10 and at 5. So short windows are
+compared first, and only what repeats at one length is looked at again at twice
+that length, until the wanted length is reached or no candidate is left. Below
+the full length windows are thinned to anchors: each window of the full length
+has as its anchor the least of the shorter windows inside it, so equal windows
+have equal anchors, and a full window is a candidate of the next level only if
+its anchor occurs twice. Windows are hashed with 96 bits.
 
 Rows move as (hash, doc, place), one for each key and chunk of a task: within a
 chunk the task itself knows which places repeat an earlier one, so the rows of a
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import sized_broadcast, store
 from .wordvec import as_bytes, batches, mix, span_hashes, words
 
@@ -31,26 +33,32 @@ _SALT = np.uint64(0x5851F42D4C957F2D)
 CHUNK = 600_000
 
 
-def anchor_places(w, small: int, full: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a batch: the first words and hashes of windows of `small` words, and for each window of `full` words its anchor's first word.
+#: Words of the first level, at least.
+FIRST = 4
 
-    The third array is by word; it is -1 where no window of `full` words starts.
-    """
-    at, h = w.windows(small)
-    run = full - small + 1
-    own = np.full(len(w.hashes), -1, np.int64)
-    starts, _ = w.windows(full)
-    if not len(starts):
-        return at[:0], h[:0], own
+
+def levels(n_words: int) -> list[int]:
+    """Window lengths from the shortest on, each at most twice the one before; the last is n_words."""
+    out = [n_words]
+    while -(-out[0] // 2) >= FIRST:
+        out.insert(0, -(-out[0] // 2))
+    return out
+
+
+def anchors(w, size: int, full: int, starts: np.ndarray) -> np.ndarray:
+    """For each start of a window of `full` words, the first word of the least window of `size` words inside it, by its hash."""
+    if size == full or not len(starts):
+        return starts
+    at, h = w.windows(size)
     where = np.full(len(w.hashes), -1, np.int64)
     where[at] = np.arange(len(at))
-    first = where[starts]  # the windows of `small` words inside are first .. first+run-1, all of one text
-    view = np.lib.stride_tricks.sliding_window_view(h, run)
+    first = where[starts]  # the windows of `size` words inside are first .. first+full-size, all of one text
+    view = np.lib.stride_tricks.sliding_window_view(h, full - size + 1)
+    out = np.empty(len(starts), np.int64)
     for i in range(0, len(starts), 200_000):
         part = first[i : i + 200_000]
-        own[starts[i : i + 200_000]] = at[part + view[part].argmin(axis=1)]
-    chosen = np.unique(own[starts])
-    return chosen, h[where[chosen]], own
+        out[i : i + 200_000] = at[part + view[part].argmin(axis=1)]
+    return out
 
 
 class _Chunk:
@@ -87,38 +95,26 @@ class _Chunk:
         )
 
 
-def _anchor_rows(small: int, full: int):
-    def run(it):
-        chunk = _Chunk(True)
-        for batch in it:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            for part in batches(texts):
-                w = words(as_bytes(texts[part]))
-                at, h, _ = anchor_places(w, small, full)
-                doc = w.doc[at]
-                yield from chunk.add(h, np.zeros(len(h), np.uint64), ids[part][doc], at - w.first[doc])
-        yield from chunk.take()
-
-    return run
-
-
-def _window_rows(small: int, full: int):
-    """The windows of `full` words whose anchor is among the text's surviving anchors."""
+def _level_rows(size: int, before: int | None, full: int):
+    """The anchors of one level, of `size` words, of the full windows whose anchor at the level before is among the text's surviving ones."""
 
     def run(it):
-        chunk = _Chunk(False)
+        last = size == full
+        chunk = _Chunk(not last)
         for batch in it:
-            ids, texts, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), batch.column(2)
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for part in batches(texts):
                 w = words(as_bytes(texts[part]))
-                _, _, own = anchor_places(w, small, full)
-                lists = marks[part.start : part.stop]
-                sizes = np.array([len(x) for x in lists], np.int64)
-                marked = np.zeros(len(w.hashes) + 1, bool)
-                marked[lists.flatten().to_numpy(zero_copy_only=False) + np.repeat(w.first[:-1], sizes)] = True
-                at = np.flatnonzero((own >= 0) & marked[own])
-                h = span_hashes(w.hashes, at, at + full)
-                h2 = span_hashes(mix(w.hashes + _SALT), at, at + full) >> np.uint64(32)
+                starts, _ = w.windows(full)
+                if before is not None:
+                    lists = batch.column(2)[part.start : part.stop]
+                    sizes = np.array([len(x) for x in lists], np.int64)
+                    marked = np.zeros(len(w.hashes) + 1, bool)
+                    marked[lists.flatten().to_numpy(zero_copy_only=False) + np.repeat(w.first[:-1], sizes)] = True
+                    starts = starts[marked[anchors(w, before, full, starts)]]
+                at = np.unique(anchors(w, size, full, starts))
+                h = span_hashes(w.hashes, at, at + size)
+                h2 = span_hashes(mix(w.hashes + _SALT), at, at + size) >> np.uint64(32)
                 yield from chunk.add(h, h2, ids[part][w.doc[at]], at - w.first[w.doc[at]])
         yield from chunk.take()
 
@@ -139,20 +135,20 @@ def _ranges(it):
 def repeated_windows(docs: DataFrame, n_words: int = 20) -> DataFrame:
     """(doc_id, runs): first and last starts of the runs of windows of n_words words whose words also start earlier.
 
-    Earlier: in a smaller doc_id, or before in the same text. n_words is a multiple
-    of 4. Texts of fewer words, null and empty ones have no window; texts that
-    are copies of a smaller doc_id's text are left out (all their windows repeat).
+    Earlier: in a smaller doc_id, or before in the same text. Texts of fewer words,
+    null and empty ones have no window.
     """
-    small = n_words // 4
-    if n_words % 4:
-        raise ValueError("the window length doubles twice, so it must be a multiple of 4")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = f"h long, h2 int, doc_id {id_type}, pos int, again boolean"
-    marks = docs.mapInArrow(_anchor_rows(small, n_words), rows)
-    twice = marks.withColumn("n", F.count("*").over(Window.partitionBy("h"))).filter("again or n > 1")
-    alive = store(twice.groupBy("doc_id").agg(F.collect_list("pos").alias("alive")), "alive")
-    around = docs.join(sized_broadcast(alive, F.size("alive") * 4 + 24), "doc_id")
-    grown = around.select("doc_id", "text", "alive").mapInArrow(_window_rows(small, n_words), rows)
+    around, before = docs.select("doc_id", "text"), None
+    for size in levels(n_words)[:-1]:
+        marks = around.mapInArrow(_level_rows(size, before, n_words), rows)
+        twice = marks.withColumn("n", F.count("*").over(Window.partitionBy("h", "h2"))).filter("again or n > 1")
+        alive = store(twice.groupBy("doc_id").agg(F.collect_list("pos").alias("alive")), "alive")
+        around, before = docs.join(sized_broadcast(alive, F.size("alive") * 4 + 24), "doc_id").select("doc_id", "text", "alive"), size
+        if not alive.head(1):
+            break
+    grown = around.mapInArrow(_level_rows(n_words, before, n_words), rows)
     first = F.min(F.struct("doc_id", "pos")).over(Window.partitionBy("h", "h2"))
     later = grown.withColumn("first", first).filter(F.col("again") | (F.struct("doc_id", "pos") > F.col("first")))
     return later.groupBy("doc_id").agg(F.collect_list("pos").alias("starts")).mapInArrow(_ranges, f"doc_id {id_type}, runs array<int>")
@@ -201,6 +197,7 @@ def substring_dedup(docs: DataFrame, n_words: int = 20, with_text: bool = False)
     have no words; an empty table gives no rows; ties (equal windows) go to the
     least (doc_id, place). Windows are judged on the input, not on what is left.
     """
+    ship(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     base = docs.select("doc_id", "text")
     same = base.filter(F.length("text") > 0).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
