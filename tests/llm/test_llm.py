@@ -69,6 +69,15 @@ def test_substring_dedup(spark, monkeypatch, chunk):
     assert got == brute_substrings(texts, 20)
 
 
+@pytest.mark.parametrize("n", [3, 7, 10, 33])
+def test_substring_dedup_of_other_lengths(spark, n):
+    assert substring_dedup.levels(33) == [5, 9, 17, 33] and substring_dedup.levels(20) == [5, 10, 20]
+    rng = np.random.default_rng(n)
+    texts = [" ".join(rng.choice(["x", "y", "z"], int(rng.integers(0, 120)))) for _ in range(25)] + awkward()[:3]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(docs_of(spark, texts), n).collect()}
+    assert got == brute_substrings(texts, n)
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substring_dedup.substring_dedup(docs_of(spark, [])).count() == 0
 
@@ -163,14 +172,76 @@ def test_pairs_of_families_in_one_bucket(spark, monkeypatch):
 
 
 def test_lines_of_families_in_one_bucket(spark, monkeypatch):
-    # all lines share every band; 30 families of two lines are linked only among themselves
-    monkeypatch.setattr(line_dedup, "signatures", lambda lines: np.zeros((len(lines), line_dedup.PLACES), np.uint16))
+    # all lines share one band, dealt to blocks of seven; 30 families of two lines are linked only among themselves
+    monkeypatch.setattr(line_dedup, "BLOCK", 7)
+    monkeypatch.setattr(line_dedup, "banded", lambda hashed: hashed.select("h", F.array(F.lit(1).cast("long")).alias("bands")))
     base = [" ".join(words(50 + i, 12)) for i in range(30)]
     df = spark.createDataFrame([(x,) for b in base for x in (b, b + "z")], "line string")
     comp = line_dedup.similar_lines(df, 0.8).collect()
     assert len(comp) == 60 and len({r.comp for r in comp}) == 30
 
 
+def edited(rng, text, edits):
+    text = list(text)
+    for _ in range(edits):
+        p = int(rng.integers(0, len(text)))
+        kind = rng.random()
+        if kind < 0.6:
+            text[p] = rng.choice(list("abcdefghij "))
+        elif kind < 0.8:
+            text.insert(p, "x")
+        elif len(text) > 6:
+            del text[p]
+    return "".join(text)
+
+
+def test_bands_of_near_lines(spark):
+    """Lines of 6 to 2,000 characters in three scripts, edited to a Jaccard from 0.8 on: nearly all share a band, and no sketch rejects one."""
+    rng = np.random.default_rng(11)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщыэюя", "日一国会人年大十二本中長出三同時政事自行社見月分議後前民生連五発間対上部東者党地合市業内相方四定今回新場金員九入選立開手米力学問高代明実円"]
+    rows = []
+    while len(rows) < 1500:
+        letters = list(alphabets[int(rng.integers(0, 3))])
+        a = " ".join("".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(int(rng.choice([1, 3, 8, 20, 60, 300]))))
+        b = edited(rng, a, int(rng.choice([1, 2, 4, 8, 16, 40])))
+        if len(a) >= 6 and 0.8 <= jaccard(a, b) < 1:
+            rows.append((len(rows), a, b, float(jaccard(a, b))))
+    df = spark.createDataFrame(rows, "i long, a string, b string, j double")
+    a, b = df.select(F.col("i").alias("h"), F.col("a").alias("line")), df.select(F.col("i").alias("h"), F.col("b").alias("line"))
+    both = line_dedup.banded(a).select("h", F.col("bands").alias("x")).join(line_dedup.banded(b).select("h", F.col("bands").alias("y")), "h")
+    found = {r.h: r.ok for r in both.select("h", F.arrays_overlap("x", "y").alias("ok")).collect()}
+    assert np.mean([found[r[0]] for r in rows if r[3] < 0.85]) >= 0.97 and np.mean(list(found.values())) >= 0.99
+    sketch = line_dedup.sketches(a).select(F.col("id"), F.col("sketch").alias("sa")).join(line_dedup.sketches(b).select("id", F.col("sketch").alias("sb")), "id")
+    alike = {r.id: r.ok for r in sketch.select("id", line_dedup._alike("sa", "sb", 0.8).alias("ok")).collect()}
+    assert np.mean(list(alike.values())) >= 0.998
+
+
+def test_unlike_lines_share_no_component(spark):
+    rng = np.random.default_rng(12)
+    lines = sorted({" ".join("".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(int(rng.integers(1, 40)))) for _ in range(400)})
+    df = spark.createDataFrame([(x,) for x in lines + [edited(rng, x, int(rng.integers(1, 12))) for x in lines]], "line string")
+    text = {r.h: r.line for r in df.select(F.xxhash64("line").alias("h"), "line").collect()}
+    parent = {h: h for h in text}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = {h: {t[p : p + 5] for p in range(max(1, len(t) - 4))} for h, t in text.items()}
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    got = {r.id: r.comp for r in line_dedup.similar_lines(df, 0.8).collect()}
+    assert all(got.get(i, i) in {k for k in ids if find(k) == find(i)} for i in ids)
+    joined = [i for i in ids if find(i) != i]
+    assert np.mean([i in got for i in joined]) >= 0.97
+
+
 def test_decontamination(spark):
     item = words(5, 25)
     bench = spark.createDataFrame([(7, " ".join(item)), (10, "Short Item, here!"), (11, None), (12, "...")], "item_id long, text string")
@@ -190,6 +261,45 @@ def test_decontamination_in_blocks(spark, monkeypatch, real):
     assert whole == parts and any(x[1] for x in whole.values())
 
 
+def test_decontamination_keeps_rows_with_one_id(spark, monkeypatch):
+    item = " ".join(words(5, 14))
+    bench = spark.createDataFrame([(7, item), (8, "one two three")], "item_id long, text string")
+    rows = [(1, item), (1, item), (1, "one two three"), (None, None), (None, "x " + item), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for block in (200_000, 2):
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        got = decontaminate.contamination(docs, bench).collect()
+        found.append(sorted((str(r.doc_id), r.n_words, sorted(r["items"]), sorted(r.hit_words)) for r in got))
+    assert found[0] == found[1] and len(found[0]) == 6
+    assert [x for x in found[0] if x[0] == "1"] == [("1", 3, [8], [0, 1, 2]), ("1", 14, [7], list(range(14))), ("1", 14, [7], list(range(14)))]
+
+
+def brute_contamination(texts, bench, n=10):
+    split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))))
+    windows = [(item, tuple(w[p : p + n])) for item, t in bench for w in [split(t)] for p in range(max(1, len(w) - n + 1)) if w]
+    out = {}
+    for i, t in texts:
+        w = split(t)
+        hit, items = set(), set()
+        for item, x in windows:
+            for p in range(len(w) - len(x) + 1):
+                if tuple(w[p : p + len(x)]) == x:
+                    hit |= set(range(p, p + len(x)))
+                    items.add(item)
+        out[i] = len(w), sorted(items), sorted(hit)
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    draw = lambda n: " ".join(rng.choice(["a", "b", "the", "C", "d3"], n))
+    bench = [(i, draw(int(rng.integers(0, 14)))) for i in range(30)]
+    texts = [(i, draw(int(rng.integers(0, 200)))) for i in range(40)]
+    got = decontaminate.contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, sorted(r["items"]), sorted(r.hit_words)) for r in got} == brute_contamination(texts, bench)
+
+
 def test_language_model(real):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
     got = {r.doc_id: r for r in language_model.score(real, held != 2).collect()}
@@ -284,6 +394,46 @@ def test_packing(spark):
     assert lengths.sum() / sum(items[0][2] for items in by.values()) > 0.95
 
 
+def least_cost(lengths):
+    """The cost of the best packing, over all ways to split the pieces into bins."""
+    best = float("inf")
+
+    def place(rest, loads):
+        nonlocal best
+        if not rest:
+            best = min(best, sum(packing.cost(min(c for c in packing.SIZES if c >= x)) for x in loads))
+            return
+        for i in range(len(loads)):
+            if loads[i] + rest[0] <= packing.SIZES[-1]:
+                place(rest[1:], [*loads[:i], loads[i] + rest[0], *loads[i + 1 :]])
+        place(rest[1:], [*loads, rest[0]])
+
+    place(list(lengths), [])
+    return best
+
+
+def test_packing_against_all_packings():
+    rng = np.random.default_rng(6)
+    ratios, opened = [], set()
+    for _ in range(60):
+        lengths = rng.choice([rng.integers(1, 500, 7), rng.integers(100, 2048, 7), rng.integers(1, 4097, 7)])[: int(rng.integers(1, 8))]
+        bins, _, capacity = packing.best_fit(lengths)
+        opened |= set(capacity.tolist())
+        ratios.append(packing.packing_cost(bins, capacity) / least_cost(lengths))
+    assert np.mean(ratios) < 1.03 and max(ratios) < 1.25 and min(ratios) >= 1 - 1e-12
+    assert opened == set(packing.SIZES)
+
+
+def test_packing_chooses_sizes_jointly():
+    rng = np.random.default_rng(9)
+    small = rng.integers(1, 300, 400)
+    assert set(packing.best_fit(small)[2].tolist()) & {2048}
+    bins, _, capacity = packing.best_fit(np.array([600, 500]))
+    assert capacity.tolist() == [2048, 2048] or capacity.tolist() == [1024, 512]
+    alone = [packing._best_fit(small, packing.SIZES, only) for only in (None, *packing.SIZES)]
+    assert packing.packing_cost(*packing.best_fit(small)[::2]) == min(packing.packing_cost(b, c) for b, _, c in alone)
+
+
 def test_packing_of_documents(spark):
     texts = [None, "", "a b c", "a b c", " ".join("w" for _ in range(10_000))]
     rows = packing.pack(docs_of(spark, texts, True)).collect()
@@ -307,6 +457,36 @@ def test_html_extraction(spark):
         assert got[i].text == f"Title {i} & more\nFirst bold {i * 7}. next\nSecond <{i}> é\none {i}\ntwo"
         assert got[i].n_chars == len(got[i].text)
     assert got[10].text == got[11].text == "" and got[12].text == "loose text\nmore" and got[13].text == "unclosed tag"
+    # without the wrapper of the host nothing tells the template's line from the article
+    assert html_extract.extract(rows[0][2], {}).endswith("Share this page")
+
+
+def test_html_extraction_edge_cases(spark):
+    deep = "<div>" * 400 + "<nav>menu</nav>inside" + "<nav>" * 3 + "more menu" + "</nav>" * 3 + "</div>" * 400
+    rows = [(1, "http://a.example/", "<article><p>one</p></article>", 5), (1, "http://a.example/", "<article><p>one</p></article>", 5), (None, None, "<p>x</p>", 6), (2, "http://b.example/", deep, 7), (3, "http://c.example/", "<p>" + "long " * 100_000, 8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    got = sorted(((r.page_id or 0, r.text.strip()) for r in html_extract.extract_text(df).collect()), key=lambda x: (x[0], x[1][:9]))
+    assert got[:4] == [(0, "x"), (1, "one"), (1, "one"), (2, "inside")] and got[4][1] == ("long " * 100_000).strip()
+    assert html_extract.extract_text(df.limit(0)).count() == 0
+
+
+def test_wrappers_do_not_depend_on_the_order_of_pages():
+    pages = [f"<article><h2>t{i}</h2><p>a{i}</p>{'<ul><li>x<li>y</ul>' if i % 2 else ''}<p>Share</p></article>" for i in range(6)]
+    found = []
+    for order in (range(6), [5, 3, 1, 0, 2, 4]):
+        parts = [html_extract.as_part(html_extract.parse(pages[i])) for i in order]
+        whole = parts[0]
+        for p in parts[1:]:
+            whole = html_extract.align(whole, p)
+        decision = html_extract.decide(whole)
+        found.append([html_extract.extract(p, decision) for p in pages])
+    assert found[0] == found[1] and all("Share" not in t for t in found[0]) and found[0][1] == "t1\na1\nx\ny"
+
+
+def test_alignment_of_long_lists():
+    x = [f"l{i % 50}" for i in range(1200)]
+    pairs_found = html_extract._pairs(x, x[3:])
+    assert len(pairs_found) > 1000 and all(i == len(x) or x[i] == x[3:][j] for i, j in pairs_found)
 
 
 def test_html_extraction_by_late_class_words(spark):
