@@ -7,7 +7,7 @@ import re
 import numpy as np
 
 from .policy import SPARSE
-from .sources.dims import session_rows
+from .sources.dims import CLOSURE_ROWS, market_rows, session_rows
 
 
 def _values(rows) -> str:
@@ -172,12 +172,53 @@ WITH RECURSIVE moves AS (SELECT root, contract_symbol, "end", (close - lag(close
 ema AS (SELECT root, contract_symbol, "end", n, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down FROM moves WHERE n = 1 UNION ALL
   SELECT m.root, m.contract_symbol, m."end", m.n, {SPARSE.rsi_alpha} * greatest(f, 0) + (1 - {SPARSE.rsi_alpha}) * up, {SPARSE.rsi_alpha} * greatest(-f, 0) + (1 - {SPARSE.rsi_alpha}) * down FROM ema e JOIN moves m ON m.root = e.root AND m.contract_symbol = e.contract_symbol AND m.n = e.n + 1)
 SELECT * FROM ema WHERE n > 1)) USING (root, contract_symbol, "end")""",
+    "momentum": f"""SELECT *, CASE WHEN adjusted IS NOT NULL THEN count(adjusted) OVER (PARTITION BY root, contract_symbol ORDER BY "end") END AS k, 1 + row_number() OVER (PARTITION BY root, contract_symbol ORDER BY "end") AS seq
+FROM (SELECT root, contract_symbol, session_id, "end", available_at, CASE WHEN count(*) OVER w >= {SPARSE.imsi_tod_min} THEN vwrsi - median(vwrsi) OVER w END AS adjusted, vwap_distance
+  FROM (SELECT *, CAST(floor(epoch(start - session_start) / {SPARSE.medium * 60}) AS INTEGER) AS slot FROM rsi JOIN (SELECT root, contract_symbol, "end", (close - v) / v * 100 AS vwap_distance FROM (SELECT *, sum(close * volume) OVER w / sum(volume) OVER w AS v FROM medium WINDOW w AS (PARTITION BY {_S} ORDER BY "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))) USING (root, contract_symbol, "end"))
+  WINDOW w AS (PARTITION BY root, contract_symbol, session_type, slot ORDER BY "end" ROWS BETWEEN {SPARSE.tod_sessions} PRECEDING AND 1 PRECEDING))""",
+    "ellipse": f"""SELECT *, rho0 * (1 - delta) AS rho FROM (SELECT *, least(greatest((1 - rho0 * rho0) / (n_eff * rho0 * rho0 + 1e-10), {SPARSE.shrink[0]}), {SPARSE.shrink[1]}) AS delta
+  FROM (SELECT *, CASE WHEN vx > {_E} AND vy > {_E} THEN least(greatest(vxy / sqrt(vx * vy), -1), 1) END AS rho0
+    FROM (SELECT root, contract_symbol, k, seq, "end", x, y, n, x + ex AS mx, y + ey AS my, exx - ex * ex AS vx, eyy - ey * ey AS vy, exy - ex * ey AS vxy, n_eff
+      FROM (SELECT a.root, a.contract_symbol, a.k, a.seq, a."end", a.adjusted AS x, a.vwap_distance AS y, count(*) AS n, sum(w * (b.adjusted - a.adjusted)) / sum(w) AS ex, sum(w * (b.vwap_distance - a.vwap_distance)) / sum(w) AS ey,
+          sum(w * pow(b.adjusted - a.adjusted, 2)) / sum(w) AS exx, sum(w * pow(b.vwap_distance - a.vwap_distance, 2)) / sum(w) AS eyy, sum(w * (b.adjusted - a.adjusted) * (b.vwap_distance - a.vwap_distance)) / sum(w) AS exy, pow(sum(w), 2) / sum(w * w) AS n_eff
+        FROM (SELECT a.*, b.k AS bk, pow({SPARSE.ewma_decay}::DOUBLE, a.k - 1 - b.k) AS w, b.adjusted AS b_adjusted, b.vwap_distance AS b_vwap FROM momentum a JOIN momentum b ON a.root = b.root AND a.contract_symbol = b.contract_symbol AND b.k BETWEEN a.k - {SPARSE.max_states} AND a.k - 1) a, LATERAL (SELECT a.b_adjusted AS adjusted, a.b_vwap AS vwap_distance) b
+        GROUP BY ALL))))""",
+    "apart": f"""SELECT *, CASE WHEN n >= {SPARSE.min_states} AND rho IS NOT NULL AND 1 - rho * rho > {_E} AND (1 + abs(rho)) / (1 - abs(rho)) <= {SPARSE.max_condition} THEN sqrt(greatest((pow((x - mx) / sqrt(vx), 2) - 2 * rho * (x - mx) * (y - my) / sqrt(vx * vy) + pow((y - my) / sqrt(vy), 2)) / (1 - rho * rho), 0)) END AS distance FROM ellipse""",
+    "near": f"""SELECT root, contract_symbol, "end", list_sort(list(d))[1:{SPARSE.neighbours}] AS near FROM (SELECT a.root, a.contract_symbol, a."end", sqrt(greatest((pow((b.adjusted - x) / sqrt(vx), 2) - 2 * rho * (b.adjusted - x) * (b.vwap_distance - y) / sqrt(vx * vy) + pow((b.vwap_distance - y) / sqrt(vy), 2)) / (1 - rho * rho), 0)) AS d
+  FROM apart a JOIN momentum b ON a.root = b.root AND a.contract_symbol = b.contract_symbol AND b.k BETWEEN a.k - {SPARSE.max_states} AND a.k - 1 AND b.seq <= a.seq - {SPARSE.embargo} WHERE distance IS NOT NULL) GROUP BY ALL""",
+    "rare": f"""SELECT a.root, a.contract_symbol, a."end", count(b.m) AS before, avg(CASE WHEN b.distance <= a.distance THEN 1.0::DOUBLE ELSE 0 END) FILTER (b.m IS NOT NULL) AS share FROM (SELECT *, row_number() OVER (PARTITION BY root, contract_symbol ORDER BY "end") AS m FROM apart WHERE distance IS NOT NULL) a
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY root, contract_symbol ORDER BY "end") AS m FROM apart WHERE distance IS NOT NULL) b ON a.root = b.root AND a.contract_symbol = b.contract_symbol AND b.m BETWEEN a.m - {SPARSE.max_states} AND a.m - 1 GROUP BY ALL""",
+    "imsis": f"""SELECT s.root, s.contract_symbol, s.session_id, s."end", s.available_at, s.adjusted, s.vwap_distance, distance, CASE WHEN before >= {SPARSE.min_rarity} THEN share END AS rarity, near, coalesce(len(near), 0) AS neighbour_support,
+  CASE WHEN s.adjusted IS NULL THEN 'IMSI_TOD_WARMUP' WHEN coalesce(n, 0) < {SPARSE.min_states} THEN 'IMSI_COVARIANCE_WARMUP' WHEN rho IS NULL OR 1 - rho * rho <= {_E} THEN 'IMSI_COVARIANCE_DEGENERATE' WHEN distance IS NULL THEN 'IMSI_COVARIANCE_UNSTABLE' WHEN before < {SPARSE.min_rarity} THEN 'IMSI_RARITY_WARMUP' END AS state_flag
+FROM momentum s LEFT JOIN apart p USING (root, contract_symbol, "end") LEFT JOIN near USING (root, contract_symbol, "end") LEFT JOIN rare USING (root, contract_symbol, "end")""",
     "retests": f"""SELECT *, {_ID.format(kind="event_type", at='"end"', parent="parent_event_id")} AS event_id FROM (SELECT *, {_GAP_ID} AS parent_event_id, CASE WHEN direction = 'bullish' THEN 'iae_retest_bull' ELSE 'iae_retest_bear' END AS event_type FROM gb WHERE retest AND age = first_age)""",
-    "evts": f"""SELECT {_S}, "end", event_id, event_type, parent_event_id FROM (
-  SELECT {_S}, "end", {_ID.format(kind="CASE WHEN exit = 1 THEN 'value_exit_up' ELSE 'value_exit_down' END", at='"end"', parent="NULL::VARCHAR")} AS event_id, CASE WHEN exit = 1 THEN 'value_exit_up' ELSE 'value_exit_down' END AS event_type, NULL::VARCHAR AS parent_event_id FROM trans WHERE exit IS NOT NULL
-  UNION ALL SELECT {_S}, "end", {_ID.format(kind="CASE WHEN dir = 1 THEN 'value_reentry_from_above' ELSE 'value_reentry_from_below' END", at='"end"', parent="exit_id")}, CASE WHEN dir = 1 THEN 'value_reentry_from_above' ELSE 'value_reentry_from_below' END, exit_id FROM trans WHERE reentry
-  UNION ALL SELECT {_S}, "end", {_ID.format(kind="CASE WHEN dir = 1 THEN 'poc_migration_above_prior_vah' ELSE 'poc_migration_below_prior_val' END", at='"end"', parent="exit_id")}, CASE WHEN dir = 1 THEN 'poc_migration_above_prior_vah' ELSE 'poc_migration_below_prior_val' END, exit_id FROM trans WHERE migration
-  UNION ALL SELECT {_S}, "end", event_id, event_type, parent_event_id FROM retests)""",
+    "evts": f"""SELECT {_S}, "end", event_id, event_type, parent_event_id, CAST(direction AS INTEGER) AS direction FROM (
+  SELECT {_S}, "end", {_ID.format(kind="CASE WHEN exit = 1 THEN 'value_exit_up' ELSE 'value_exit_down' END", at='"end"', parent="NULL::VARCHAR")} AS event_id, CASE WHEN exit = 1 THEN 'value_exit_up' ELSE 'value_exit_down' END AS event_type, NULL::VARCHAR AS parent_event_id, dir AS direction FROM trans WHERE exit IS NOT NULL
+  UNION ALL SELECT {_S}, "end", {_ID.format(kind="CASE WHEN dir = 1 THEN 'value_reentry_from_above' ELSE 'value_reentry_from_below' END", at='"end"', parent="exit_id")}, CASE WHEN dir = 1 THEN 'value_reentry_from_above' ELSE 'value_reentry_from_below' END, exit_id, -dir FROM trans WHERE reentry
+  UNION ALL SELECT {_S}, "end", {_ID.format(kind="CASE WHEN dir = 1 THEN 'poc_migration_above_prior_vah' ELSE 'poc_migration_below_prior_val' END", at='"end"', parent="exit_id")}, CASE WHEN dir = 1 THEN 'poc_migration_above_prior_vah' ELSE 'poc_migration_below_prior_val' END, exit_id, dir FROM trans WHERE migration
+  UNION ALL SELECT {_S}, "end", event_id, event_type, parent_event_id, CASE WHEN direction = 'bullish' THEN 1 ELSE -1 END FROM retests)""",
+    "gapbar": f"""SELECT s.root, s.contract_symbol, s.session_id, s."end", s.available_at, s.atr, CASE WHEN rank > 0 THEN CAST(gap_idx AS INTEGER) END AS gap_idx, CASE WHEN rank > 0 THEN what END AS gap_event, CASE WHEN rank > 0 THEN direction END AS direction, CAST(coalesce(active, 0) AS BIGINT) AS active_gaps,
+  list_sort(list_distinct(list_filter(list_concat([CASE WHEN reset THEN 'IAE_BAR_GAP_RESET' END, tod_flag, CASE WHEN s.atr IS NULL THEN 'IAE_ATR_WARMUP' END, formation_guard], coalesce(guards, [])), lambda f: f IS NOT NULL))) AS flags
+FROM seg s LEFT JOIN (SELECT root, contract_symbol, idx, first(rank ORDER BY rank DESC, gap_idx DESC) AS rank, first(gap_idx ORDER BY rank DESC, gap_idx DESC) AS gap_idx, first(what ORDER BY rank DESC, gap_idx DESC) AS what, first(direction ORDER BY rank DESC, gap_idx DESC) AS direction, sum(alive) AS active, list(guard) AS guards
+  FROM (SELECT root, contract_symbol, idx, CASE WHEN happened IS NOT NULL THEN 3 WHEN alive THEN 1 ELSE 0 END AS rank, gap_idx, coalesce(happened, 'open') AS what, direction, CAST(alive AS INTEGER) AS alive, guard FROM gb
+        UNION ALL SELECT root, contract_symbol, idx, 2, idx, 'open', direction, 1, NULL FROM gap WHERE guard IS NULL) GROUP BY root, contract_symbol, idx) USING (root, contract_symbol, idx)
+LEFT JOIN (SELECT root, contract_symbol, idx, guard AS formation_guard FROM gap WHERE guard IS NOT NULL) USING (root, contract_symbol, idx)""",
+    "icms": f"""SELECT i.root, i.contract_symbol, i.session_id, i."end", i.available_at, blend > {_E} AND r_ratio <= {SPARSE.regime_ratio} AS ready,
+  list_filter(['ICM:' || CASE WHEN blend <= {_E} THEN 'ICM_FLAT_SCALE_GUARD' END, 'ICM:' || CASE WHEN a.atr IS NULL THEN 'ICM_LOCAL_SCALE_UNAVAILABLE' END, 'ICM:' || CASE WHEN r_ratio > {SPARSE.regime_ratio} THEN 'ICM_REGIME_GUARD' END, 'ICM:' || CASE WHEN NOT bottom > {_E} THEN 'ICM_RESIDUAL_AUTOCORRELATION_DEGENERATE' END], lambda f: f IS NOT NULL) AS flags
+FROM icm2 i LEFT JOIN (SELECT root, contract_symbol, "end", atr FROM atr) a ON a.root = i.root AND a.contract_symbol = i.contract_symbol AND a."end" = i."end\"""",
+    "bound": f"""SELECT f.root, f.contract_symbol, f.session_id, f."end", f.flags AS auction_flags, f.measurement_ready, f.atr, imsi_end, icm_end, iae_end FROM auc f
+ASOF LEFT JOIN (SELECT {_S}, min("end") AS imsi_end FROM imsis GROUP BY {_S}, available_at) a ON f.root = a.root AND f.contract_symbol = a.contract_symbol AND f.session_id = a.session_id AND f."end" >= a.imsi_end
+ASOF LEFT JOIN (SELECT {_S}, min("end") AS icm_end FROM icms GROUP BY {_S}, available_at) b ON f.root = b.root AND f.contract_symbol = b.contract_symbol AND f.session_id = b.session_id AND f."end" >= b.icm_end
+ASOF LEFT JOIN (SELECT {_S}, min("end") AS iae_end FROM gapbar GROUP BY {_S}, available_at) c ON f.root = c.root AND f.contract_symbol = c.contract_symbol AND f.session_id = c.session_id AND f."end" >= c.iae_end""",
+    "syn": f"""SELECT *, present AND fresh AND measurement_ready AND imsi_ready AND icm_ready AND iae_ready AS ready, list_concat(marks, list_filter([CASE WHEN NOT measurement_ready THEN 'AUCTION:MEASUREMENT_NOT_READY' END, CASE WHEN imsi_end IS NOT NULL AND NOT imsi_ready THEN 'IMSI:MEASUREMENT_NOT_READY' END, CASE WHEN icm_end IS NOT NULL AND NOT icm_ready THEN 'ICM:MEASUREMENT_NOT_READY' END, CASE WHEN iae_end IS NOT NULL AND NOT iae_ready THEN 'IAE:MEASUREMENT_NOT_READY' END], lambda f: f IS NOT NULL)) AS blocking
+FROM (SELECT *, list_filter([CASE WHEN imsi_end IS NULL THEN 'IMSI:MISSING' WHEN NOT imsi_fresh THEN 'IMSI:STALE' END, CASE WHEN icm_end IS NULL THEN 'ICM:MISSING' WHEN NOT icm_fresh THEN 'ICM:STALE' END, CASE WHEN iae_end IS NULL THEN 'IAE:MISSING' WHEN NOT iae_fresh THEN 'IAE:STALE' END], lambda f: f IS NOT NULL) AS marks,
+    imsi_end IS NOT NULL AND icm_end IS NOT NULL AND iae_end IS NOT NULL AS present, imsi_fresh AND icm_fresh AND iae_fresh AS fresh
+  FROM (SELECT b.*, coalesce(b."end" - imsi_end <= INTERVAL {SPARSE.medium} MINUTE, false) AS imsi_fresh, coalesce(b."end" - icm_end <= INTERVAL {SPARSE.medium} MINUTE, false) AS icm_fresh, coalesce(b."end" - iae_end <= INTERVAL {SPARSE.fast} MINUTE, false) AS iae_fresh,
+      coalesce(i.distance IS NOT NULL AND i.rarity IS NOT NULL, false) AS imsi_ready, coalesce(c.ready, false) AS icm_ready, coalesce(g.atr IS NOT NULL AND g.gap_idx IS NOT NULL, false) AS iae_ready,
+      list_concat(list_concat(list_transform(auction_flags, lambda f: CASE WHEN starts_with(f, 'DATA:') OR starts_with(f, 'ROLL:') OR starts_with(f, 'SESSION:') THEN f ELSE 'AUCTION:' || f END), CASE WHEN imsi_end IS NULL THEN [] WHEN state_flag IS NULL THEN ['IMSI:IMSI_FULL_MODEL_DEFERRED_LIFT3'] ELSE ['IMSI:IMSI_FULL_MODEL_DEFERRED_LIFT3', 'IMSI:' || state_flag] END), list_concat(coalesce(c.flags, []), list_transform(coalesce(g.flags, []), lambda f: 'IAE:' || f))) AS parts
+    FROM bound b LEFT JOIN imsis i ON i.root = b.root AND i.contract_symbol = b.contract_symbol AND i."end" = imsi_end LEFT JOIN icms c ON c.root = b.root AND c.contract_symbol = b.contract_symbol AND c."end" = icm_end LEFT JOIN gapbar g ON g.root = b.root AND g.contract_symbol = b.contract_symbol AND g."end" = iae_end))""",
+    "cand": f"""SELECT e.*, s.imsi_end IS NOT NULL AS has_imsi, s.icm_end IS NOT NULL AS has_icm, s.iae_end IS NOT NULL OR starts_with(event_type, 'iae') AS has_iae,
+  CASE WHEN starts_with(event_type, 'iae') THEN s.imsi_end IS NOT NULL AND s.icm_end IS NOT NULL AND imsi_fresh AND icm_fresh AND measurement_ready AND imsi_ready AND icm_ready AND atr IS NOT NULL ELSE ready END AS research_ready FROM evts e JOIN syn s USING ({_S}, "end")""",
     "raw": """SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'unlisted' WHEN o_orderkey % 2 = 0 THEN 'weekly' ELSE 'daily' END AS dataset_id, 'series-' || o_orderstatus AS series_id, o_orderkey AS record_key, o_orderdate AS observation_time,
   CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate + to_days(CAST(o_orderkey % 5 AS INTEGER)) END AS release_time, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate + to_days(CAST(o_orderkey % 5 AS INTEGER)) + INTERVAL 1 HOUR END AS vendor_time,
   o_orderdate + to_days(CAST(o_orderkey % 5 AS INTEGER)) + to_hours(o_orderkey % 3) AS delivery_time, CASE WHEN o_orderkey % 13 <> 0 THEN 'p' || o_orderkey END AS value FROM orders""",
@@ -188,10 +229,26 @@ FROM raw WHERE dataset_id <> 'unlisted' AND release_time IS NOT NULL""",
     "del": """SELECT CASE WHEN l_suppkey % 3 = 0 THEN 'ES' WHEN l_suppkey % 3 = 1 THEN 'ZN' ELSE '6E' END AS root, CAST(l_shipdate AS DATE) AS release_date, l_shipdate + to_hours(l_orderkey % 24) AS delivered_at,
   CASE WHEN l_quantity > 5 THEN l_quantity END AS long_all, CASE WHEN l_discount > 0 THEN l_discount END AS short_all, l_tax AS spread FROM lineitem""",
     "led": """SELECT o_custkey % 50 AS chain, o_orderkey AS position, CASE WHEN o_orderkey % 5 = 0 THEN 'decision' ELSE 'registration' END AS kind, o_custkey AS subject_id, CASE WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'pass' END AS decision FROM orders""",
+    "markets": f"SELECT root, CAST(tick AS DOUBLE) AS minimum_tick, CAST(multiplier AS DOUBLE) AS multiplier FROM (VALUES {_values([(r[0], r[2], r[3]) for r in market_rows()])}) m(root, tick, multiplier)",
+    "clos": f"SELECT root, exception_name || ':' || closure_name AS name, CAST(day AS TIMESTAMP) + to_seconds(a) AS a, CAST(day AS TIMESTAMP) + to_seconds(b) AS b FROM (VALUES {_values([(r[0], r[1], r[2], r[3], r[4], r[5]) for r in CLOSURE_ROWS])}) c(root, exception_name, day, closure_name, a, b)",
     "tapemaps": """SELECT root, lag(contract_symbol) OVER (PARTITION BY root ORDER BY observed_at) AS old_mapped_symbol, contract_symbol AS new_mapped_symbol, observed_at FROM (SELECT root, contract_symbol, min(exchange_time) AS observed_at FROM tape GROUP BY ALL)""",
 }
 
 
+# the same steps over the tape with a twentieth of its rows early
+STEPS["htape"] = "SELECT * REPLACE (CASE WHEN arrival % 20 = 2 THEN exchange_time - INTERVAL 20 MINUTE ELSE exchange_time END AS exchange_time) FROM tape"
+for _name, _from in (("hticked", "tape"), ("hlocal", "ticked"), ("hsess", "local")):
+    STEPS[_name] = STEPS[_name[1:]].replace(f"FROM {_from}", f"FROM h{_from}")
+STEPS["hrows"] = f"""SELECT *, row_number() OVER (PARTITION BY {_S} ORDER BY arrival) AS n, coalesce(arrival > final_at, false) AS after_final FROM hsess
+JOIN (SELECT {_S}, min(first_arrival) OVER (PARTITION BY root, contract_symbol ORDER BY session_start ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS final_at FROM (SELECT {_S}, session_start, min(arrival) AS first_arrival FROM hsess GROUP BY ALL)) USING ({_S})"""
+_RULE = """CASE WHEN r.suspicious THEN 'DATA:SOURCE_SUSPICIOUS' WHEN r.price <= 0 THEN 'DATA:NON_POSITIVE_PRICE' WHEN r.quantity <= 0 THEN 'DATA:NON_POSITIVE_QUANTITY' WHEN list_contains(w.ids, r.source_event_id) THEN 'DATA:DUPLICATE_SOURCE_ID'
+ WHEN r.after_final OR coalesce(r.exchange_time < w.minute, false) THEN 'DATA:LATE' WHEN coalesce(r.exchange_time < w.last, false) THEN 'DATA:OUT_OF_ORDER' WHEN r.tick IS NULL THEN 'DATA:OFF_TICK_GRID' END"""
+_ADMIT_ONE_BY_ONE = f"""SELECT {_S}, arrival, reject_flag IS NULL AS admitted, reject_flag FROM (WITH RECURSIVE walk AS (
+  SELECT DISTINCT {_S}, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS arrival, CAST(NULL AS VARCHAR) AS reject_flag, CAST([] AS VARCHAR[]) AS ids, CAST(NULL AS TIMESTAMP) AS minute, CAST(NULL AS TIMESTAMP) AS last FROM hrows
+  UNION ALL SELECT r.root, r.contract_symbol, r.session_id, r.n, r.arrival, {_RULE}, CASE WHEN {_RULE} IS NULL THEN list_append(w.ids, r.source_event_id) ELSE w.ids END, greatest(w.minute, date_trunc('minute', r.exchange_time)), CASE WHEN {_RULE} IS NULL THEN r.exchange_time ELSE w.last END
+  FROM walk w JOIN hrows r ON r.root = w.root AND r.contract_symbol = w.contract_symbol AND r.session_id = w.session_id AND r.n = w.n + 1) SELECT * FROM walk WHERE n > 0)"""
+
+
 def _query(tail: str) -> str:
     """tail with the steps it needs, in their order."""
     need: list[str] = []
@@ -226,6 +283,10 @@ _TAILS = {
     "session_classify": "SELECT root, arrival, exchange_time, session_name, session_type FROM sess",
     "session_id": "SELECT root, arrival, session_id FROM sess",
     "session_bounds": "SELECT root, arrival, session_start, session_end FROM sess",
+    "session_closures": """SELECT root, arrival, CASE WHEN hit IS NOT NULL THEN 'calendar_exception:' || hit ELSE session_name END AS session_name, CASE WHEN hit IS NOT NULL THEN 'closed' ELSE session_type END AS session_type,
+  CASE WHEN hit IS NULL THEN greatest(session_start, (before AT TIME ZONE zone) AT TIME ZONE 'UTC') END AS session_start, CASE WHEN hit IS NULL THEN least(session_end, (after AT TIME ZONE zone) AT TIME ZONE 'UTC') END AS session_end
+FROM (SELECT s.*, (SELECT min(name) FROM clos c WHERE c.root = s.root AND c.a <= s.loc AND s.loc < c.b) AS hit, (SELECT max(b) FROM clos c WHERE c.root = s.root AND c.b <= s.loc) AS before, (SELECT min(a) FROM clos c WHERE c.root = s.root AND c.a > s.loc) AS after FROM sess s)""",
+    "trade_admission_exact": _ADMIT_ONE_BY_ONE,
     "session_bars": f'SELECT {_K}, CAST(floor(epoch(start - session_start) / {SPARSE.fast * 60}) AS INTEGER) AS slot FROM fast',
     "session_counts": "SELECT root, session_type, count(*) AS n_rows, count(DISTINCT date_trunc('minute', exchange_time)) AS n_minutes FROM sess GROUP BY ALL",
     "session_overlaps": "SELECT root, session_name, 'overlap' AS fault FROM (SELECT *, max(b) OVER (PARTITION BY root ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT root, session_name, start_sec AS a, CASE WHEN crosses_midnight THEN 86400 ELSE end_sec + CASE WHEN root = '6E' AND session_type = 'london' THEN 60 ELSE 0 END END AS b FROM win UNION ALL SELECT root, session_name, 0, end_sec FROM win WHERE crosses_midnight) WHERE root IN (SELECT root FROM tape)) WHERE before > a",
@@ -277,6 +338,17 @@ SELECT * FROM ema WHERE n > 1)""",
 FROM (SELECT i.*, a.atr, least(greatest(z_raw, -{SPARSE.z_cap}), {SPARSE.z_cap}) AS zc FROM icm2 i LEFT JOIN (SELECT root, contract_symbol, "end", atr FROM atr) a USING (root, contract_symbol, "end"))""",
     "imsi_tod": f"""SELECT root, contract_symbol, "end", slot, tod_n, round(CASE WHEN tod_n >= {SPARSE.imsi_tod_min} THEN vwrsi - med END, 6) + 0.0 AS adjusted FROM (SELECT *, count(*) OVER w AS tod_n, median(vwrsi) OVER w AS med FROM (SELECT *, CAST(floor(epoch(start - session_start) / {SPARSE.medium * 60}) AS INTEGER) AS slot FROM rsi)
   WINDOW w AS (PARTITION BY root, contract_symbol, session_type, slot ORDER BY "end" ROWS BETWEEN {SPARSE.tod_sessions} PRECEDING AND 1 PRECEDING))""",
+    "gap_bar_state": "SELECT root, contract_symbol, \"end\", gap_idx, gap_event, direction, active_gaps, array_to_string(flags, ',') AS quality_flags FROM gapbar",
+    "synergy_flags": f"SELECT {_K}, array_to_string(list_sort(list_distinct(blocking)), ',') AS blocking, array_to_string(list_sort(list_distinct(list_concat(list_concat(parts, marks), blocking))), ',') AS flags FROM syn",
+    "candidate_events": f"SELECT {_K}, event_id, event_type, direction, parent_event_id, research_ready FROM cand",
+    "coverage_totals": "SELECT count(*) AS raw_events, count(DISTINCT event_id) AS unique_events, count(DISTINCT session_id) AS sessions, count(DISTINCT parent_event_id) AS parents, count(*) FILTER (has_imsi) AS with_imsi, count(*) FILTER (has_icm) AS with_icm, count(*) FILTER (has_iae) AS with_iae, count(*) FILTER (NOT has_imsi) AS missing_imsi, count(*) FILTER (NOT has_icm) AS missing_icm, count(*) FILTER (NOT has_iae) AS missing_iae, count(*) FILTER (has_imsi AND has_icm AND has_iae) AS all_present, count(*) FILTER (research_ready) AS ready, count(*) FILTER (NOT research_ready) AS not_ready FROM cand",
+    "coverage_reconcile": "SELECT rule, CAST(failed AS INTEGER) AS failed FROM (SELECT count(*) AS raw, count(DISTINCT event_id) AS uniq, count(*) FILTER (research_ready) AS ready, count(*) FILTER (NOT research_ready) AS not_ready, count(has_imsi) AS i, count(has_icm) AS c, count(has_iae) AS g FROM cand), LATERAL (VALUES ('raw_is_unique', raw <> uniq), ('ready_adds_up', ready + not_ready <> uniq), ('imsi_adds_up', i <> uniq), ('icm_adds_up', c <> uniq), ('iae_adds_up', g <> uniq)) v(rule, failed)",
+    "probe_coverage": """SELECT m.root, minimum_tick, multiplier, first_time, last_time, coalesce(n_rows, 0) AS n_rows, coalesce(gaps, 0) AS gaps, coalesce(contracts, 0) AS contracts, concat_ws(',', CASE WHEN gaps > 0 THEN 'MINUTE_GAPS' END, CASE WHEN coalesce(n_rows, 0) = 0 THEN 'NO_ROWS' END, CASE WHEN contracts > 1 THEN 'SEVERAL_CONTRACTS' END, CASE WHEN bad > 0 THEN 'SUSPICIOUS_ROWS' END) AS flags,
+  CASE WHEN coalesce(n_rows, 0) = 0 THEN 'REJECTED' WHEN gaps > 0 OR bad > 0 OR contracts > 1 THEN 'PARTIAL' ELSE 'VALID' END AS status
+FROM markets m LEFT JOIN (SELECT root, min(exchange_time) AS first_time, max(exchange_time) AS last_time, count(*) AS n_rows, count(DISTINCT contract_symbol) AS contracts, count(*) FILTER (suspicious) AS bad FROM tape GROUP BY root) USING (root)
+LEFT JOIN (SELECT root, count(*) FILTER (step > 1) AS gaps FROM (SELECT root, epoch(m - lag(m) OVER (PARTITION BY root ORDER BY m)) / 60.0::DOUBLE AS step FROM (SELECT DISTINCT root, date_trunc('minute', exchange_time) AS m FROM tape)) GROUP BY root) USING (root)""",
+    "imsi_state": f"""SELECT root, contract_symbol, "end", {_r('adjusted', 'vwap_distance', 'distance', 'rarity')}, round(list_avg(near), 6) + 0.0 AS neighbour_mean, round(list_aggregate(near, 'quantile_cont', 0.9), 6) + 0.0 AS neighbour_p90, CAST(neighbour_support AS BIGINT) AS neighbour_support, state_flag FROM imsis""",
+    "run_fingerprint": """SELECT root, contract_symbol, CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(h, '' ORDER BY day)) AS fingerprint FROM (SELECT root, contract_symbol, CAST("end" AS DATE) AS day, count(*) AS n, sha256(string_agg(sha256(session_id || '|' || open || '|' || high || '|' || low || '|' || close || '|' || volume), '' ORDER BY "end")) AS h FROM fast GROUP BY ALL) GROUP BY ALL""",
     "synergy_align": f"""SELECT {_K}, imsi_end, icm_end, iae_end, imsi_end IS NOT NULL AND icm_end IS NOT NULL AND iae_end IS NOT NULL AS present,
   coalesce("end" - imsi_end <= INTERVAL {SPARSE.medium} MINUTE AND "end" - icm_end <= INTERVAL {SPARSE.medium} MINUTE AND "end" - iae_end <= INTERVAL {SPARSE.fast} MINUTE, false) AS fresh
 FROM (SELECT {_K} FROM fast) f ASOF LEFT JOIN (SELECT {_S}, min("end") AS imsi_end FROM rsi GROUP BY {_S}, available_at) a ON f.root = a.root AND f.contract_symbol = a.contract_symbol AND f.session_id = a.session_id AND f."end" >= a.imsi_end

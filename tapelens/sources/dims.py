@@ -42,9 +42,13 @@ def session_windows(spark: SparkSession) -> DataFrame:
     return _values(spark, session_rows(), "root string, session_name string, session_type string, zone string, start_sec int, end_sec int, crosses_midnight boolean, policy_version string")
 
 
+def market_rows() -> list[tuple]:
+    """(root, asset_class, minimum_tick, multiplier, zone) of all roots."""
+    return [(root, *x, NEW_YORK if x[0] == "equity_index" else CHICAGO) for root, x in _MARKETS.items()]
+
+
 def markets(spark: SparkSession) -> DataFrame:
-    rows = [(root, *x, NEW_YORK if x[0] == "equity_index" else CHICAGO) for root, x in _MARKETS.items()]
-    return _values(spark, rows, "root string, asset_class string, minimum_tick double, multiplier double, zone string")
+    return _values(spark, market_rows(), "root string, asset_class string, minimum_tick double, multiplier double, zone string")
 
 
 #: Closures of the test calendar: an early close on 15 January 2024 and a full holiday on 1 January 2024.

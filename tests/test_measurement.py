@@ -326,17 +326,22 @@ def test_quadratic_fit_against_numpy(spark):
         assert row.residual_autocorrelation == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b)))
 
 
-def test_shrunk_covariance():
+def test_geometry_of_past_states():
     rng = np.random.default_rng(1729)
     x = rng.normal(size=(200, 2))
     x[:, 1] = 0.65 * x[:, 0] + 0.35 * x[:, 1]
-    mean, inverse, delta, size, condition = imsi.shrunk_covariance(x)
+    shape = imsi.geometry(x)
     w = 0.96 ** np.arange(199, -1, -1)
     w /= w.sum()
-    assert mean == pytest.approx(np.average(x, axis=0, weights=w)) and size == pytest.approx(1 / np.sum(w**2)) and 0.05 <= delta <= 0.95 and condition >= 1
-    line = np.column_stack([np.arange(40.0), np.arange(40.0)])
-    *_, delta, _, condition = imsi.shrunk_covariance(line)
-    assert delta == 0.05 and condition == pytest.approx(39)
+    assert shape.centre == pytest.approx(np.average(x, axis=0, weights=w)) and shape.effective_size == pytest.approx(1 / np.sum(w**2)) and 0.05 <= shape.delta <= 0.95 and shape.condition >= 1
+    # against plain matrices: covariance with the shrunk correlation, inverted by numpy
+    cov = np.cov(x.T, aweights=w, ddof=0)
+    cov[0, 1] = cov[1, 0] = cov[0, 1] * (1 - shape.delta)
+    steps = rng.normal(size=(9, 2))
+    assert shape.length(steps) == pytest.approx([np.sqrt(s @ np.linalg.inv(cov) @ s) for s in steps])
+    line = imsi.geometry(np.column_stack([np.arange(40.0), np.arange(40.0)]))
+    assert line.delta == 0.05 and line.condition == pytest.approx(39)
+    assert imsi.geometry(np.column_stack([np.arange(40.0), np.ones(40)])) is None
 
 
 def transition_rows(spark, locations, pocs):
