@@ -52,7 +52,7 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: The classifier is trained, so SQL cannot express the result; the tests compare each stage with brute force.
+#: The classifier is trained, so SQL cannot express the result; tests/llm compare each operator with brute force and the stages with their operators.
 ORACLE_SQL = None
 
 

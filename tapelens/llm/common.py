@@ -1,46 +1,23 @@
-"""Shared pieces of the training-data operators: tables, shared storage, sizes."""
+"""Shared pieces of the training-data operators: tables and sizes; storage is the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..storage import shared_dir, store
 
 #: Largest side, in bytes, that an operator broadcasts; beyond it the join is shuffled.
 BROADCAST_BYTES = 32 << 20
 
-_local_dirs: dict[str, str] = {}
+__all__ = ["crc_mod", "shared_dir", "sized_broadcast", "small_enough", "store", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see: spark.checkpoint.dir, or on a local master a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="tapelens-")
-    return f"file://{_local_dirs[app]}"
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, and a lost executor costs no rework."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_enough(df: DataFrame, row_bytes: Column | int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether df's rows take at most `limit` bytes; row_bytes gives each row's size. One aggregate over a stored table."""
     size = df.select(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0]
