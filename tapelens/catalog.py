@@ -229,6 +229,8 @@ QUERIES = {
     "minute_gaps": lambda s, d: rounded(reports.minute_gaps(tape.events_tape(s, d))),
     "probe_coverage": lambda s, d: _probe(s, d),
     "open_interest_coverage": lambda s, d: reports.open_interest_coverage(_open_interest(s, d)).withColumn("expiries", F.array_join("expiries", ",")),
+    "market_evidence": lambda s, d: _market_evidence(s, d),
+    "auction_clock": _q(lambda m: reports.auction_clock_faults(m.located.withColumn("available_at", F.when(F.hour("end") == 15, F.col("end") - F.expr("interval 1 minute")).otherwise(F.col("available_at"))), m.finals), stored=True),
     "usable_from": lambda s, d: pit.usable_from(raw_records(s, d)).select("record_key", "usable_from"),
     "weekly_release_rule": lambda s, d: pit.weekly_rule(raw_records(s, d)).select("record_key", "rule_fault"),
     "scheduled_release": lambda s, d: pit.scheduled_release(raw_records(s, d), _schedule(s)).select("record_key", "scheduled_time", "schedule_fault"),
@@ -308,6 +310,14 @@ def _open_interest(s, d):
     return t.select("root", "contract_symbol", F.to_date("exchange_time").alias("day"), oi.alias("open_interest"), F.when(F.col("contract_symbol").endswith("H24"), "2024-03-15").otherwise("2024-06-21").alias("expiry"))
 
 
+def _market_evidence(s, d):
+    t = contracts.roll_state(with_session(tape.events_tape(s, d)), mappings_of(s))
+    out = reports.market_evidence(t, mappings_of(s), _open_interest(s, d), reports.minute_gaps(t))
+    return out.withColumns({c: _flags(c) for c in ("contracts", "session_types", "roll_states", "expiries", "flags")}).select(
+        "root", "first_time", "last_time", "n_rows", "contracts", "session_types", "roll_states", "mapping_events", "first_mapping_time", "last_mapping_time", "contract_days_with_oi", "expiries", "gaps", "flags"
+    )
+
+
 def _contract_rows(s, d):
     """Contract snapshots as the tape shows them; 6E changes its continuous id once, so the audit has a fault."""
     t = tape.events_tape(s, d).groupBy("root", "contract_symbol").agg(F.min("exchange_time").alias("as_of"))

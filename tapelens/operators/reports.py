@@ -91,3 +91,47 @@ def open_interest_coverage(rows: DataFrame) -> DataFrame:
         (F.count("open_interest") > 0).alias("any_open_interest"), F.count_distinct(seen).alias("contract_days"), F.count_distinct(F.when(F.col("open_interest").isNotNull(), seen)).alias("contract_days_with_oi"),
         F.sort_array(F.collect_set("expiry")).alias("expiries"),
     )
+
+
+def market_evidence(trades: DataFrame, mappings: DataFrame, interest: DataFrame, gaps: DataFrame) -> DataFrame:
+    """What a run has seen of each root: times, contracts, sessions, roll states, mapping changes, open interest, expiries, gaps, and flags for what is missing.
+
+    trades(root, contract_symbol, session_type, roll_state, exchange_time),
+    mappings(root, observed_at), interest as of open_interest_coverage(), gaps as of
+    minute_gaps(). Only the trades are large; each part is one aggregate by root.
+    """
+    seen = trades.groupBy("root").agg(
+        F.min("exchange_time").alias("first_time"), F.max("exchange_time").alias("last_time"), F.count("*").alias("n_rows"), F.sort_array(F.collect_set("contract_symbol")).alias("contracts"),
+        F.sort_array(F.collect_set("session_type")).alias("session_types"), F.sort_array(F.collect_set("roll_state")).alias("roll_states"),
+    )
+    mapped = mappings.groupBy("root").agg(F.count("*").alias("mapping_events"), F.min("observed_at").alias("first_mapping_time"), F.max("observed_at").alias("last_mapping_time"))
+    out = seen.join(mapped, "root", "left").join(open_interest_coverage(interest), "root", "left").join(gaps.select("root", "gaps"), "root", "left")
+    flags = F.array_sort(
+        F.array_compact(
+            F.array(
+                F.when(F.coalesce("contract_days_with_oi", F.lit(0)) == 0, "NO_OPEN_INTEREST_OBSERVATION"), F.when(F.size(F.coalesce("expiries", F.array().cast("array<string>"))) == 0, "NO_CONTRACT_EXPIRY_OBSERVED"),
+                F.when(F.size("session_types") == 0, "NO_SESSION_OBSERVED"), F.when(F.size("roll_states") == 0, "NO_ROLL_STATE_OBSERVED"), F.when(F.col("mapping_events").isNull(), "NO_MAPPING_EVENT_OBSERVED"), F.when(F.col("gaps") > 0, "MINUTE_GAPS"),
+            )
+        )
+    )
+    return out.withColumn("mapping_events", F.coalesce("mapping_events", F.lit(0))).withColumn("flags", flags)
+
+
+def auction_clock_faults(states: DataFrame, priors: DataFrame) -> DataFrame:
+    """(rule, violations) of auction rows: a prior profile of another contract or that is not over, a row that was known before its bar or after a later one.
+
+    states(root, contract_symbol, session_id, end, available_at, prior_session_id),
+    priors(root, contract_symbol, session_id, as_of): the final profiles.
+    """
+    from .bars import check_table
+
+    prior = priors.select("root", "contract_symbol", F.col("session_id").alias("prior_session_id"), F.col("as_of").alias("prior_as_of"))
+    last = Window.partitionBy("root", "contract_symbol").orderBy("end")
+    rows = states.withColumn("before", F.lag("available_at").over(last)).join(prior, ["root", "contract_symbol", "prior_session_id"], "left")
+    rules = {
+        "known_before_its_bar": F.col("available_at") < F.col("end"),
+        "prior_of_another_contract": F.col("prior_session_id").isNotNull() & F.col("prior_as_of").isNull(),
+        "prior_not_over": F.coalesce(F.col("prior_as_of") >= F.col("end"), F.lit(False)),
+        "known_before_an_earlier_bar": F.coalesce(F.col("available_at") < F.col("before"), F.lit(False)),
+    }
+    return check_table(rows, rules)

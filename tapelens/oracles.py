@@ -362,6 +362,12 @@ ASOF LEFT JOIN (SELECT {_S}, min("end") AS iae_end FROM fast GROUP BY {_S}, avai
     "runtime_summary": "SELECT root, counter, n FROM (SELECT root, count(*) AS ticks, count(*) FILTER (admitted) AS admitted, count(DISTINCT contract_symbol) AS contracts, count(DISTINCT session_id) AS sessions, count(DISTINCT contract_symbol) - 1 AS rolls FROM adm GROUP BY root) UNPIVOT (n FOR counter IN (ticks, admitted, contracts, sessions, rolls)) UNION ALL SELECT root, 'quotes', count(*) FROM tape WHERE tick_type <> 'TRADE' GROUP BY root UNION ALL SELECT root, 'fast_bars', count(*) FROM fast GROUP BY root UNION ALL SELECT root, 'medium_bars', count(*) FROM medium GROUP BY root UNION ALL SELECT root, 'final_profiles', count(*) FROM finpoc GROUP BY root UNION ALL SELECT root, 'gaps', count(*) FROM gap WHERE guard IS NULL GROUP BY root UNION ALL SELECT root, 'auction_snapshots', count(*) FROM located GROUP BY root UNION ALL SELECT root, 'icm_snapshots', count(*) FROM icm0 GROUP BY root",
     "minute_gaps": "SELECT root, count(*) AS minutes, count(*) FILTER (step > 1) AS gaps, round(coalesce(max(step), 0), 6) + 0.0 AS longest_gap_minutes FROM (SELECT root, epoch(m - lag(m) OVER (PARTITION BY root ORDER BY m)) / 60.0::DOUBLE AS step FROM (SELECT DISTINCT root, date_trunc('minute', exchange_time) AS m FROM tape)) GROUP BY root",
     "open_interest_coverage": "SELECT root, count(oi) > 0 AS any_open_interest, count(DISTINCT (contract_symbol, day)) AS contract_days, count(DISTINCT CASE WHEN oi IS NOT NULL THEN (contract_symbol, day) END) AS contract_days_with_oi, array_to_string(list_sort(list_distinct(list(expiry))), ',') AS expiries FROM (SELECT root, contract_symbol, CAST(exchange_time AS DATE) AS day, CASE WHEN arrival % 3 = 0 THEN quantity * 100 END AS oi, CASE WHEN contract_symbol LIKE '%H24' THEN '2024-03-15' ELSE '2024-06-21' END AS expiry FROM tape) GROUP BY root",
+    "auction_clock": f"""SELECT rule, count(*) FILTER (bad) AS violations FROM (SELECT available_at, "end", lag(available_at) OVER (PARTITION BY root, contract_symbol ORDER BY "end") AS before FROM (SELECT * REPLACE (CASE WHEN hour("end") = 15 THEN "end" - INTERVAL 1 MINUTE ELSE available_at END AS available_at) FROM located)), LATERAL (VALUES ('known_before_its_bar', available_at < "end"), ('prior_of_another_contract', false), ('prior_not_over', false), ('known_before_an_earlier_bar', coalesce(available_at < before, false))) v(rule, bad) GROUP BY rule""",
+    "market_evidence": """SELECT root, first_time, last_time, n_rows, contracts, session_types, roll_states, mapping_events, first_mapping_time, last_mapping_time, contract_days_with_oi, expiries, gaps, CASE WHEN gaps > 0 THEN 'MINUTE_GAPS' ELSE '' END AS flags
+FROM (SELECT root, min(exchange_time) AS first_time, max(exchange_time) AS last_time, count(*) AS n_rows, string_agg(DISTINCT contract_symbol, ',' ORDER BY contract_symbol) AS contracts, string_agg(DISTINCT session_type, ',' ORDER BY session_type) AS session_types, string_agg(DISTINCT state, ',' ORDER BY state) AS roll_states, count(DISTINCT CASE WHEN arrival % 3 = 0 THEN (contract_symbol, CAST(exchange_time AS DATE)) END) AS contract_days_with_oi,
+  string_agg(DISTINCT expiry, ',' ORDER BY expiry) AS expiries FROM (SELECT s.*, CASE WHEN contract_symbol LIKE '%H24' THEN '2024-03-15' ELSE '2024-06-21' END AS expiry, CASE WHEN coalesce(n_map, 0) <= 1 THEN 'normal' WHEN exchange_time = visible_at THEN 'roll_transition' ELSE 'post_roll' END AS state FROM sess s ASOF LEFT JOIN rolls r ON s.root = r.root AND s.exchange_time >= r.visible_at) GROUP BY root)
+JOIN (SELECT root, count(*) AS mapping_events, min(observed_at) AS first_mapping_time, max(observed_at) AS last_mapping_time FROM maps GROUP BY root) USING (root)
+JOIN (SELECT root, count(*) FILTER (step > 1) AS gaps FROM (SELECT root, epoch(m - lag(m) OVER (PARTITION BY root ORDER BY m)) / 60.0::DOUBLE AS step FROM (SELECT DISTINCT root, date_trunc('minute', exchange_time) AS m FROM tape)) GROUP BY root) USING (root)""",
     "usable_from": "SELECT record_key, CASE WHEN release_time IS NOT NULL THEN greatest(release_time, coalesce(vendor_time, release_time), delivery_time) END AS usable_from FROM raw",
     "weekly_release_rule": "SELECT record_key, CASE WHEN release_time IS NULL THEN 'release_missing' WHEN dayofweek(observation_time) <> 2 THEN 'observation_not_tuesday' WHEN dayofweek(release_time) <> 5 THEN 'release_not_friday' WHEN release_time < observation_time THEN 'release_before_observation' END AS rule_fault FROM raw",
     "scheduled_release": "SELECT record_key, scheduled_time, CASE WHEN scheduled_time IS NULL THEN 'unscheduled' WHEN release_time IS DISTINCT FROM scheduled_time THEN 'release_differs' END AS schedule_fault FROM raw LEFT JOIN (SELECT CAST(d AS DATE) AS s_date, CAST(d AS TIMESTAMP) + INTERVAL 3 DAY AS scheduled_time FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1995-06-30', INTERVAL 1 DAY) g(d) WHERE dayofweek(d) = 2) ON CAST(observation_time AS DATE) = s_date",

@@ -12,6 +12,7 @@ from ..functions.prices import price_to_tick
 from ..operators.admission import FLAG
 from ..operators.sessions import with_session
 from ..shipping import ship
+from ..sources.tape import split_ticks
 
 BAR_SCHEMA = (
     "root string, contract_symbol string, session_id string, period_minutes int, start timestamp_ntz, end timestamp_ntz, available_at timestamp_ntz, "
@@ -19,19 +20,37 @@ BAR_SCHEMA = (
 )
 
 
-def _advance(state: dict, rows: pd.DataFrame, periods: tuple[int, ...]) -> list[dict]:
-    """Feed one contract's rows, in arrival order, to its state; returns the bars that they close."""
+REJECT_SCHEMA = "root string, contract_symbol string, session_id string, arrival long, exchange_time timestamp_ntz, available_at timestamp_ntz, reject_flag string"
+ROLLING_SCHEMA = "root string, contract_symbol string, session_id string, end timestamp_ntz, minutes int, tick long, volume double"
+#: Minutes of admitted volume that the state of a contract holds.
+KEPT_MINUTES = 120
+
+
+def _fresh() -> dict:
+    return {"bars": {}, "session": None, "ids": [], "sequences": [], "minute": None, "last": None, "bins": {}}
+
+
+def _advance(state: dict, rows: pd.DataFrame, periods: tuple[int, ...], rejects: list | None = None, closed=None) -> list[dict]:
+    """Feed one contract's rows, in arrival order, to its state; returns the bars that they close.
+
+    rejects takes the rows that are not admitted, with their reason; closed(state,
+    bar) is called for each bar before the row that closes it is looked at.
+    """
     out = []
+    # sets while the rows are fed, as every row asks for its ids
+    state["ids"], state["sequences"] = set(state["ids"]), set(state["sequences"])
     for r in rows.sort_values("arrival", kind="stable").itertuples(index=False):
         t = r.exchange_time
         for p in periods:
             bar = state["bars"].get(str(p))
             if bar and t >= pd.Timestamp(bar["end"]):
                 if bar["n_trades"] and pd.Timestamp(bar["end"]) <= pd.Timestamp(bar["session_end"]):
+                    if closed:
+                        closed(state, bar)
                     out.append({k: bar[k] for k in ("session_id", "open", "high", "low", "close", "volume", "n_trades")} | {"period_minutes": p, "start": pd.Timestamp(bar["start"]), "end": pd.Timestamp(bar["end"]), "available_at": max(r.available_at, pd.Timestamp(bar["end"]))})
                 state["bars"].pop(str(p))
         if state["session"] != r.session_id:
-            state |= {"session": r.session_id, "ids": [], "minute": None, "last": None}
+            state |= {"session": r.session_id, "ids": set(), "sequences": set(), "minute": None, "last": None, "bins": {}}
         reason = None
         if "SOURCE_SUSPICIOUS" in list(r.source_flags):
             reason = FLAG["suspicious"]
@@ -39,6 +58,8 @@ def _advance(state: dict, rows: pd.DataFrame, periods: tuple[int, ...]) -> list[
             reason = FLAG["price"] if not r.price > 0 else FLAG["quantity"]
         elif r.source_event_id is not None and r.source_event_id in state["ids"]:
             reason = FLAG["id"]
+        elif not pd.isna(r.source_sequence) and int(r.source_sequence) in state["sequences"]:
+            reason = FLAG["sequence"]
         elif state["minute"] and t < pd.Timestamp(state["minute"]):
             reason = FLAG["late"]
         elif state["last"] and t < pd.Timestamp(state["last"]):
@@ -51,7 +72,13 @@ def _advance(state: dict, rows: pd.DataFrame, periods: tuple[int, ...]) -> list[
         if reason is None:
             state["last"] = str(t)
             if r.source_event_id is not None:
-                state["ids"].append(r.source_event_id)
+                state["ids"].add(r.source_event_id)
+            if not pd.isna(r.source_sequence):
+                state["sequences"].add(int(r.source_sequence))
+            if closed:
+                end = str(here + pd.Timedelta(minutes=1))
+                bin_ = state["bins"].setdefault(end, {})
+                bin_[str(int(r.tick))] = bin_.get(str(int(r.tick)), 0.0) + r.quantity
             for p in periods:
                 bar = state["bars"].get(str(p))
                 if bar is None:
@@ -59,42 +86,124 @@ def _advance(state: dict, rows: pd.DataFrame, periods: tuple[int, ...]) -> list[
                     bar = {"session_id": r.session_id, "session_end": str(r.session_end), "start": str(start), "end": str(start + pd.Timedelta(minutes=p)), "open": r.price, "high": r.price, "low": r.price, "volume": 0.0, "n_trades": 0}
                     state["bars"][str(p)] = bar
                 bar |= {"high": max(bar["high"], r.price), "low": min(bar["low"], r.price), "close": r.price, "volume": bar["volume"] + r.quantity, "n_trades": bar["n_trades"] + 1}
+        elif rejects is not None:
+            rejects.append({"session_id": r.session_id, "arrival": r.arrival, "exchange_time": t, "available_at": r.available_at, "reject_flag": reason})
+    state["ids"], state["sequences"] = sorted(state["ids"]), sorted(state["sequences"])
+    return out
+
+
+def _ending(state: dict, at: pd.Timestamp) -> list[dict]:
+    """The open bars that are due at a time without a later trade, as a final bar each."""
+    out = []
+    for p, bar in list(state["bars"].items()):
+        end = pd.Timestamp(bar["end"])
+        if end <= at:
+            state["bars"].pop(p)
+            if bar["n_trades"] and end <= pd.Timestamp(bar["session_end"]):
+                out.append({k: bar[k] for k in ("session_id", "open", "high", "low", "close", "volume", "n_trades")} | {"period_minutes": int(p), "start": pd.Timestamp(bar["start"]), "end": end, "available_at": at})
     return out
 
 
-def live_bars(trades: DataFrame, periods: tuple[int, ...] = (5, 30)) -> DataFrame:
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _prepared(trades: DataFrame) -> DataFrame:
+    ship(trades.sparkSession)
+    return with_session(split_ticks(trades)[0]).withColumn("tick", price_to_tick(F.col("price"), F.col("minimum_tick")))
+
+
+def live_bars(trades: DataFrame, periods: tuple[int, ...] = (5, 30), finalize_after: str | None = None) -> DataFrame:
     """Bars of a stream of trades, each given out when a trade at or after its end arrives.
 
     The state of a contract is one open bar a period, its session's clocks and the
-    source ids admitted in the session; a new session or contract starts afresh.
-    Works on batch DataFrames' streams alike; the last open bars wait.
+    source ids and sequences admitted in the session; a new session or contract
+    starts afresh. With finalize_after (a delay such as "10 minutes"), bars that no
+    trade closes are given out when the stream's exchange time is that far beyond
+    the last trade of the contract, and their state goes; without, they wait.
     """
-    ship(trades.sparkSession)
-    rows = with_session(trades).withColumn("tick", price_to_tick(F.col("price"), F.col("minimum_tick")))
+    rows = _prepared(trades)
+    if finalize_after is not None:
+        rows = rows.withColumn("clock", F.col("exchange_time").cast("timestamp")).withWatermark("clock", finalize_after)
 
     def run(key, frames, state):
-        held = json.loads(state.get[0]) if state.exists else {"bars": {}, "session": None, "ids": [], "minute": None, "last": None}
-        found = _advance(held, pd.concat(list(frames)), periods)
-        state.update((json.dumps(held),))
-        names = [c.split()[0] for c in BAR_SCHEMA.split(", ")]
-        made = pd.DataFrame([{"root": key[0], "contract_symbol": key[1]} | x for x in found], columns=names)
+        held = json.loads(state.get[0]) if state.exists else _fresh()
+        if state.hasTimedOut:
+            found = _ending(held, pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms"))
+            state.remove()
+        else:
+            found = _advance(held, pd.concat(list(frames)), periods)
+            state.update((json.dumps(held),))
+            ends = [pd.Timestamp(b["end"]) for b in held["bars"].values()]
+            if finalize_after is not None and ends:
+                state.setTimeoutTimestamp(max(int(max(ends).value // 1_000_000), state.getCurrentWatermarkMs() + 1))
+        made = pd.DataFrame([{"root": key[0], "contract_symbol": key[1]} | x for x in found], columns=_columns(BAR_SCHEMA))
         yield made.astype({"period_minutes": "int32", "n_trades": "int64"}) if len(made) else made
 
-    return rows.groupBy("root", "contract_symbol").applyInPandasWithState(run, BAR_SCHEMA, "held string", "append", "NoTimeout")
+    timeout = "NoTimeout" if finalize_after is None else "EventTimeTimeout"
+    return rows.groupBy("root", "contract_symbol").applyInPandasWithState(run, BAR_SCHEMA, "held string", "append", timeout)
+
+
+def live_rejects(trades: DataFrame) -> DataFrame:
+    """The trades of a stream that are not admitted, late ones among them, with the reason: the side rows of live_bars()."""
+    rows = _prepared(trades)
+
+    def run(key, frames, state):
+        held = json.loads(state.get[0]) if state.exists else _fresh()
+        found: list[dict] = []
+        _advance(held, pd.concat(list(frames)), (), found)
+        state.update((json.dumps(held),))
+        yield pd.DataFrame([{"root": key[0], "contract_symbol": key[1]} | x for x in found], columns=_columns(REJECT_SCHEMA))
+
+    return rows.groupBy("root", "contract_symbol").applyInPandasWithState(run, REJECT_SCHEMA, "held string", "append", "NoTimeout")
 
 
-def live_gate(pit: DataFrame, clock: str = "event_clock", delay: str = "0 seconds") -> DataFrame:
+def live_rolling(trades: DataFrame, minutes: tuple[int, ...] = (30, 60, 120), period: int = 5) -> DataFrame:
+    """Rolling profiles of a stream: at each bar's close the volume by tick of the session's last minutes; the state holds KEPT_MINUTES of bins."""
+    if max(minutes) > KEPT_MINUTES:
+        raise ValueError(f"at most {KEPT_MINUTES} minutes are held")
+    rows = _prepared(trades)
+
+    def run(key, frames, state):
+        held = json.loads(state.get[0]) if state.exists else _fresh()
+        found: list[dict] = []
+
+        def closed(now: dict, bar: dict) -> None:
+            end = pd.Timestamp(bar["end"])
+            now["bins"] = {m: b for m, b in now["bins"].items() if pd.Timestamp(m) > end - pd.Timedelta(minutes=KEPT_MINUTES)}
+            for n in minutes:
+                total: dict[str, float] = {}
+                for m, b in now["bins"].items():
+                    if end - pd.Timedelta(minutes=n) < pd.Timestamp(m) <= end:
+                        for tick, volume in b.items():
+                            total[tick] = total.get(tick, 0.0) + volume
+                found.extend({"session_id": bar["session_id"], "end": end, "minutes": n, "tick": int(k), "volume": v} for k, v in total.items())
+
+        _advance(held, pd.concat(list(frames)), (period,), closed=closed)
+        state.update((json.dumps(held),))
+        made = pd.DataFrame([{"root": key[0], "contract_symbol": key[1]} | x for x in found], columns=_columns(ROLLING_SCHEMA))
+        yield made.astype({"minutes": "int32", "tick": "int64"}) if len(made) else made
+
+    return rows.groupBy("root", "contract_symbol").applyInPandasWithState(run, ROLLING_SCHEMA, "held string", "append", "NoTimeout")
+
+
+def live_gate(pit: DataFrame, clock: str = "event_clock", delay: str = "0 seconds", remember: str = "7 days") -> DataFrame:
     """Each row of a point-in-time stream once the stream's clock has reached its usable_from; a lineage hash is released once.
 
     pit(lineage_hash, usable_from timestamp, clock timestamp): the clock column
-    drives the watermark.
+    drives the watermark. A released hash is remembered for `remember` of event
+    time, in which repeats are dropped; then its state goes.
     """
     ship(pit.sparkSession)
 
     def run(key, frames, state):
+        if state.hasTimedOut and not state.get[0]:
+            state.remove()
+            return
         if state.hasTimedOut:
             usable = pd.Timestamp(state.get[0])
             state.update(("",))
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + int(pd.Timedelta(remember).total_seconds() * 1000))
             yield pd.DataFrame({"lineage_hash": [key[0]], "usable_from": [usable]})
             return
         for f in frames:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tapelens.operators.admission import admit_ordered
 from tapelens.operators.bars import bars
 from tapelens.operators.sessions import with_session
-from tapelens.streaming.live import live_bars, live_gate
+from tapelens.operators import profiles
+from tapelens.streaming.live import live_bars, live_gate, live_rejects, live_rolling
 from tests.test_measurement import frame, trade
 
 
@@ -33,6 +34,38 @@ def test_live_bars_equal_batch_bars(spark, tmp_path):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def streamed(spark, rows, path, parts=3):
+    n = -(-len(rows) // parts)
+    for part in range(parts):  # files arrive in order
+        frame(spark, rows[part * n : part * n + n]).coalesce(1).write.mode("append").parquet(path)
+        __import__("time").sleep(1.1)
+    return spark.readStream.schema(frame(spark, rows).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_side_rows_and_rolling_profiles_equal_batch(spark, tmp_path):
+    rows = [(*trade(i, 47 * i, 100 + (i * 7 % 9) / 4, i % 4, event=f"e{i // 2 if i % 10 == 1 else i + 500}")[:8], i if i % 13 else i - 1, [], "TRADE", i) for i in range(1, 240)]
+    trades = admit_ordered(with_session(frame(spark, rows)))
+    got = run(live_rejects(streamed(spark, rows, str(tmp_path / "a"))), "live_rejects", tmp_path).select("arrival", "reject_flag")
+    want = trades.filter("not admitted").select("arrival", "reject_flag")
+    assert {r.reject_flag for r in want.collect()} >= {"DATA:NON_POSITIVE_QUANTITY", "DATA:DUPLICATE_SOURCE_SEQUENCE"}
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    live = run(live_rolling(streamed(spark, rows, str(tmp_path / "b")), (30, 60), 5), "live_rolling", tmp_path)
+    whole = bars(trades, 5)
+    for n in (30, 60):
+        want = profiles.rolling(profiles.minute_bins(trades), whole, n, 5).select("session_id", "end", "tick", "volume")
+        got = live.filter(F.col("minutes") == n).select("session_id", "end", "tick", "volume")
+        assert want.count() > 50 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_bars_end_with_the_stream(spark, tmp_path):
+    first = [trade(i, 60 * i, 100) for i in range(8)]
+    later = [trade(100 + i, 7200 + 600 * i, 50, root="6E") for i in range(3)]
+    stream = streamed(spark, [*first, *later], str(tmp_path / "c"), 4)
+    got = run(live_bars(stream, (5,), finalize_after="1 minute"), "live_ends", tmp_path).filter("root = 'ES'").orderBy("end").collect()
+    assert [(b.end - dt.datetime(2024, 3, 4, 14, 30)).seconds // 60 for b in got] == [5, 10]
+    assert got[1].n_trades == 3 and got[1].available_at >= got[1].end
+
+
 def test_live_gate_holds_until_the_clock(spark, tmp_path):
     t = lambda m: dt.datetime(2024, 1, 1, 12, m)
     schema = "lineage_hash string, usable_from timestamp, event_clock timestamp"
