@@ -48,15 +48,16 @@ def likeness(a: Column, b: Column) -> Column:
 def next_ids(docs: DataFrame, per_bucket: int = 20_000) -> DataFrame:
     """(doc_id, next_id): the next smaller doc_id, and after the least the greatest.
 
-    Ids are cut into ranges of equal width; neighbours are found inside each, and
-    the few range ends among themselves, so no task sees all ids.
+    Ids are dealt to ranges of about per_bucket by Spark's range partitioning, which
+    samples them, so a few far ids do not widen the others' range. Neighbours are
+    found inside each range, and the range ends among themselves.
     """
     ids = docs.select("doc_id").filter("doc_id is not null")
-    n, least, most = ids.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    n, most = ids.agg(F.count("*"), F.max("doc_id")).first()
     if not n:
         return ids.withColumn("next_id", F.col("doc_id"))
-    width = (most - least) // max(1, n // per_bucket) + 1
-    cut = ids.withColumn("bucket", F.floor((F.col("doc_id") - F.lit(least)) / F.lit(width)))
+    # stored, as the sampled ranges of a second evaluation could differ
+    cut = store(ids.repartitionByRange(max(1, n // per_bucket), "doc_id").withColumn("bucket", F.spark_partition_id()), "ranges")
     inside = cut.withColumn("near", F.lag("doc_id").over(Window.partitionBy("bucket").orderBy("doc_id")))
     ends = cut.groupBy("bucket").agg(F.max("doc_id").alias("end"))  # one row for each per_bucket ids
     order = Window.orderBy("bucket")

@@ -42,6 +42,8 @@ LABELLED = tuple(
     for j in range(3)
 )
 DIM = 4096
+#: Rows of a labelled table, at most: training holds their Gram matrix in one row.
+MOST_LABELLED = 2_000
 STEPS, RATE, DECAY = 250, 3.0, 0.0005
 
 
@@ -70,11 +72,14 @@ def ngrams(host: Column, path: Column) -> Column:
 def train(labelled: DataFrame, dim: int = DIM) -> list[float]:
     """The bias and the weights of `dim` n-gram places, learned from labelled(host, path, label); zeros if it is empty.
 
-    The labelled table is small: it is grouped into one row. Its features are
-    scaled to length one. Nulls count as empty strings; rows without a label are
+    The labelled table is small (MOST_LABELLED rows, else an error): it is grouped
+    into one row. Its features are scaled to length one. Nulls count as empty strings; rows without a label are
     left out.
     """
-    rows = labelled.filter("label is not null").select(
+    labelled = labelled.filter("label is not null")
+    if labelled.limit(MOST_LABELLED + 1).count() > MOST_LABELLED:
+        raise ValueError(f"the labelled table has more than {MOST_LABELLED} rows")
+    rows = labelled.select(
         F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), F.col("label").cast("double").alias("y")
     )
     rows = rows.withColumn("f", ngrams(F.col("host"), F.col("path"))).withColumn("f", F.when(F.size("f") > 0, F.col("f")).otherwise(F.array(F.lit(0))))

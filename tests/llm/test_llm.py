@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tapelens.llm import decontaminate, html_extract, language_model, line_dedup, minhash_dedup, packing, pairs, quality, simhash, substring_dedup, url_filter
@@ -314,6 +315,49 @@ def test_language_model(real):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def plain_backoff(training, texts):
+    """Scores by the definition: discounted n-grams up to three words that occur twice with both parts known as often, and backoff weights, as plain dictionaries."""
+    one, starts = Counter(w for t in training for w in t), len(training)
+    n, v = sum(one.values()), len(one)
+    discount = (sum(c == 1 for c in one.values()) + 1) / (v + 2)
+    p1 = {w: (c - discount) / n for w, c in one.items()}
+    often = lambda w: w == "<s>" or one[w] >= 2
+    lines = [["<s>", *t] for t in training]
+    two = Counter((a, b) for t in lines for a, b in zip(t, t[1:]) if often(a) and often(b))
+    two = {k: c for k, c in two.items() if c >= 2}
+    size = lambda a: starts if a == "<s>" else one[a]
+    p2 = {(a, b): (c - 0.5) / max(size(a), c) for (a, b), c in two.items()}
+    three = Counter((a, b, c) for t in lines for a, b, c in zip(t, t[1:], t[2:]) if (a, b) in two and (b, c) in two)
+    p3 = {k: (c - 0.5) / max(two[k[:2]], c) for k, c in three.items() if c >= 2}
+    used = defaultdict(lambda: [0.0, 0.0])
+    for table, lower in ((p2, lambda k: p1[k[1]]), (p3, lambda k: p2[k[1:]])):
+        for k, p in table.items():
+            used[k[:-1]][0] += p
+            used[k[:-1]][1] += lower(k)
+    fail = {k: np.log10(max(1 - a, 1e-9) / max(1 - b, 1e-9)) for k, (a, b) in used.items()}
+    out = []
+    for t in texts:
+        total = 0.0
+        for i, w in enumerate(t):
+            a, b = (["<s>", *t][i - 1] if i else None), ["<s>", *t][i]
+            x = np.log10(p1.get(w, discount * v / n))
+            x = np.log10(p2[b, w]) if (b, w) in p2 else x + fail.get((b,), 0.0)
+            if a is not None:
+                x = np.log10(p3[a, b, w]) if (a, b, w) in p3 else x + (fail.get((a, b), 0.0) if (a, b) in p2 else 0.0)
+            total += x
+        out.append(total)
+    return out
+
+
+def test_automaton_against_plain_backoff(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "rare%d" % rng.integers(0, 40)], int(rng.integers(0, 60)))) for _ in range(40)]
+    docs = docs_of(spark, texts)
+    got = {r.doc_id: r.score for r in language_model.score(docs, F.col("doc_id") < 30).collect()}
+    tokens = [[*t.split(), "</s>"] for t in texts]
+    assert [got[i] for i in range(40)] == pytest.approx(plain_backoff(tokens[:30], tokens))
+
+
 def test_automaton_sums_to_one(real):
     trained = language_model.train(real, F.lit(True))
     m = trained.automaton
@@ -361,6 +405,33 @@ def test_simhash(spark):
     assert simhash.fingerprint_edits(docs_of(spark, [])).count() == 0
 
 
+def plain_simhash(text):
+    """SimHash word by word: each word's hash votes on 64 bits with the word's weight."""
+    votes, weights = [0] * 64, 0
+    for word in re.split(r"[\x20\x09-\x0D]+", text):
+        if word:
+            w = max(min(len(word), 12) - 2, 1)
+            h = xxhash.xxh64(word.encode(), seed=42).intdigest()
+            weights += w
+            votes = [v + w * (h >> j & 1) for j, v in enumerate(votes)]
+    fp = sum(1 << j for j, v in enumerate(votes) if 2 * v > weights)
+    return fp - (1 << 64) if fp >= 1 << 63 else fp
+
+
+def test_fingerprints_against_plain_simhash(spark):
+    texts = [t or "" for t in awkward()] + ["a  b\ta\n", " lead and trail "]
+    got = {r.doc_id: r.fp for r in simhash.fingerprints(docs_of(spark, texts).select("doc_id", "text"), ["doc_id"]).collect()}
+    assert got == {i: plain_simhash(t) for i, t in enumerate(texts)}
+
+
+def test_next_ids_with_far_and_null_ids(spark):
+    ids = [5, 1, 9, 10**15, -(10**15), 7, 3]
+    df = spark.createDataFrame([(i,) for i in [*ids, None]], "doc_id long")
+    got = {r.doc_id: r.next_id for r in simhash.next_ids(df, per_bucket=2).collect()}
+    order = sorted(ids)
+    assert got == {x: order[i - 1] for i, x in enumerate(order)}
+
+
 def test_within_radius_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(-(2**63), 2**63 - 1, 20)
@@ -375,10 +446,34 @@ def test_url_filter(spark):
     for i, (_, host, path, rule, verdict) in enumerate(urls):
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
         assert got[i].verdict == (verdict or ("block" if got[i].p_block >= 0.5 else "allow"))
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    odd = spark.createDataFrame([(1, "http://a.org/" + "x/" * 50_000, 1), (1, "http://a.org/" + "x/" * 50_000, 2), (None, "http://b.net/es/1", 3)], "page_id long, url string, verdict int")
+    assert sorted((r.page_id or 0, r.rule or "") for r in url_filter.judge(odd).collect()) == [(0, "net/es/"), (1, ""), (1, "")]
+    many = spark.range(url_filter.MOST_LABELLED + 1).select(F.lit("a.org").alias("host"), F.lit("/").alias("path"), F.lit(1).alias("label"))
+    with pytest.raises(ValueError):
+        url_filter.train(many)
     spam = spark.createDataFrame([(1, "https://casino-pills.example.org/en/3"), (2, "https://thering.example.org/en/3")], "page_id long, url string")
     assert [r.verdict for r in url_filter.judge(spam).orderBy("page_id").collect()] == ["block", "allow"]
 
 
+def test_logistic_regression_against_gradient_steps(spark):
+    rows = url_filter.LABELLED[:40] + url_filter.LABELLED[-40:]
+    df = spark.createDataFrame(list(rows), "host string, path string, label int")
+    got = np.array(url_filter.train(df))
+    feats = [r.f for r in df.select("host", "path", "label", url_filter.ngrams(F.col("host"), F.col("path")).alias("f")).orderBy("host", "path", "label").collect()]
+    y = np.array([r.label for r in df.orderBy("host", "path", "label").collect()], float)
+    x = np.zeros((len(y), url_filter.DIM + 1))
+    x[:, 0] = 1
+    for i, f in enumerate(feats):
+        x[i, np.array(f) + 1] = 1 / np.sqrt(len(f))
+    w = np.zeros(url_filter.DIM + 1)
+    weight = np.where(y > 0.5, (len(y) - y.sum()) / y.sum(), 1.0)
+    for _ in range(url_filter.STEPS):
+        residual = (y - 1 / (1 + np.exp(-x @ w))) * weight
+        w = w * (1 - url_filter.RATE * url_filter.DECAY) + url_filter.RATE * (x.T @ residual) / len(y)
+    assert got == pytest.approx(w, abs=1e-8)
+
+
 def test_packing(spark):
     rng = np.random.default_rng(2)
     lengths = np.concatenate([rng.integers(1, 4097, 500), [4096, 1, 1, 512]])
