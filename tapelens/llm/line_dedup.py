@@ -44,6 +44,8 @@ STARTS = 12
 BLOCK = 1_000
 #: Least values of a line that a pair is judged by before its texts are compared, and what their count may fall short by, times its square root.
 SKETCH, SLACK = 256, 1.2
+#: Those of them that travel with each bucket of a line that is still apart.
+FIRST = 64
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -116,8 +118,8 @@ def sketches(texts: DataFrame) -> DataFrame:
     return low.select("id", F.struct(least.alias("least"), F.size("all").alias("n")).alias("sketch"))
 
 
-def _alike(a: str, b: str, threshold: float) -> Column:
-    """Whether two sketches allow a Jaccard of the threshold.
+def _alike(a: str, b: str, threshold: float, held: int = SKETCH) -> Column:
+    """Whether two sketches of `held` values allow a Jaccard of the threshold.
 
     Sets of n and m values of that Jaccard J share (n + m) J / (1 + J). Of the k
     least values of the larger set the same part is shared, but for the noise of a
@@ -125,8 +127,8 @@ def _alike(a: str, b: str, threshold: float) -> Column:
     """
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     larger = F.greatest(n, m)
-    k = F.least(larger, F.lit(SKETCH))
-    noise = F.when(larger > SKETCH, SLACK * F.sqrt(k)).otherwise(0.0)
+    k = F.least(larger, F.lit(held))
+    noise = F.when(larger > held, SLACK * F.sqrt(k)).otherwise(0.0)
     return F.size(F.array_intersect(f"{a}.least", f"{b}.least")) >= k * (n + m) / larger * (threshold / (1 + threshold)) - noise - 1e-9
 
 
@@ -136,14 +138,21 @@ def _candidates(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFr
 
 
 def _apart(bucket: DataFrame, comp: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: pairs of lines that share a bucket and are in different components, but for those whose sketches are too unlike."""
+    """(a, b), a < b: pairs of lines that share a bucket and are in different components, but for those whose sketches are too unlike.
+
+    A pair is taken in the least of the buckets alone that both lines are in.
+    """
     full = bucket.withColumnRenamed("h", "id").join(comp, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
-    known = store(dealt_to_blocks(full, BLOCK).join(sketch, "id"), "dealt")
-    left = known.filter("block = lo").select("band", "lo", "hi", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("sa"))
-    right = known.filter("block = hi").select("band", "lo", "hi", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("sb"))
-    both = left.join(right, ["band", "lo", "hi"]).filter((F.col("ca") != F.col("cb")) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b"))))
-    alike = both.filter(_alike("sa", "sb", threshold))
-    return alike.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    dealt = store(dealt_to_blocks(full, BLOCK), "dealt")
+    bands = dealt.groupBy("id").agg(F.array_sort(F.collect_set("band")).alias("bands"))
+    first = F.struct(F.slice("sketch.least", 1, FIRST).alias("least"), F.col("sketch.n").alias("n"))
+    known = dealt.join(store(bands.join(sketch, "id").select("id", "bands", first.alias("sketch")), "first"), "id")
+    left = known.filter("block = lo").select("band", "lo", "hi", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("sa"), F.col("bands").alias("ba"))
+    right = known.filter("block = hi").select("band", "lo", "hi", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("sb"), F.col("bands").alias("bb"))
+    apart = (F.col("ca") != F.col("cb")) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b")))
+    here = F.element_at(F.array_intersect("ba", "bb"), 1) == F.col("band")
+    both = left.join(right, ["band", "lo", "hi"]).filter(apart & here & _alike("sa", "sb", threshold, FIRST))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_lines(lines: DataFrame, threshold: float) -> DataFrame:
@@ -163,6 +172,7 @@ def similar_lines(lines: DataFrame, threshold: float) -> DataFrame:
     links = store(_linked(likely, texts, threshold), "links")
     comp = store(components(links), "comp")
     left = store(_apart(bucket, comp, sketch, threshold).join(pairs, ["a", "b"], "left_anti"), "left")
+    left = store(_candidates(left, sketch, threshold), "likely")
     found = store(_linked(left, texts, threshold), "more")
     return components(links.unionByName(found)) if found.head(1) else comp
 
