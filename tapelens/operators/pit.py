@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clocks import utc_text
 from ..functions.ids import canonical_json
+from ..storage import dimension
 
 
 def usable_from(raw: DataFrame, manual: Column | None = None) -> DataFrame:
@@ -30,7 +31,7 @@ def weekly_rule(raw: DataFrame) -> DataFrame:
 def scheduled_release(raw: DataFrame, schedule: DataFrame) -> DataFrame:
     """raw with scheduled_time and schedule_fault: unscheduled, or another time than scheduled. The schedule is one row a date and is broadcast."""
     s = schedule.select(F.col("observation_date").alias("s_date"), F.col("release_time").alias("scheduled_time"))
-    out = raw.join(F.broadcast(s), F.to_date("observation_time") == F.col("s_date"), "left").drop("s_date")
+    out = raw.join(dimension(s), F.to_date("observation_time") == F.col("s_date"), "left").drop("s_date")
     return out.withColumn("schedule_fault", F.when(F.col("scheduled_time").isNull(), "unscheduled").when(~F.col("release_time").eqNullSafe(F.col("scheduled_time")), "release_differs"))
 
 
@@ -50,7 +51,7 @@ def normalize(raw: DataFrame, policies: DataFrame, retrieved_at: Column) -> Data
     delivery_time, source_version, value string); policies(dataset_id, extra_flag)
     is one row a dataset and is broadcast. A missing value is withheld, never filled.
     """
-    out = usable_from(raw.join(F.broadcast(policies), "dataset_id")).filter("usable_from is not null")
+    out = usable_from(raw.join(dimension(policies), "dataset_id")).filter("usable_from is not null")
     flags = F.array_sort(F.array_distinct(F.array_compact(F.array(F.lit("dataset_certification_under_review"), F.col("extra_flag"), F.when(F.col("vendor_time").isNull(), "vendor_receipt_unavailable")))))
     out = out.withColumn("quality_flags", flags).withColumn("missing_reason", F.when(F.col("value").isNull(), "policy_normalized_value_missing"))
     out = out.withColumn("quality_status", quality_status(F.col("quality_flags"), F.col("missing_reason"))).withColumn("revision_id", F.lit(None).cast("string"))
@@ -60,7 +61,7 @@ def normalize(raw: DataFrame, policies: DataFrame, retrieved_at: Column) -> Data
 
 def rejected(raw: DataFrame, policies: DataFrame) -> DataFrame:
     """The records that normalize() leaves out, with the reason."""
-    known = raw.join(F.broadcast(policies.select("dataset_id", F.lit(True).alias("known"))), "dataset_id", "left")
+    known = raw.join(dimension(policies.select("dataset_id", F.lit(True).alias("known"))), "dataset_id", "left")
     reason = F.when(F.col("known").isNull(), "unknown_dataset").when(F.col("release_time").isNull(), "release_missing").when(F.col("delivery_time").isNull(), "delivery_missing")
     return known.withColumn("reason", reason).filter("reason is not null").drop("known")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import dimension
+
 
 def coverage_by_dim(events: DataFrame) -> DataFrame:
     """Event counts by month, contract, type, root and session type, in one grouping-sets aggregate."""
@@ -55,7 +57,7 @@ def probe_coverage(trades: DataFrame, gaps: DataFrame, markets: DataFrame) -> Da
         F.min("exchange_time").alias("first_time"), F.max("exchange_time").alias("last_time"), F.count("*").alias("n_rows"), F.count_distinct("contract_symbol").alias("contracts"),
         F.count_if(F.array_contains("source_flags", "SOURCE_SUSPICIOUS")).alias("suspicious"),
     )
-    out = F.broadcast(markets.select("root", "minimum_tick", "multiplier")).join(seen, "root", "left").join(gaps.select("root", "gaps"), "root", "left")
+    out = dimension(markets.select("root", "minimum_tick", "multiplier")).join(seen, "root", "left").join(gaps.select("root", "gaps"), "root", "left")
     n = F.coalesce("n_rows", F.lit(0))
     flags = F.array_sort(F.array_compact(F.array(F.when(n == 0, "NO_ROWS"), F.when(F.col("gaps") > 0, "MINUTE_GAPS"), F.when(F.col("suspicious") > 0, "SUSPICIOUS_ROWS"), F.when(F.col("contracts") > 1, "SEVERAL_CONTRACTS"))))
     status = F.when(n == 0, "REJECTED").when(F.size(flags) > 0, "PARTIAL").otherwise("VALID")
@@ -69,8 +71,8 @@ def delivery_audit(schedule: DataFrame, roots: DataFrame, deliveries: DataFrame)
     few hundred rows; deliveries(root, release_date, delivered_at).
     """
     last = deliveries.groupBy("root", "release_date").agg(F.max("delivered_at").alias("delivered_at"))
-    grid = schedule.crossJoin(F.broadcast(roots))  # dates x roots: both are dimensions
-    out = last.join(F.broadcast(grid), ["root", "release_date"], "right")
+    grid = schedule.crossJoin(dimension(roots))  # dates x roots: both are dimensions
+    out = last.join(dimension(grid), ["root", "release_date"], "right")
     return out.select(
         "root", "release_date", "official_time", "delivered_at", F.coalesce(F.col("delivered_at") < F.col("official_time"), F.lit(False)).alias("delivery_precedes_official"),
         F.when(F.col("delivered_at").isNull(), "delivery_absent").alias("flag"),

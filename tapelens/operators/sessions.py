@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.clocks import micros, seconds_of_day, to_local, to_utc
 from ..functions.ids import content_id
 from ..sources.dims import session_windows
+from ..storage import dimension
 
 
 def _local_to_utc(date, seconds, zone):
@@ -22,8 +23,9 @@ def with_session(rows: DataFrame, at: str = "exchange_time", windows: DataFrame
     type `closed` and has no bounds; other bounds are clipped to the open stretch
     between closures. Both dimensions are a few rows a root and are broadcast.
     """
+    fit = F.broadcast if windows is None else dimension  # the library's own windows are some forty rows
     windows = session_windows(rows.sparkSession) if windows is None else windows
-    w = F.broadcast(windows.select(F.col("root").alias("w_root"), "session_name", "session_type", "zone", "start_sec", "end_sec", "crosses_midnight", "policy_version"))
+    w = fit(windows.select(F.col("root").alias("w_root"), "session_name", "session_type", "zone", "start_sec", "end_sec", "crosses_midnight", "policy_version"))
     out = rows.join(w, F.col("root") == F.col("w_root")).withColumn("local", to_local(F.col(at), F.col("zone"))).withColumn("sod", seconds_of_day(F.col("local")))
     inside = F.when(F.col("crosses_midnight"), (F.col("sod") >= F.col("start_sec")) | (F.col("sod") < F.col("end_sec"))).otherwise((F.col("sod") >= F.col("start_sec")) & (F.col("sod") < F.col("end_sec")))
     out = out.filter(inside)
@@ -47,7 +49,7 @@ def _apply_closures(out: DataFrame, at: str, closures: DataFrame) -> DataFrame:
             "exception_name", "closure_name", "calendar_version",
         ).alias("c"),
     ).groupBy("c_root").agg(F.collect_list("c").alias("cs"))  # a calendar of some dozen entries a root
-    out = out.join(F.broadcast(c), F.col("root") == F.col("c_root"), "left").drop("c_root")
+    out = out.join(dimension(c), F.col("root") == F.col("c_root"), "left").drop("c_root")
     t = micros(F.col("local"))
 
     def edge(x, part):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import dimension
+
 SCHEMA = (
     "root string, contract_symbol string, exchange_time timestamp_ntz, available_at timestamp_ntz, price double, quantity double, minimum_tick double, "
     "source_event_id string, source_sequence long, trade_condition string, source_flags array<string>, tick_type string, arrival long"
@@ -63,7 +65,7 @@ def front_contract(trades: DataFrame, mappings: DataFrame) -> DataFrame:
     spans = visible.select(F.col("root").alias("m_root"), F.col("new_mapped_symbol").alias("mapped"), F.col("visible_at").alias("since"), until.alias("until"))
     at = F.col("exchange_time")
     on = (F.col("root") == F.col("m_root")) & (F.col("contract_symbol") == F.col("mapped")) & (at >= F.col("since")) & (F.col("until").isNull() | (at < F.col("until")))
-    return trades.join(F.broadcast(spans), on).drop("m_root", "mapped", "since", "until")
+    return trades.join(dimension(spans), on).drop("m_root", "mapped", "since", "until")
 
 
 def mapped_contracts(mappings: DataFrame) -> DataFrame:

@@ -50,3 +50,10 @@ def drop_stored(spark: SparkSession) -> int:
 def is_small(df: DataFrame, rows: int = DIMENSION_ROWS) -> bool:
     """Whether df has at most `rows` rows; reads no more than that many."""
     return df.limit(rows + 1).count() <= rows
+
+
+def dimension(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it is of dimension size, which is checked, else unchanged, so that the join is shuffled."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if is_small(df) else df
