@@ -24,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text without the lines that repeat an earlier one; n_chars follows the text, and every document stays."""
     ship(spark)
-    kept = line_dedup.dedup_lines(docs)
+    kept = line_dedup.without_repeats(docs)
     return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(docs.columns)
 
 

@@ -189,24 +189,28 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return later.groupBy("doc_id").agg(F.collect_list("pos").alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """docs with each text's repeated lines removed, and n_lines and n_removed.
-
-    docs(doc_id, text, ...), doc_id unique; columns named n_lines, n_removed or
-    removed are replaced, all others are kept. A line ends at \\n; blank lines are
-    never removed. Of a component of similar lines the first by (doc_id, place)
-    stays, so ties have one winner. Null texts stay null and have no lines; an
-    empty table gives no rows; a text may become empty.
-    """
-    docs = docs.drop("n_lines", "n_removed", "removed")
-    removed = store(removed_lines(docs, threshold), "removed")
-    joined = docs.join(sized_broadcast(removed, F.size("removed") * 4 + 24), "doc_id", "left")
+def without_repeats(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """docs, all columns, with each text's repeated lines removed; and __n_lines and __n_removed."""
+    removed = store(removed_lines(docs, threshold).withColumnRenamed("removed", "__removed"), "removed")
+    joined = docs.join(sized_broadcast(removed, F.size("__removed") * 4 + 24), "doc_id", "left")
     lines = F.split("text", "\n")
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
     kept = F.array_join(F.transform(places, lambda i: F.get(F.col("__lines"), i)), "\n")
     joined = joined.withColumn("__lines", lines)
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("text", text)
+    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(kept)
     n_lines = F.when(F.col("__lines").isNull(), F.lit(0)).otherwise(F.size("__lines"))
-    n_removed = F.when(F.col("removed").isNull(), F.lit(0)).otherwise(F.size("removed"))
-    return out.select(*docs.columns, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    n_removed = F.when(F.col("__removed").isNull(), F.lit(0)).otherwise(F.size("__removed"))
+    return joined.withColumn("text", text).select(*docs.columns, n_lines.alias("__n_lines"), n_removed.alias("__n_removed"))
+
+
+def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """docs with each text's repeated lines removed, and n_lines and n_removed.
+
+    docs(doc_id, text, ...), doc_id unique; columns named n_lines or n_removed are
+    replaced, all others are kept. A line ends at \\n; blank lines are never removed.
+    Of a component of similar lines the first by (doc_id, place) stays, so ties have
+    one winner. Null texts stay null and have no lines; an empty table gives no
+    rows; a text may become empty.
+    """
+    out = without_repeats(docs.drop("n_lines", "n_removed"), threshold)
+    return out.withColumnsRenamed({"__n_lines": "n_lines", "__n_removed": "n_removed"})

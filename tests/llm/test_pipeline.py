@@ -1,6 +1,11 @@
 """The pipeline's stages: each takes effect and keeps what it should."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
+
+from tapelens.llm.minhash_dedup import near_duplicates
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -20,3 +25,53 @@ def test_stages(spark):
     ids = {p.doc_id for r in packed for p in r.pieces}
     assert ids == {r.doc_id for r in docs.select("doc_id").collect()}
     assert all(r.n_tokens == sum(p.n_tokens for p in r.pieces) <= r.capacity for r in packed)
+
+
+AWKWARD = [None, "", " ", "one line\n\n\tone line\r\n", "x" * 20_000, "word " * 6_000, "Ünï cödé 汉字 " * 5]
+
+
+def test_stages_on_awkward_rows(spark):
+    """Nulls in any column, repeated texts, very long and empty ones, and columns whose names the operators use inside."""
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(10_000_000 + i, t, None if i % 2 else "en", None, None) for i, t in enumerate(AWKWARD + AWKWARD[2:])]
+    docs = base.limit(60).unionByName(spark.createDataFrame(rows, base.schema))
+    docs = docs.withColumns({c: F.lit(1) for c in ("score", "h", "band", "comp", "removed", "n_lines", "items", "sig", "shard", "bin")})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.store(stage(spark, docs, SF), "stage")
+        assert out.columns == columns, name
+        assert out.select("doc_id").distinct().count() == out.count() <= docs.count()
+        docs = out
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.store(stage(spark, docs, SF), "stage")
+        assert docs.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_each_stage_does_what_its_operator_says(spark):
+    """Each stage against plain Python over its own input."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    _, line, near, bench, _ = (f for _, f in corpus_pipeline.STAGES)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    items = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (r.text or "").lower()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    windows = {" ".join(w[p : p + 10]) for w in items for p in range(max(1, len(w) - 9)) if w}
+    sizes = {len(w.split(" ")) for w in windows}
+
+    def leaks(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+        return any(" ".join(w[p : p + n]) in windows for n in sizes for p in range(len(w) - n + 1))
+
+    assert {r.doc_id for r in bench(spark, docs, SF).collect()} == {i for i, t in texts.items() if not leaks(t)}
+    kept = {r.doc_id: r.text for r in line(spark, docs, SF).collect()}
+    seen = set()
+    for i in sorted(texts):
+        lines = [x.strip("\t\n\x0b\x0c\r ") for x in (kept[i] or "").split("\n")]
+        own = [x for x in lines if x]
+        assert len(own) == len(set(own)) and not seen & set(own)
+        seen |= set(own)
+    assert {r.doc_id for r in near(spark, docs, SF).collect()} == {r.doc_id for r in near_duplicates(docs).filter("doc_id = class_id").collect()}
