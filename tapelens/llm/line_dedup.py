@@ -10,9 +10,9 @@ of their shingles that begin with one of a fixed set of characters; lines near
 the border are signed both ways, so that no pair falls between the two.
 
 Bands give candidates; each is compared with the least line of its bucket by the
-exact Jaccard similarity of all shingles, every pair of lines of a bucket that
-are still apart is compared as well, in pairs of bounded blocks, and distributed
-union-find joins the links. Of each component the first line (least doc_id, then
+exact Jaccard similarity of all shingles and, for a few turns, with one more line
+of it; every pair of lines of a bucket that are still apart is compared as well,
+in pairs of bounded blocks, and distributed union-find joins the links. Of each component the first line (least doc_id, then
 place) stays.
 """
 
@@ -40,6 +40,8 @@ RUNS = [(4, 0, 20), (5, 16, 64), (6, 48, None)]
 LONG_RUN = 6
 #: A line begins a run at each of its values, or where it has 2 * STARTS or more, at a power of two fewer: STARTS at least.
 STARTS = 12
+#: Times that the lines of a bucket are compared with one more line of it before all that are still apart are.
+TURNS = 3
 #: Lines of a block of a bucket whose lines are still apart.
 BLOCK = 1_000
 #: Least values of a line that a pair is judged by before its texts are compared, and what their count may fall short by, times its square root.
@@ -137,13 +139,25 @@ def _candidates(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFr
     return both.filter(_alike("sa", "sb", threshold)).select("a", "b")
 
 
+def _placed(bucket: DataFrame, comp: DataFrame) -> DataFrame:
+    """(band, id, comp) of the lines of all buckets."""
+    return bucket.withColumnRenamed("h", "id").join(comp, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
+
+
+def _hub_pairs(bucket: DataFrame, comp: DataFrame, turn: int) -> DataFrame:
+    """(a, b), a < b: each bucket's lines with one of their number, from a component that is picked by hash, if they are not in it."""
+    full = _placed(bucket, comp)
+    picked = full.groupBy("band").agg(F.min(F.struct(F.xxhash64("comp", F.lit(turn)).alias("o"), "id", "comp")).alias("hub"))
+    both = full.join(picked, "band").filter(F.col("comp") != F.col("hub.comp"))
+    return both.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+
+
 def _apart(bucket: DataFrame, comp: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a < b: pairs of lines that share a bucket and are in different components, but for those whose sketches are too unlike.
 
     A pair is taken in the least of the buckets alone that both lines are in.
     """
-    full = bucket.withColumnRenamed("h", "id").join(comp, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
-    dealt = store(dealt_to_blocks(full, BLOCK), "dealt")
+    dealt = store(dealt_to_blocks(_placed(bucket, comp), BLOCK), "dealt")
     bands = dealt.groupBy("id").agg(F.array_sort(F.collect_set("band")).alias("bands"))
     first = F.struct(F.slice("sketch.least", 1, FIRST).alias("least"), F.col("sketch.n").alias("n"))
     known = dealt.join(store(bands.join(sketch, "id").select("id", "bands", first.alias("sketch")), "first"), "id")
@@ -171,6 +185,15 @@ def similar_lines(lines: DataFrame, threshold: float) -> DataFrame:
     likely = store(_candidates(pairs, sketch, threshold), "likely")
     links = store(_linked(likely, texts, threshold), "links")
     comp = store(components(links), "comp")
+    # families that are apart by the first line alone grow together in a few turns, by pairs in proportion to their lines
+    for turn in range(TURNS):
+        more = store(_hub_pairs(bucket, comp, turn).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        found = store(_linked(store(_candidates(more, sketch, threshold), "likely"), texts, threshold), "more")
+        pairs = pairs.unionByName(more)
+        if not found.head(1):
+            break
+        links = links.unionByName(found)
+        comp = store(components(links), "comp")
     left = store(_apart(bucket, comp, sketch, threshold).join(pairs, ["a", "b"], "left_anti"), "left")
     left = store(_candidates(left, sketch, threshold), "likely")
     found = store(_linked(left, texts, threshold), "more")
