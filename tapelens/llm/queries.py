@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_model, line_dedup, minhash_dedup, packing, quality, simhash, substring_dedup, url_filter
+from . import decontaminate, html_extract, language_model, line_dedup, minhash_dedup, mixing, packing, prefix_trie, quality, simhash, substring_dedup, url_filter
 from .common import crc_mod, store, table
 
 
@@ -64,8 +64,41 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
-#: op9 and op10 as SQL: windows as texts, compared with each other.
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+#: crc32 of a decimal as SQL: one byte after the other, eight shifts each.
+_CRC32 = (
+    "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: CAST(ord(x) AS UBIGINT))), "
+    "lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: 0::UBIGINT)), lambda r, i: xor(r >> 1, (r & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"
+)
+
+#: As SQL: windows of op9 and op10 as texts, compared with each other; op11's mixture as a stretch of each source's repeated stream; op13's nodes as lists of turns.
 ORACLE_SQL = {
+    "op11_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || coalesce(text, '')) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+r AS (SELECT *, coalesce(sum(3 * source_size) OVER p, 0) AS full_before, coalesce(sum(w) OVER p, 0) AS w_before FROM s WINDOW p AS (ORDER BY 3 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT max(CAST((SELECT sum(source_size) FROM s) - full_before AS DOUBLE) / CAST((SELECT sum(w) FROM s) - w_before AS DOUBLE)) AS level FROM r),
+t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), level * w) AS target FROM s, l),
+p AS (SELECT doc_id, size, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS b FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST((SELECT sum(greatest(0, least(CAST(floor(target) AS BIGINT), e * source_size + b + size) - e * source_size - b)) FROM range(3) q(e)) AS BIGINT) AS taken FROM p""",
+    "op13_prefix_trie": rf"""
+WITH o AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, CAST({_CRC32.format('c')} % 9 AS BIGINT) AS h FROM o),
+b AS (SELECT h.c, list_concat(coalesce(o.ts[1:h.h], []), h.ts[h.h + 1:]) AS ts FROM h LEFT JOIN o ON o.c = h.c - h.c % 5),
+m AS (SELECT c, d, ts[1:d] AS pre, len(ts) = d AS ends FROM (SELECT c, ts, unnest(range(0, len(ts) + 1)) AS d FROM b)),
+n AS (SELECT d, pre, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS es FROM m GROUP BY d, pre),
+k AS (SELECT d - 1 AS d, pre[1:d - 1] AS pre, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * octet_length(encode(pre[d].t)) ELSE 0 END AS saved FROM n LEFT JOIN k USING (d, pre)),
+u AS (SELECT a.d, a.pre, count(*) FILTER (x.n_children = 0) AS n_leaves, sum(x.saved) AS saved_tokens FROM v a JOIN v x ON x.d >= a.d AND x.pre[1:a.d] = a.pre GROUP BY ALL)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, u.n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, sha256(v.es) AS ends_sha256
+FROM v JOIN u ON v.d = u.d AND v.pre = u.pre LEFT JOIN v p ON p.d = v.d - 1 AND p.pre = v.pre[1:v.d - 1]""",
     "op9_benchmark_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
@@ -95,4 +128,6 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_mixing": op11_mixing,
+    "op13_prefix_trie": op13_prefix_trie,
 }
