@@ -16,12 +16,14 @@ have the same word before or behind them; that is noted while they are counted.
 Texts are encoded once, in chunks of some 250,000 words of a language with their own
 vocabulary. Passes over the chunks work on whole arrays in the tasks and send counts.
 What a pass looks for is given to it as a bit table of FILTER_BITS hashed places (4 MB
-at any size of the corpus); places hit by chance cost work, but as the counts that
+at any size of the corpus, sent compressed); places hit by chance cost work, but as the counts that
 come back are of exact phrases and compared with LEAST, they change no result.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,7 +36,6 @@ LEAST, LONGEST, TOP = 100, 5, 2_000
 CHUNK, FLUSH, FILTER_BITS = 1 << 18, 1 << 21, 25
 #: Counts of the first frontier go up to LEAST * STEP, those of the next to STEP times that while a language has too few survivors.
 STEP = 64
-BREAK = rb".,;:!?\n\x0b\x0c\r"
 
 
 class _Codes(dict):
@@ -116,8 +117,12 @@ def _marked(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def bit_table(keys: DataFrame) -> np.ndarray:
-    """The bit table of keys(key): blocks of 4 KB made in groups, at most 2^FILTER_BITS bits in all."""
+def _open(table: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(table), np.uint8)
+
+
+def bit_table(keys: DataFrame) -> bytes | None:
+    """The bit table of keys(key), compressed; None if there are no keys. Blocks of 4 KB are made in groups, at most 2^FILTER_BITS bits in all."""
 
     def block(pdf):
         import pandas as pd
@@ -127,10 +132,11 @@ def bit_table(keys: DataFrame) -> np.ndarray:
         return pd.DataFrame({"block": pdf.bit.iloc[:1].to_numpy() >> 15, "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     bits = keys.select(F.shiftrightunsigned("key", 64 - FILTER_BITS).alias("bit")).distinct()
-    table = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    table, some = np.zeros(1 << (FILTER_BITS - 3), np.uint8), False
     for r in bits.groupBy(F.shiftright("bit", 15).alias("at")).applyInPandas(block, "block long, bits binary").toLocalIterator():
         table[r.block * 4096 : r.block * 4096 + 4096] = np.frombuffer(r.bits, np.uint8)
-    return table
+        some = True
+    return zlib.compress(table, 1) if some else None
 
 
 def keys_of(phrases: DataFrame) -> DataFrame:
@@ -180,13 +186,14 @@ class _Chunk:
                 at, keys = at[on], keys[on]
 
 
-def _key_counts(m: int, first: np.ndarray, frequent: np.ndarray, tables: dict[int, np.ndarray]):
+def _key_counts(m: int, first: bytes, frequent: bytes, tables: dict[int, bytes]):
     """(key, n): how often each phrase of m words with a frequent prefix occurs, by its hashed key."""
 
     def run(batches):
         import pyarrow as pa
 
         held, n = [], 0
+        begin, words, grown = _open(first), _open(frequent), {k: _open(t) for k, t in tables.items()}
 
         def send():
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -194,7 +201,7 @@ def _key_counts(m: int, first: np.ndarray, frequent: np.ndarray, tables: dict[in
 
         for batch in batches:
             for r in batch.to_pylist():
-                *_, (_, _, keys) = _Chunk(r["lang"], r["hashes"], r["codes"], frequent).grow(first, tables, m)
+                *_, (_, _, keys) = _Chunk(r["lang"], r["hashes"], r["codes"], words).grow(begin, grown, m)
                 held.append(keys)
                 n += len(keys)
                 if n >= FLUSH:
@@ -206,7 +213,7 @@ def _key_counts(m: int, first: np.ndarray, frequent: np.ndarray, tables: dict[in
     return run
 
 
-def _phrase_counts(first: np.ndarray | None, frequent: np.ndarray, tables: dict[int, np.ndarray]):
+def _phrase_counts(first: bytes | None, frequent: bytes, tables: dict[int, bytes]):
     """(lang, phrase, n, before_min, before_max, behind_min, behind_max): exact phrases whose key is in tables[m], with the range of the words around (0: none)."""
 
     def grouped(lang, chunk, m, at, keys):
@@ -227,11 +234,12 @@ def _phrase_counts(first: np.ndarray | None, frequent: np.ndarray, tables: dict[
     def run(batches):
         import pyarrow as pa
 
+        begin, often, sought = first and _open(first), _open(frequent), {k: _open(t) for k, t in tables.items()}
         for batch in batches:
             for r in batch.to_pylist():
-                chunk = _Chunk(r["lang"], r["hashes"], r["codes"], frequent)
-                for m, at, keys in chunk.grow(first, tables, max(tables)):
-                    on = _marked(tables[m], keys)
+                chunk = _Chunk(r["lang"], r["hashes"], r["codes"], often)
+                for m, at, keys in chunk.grow(begin, sought, max(sought)):
+                    on = _marked(sought[m], keys) if m in sought else np.zeros(len(keys), bool)
                     if on.any():
                         lang, phrase, *numbers = grouped(r["lang"], chunk, m, at[on], keys[on])
                         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()), *(pa.array(x.astype(np.int64)) for x in numbers)], COUNTED)
@@ -239,6 +247,7 @@ def _phrase_counts(first: np.ndarray | None, frequent: np.ndarray, tables: dict[
     return run
 
 
+RESULT = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
 COUNTED = ["lang", "phrase", "n", "before_min", "before_max", "behind_min", "behind_max"]
 
 
@@ -292,6 +301,40 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return whole
 
 
+def _rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A few rows of constants."""
+    fields = [f.split() for f in schema.split(", ")]
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).cast(k).alias(c) for v, (c, k) in zip(r, fields, strict=True)]) for r in rows])))
+
+
+def _grown(chunks: DataFrame, frontier: DataFrame, frequent: bytes) -> DataFrame | None:
+    """All candidates that begin with a word of the frontier, stored; None if there are none."""
+    first = bit_table(keys_of(frontier).select("key"))
+    tables: dict[int, bytes] = {}
+    for m in range(2, LONGEST + 1) if first else ():
+        counts = chunks.mapInArrow(_key_counts(m, first, frequent, dict(tables)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        table = bit_table(counts.filter(F.col("n") >= LEAST))
+        if table is None:
+            break
+        tables[m] = table
+    if not tables:
+        return None
+    found = _exact(chunks, first, frequent, tables).withColumn("first", F.substring("phrase", 1, 8))
+    return store(found.join(frontier.select("lang", F.col("phrase").alias("first")), ["lang", "first"], "left_semi").drop("first"), "found")
+
+
+def _endings(chunks: DataFrame, found: DataFrame, known: DataFrame, frequent: bytes) -> DataFrame | None:
+    """(lang, phrase, n), stored: the endings of what was found, of two words or more, that no round has counted yet; None if there are none."""
+    cut = found.filter(F.octet_length("phrase") > 16).withColumn("k", F.explode(F.sequence(F.lit(1), (F.octet_length("phrase") / 8).cast("int") - 2)))
+    ends = store(cut.select("lang", F.expr("substring(phrase, 8 * k + 1)").alias("phrase")).distinct().join(known, ["lang", "phrase"], "left_anti"), "ends")
+    wanted = store(keys_of(ends), "wanted")
+    tables = {m: t for m in range(2, LONGEST) if (t := bit_table(wanted.filter(F.col("m") == m)))}
+    if not tables:
+        return None
+    counted = _exact(chunks, None, frequent, tables).join(ends, ["lang", "phrase"], "left_semi")
+    return store(counted.select("lang", "phrase", F.col("a").alias("n")), "endings")
+
+
 def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     """Each language's first `top` phrases: lang, rank, phrase, a, l, r, n, score, by falling score, falling a and rising phrase.
 
@@ -308,40 +351,26 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     n, most = {}, {}
     for r in sizes.collect():
         n[r.lang], most[r.lang] = r.n, r.most
+    if not n:
+        return spark.createDataFrame([], RESULT)
     often = words.filter(F.col("n") >= LEAST)
     frequent = bit_table(keys_of(often).select("key"))
     low, high = dict.fromkeys(n, LEAST - 1), dict.fromkeys(n, LEAST * STEP)
     level = dict.fromkeys(n, 0)
     known, survivors = [often.select("lang", "phrase", "n")], []
-    langs = spark.createDataFrame([(k, v) for k, v in n.items()], "lang string, n long")
+    langs = _rows(spark, "lang string, n long", list(n.items()))
     while open_ := [x for x in n if most[x] > low[x]]:
-        limits = spark.createDataFrame([(x, low[x], high[x]) for x in open_], "lang string, low long, high long")
+        limits = _rows(spark, "lang string, low long, high long", [(x, low[x], high[x]) for x in open_])
         frontier = often.join(F.broadcast(limits), "lang").filter("n > low and n <= high")
-        first = bit_table(keys_of(frontier).select("key"))
-        tables: dict[int, np.ndarray] = {}
-        for m in range(2, LONGEST + 1):
-            counts = chunks.mapInArrow(_key_counts(m, first, frequent, dict(tables)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
-            tables[m] = bit_table(counts)
-            if not tables[m].any():
-                break
-        found = _exact(chunks, first, frequent, tables).withColumn("first", F.substring("phrase", 1, 8))
-        found = store(found.join(frontier.select("lang", F.col("phrase").alias("first")), ["lang", "first"], "left_semi").drop("first"), "found")
-        known.append(found.select("lang", "phrase", F.col("a").alias("n")))
-        # the endings of what was found that no round has counted yet
-        cut = found.withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.octet_length("phrase") / 8).cast("int") - 2)))).filter(F.octet_length("phrase") > 16)
-        ends = cut.select("lang", F.expr("substring(phrase, 8 * k + 1)").alias("phrase")).distinct().join(_union(known), ["lang", "phrase"], "left_anti")
-        ends = store(ends, "ends")
-        wanted = store(keys_of(ends), "wanted")
-        asked = {r.m: bit_table(wanted.filter(F.col("m") == r.m)) for r in wanted.select("m").distinct().collect()}
-        if asked:
-            for m in range(2, max(asked)):
-                asked.setdefault(m, np.zeros(1 << (FILTER_BITS - 3), np.uint8))
-            counted = _exact(chunks, None, frequent, asked).join(ends, ["lang", "phrase"], "left_semi")
-            known.append(store(counted.select("lang", "phrase", F.col("a").alias("n")), "endings"))
-        scored = _scored(found, _union(known), langs).filter("not dropped").drop("dropped")
-        survivors.append(store(scored, "survivors"))
-        ranked = _union(survivors).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("score").desc()))).filter(F.col("place") <= top).filter(F.col("place") == top)
-        level |= {r.lang: r.score for r in ranked.select("lang", "score").collect()}
+        found = _grown(chunks, frontier, frequent)
+        if found is not None:
+            known.append(found.select("lang", "phrase", F.col("a").alias("n")))
+            endings = _endings(chunks, found, _union(known), frequent)
+            if endings is not None:
+                known.append(endings)
+            survivors.append(store(_scored(found, _union(known), langs).filter("not dropped").drop("dropped"), "survivors"))
+            placed = _union(survivors).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("score").desc())))
+            level |= {r.lang: r.score for r in placed.filter(F.col("place") <= top).filter(F.col("place") == top).select("lang", "score").collect()}
         for x in open_:
             low[x] = high[x]
             # 1000 * n / f reaches the level up to this f; once there is a level, the next round is the last
@@ -349,9 +378,8 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
             if level[x] and low[x] >= high[x]:
                 most[x] = 0
     if not survivors:
-        return spark.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
-    floor = spark.createDataFrame(list(level.items()), "lang string, level long")
-    best = _union(survivors).join(F.broadcast(floor), "lang").filter("score >= level")
+        return spark.createDataFrame([], RESULT)
+    best = _union(survivors).join(F.broadcast(_rows(spark, "lang string, level long", list(level.items()))), "lang").filter("score >= level")
     spelt = best.select("lang", "phrase", F.posexplode(F.sequence(F.lit(1), (F.octet_length("phrase") / 8).cast("int"))).alias("place", "k")).withColumn("one", F.expr("substring(phrase, 8 * k - 7, 8)"))
     spelt = spelt.join(often.select("lang", F.col("phrase").alias("one"), "word"), ["lang", "one"]).groupBy("lang", "phrase").agg(F.array_sort(F.collect_list(F.struct("k", "word"))).alias("ws"))
     out = best.join(spelt, ["lang", "phrase"]).withColumn("phrase", F.array_join("ws.word", " "))
