@@ -7,10 +7,13 @@ group; where they disagree on a text, the text becomes a slot. Every task folds
 its pages into one partial wrapper for each host, and partial wrappers align in
 the same way, so a host with a third of all pages is split like any other.
 
-From the wrapper of its host a page learns where the article stands, which texts
-are the same on all pages (template), and which parts are mostly links. Tag and
-class names that stand for menus, headers, footers, sidebars, notices, adverts,
-forms and comments are left out anywhere.
+From the wrapper of its host a page learns where the article stands and which texts
+around it are template. If no tag or class name tells the article, it is the part
+that holds the slots: what varies from page to page and is no link. Template is what
+is the same on half of the host's different pages, and on three at least, and stands
+before the first or behind the last slot; headings and whatever stands between slots
+are never template. Copies of a page count once. Tag and class names that stand for menus,
+headers, footers, sidebars, notices, adverts, forms and comments are left out anywhere.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import html
 import json
 import re
 import zlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +38,8 @@ DEPTH = 200
 RETURNS = 3
 #: Cells of the table that aligns two lists of siblings; longer lists are aligned label by label.
 CELLS = 250_000
+#: Parts that the partial wrappers of a host are joined in first.
+SALTS = 64
 #: Partial wrappers that a task holds before it passes them on.
 HELD_HOSTS = 5_000
 
@@ -331,14 +336,21 @@ def expression(part: Part) -> str:
     return f"({body}){mark}" if mark and part.label != "()" else body + mark
 
 
-def decide(wrapper: Part) -> dict:
-    """What a page of the host needs: the path to the article, and the paths of template texts and of link lists inside it.
+def _children(p: Part) -> list[Part]:
+    """The parts below p in order, those of repeated groups in their place."""
+    return [k for g in p.kids for k in (g.kids if g.label == "()" else [g])]
 
-    A text is template if it is the same on at least three pages, and the article has slots that hold more text.
-    """
+
+def _slot_chars(p: Part) -> int:
+    """Characters below p that vary from page to page and are not in links."""
+    if p.label == "#":
+        return max(0, p.chars - p.links) if p.text is None else 0
+    return 0 if _is_out(p.label) else sum(_slot_chars(k) for k in p.kids)
+
+
+def decide(wrapper: Part) -> dict:
+    """What a page of the host needs: the path to the article, and the paths of template texts and of link lists around its slots."""
     best: tuple[int, list[str]] = (0, [])
-    template, lists = [], []
-    slot = constant = 0
 
     def search(p: Part, way: list[str]) -> None:
         nonlocal best
@@ -355,33 +367,41 @@ def decide(wrapper: Part) -> dict:
     if best[1]:
         way = best[1]
         for name in way[1:]:
-            at = next(k for g in at.kids for k in (g.kids if g.label == "()" else [g]) if k.label == name)
+            at = next(k for k in _children(at) if k.label == name)
     else:
+        # no name tells the article: down to the part that holds the slots, or on a single page the plain text
+        weigh = _slot_chars if _slot_chars(wrapper) else lambda k: 0 if _is_out(k.label) else k.chars - k.links
         while True:
-            live = [k for g in at.kids for k in (g.kids if g.label == "()" else [g]) if k.label != "#" and not _is_out(k.label) and k.links <= 0.6 * k.chars]
-            total = sum(k.chars - k.links for k in live) + sum(k.chars for k in at.kids if k.label == "#")
-            top = max(live, key=lambda k: k.chars - k.links, default=None)
-            if top is None or top.rep or top.chars - top.links < 0.75 * total or not any(k.label != "#" for g in top.kids for k in (g.kids if g.label == "()" else [g])):
+            top = max((k for k in _children(at) if k.label != "#"), key=weigh, default=None)
+            total = sum(weigh(k) for k in _children(at))
+            if top is None or top.rep or weigh(top) < 0.75 * total or not total or not any(k.label != "#" for k in _children(top)):
                 break
             at, way = top, [*way, top.label]
 
-    def inside(p: Part, path: str) -> None:
-        nonlocal slot, constant
+    # texts and link lists in the order of the article: (kind, path, text)
+    found: list[tuple[str, str, int | None]] = []
+
+    def inside(p: Part, path: str, fixed: bool) -> None:
         for g in p.kids:
-            for k in g.kids if g.label == "()" else [g]:
+            for k in _children(g) if g.label == "()" else [g]:
+                on = fixed and not (k.rep or g.rep)
                 if k.label == "#":
-                    if k.text is None:
-                        slot += k.chars
-                    elif k.pages >= 3:
-                        constant += k.chars
-                        template.append([path, k.text])
+                    heading = re.search(r"/h[1-6]\b[^/]*$", path)
+                    found.append(("slot" if k.text is None else "template" if on and k.pages >= max(3, wrapper.pages / 2) and not heading else "kept", path, k.text))
                 elif not _is_out(k.label):
-                    if k.chars and k.links > 0.8 * k.chars and k.label.split(".")[0] in ("ul", "ol", "div", "section", "table", "dl"):
-                        lists.append(f"{path}/{k.label}")
-                    inside(k, f"{path}/{k.label}")
+                    if not best[1] and k.chars and k.links > 0.8 * k.chars and k.label.split(".")[0] in ("ul", "ol", "div", "section", "table", "dl"):
+                        found.append(("list", f"{path}/{k.label}", None))
+                    else:
+                        inside(k, f"{path}/{k.label}", on)
 
-    inside(at, "")
-    return {"way": way, "template": template if slot > constant else [], "lists": lists}
+    inside(at, "", True)
+    slots = [i for i, (kind, _, _) in enumerate(found) if kind == "slot"]
+    around = [x for i, x in enumerate(found) if slots and not slots[0] < i < slots[-1]]
+    # a path and text that also stands between slots stays
+    within = {(path, text) for i, (_, path, text) in enumerate(found) if slots and slots[0] <= i <= slots[-1]}
+    template = [[path, text] for kind, path, text in around if kind == "template" and (path, text) not in within]
+    lists = [path for kind, path, _ in around if kind == "list" and (path, None) not in within]
+    return {"way": way, "template": template, "lists": lists}
 
 
 def extract(page: str | None, decision: dict) -> str:
@@ -465,19 +485,35 @@ def _partial_wrappers(it):
     yield give()
 
 
+def _merged_wrappers(pdf):
+    """One partial wrapper for those of a host and salt."""
+    import pandas as pd
+
+    whole = reduce(align, [Part.load(json.loads(x)) for x in sorted(pdf.wrapper)])
+    return pd.DataFrame({"host": [pdf.host.iloc[0]], "wrapper": [json.dumps(whole.dump())]})
+
+
 def _joined_wrappers(pdf):
     import pandas as pd
 
-    parts = [Part.load(json.loads(x)) for x in sorted(pdf.wrapper)]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = align(whole, p)
+    whole = reduce(align, [Part.load(json.loads(x)) for x in sorted(pdf.wrapper)])
     return pd.DataFrame({"host": [pdf.host.iloc[0]], "wrapper": [json.dumps(whole.dump())], "expression": [expression(whole)], "decision": [json.dumps(decide(whole))]})
 
 
+def _different(pages: DataFrame) -> DataFrame:
+    """(host, html): each page of a host once, however often it is repeated; only pages that are repeated are moved."""
+    named = pages.select(host(F.col("url")).alias("host"), "html", F.xxhash64("html").alias("digest"))
+    twice = store(named.groupBy("host", "digest").agg(F.count("*").alias("n")).filter("n > 1").select("host", "digest"), "copies")
+    twice = sized_broadcast(twice, F.length("host") + 24)
+    once = named.join(twice, ["host", "digest"], "left_anti").select("host", "html")
+    return once.unionByName(named.join(twice, ["host", "digest"]).groupBy("host", "digest").agg(F.any_value("html").alias("html")).select("host", "html"))
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper, expression, decision) of each host of pages(url, html): its wrapper as JSON and as a regular expression."""
-    partial = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(_partial_wrappers, "host string, wrapper string")
+    partial = _different(pages).mapInArrow(_partial_wrappers, "host string, wrapper string")
+    # the partial wrappers of a host with many pages are joined in two steps
+    partial = partial.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)).alias("salt")).applyInPandas(_merged_wrappers, "host string, wrapper string")
     return partial.groupBy("host").applyInPandas(_joined_wrappers, "host string, wrapper string, expression string, decision string")
 
 
@@ -500,8 +536,10 @@ def _text_rows():
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages(page_id, url, html, ...); other columns are not read.
 
-    Null and empty html gives an empty text. A null url, or one without a host,
-    shares the wrapper of the empty host. Repeated rows are extracted each. White
+    Null and empty html gives an empty text; pages of any length are read whole. A null url, or one without a host,
+    shares the wrapper of the empty host. Repeated rows are extracted each, and change no
+    other page's text, as wrappers are made from different pages; ties between parts that
+    hold as much go to the first. White
     space inside a block becomes one space, blocks are joined by \\n, an inline
     element does not break a block and a line break (br) is white space.
     """
