@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized_broadcast, store
+from .common import by_row, sized_broadcast, store
 from .components import components
 from .pairs import dealt_to_blocks
 
@@ -213,7 +213,11 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """docs, all columns, with each text's repeated lines removed; and __n_lines and __n_removed."""
+    """docs, all columns, with each text's repeated lines removed; and __n_lines and __n_removed. Odd rows: see dedup_lines."""
+    return by_row(docs, lambda rows: _without_repeats(rows, threshold))
+
+
+def _without_repeats(docs: DataFrame, threshold: float) -> DataFrame:
     removed = store(removed_lines(docs, threshold).withColumnRenamed("removed", "__removed"), "removed")
     joined = docs.join(sized_broadcast(removed, F.size("__removed") * 4 + 24), "doc_id", "left")
     lines = F.split("text", "\n")
@@ -229,8 +233,9 @@ def without_repeats(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 def dedup_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """docs with each text's repeated lines removed, and n_lines and n_removed.
 
-    docs(doc_id, text, ...), doc_id unique; columns named n_lines or n_removed are
-    replaced, all others are kept. A line ends at \\n; blank lines are never removed.
+    docs(doc_id, text, ...); columns named n_lines or n_removed are replaced, all
+    others are kept. Null and repeated doc_ids are rows of their own, null ids first,
+    repeated ones in the order of their texts. A line ends at \\n; blank lines are never removed.
     Of a component of similar lines the first by (doc_id, place) stays, so ties have
     one winner. Null texts stay null and have no lines; an empty table gives no
     rows; a text may become empty.

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import sized_broadcast, store
+from .common import by_row, sized_broadcast, store
 from .components import components
 from .pairs import apart_pairs
 from .wordvec import WORD_TABLE, as_bytes, batches, mix, span_hashes, words
@@ -154,7 +154,8 @@ def _verify(k: int, threshold: float):
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its near-duplicate class), exact_id (the least doc_id with the same words).
 
-    docs(doc_id, text, ...), doc_id a unique integer; other columns are not read.
+    docs(doc_id, text, ...); other columns are not read. Null and repeated doc_ids are
+    rows of their own, null ids first, repeated ones in the order of their texts.
     Two texts are linked if the weighted Jaccard of their bags of k-word shingles
     is at least `threshold`, and classes are the components of the links. Texts
     with the same words are one class without being compared. A text of fewer
@@ -162,6 +163,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> Data
     table gives no rows.
     """
     ship(docs.sparkSession)
+    return by_row(docs.select("doc_id", "text"), lambda rows: _classes(rows, threshold, k), "class_id", "exact_id")
+
+
+def _classes(docs: DataFrame, threshold: float, k: int) -> DataFrame:
     base = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sigs = store(base.mapInArrow(_signature_rows(k), f"doc_id {id_type}, k1 long, k2 long, sig binary, bands array<long>"), "sigs")
@@ -214,6 +219,11 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
-    """The rows of docs, all columns, that are the least doc_id of their near-duplicate class."""
-    gone = store(near_duplicates(docs, threshold, k).filter("doc_id <> class_id").select("doc_id"), "gone")
-    return docs.join(sized_broadcast(gone, 16), "doc_id", "left_anti").select(docs.columns)
+    """The first row of each near-duplicate class of docs, all columns: that of the least doc_id. Odd rows: see near_duplicates; an empty table stays empty."""
+    ship(docs.sparkSession)
+
+    def firsts(rows: DataFrame) -> DataFrame:
+        gone = store(_classes(rows, threshold, k).filter("doc_id <> class_id").select("doc_id"), "gone")
+        return rows.join(sized_broadcast(gone, 16), "doc_id", "left_anti").select(docs.columns)
+
+    return by_row(docs, firsts)

@@ -109,7 +109,7 @@ def pack(docs: DataFrame, sizes: tuple[int, ...] = SIZES, length: Column | None
     docs(doc_id, text, ...); `length` gives the tokens of a row (by default words
     and one end), and rows of 0 tokens are not packed. Pieces of one document are
     numbered from 0. A bin_id is shard:number. Null and empty texts are one token
-    (the end); repeated rows are packed each; a null doc_id is packed too; other
+    (the end); repeated rows are packed each; rows of a null doc_id are packed too, dealt by their length; other
     columns are not read; an empty table gives no rows.
     """
     ship(docs.sparkSession)
@@ -118,7 +118,7 @@ def pack(docs: DataFrame, sizes: tuple[int, ...] = SIZES, length: Column | None
     counted = docs.select("doc_id", (token_count(F.col("text")) if length is None else length.cast("long")).alias("n"))
     shards = max(1, -(-docs.count() // SHARD))
     pieces = counted.filter("n > 0").select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / largest))).alias("piece")
+        F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("n"))), F.lit(shards)).alias("shard"), "doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / largest))).alias("piece")
     )
     pieces = pieces.select("shard", "doc_id", "piece", (F.col("piece") * largest).alias("first_token"), F.least(F.col("n") - F.col("piece") * largest, F.lit(largest).cast("long")).alias("n_tokens"))
     packed = pieces.groupBy("shard").applyInPandas(

@@ -40,9 +40,9 @@ def op7_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = store(simhash.fingerprint_edits(table(spark, sf_dir, "documents")), "simhash")
     # the search: every document whose id is divisible by 50, against all
     found = simhash.within_radius(made.filter("doc_id % 50 = 0"), made)
-    asked = made.filter("doc_id % 50 = 0").select("doc_id", "fp").join(found, "fp").select("doc_id", "n_within")
+    asked = made.filter("doc_id % 50 = 0").select("doc_id", "fp").distinct().join(found, "fp")
     text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    return made.join(asked, "doc_id", "left").select(
+    return made.join(asked, ["doc_id", "fp"], "left").select(
         "doc_id", "n_chars", "edited_sha256", text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "n_within"
     )
 

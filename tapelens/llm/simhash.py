@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sized_broadcast, store
+from .common import by_row, sized_broadcast, store
 
 RADIUS = 3
 _LANES = (1 << 32) | 1
@@ -68,7 +68,7 @@ def next_ids(docs: DataFrame, per_bucket: int = 20_000) -> DataFrame:
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """doc_id, next_id, text and edited: the text whose last third is replaced by the start of the next document's.
 
-    doc_id is unique; rows without one are left out. Null texts count as empty.
+    doc_id is unique; null texts count as empty.
     """
     base = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     chain = next_ids(docs)
@@ -83,7 +83,17 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next."""
+    """Per row of docs(doc_id, text, ...): doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next.
+
+    The next document is that of the next smaller doc_id, after the least the greatest.
+    Null and repeated doc_ids are rows of their own: null ids are the least, repeated
+    ones follow the order of their texts. Null texts are empty, texts are read whole,
+    other columns are not read; an empty table gives no rows.
+    """
+    return by_row(docs.select("doc_id", "text"), _fingerprinted)
+
+
+def _fingerprinted(docs: DataFrame) -> DataFrame:
     pairs = edited_pairs(docs)
     facts = pairs.select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "text", "edited")
     sides = facts.select("doc_id", "next_id", "n_chars", "edited_sha256", F.explode(F.array(F.struct(F.lit(0).alias("side"), "text"), F.struct(F.lit(1).alias("side"), F.col("edited").alias("text")))).alias("x"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import sized_broadcast, store
+from .common import by_row, sized_broadcast, store
 from .wordvec import as_bytes, batches, mix, span_hashes, words
 
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -190,14 +190,19 @@ def _kept_rows(n_words: int, with_text: bool):
 def substring_dedup(docs: DataFrame, n_words: int = 20, with_text: bool = False) -> DataFrame:
     """Remove each word that a repeated window of n_words words covers, but for the window's first place.
 
-    docs(doc_id, text, ...), doc_id unique and not null; other columns are not
-    read, so their names may clash with anything. Words are runs without bytes
+    docs(doc_id, text, ...); other columns are not read, so their names may clash
+    with anything. Null and repeated doc_ids are rows of their own, null ids first,
+    repeated ones in the order of their texts. Words are runs without bytes
     9-13 and 32. Returns doc_id, n_words, n_removed, kept_sha256 (of the kept
     words joined by one space) and, with_text, kept_text. Null and empty texts
     have no words; an empty table gives no rows; ties (equal windows) go to the
     least (doc_id, place). Windows are judged on the input, not on what is left.
     """
     ship(docs.sparkSession)
+    return by_row(docs.select("doc_id", "text"), lambda rows: _deduped(rows, n_words, with_text))
+
+
+def _deduped(docs: DataFrame, n_words: int, with_text: bool) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     base = docs.select("doc_id", "text")
     same = base.filter(F.length("text") > 0).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))

@@ -607,3 +607,75 @@ def test_pages_of_the_test_data(spark):
         article = re.search(r"<article>(.*)</article>", r.html, re.S)[1].replace("<br>", " ")
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:h1|p)>", article)]
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
+
+
+def test_recipe_headings_stay(spark):
+    pages = [f"<html><body><article><h1>Dish {i}</h1><h2>Ingredients</h2><ul><li>flour {i}<li>salt</ul><h2>Method</h2><p>Stir {i}.</p><p>Bake {i * 3} minutes.</p></article></body></html>" for i in range(5)]
+    df = spark.createDataFrame([(i, f"http://r.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_text(df).collect()}
+    assert got == {i: f"Dish {i}\nIngredients\nflour {i}\nsalt\nMethod\nStir {i}.\nBake {i * 3} minutes." for i in range(5)}
+
+
+def test_copies_of_a_page_change_nothing(spark):
+    def page(i, more=""):
+        return f"<article><h1>t{i}</h1><p>text {i}</p><div>plain {i}</div>{more}</article>"
+
+    copied = page(0, "<blockquote>quoted</blockquote><p>the end</p>")
+    rows = [(i, f"http://c.example/{i}", h) for i, h in enumerate([copied] * 3 + [page(i) for i in range(1, 4)])]
+    schema = "page_id long, url string, html string"
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, schema)).collect()}
+    assert got[0] == got[1] == got[2] == "t0\ntext 0\nplain 0\nquoted\nthe end"
+    once = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows[2:], schema)).collect()}
+    assert once == {i: t for i, t in got.items() if i >= 2}
+
+
+def test_wrappers_find_the_article_where_no_name_tells(spark):
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(rng.choice(["river", "stone", "bread", "light", "winter", "garden", "paper"], n))
+    made, want = [], {}
+    for i in range(6):
+        body = [f"Title {i}", text(12), "Details", text(20), text(9)]
+        inner = f"<h1>{body[0]}</h1><p>{body[1]}</p><h2>{body[2]}</h2><p>{body[3]}</p><p>{body[4]}</p>"
+        made.append((i, f"http://n.example/{i}", f'<div class="a"><div class="b"><a href="/">Home</a> <a href="/x">Archive of everything</a></div><div class="c"><div class="d">Reading room</div>{inner}<div class="e">Write to the office</div></div><div class="f">Printed on recycled pixels since 1999 by the town hall</div></div>'))
+        want[i] = "\n".join(body)
+    df = spark.createDataFrame(made, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract_text(df).collect()} == want
+    # each line of it is lost on the page alone
+    assert all(html_extract.extract(h, {}) != want[i] for i, _, h in made)
+
+
+ODD_IDS = [None, None, 7, 7, 7, 9]
+
+
+def odd_docs(spark, texts):
+    rows = [(i, t, "en", None, len(t or "")) for i, t in zip(ODD_IDS, texts, strict=True)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def test_null_and_repeated_ids_are_rows_of_their_own(spark):
+    base = words(11, 60)
+    texts = [" ".join(base), None, " ".join(base), " ".join(words(12, 40)), " ".join(base), " ".join(base[:30] + words(13, 30))]
+    df = odd_docs(spark, texts)
+    ids = sorted(ODD_IDS, key=lambda x: (x is not None, x))
+    listed = lambda out: sorted((r.doc_id for r in out.collect()), key=lambda x: (x is not None, x))
+    # op10: windows that start earlier in the order of (doc_id, text)
+    order = sorted(range(6), key=lambda i: (ODD_IDS[i] is not None, ODD_IDS[i] or 0, texts[i] is not None, hashlib.sha256((texts[i] or "").encode()).hexdigest()))
+    want = brute_substrings([texts[i] for i in order], 20)
+    got = substring_dedup.substring_dedup(df).collect()
+    key = lambda x: (x[0] is not None, *(y or 0 for y in x[:3]), x[3])
+    assert sorted((tuple(r) for r in got), key=key) == sorted(((ODD_IDS[i], *want[n]) for n, i in enumerate(order)), key=key)
+    made = simhash.fingerprint_edits(df)
+    assert listed(made) == ids
+    plain = {r.doc_id: r.fp for r in simhash.fingerprints(docs_of(spark, [t or "" for t in texts]), ["doc_id"]).collect()}
+    assert sorted(r.fp for r in made.collect()) == sorted(plain.values())
+    scored = language_model.score(df, F.lit(True))
+    apart = language_model.score(docs_of(spark, texts), F.lit(True))
+    assert listed(scored) == ids
+    assert sorted(round(r.score, 9) for r in scored.collect()) == sorted(round(r.score, 9) for r in apart.collect())
+    lines = line_dedup.dedup_lines(df)
+    assert listed(lines) == ids and sorted((r.doc_id or 0, r.n_removed) for r in lines.collect()) == [(0, 0), (0, 0), (7, 0), (7, 1), (7, 1), (9, 0)]
+    classes = minhash_dedup.near_duplicates(df)
+    assert listed(classes) == ids and sum(r.class_id is None for r in classes.collect()) == 4
+    assert listed(minhash_dedup.dedup(df)) == [None, None, 7, 9]
+    bench = spark.createDataFrame([(1, texts[3])], "item_id long, text string")
+    assert listed(decontaminate.decontaminate(df, bench)) == [None, None, 7, 7, 9]
