@@ -28,7 +28,7 @@ from .common import store
 #: Words of a block.
 BLOCK = 8_192
 #: Documents of a bucket, and slots that one row opens into.
-BUCKET, SPREAD = 50_000, 4_096
+BUCKET, SPREAD = 4_000, 4_096
 #: Times that a source may be repeated at most.
 REPEATS = 3
 WORD = r"[^\x20\x09-\x0D]+"
