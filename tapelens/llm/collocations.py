@@ -122,21 +122,15 @@ def _open(table: bytes) -> np.ndarray:
 
 
 def bit_table(keys: DataFrame) -> bytes | None:
-    """The bit table of keys(key), compressed; None if there are no keys. Blocks of 4 KB are made in groups, at most 2^FILTER_BITS bits in all."""
-
-    def block(pdf):
-        import pandas as pd
-
-        bits = np.zeros(1 << 15, np.uint8)
-        bits[pdf.bit.to_numpy() & 32767] = 1
-        return pd.DataFrame({"block": pdf.bit.iloc[:1].to_numpy() >> 15, "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    bits = keys.select(F.shiftrightunsigned("key", 64 - FILTER_BITS).alias("bit")).distinct()
-    table, some = np.zeros(1 << (FILTER_BITS - 3), np.uint8), False
-    for r in bits.groupBy(F.shiftright("bit", 15).alias("at")).applyInPandas(block, "block long, bits binary").toLocalIterator():
-        table[r.block * 4096 : r.block * 4096 + 4096] = np.frombuffer(r.bits, np.uint8)
-        some = True
-    return zlib.compress(table, 1) if some else None
+    """The bit table of keys(key), compressed; None if there are no keys. Its words of 64 bits, at most 2^(FILTER_BITS - 6), are made in one aggregate."""
+    bit = F.shiftrightunsigned("key", 64 - FILTER_BITS)
+    word = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    words = keys.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(word).alias("bits")).toArrow()
+    if not len(words):
+        return None
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    table[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    return zlib.compress(table.tobytes(), 1)
 
 
 def keys_of(phrases: DataFrame) -> DataFrame:
