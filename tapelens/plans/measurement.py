@@ -14,6 +14,7 @@ from ..operators.admission import admit, admit_ordered, arrival_flags
 from ..operators.contracts import roll_state
 from ..operators.sessions import with_session
 from ..policy import PRODUCTION, Policy
+from ..sinks import publish, write_report
 from ..sources.tape import front_contract, split_ticks
 from ..storage import store
 
@@ -206,13 +207,15 @@ class Measurement:
 
     TABLES = ("fast", "medium", "bins", "finals", "auction_state", "imsi", "icm", "gap_states", "synergy", "events")
 
-    def write(self, path: str, tables: tuple[str, ...] = TABLES) -> list[str]:
-        """Write measurement tables below path, partitioned by root and contract; ticks stay in the private store."""
-        for name in tables:
-            table = getattr(self, name)
-            # Parquet has no empty structs, and every table has both keys
-            table.write.mode("overwrite").partitionBy("root", "contract_symbol").parquet(f"{path}/{name}")
-        return [f"{path}/{name}" for name in tables]
+    def write(self, path: str, tables: tuple[str, ...] = TABLES) -> list[tuple[str, str, int, int]]:
+        """Publish measurement tables below path by root and contract, with JSON reports of the run and of what breaks the tables' rules.
+
+        Ticks stay in the private store; partitions that this run does not touch stay
+        as they are. Returns the report of the rules: (table_name, rule, violations, n_rows).
+        """
+        report = publish({name: getattr(self, name) for name in tables}, path)
+        write_report(self.summary(), path, "summary", ("root", "counter"))
+        return report
 
 
 __all__ = ["Measurement"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 #: Closes in a quadratic fit window, by root.
-ICM_WINDOWS = {"NQ": 60, "ES": 70, "RTY": 70, "ZT": 140, "ZN": 140, "6E": 110, "6B": 110, "6J": 120}
+ICM_WINDOWS = {"NQ": 60, "ES": 70, "RTY": 70, "ZT": 140, "ZN": 140, "6E": 110, "6J": 120, "6B": 110}
 
 
 @dataclass(frozen=True)
