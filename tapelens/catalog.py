@@ -167,6 +167,7 @@ def _hash_chain(spark, d):
 
 QUERIES = {
     "trade_tape": lambda s, d: tape.events_tape(s, d).select("root", "contract_symbol", "exchange_time", "available_at", "price", "quantity", "source_event_id", "tick_type", "arrival"),
+    "tape_rejects": lambda s, d: tape.reject_counts(tape.judged(_bad_tape(s, d))),
     "front_contract_trades": lambda s, d: tape.front_contract(tape.events_tape(s, d), mappings_of(s)).select("root", "contract_symbol", "exchange_time", "price", "quantity", "arrival"),
     "mapped_contracts": lambda s, d: tape.mapped_contracts(_tape_mappings(s, d)),
     "session_windows": lambda s, d: _windows_used(s, d),
@@ -219,7 +220,7 @@ QUERIES = {
     "transition_counters": _q(lambda m: m.transitions.select(*KEY, F.col("reentry_count").cast("long").alias("reentry_count"), F.col("consecutive_minutes_outside").cast("long").alias("consecutive_minutes_outside")), stored=True),
     "synergy_align": _q(lambda m: m.synergy.select(*KEY, F.col("imsi.state_end").alias("imsi_end"), F.col("icm.state_end").alias("icm_end"), F.col("iae.state_end").alias("iae_end"), "present", "fresh"), stored=True),
     "synergy_flags": _q(lambda m: m.synergy.select(*KEY, _flags("blocking_quality_flags").alias("blocking"), _flags("all_quality_flags").alias("flags")), stored=True),
-    "synergy_retest": _q(lambda m: m.retests.select("root", "contract_symbol", "session_id", "end", "event_id", "parent_event_id", "event_type", "direction"), stored=True),
+    "synergy_retest": _q(lambda m: m.retests.select(*KEY, "event_id", "parent_event_id", "event_type", "direction").join(m.retest_synergy.select(*KEY, F.col("gap_id").alias("parent_event_id"), "present", "fresh", "ready"), [*KEY, "parent_event_id"]), stored=True),
     "candidate_events": _q(lambda m: m.events.select(*KEY, "event_id", "event_type", "direction", "parent_event_id", "research_ready"), stored=True),
     "event_duplicates": _q(lambda m: align.event_duplicates(m.events.select("event_id").unionByName(m.events.filter("event_type = 'value_exit_up'").select("event_id"))), stored=True),
     "coverage_by_dim": _q(lambda m: reports.coverage_by_dim(_typed(m)), stored=True),
@@ -321,6 +322,14 @@ def _utc(s, d):
     return e.select("root", "arrival", to_utc(to_local(F.col("exchange_time"), zone), zone).alias("utc"))
 
 
+def _bad_tape(s, d):
+    """The tape with some rows known before they happened and some without a price or a contract."""
+    t = tape.events_tape(s, d)
+    early = F.when(F.col("arrival") % 53 == 0, F.col("exchange_time") - F.expr("interval 1 second")).otherwise(F.col("available_at"))
+    price = F.when(F.col("arrival") % 59 != 0, F.col("price"))
+    return t.withColumns({"available_at": early, "price": price, "contract_symbol": F.when(F.col("arrival") % 61 != 0, F.col("contract_symbol"))})
+
+
 def _hostile(s, d):
     """The tape with a twentieth of its rows a minute early, so that admission meets disorder."""
     early = F.when(F.col("arrival") % 20 == 2, F.col("exchange_time") - F.expr("interval 20 minutes")).otherwise(F.col("exchange_time"))

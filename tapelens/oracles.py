@@ -355,7 +355,12 @@ LEFT JOIN (SELECT root, count(*) FILTER (step > 1) AS gaps FROM (SELECT root, ep
 FROM (SELECT {_K} FROM fast) f ASOF LEFT JOIN (SELECT {_S}, min("end") AS imsi_end FROM rsi GROUP BY {_S}, available_at) a ON f.root = a.root AND f.contract_symbol = a.contract_symbol AND f.session_id = a.session_id AND f."end" >= a.imsi_end
 ASOF LEFT JOIN (SELECT {_S}, min("end") AS icm_end FROM icm0 GROUP BY {_S}, available_at) b ON f.root = b.root AND f.contract_symbol = b.contract_symbol AND f.session_id = b.session_id AND f."end" >= b.icm_end
 ASOF LEFT JOIN (SELECT {_S}, min("end") AS iae_end FROM fast GROUP BY {_S}, available_at) c ON f.root = c.root AND f.contract_symbol = c.contract_symbol AND f.session_id = c.session_id AND f."end" >= c.iae_end""".replace(f"SELECT {_K}, imsi_end", "SELECT f.root, f.contract_symbol, f.session_id, f.\"end\", imsi_end").replace('coalesce("end" -', 'coalesce(f."end" -').replace('AND "end" -', 'AND f."end" -'),
-    "synergy_retest": f"SELECT {_K}, event_id, parent_event_id, event_type, CAST(CASE WHEN direction = 'bullish' THEN 1 ELSE -1 END AS INTEGER) AS direction FROM retests",
+    "synergy_retest": f"""SELECT {_K}, event_id, parent_event_id, event_type, CAST(CASE WHEN direction = 'bullish' THEN 1 ELSE -1 END AS INTEGER) AS direction, imsi_end IS NOT NULL AND icm_end IS NOT NULL AS present, imsi_fresh AND icm_fresh AS fresh,
+  imsi_end IS NOT NULL AND icm_end IS NOT NULL AND imsi_fresh AND icm_fresh AND measurement_ready AND imsi_ready AND icm_ready AND atr IS NOT NULL AS ready FROM retests JOIN syn USING (root, contract_symbol, session_id, "end")""",
+    "flag_histogram_states": """SELECT source, flag, count(*) AS n FROM (SELECT 'iae' AS source, unnest(flags) AS flag FROM gapbar UNION ALL SELECT 'icm', unnest(list_transform(flags, lambda f: substr(f, 5))) FROM icms
+  UNION ALL SELECT 'imsi', unnest(CASE WHEN state_flag IS NULL THEN ['IMSI_FULL_MODEL_DEFERRED_LIFT3'] ELSE ['IMSI_FULL_MODEL_DEFERRED_LIFT3', state_flag] END) FROM imsis
+  UNION ALL SELECT 'synergy', unnest(list_distinct(list_concat(list_concat(parts, marks), blocking))) FROM syn) GROUP BY source, flag""",
+    "tape_rejects": """SELECT root, CASE WHEN arrival % 61 = 0 THEN 'missing:contract_symbol' WHEN arrival % 59 = 0 THEN 'missing:price' WHEN arrival % 53 = 0 THEN 'known_late' END AS fault, count(*) AS n FROM tape GROUP BY ALL""",
     "event_duplicates": "SELECT event_id, count(*) AS n FROM (SELECT event_id FROM evts UNION ALL SELECT event_id FROM evts WHERE event_type = 'value_exit_up') GROUP BY event_id HAVING count(*) > 1",
     "auction_state": f"SELECT {_K}, location, measurement_ready, array_to_string(flags, ',') AS quality_flags FROM auc",
     "flag_histogram": "SELECT 'auction' AS source, flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM auc) GROUP BY flag",

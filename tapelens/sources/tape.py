@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sinks import batch_sink
 from ..storage import dimension
 
 SCHEMA = (
@@ -13,14 +16,68 @@ SCHEMA = (
 )
 
 
+#: Columns that a tick cannot do without.
+REQUIRED = ("root", "contract_symbol", "exchange_time", "available_at", "price", "quantity", "minimum_tick", "tick_type", "arrival")
+CORRUPT = "corrupt_record"
+
+
+def judged(raw: DataFrame) -> DataFrame:
+    """raw ticks with `fault`: corrupt (the reader kept its text alone), missing:<first required column without a value>, known_late (delivered before it happened), or null for a sound row."""
+    late = F.when(F.col("exchange_time") > F.col("available_at"), "known_late")
+    missing = [F.when(F.col(c).isNull(), f"missing:{c}") for c in REQUIRED]
+    corrupt = [F.when(F.col(CORRUPT).isNotNull(), "corrupt")] if CORRUPT in raw.columns else []
+    return raw.withColumn("fault", F.coalesce(*corrupt, *missing, late))
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """The sound rows of judged(), without its columns."""
+    return rows.filter("fault is null").drop("fault", CORRUPT)
+
+
+def rejects(rows: DataFrame) -> DataFrame:
+    """The other rows of judged(): they go to a table of their own, and none is lost."""
+    return rows.filter("fault is not null")
+
+
+def reject_counts(rows: DataFrame) -> DataFrame:
+    """(root, fault, n) of judged() rows; sound rows have a null fault, so the counts add up to all rows in."""
+    return rows.groupBy("root", "fault").agg(F.count("*").alias("n"))
+
+
+def _permissive(reader, kind: str):
+    """A reader of the declared schema that keeps what it cannot read as text, where the format has text."""
+    schema = SCHEMA if kind == "parquet" else f"{SCHEMA}, {CORRUPT} string"
+    reader = reader.schema(schema).format(kind)
+    return reader if kind == "parquet" else reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+
+
+def read_tape(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """All rows of a tape (parquet, json) with their `fault`; kept() and rejects() divide them."""
+    return judged(_permissive(spark.read, kind).load(path))
+
+
+def read_tape_stream(spark: SparkSession, path: str, kind: str = "parquet", files_per_trigger: int = 64) -> DataFrame:
+    return judged(_permissive(spark.readStream, kind).option("maxFilesPerTrigger", files_per_trigger).load(path))
+
+
+def dividing_sink(kept_path: str, rejects_path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over read_tape_stream(): sound rows and rejects to a table each, both safe to repeat."""
+    good, bad = batch_sink(kept_path), batch_sink(rejects_path, ("fault",))
+
+    def write(rows: DataFrame, batch: int) -> None:
+        good(kept(rows), batch)
+        bad(rejects(rows), batch)
+
+    return write
+
+
 def read_trades(spark: SparkSession, path: str) -> DataFrame:
-    """Trades of a Parquet tape with the declared schema; rows that could not be known at their exchange time are left out."""
-    return spark.read.schema(SCHEMA).parquet(path).filter("exchange_time <= available_at")
+    """The sound rows of a Parquet tape; read_tape() has the others too."""
+    return kept(read_tape(spark, path))
 
 
 def read_trades_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-    return stream.filter("exchange_time <= available_at")
+    return kept(read_tape_stream(spark, path, files_per_trigger=files_per_trigger))
 
 
 def split_ticks(ticks: DataFrame) -> tuple[DataFrame, DataFrame]:
