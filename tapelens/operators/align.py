@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.clocks import minutes_between
 from ..functions.ids import list_id
 from ..policy import PRODUCTION, Policy
-from .asof import asof
 
 SESSION = ("root", "contract_symbol", "session_id")
 
@@ -25,9 +24,16 @@ def align(auction: DataFrame, imsi: DataFrame, icm: DataFrame, iae: DataFrame, p
     Missing states stay null and the row is kept. States are (session, end,
     available_at, measurement_ready, quality_flags).
     """
-    out = auction
-    for name, states in (("imsi", imsi), ("icm", icm), ("iae", iae)):
-        out = asof(out, _first_known(states).withColumn("state_end", F.col("end")), list(SESSION), "end", "end", ["state_end", "measurement_ready", "quality_flags"], name)
+    kinds = {f.name: f.dataType for f in auction.schema}
+    rows = auction.select(*SESSION, F.col("end").alias("__at"), F.lit(1).alias("__side"), F.struct(*auction.columns).alias("__row"))
+    names = {"imsi": imsi, "icm": icm, "iae": iae}
+    for name, states in names.items():
+        state = F.struct(F.col("end").alias("state_end"), "measurement_ready", "quality_flags").alias(name)
+        rows = rows.unionByName(_first_known(states).select(*SESSION, F.col("end").alias("__at"), F.lit(0).alias("__side"), state), allowMissingColumns=True)
+    # all states in one stream with the rows they are bound to: one sort, whatever their number
+    so_far = Window.partitionBy(*SESSION).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    bound = rows.select("__row", "__side", *[F.last(n, ignorenulls=True).over(so_far).alias(n) for n in names]).filter("__side = 1")
+    out = bound.select(*[F.col(f"__row.{c}").cast(kinds[c]).alias(c) for c in auction.columns], *names)
     return _judged(out, policy)
 
 

@@ -74,9 +74,14 @@ class Measurement:
     def references(self) -> DataFrame:
         return auction.references(self.finals)
 
+    @cached_property
+    def scaled(self) -> DataFrame:
+        """Fast bars with their true range and local scale."""
+        return self._kept(windows.atr(self.fast, self.policy), "scaled")
+
     @cached_property
     def located(self) -> DataFrame:
-        return auction.located(windows.atr(self.fast, self.policy), self.references)
+        return self._kept(auction.located(self.scaled, self.references), "located")
 
     @cached_property
     def transitions(self) -> DataFrame:
@@ -139,7 +144,7 @@ class Measurement:
 
     @cached_property
     def segmented(self) -> DataFrame:
-        return self._kept(gaps.segments(windows.tod_volume_z(windows.atr(self.fast, self.policy), self.policy)), "segmented")
+        return self._kept(gaps.segments(windows.tod_volume_z(self.scaled, self.policy)), "segmented")
 
     @cached_property
     def gaps(self) -> DataFrame:
@@ -155,7 +160,7 @@ class Measurement:
 
     @cached_property
     def icm(self) -> DataFrame:
-        return windows.icm(self.medium, windows.atr(self.fast, self.policy), self.policy)
+        return windows.icm(self.medium, self.scaled, self.policy)
 
     @cached_property
     def imsi(self) -> DataFrame:
