@@ -54,40 +54,44 @@ class _Codes(dict):
         return code
 
 
-def _encode(batches):
+def _encode(size: int):
     """(lang, words, counts, codes): chunks of whole texts of a language; codes are places in words, from 1 on, 0 ends a piece."""
-    import re
-    from array import array
 
-    import pyarrow as pa
+    def run(batches):
+        import re
+        from array import array
 
-    find = re.compile(rb"[.,;:!?\n\x0b\x0c\r]+|[^ \t.,;:!?\n\x0b\x0c\r]+").findall
-    held: dict[str, tuple[_Codes, array]] = {}
+        import pyarrow as pa
 
-    def chunk(lang):
-        vocabulary, codes = held.pop(lang)
-        codes = np.frombuffer(codes, np.uint32)
-        counts = np.bincount(codes, minlength=len(vocabulary.words) + 1)[1:]
-        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([vocabulary.words], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), pa.array([codes.tobytes()])], ["lang", "words", "counts", "codes"])
+        find = re.compile(rb"[.,;:!?\n\x0b\x0c\r]+|[^ \t.,;:!?\n\x0b\x0c\r]+").findall
+        held: dict[str, tuple[_Codes, array]] = {}
 
-    for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            if lang not in held:
-                held[lang] = _Codes(), array("I")
-            vocabulary, codes = held[lang]
-            data, at = text.encode().lower(), 0  # bytes.lower() changes A-Z alone
-            while at < len(data):
-                end = data.find(b" ", at + (1 << 20))
-                end = len(data) if end < 0 else end
-                codes.extend(map(vocabulary.__getitem__, find(data[at:end])))
-                at = end
-            codes.append(0)
-            if len(codes) >= CHUNK:
-                yield chunk(lang)
-            elif sum(len(c) for _, c in held.values()) >= 4 * CHUNK:
-                yield chunk(max(held, key=lambda x: len(held[x][1])))
-    for lang in list(held):
-        yield chunk(lang)
+        def chunk(lang):
+            vocabulary, codes = held.pop(lang)
+            codes = np.frombuffer(codes, np.uint32)
+            counts = np.bincount(codes, minlength=len(vocabulary.words) + 1)[1:]
+            return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([vocabulary.words], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), pa.array([codes.tobytes()])], ["lang", "words", "counts", "codes"])
+
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                if lang not in held:
+                    held[lang] = _Codes(), array("I")
+                vocabulary, codes = held[lang]
+                data, at = text.encode().lower(), 0  # bytes.lower() changes A-Z alone
+                while at < len(data):
+                    end = data.find(b" ", at + (1 << 20))
+                    end = len(data) if end < 0 else end
+                    codes.extend(map(vocabulary.__getitem__, find(data[at:end])))
+                    at = end
+                codes.append(0)
+                if len(codes) >= size:
+                    yield chunk(lang)
+                elif sum(len(c) for _, c in held.values()) >= 4 * size:
+                    yield chunk(max(held, key=lambda x: len(held[x][1])))
+        for lang in list(held):
+            yield chunk(lang)
+
+    return run
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -113,7 +117,7 @@ def _hash(text: str) -> int:
 
 
 def _marked(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys >> np.uint64(64 - FILTER_BITS)
+    at = keys >> np.uint64(65 - (8 * len(table)).bit_length())
     return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -180,7 +184,7 @@ class _Chunk:
                 at, keys = at[on], keys[on]
 
 
-def _key_counts(m: int, first: bytes, frequent: bytes, tables: dict[int, bytes]):
+def _key_counts(m: int, first: bytes, frequent: bytes, tables: dict[int, bytes], flush: int):
     """(key, n): how often each phrase of m words with a frequent prefix occurs, by its hashed key."""
 
     def run(batches):
@@ -198,7 +202,7 @@ def _key_counts(m: int, first: bytes, frequent: bytes, tables: dict[int, bytes])
                 *_, (_, _, keys) = _Chunk(r["lang"], r["hashes"], r["codes"], words).grow(begin, grown, m)
                 held.append(keys)
                 n += len(keys)
-                if n >= FLUSH:
+                if n >= flush:
                     yield send()
                     held, n = [], 0
         if n:
@@ -266,7 +270,7 @@ def _hashed(batches):
 def encode(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((lang, hashes, codes), (lang, word, h, phrase, n)): the chunks, and all words of a language with their counts; phrase is a word's hash as bytes."""
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    made = store(rows.mapInArrow(_encode, "lang string, words array<string>, counts array<long>, codes binary"), "encoded")
+    made = store(rows.mapInArrow(_encode(CHUNK), "lang string, words array<string>, counts array<long>, codes binary"), "encoded")
     words = made.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n"))
     words = words.withColumn("h", F.xxhash64("word"))
     words = store(words.withColumn("phrase", F.unhex(F.lpad(F.hex("h"), 16, "0"))), "words")
@@ -306,7 +310,7 @@ def _grown(chunks: DataFrame, frontier: DataFrame, frequent: bytes) -> DataFrame
     first = bit_table(keys_of(frontier).select("key"))
     tables: dict[int, bytes] = {}
     for m in range(2, LONGEST + 1) if first else ():
-        counts = chunks.mapInArrow(_key_counts(m, first, frequent, dict(tables)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        counts = chunks.mapInArrow(_key_counts(m, first, frequent, dict(tables), FLUSH), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         table = bit_table(counts.filter(F.col("n") >= LEAST))
         if table is None:
             break
