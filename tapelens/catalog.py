@@ -8,12 +8,13 @@ from pyspark.sql.types import DoubleType
 
 from .functions.clocks import to_local, to_utc
 from .functions.prices import price_to_tick
-from .operators import align, auction, bars, constraints, contracts, gaps, identities, imsi, integrity, pit, profiles, reports, windows
+from .operators import align, auction, bars, constraints, contracts, features, gaps, identities, imsi, integrity, pit, profiles, reports, windows
 from .operators.admission import admit, rejection_counts
 from .operators.sessions import session_counts, session_overlaps, slot, with_session
 from .plans.measurement import Measurement
 from .policy import SPARSE
 from .sources import dims, tape
+from .sources.features import feature_dictionary
 from .oracles import ORACLE_SQL
 from .shipping import ship
 from .storage import store
@@ -224,6 +225,7 @@ QUERIES = {
     "candidate_events": _q(lambda m: m.events.select(*KEY, "event_id", "event_type", "direction", "parent_event_id", "research_ready"), stored=True),
     "event_duplicates": _q(lambda m: align.event_duplicates(m.events.select("event_id").unionByName(m.events.filter("event_type = 'value_exit_up'").select("event_id"))), stored=True),
     "coverage_by_dim": _q(lambda m: reports.coverage_by_dim(_typed(m)), stored=True),
+    "feature_coverage": lambda s, d: features.coverage(run_of(s, d, stored=True).melted(), feature_dictionary(s)).drop("missing_reason"),
     "coverage_totals": _q(lambda m: reports.coverage_totals(m.events), stored=True),
     "coverage_reconcile": _q(lambda m: reports.reconcile(reports.coverage_totals(m.events)), stored=True),
     "runtime_summary": _q(lambda m: m.summary(), stored=True),

@@ -9,6 +9,7 @@ import numpy as np
 from .operators.constraints import RULES
 from .policy import SPARSE
 from .sources.dims import CLOSURE_ROWS, market_rows, session_rows
+from .sources.features import feature_rows
 
 
 def _values(rows) -> str:
@@ -411,6 +412,37 @@ _CLOCK = "strftime({}, '%Y-%m-%dT%H:%M:%S.%fZ')"
 _TAILS["profile_ids"] = f"""SELECT {_S}, 'profile_' || sha256('{{"as_of_utc":"' || {_CLOCK.format('as_of')} || '","available_at_utc":' || coalesce('"' || {_CLOCK.format('available_at')} || '"', 'null') || ',"contract_symbol":"' || contract_symbol || '","current_price_tick":' || last_tick
  || ',"definition_version":"volume_profile_math_v2","profile_kind":"final_session","root":"' || root || '","session_id":"' || session_id || '","tick_size":0.25,"value_area":[' || val_tick || ',' || vah_tick || '],"volume_by_tick":[' || pairs || ']}}') AS profile_id
  FROM finals JOIN (SELECT {_S}, string_agg('[' || tick || ',' || CAST(volume AS BIGINT) || '.0]', ',' ORDER BY tick) AS pairs FROM fin GROUP BY ALL) USING ({_S}) JOIN (SELECT {_S}, arg_max(tick, arrival) AS last_tick FROM adm WHERE admitted GROUP BY ALL) USING ({_S})"""
+# values that are there, by the condition under which a feature has one: (step, condition, features)
+_PRIOR, _COVARIANCE = "prior_vah_tick IS NOT NULL", "state_flag IS NULL OR state_flag IN ('IMSI_COVARIANCE_UNSTABLE', 'IMSI_RARITY_WARMUP')"
+_RETESTS = "(SELECT * FROM gb WHERE retest)"
+_THERE = [
+    ("auc", "true", "consecutive_minutes_outside distance_to_current_poc_ticks profile_entropy reentry_count volume_above_poc_ratio"),
+    ("auc", "atr IS NOT NULL", "atr_5m_24 distance_to_current_poc_vol"),
+    ("auc", f"{_PRIOR} AND atr IS NOT NULL", "distance_to_prior_poc_vol distance_to_vah_vol distance_to_val_vol poc_migration_vol value_area_width_vol value_mid_migration_vol"),
+    ("auc", _PRIOR, "bar_close_outside_value_ratio profile_overlap_ratio volume_outside_value_ratio"),
+    ("auc", "NOT degenerate", "profile_kurtosis profile_skew"),
+    ("imsis", "true", "imsi_dist_vwap_pct imsi_neighbor_support imsi_vwrsi_raw"),
+    ("imsis", "adjusted IS NOT NULL", "imsi_vwrsi_tod_adjusted"),
+    ("imsis", _COVARIANCE, "imsi_covariance_condition_number imsi_covariance_effective_sample_size imsi_covariance_shrinkage_delta"),
+    ("imsis", "distance IS NOT NULL", "imsi_mahalanobis_distance"),
+    ("imsis", "neighbour_support > 0", "imsi_neighbor_distance_mean imsi_neighbor_distance_p90"),
+    ("imsis", "rarity IS NOT NULL", "imsi_state_rarity_percentile"),
+    ("icm2", "true", "icm_curvature_per_bar2 icm_fair_value icm_r_ratio icm_sigma_blend icm_sigma_mad icm_sigma_ols icm_slope_per_bar"),
+    ("icm2", "blend > 0", "icm_curvature_normalized icm_slope_normalized"),
+    ("icm2", f"blend > {_E}", "icm_z_capped icm_z_raw"),
+    ("icms", "ready", "icm_z_effective"),
+    ("icm2", f"bottom > {_E}", "icm_residual_autocorrelation"),
+    ("icms", "NOT list_contains(flags, 'ICM:ICM_LOCAL_SCALE_UNAVAILABLE')", "icm_fair_value_distance_vol"),
+    (_RETESTS, "true", "iae_absorption_confirmed iae_close_position_raw iae_close_position_score iae_displacement_efficiency iae_formation_quality iae_gap_age_bars iae_gap_width_atr iae_impulse_body_atr iae_retest_depth_ratio iae_time_decay"),
+    (_RETESTS, "score IS NOT NULL", "iae_score_effective iae_score_raw"),
+    (_RETESTS, "volume_z IS NOT NULL", "iae_tod_volume_score_input iae_tod_volume_z_raw"),
+    (_RETESTS, "wick IS NOT NULL", "iae_wick_rejection_ratio"),
+]
+_KNOWN = {r[0]: r for r in feature_rows()}
+_TAILS["feature_coverage"] = " UNION ALL ".join(
+    f"SELECT feature, unit, normalization_family, source_family, n_rows, n_present, 'measured' AS standing FROM (SELECT count(*) AS n_rows, count(*) FILTER ({condition}) AS n_present FROM {step}), (VALUES {_values([_KNOWN[n] for n in names.split()])}) f(feature, unit, normalization_family, source_family)"
+    for step, condition, names in _THERE
+)
 # what the declaration was changed in, by contract where a table is named
 _TAILS["run_reconcile"] = """SELECT 'other' AS mode, '6E' AS root, NULL::VARCHAR AS contract_symbol, NULL::VARCHAR AS table_name, 'missing_run' AS fault UNION ALL SELECT 'sparse', '6E', NULL, NULL, 'extra_run' UNION ALL SELECT DISTINCT 'sparse', root, contract_symbol, 'event', 'row_count' FROM cand WHERE root = 'ES'
  UNION ALL SELECT DISTINCT 'sparse', root, contract_symbol, 'icm', 'extra_table' FROM icms WHERE root = 'ES' UNION ALL SELECT DISTINCT 'sparse', root, contract_symbol, 'profile', 'content' FROM finals WHERE root = 'ES'"""

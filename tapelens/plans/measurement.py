@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import list_id
 from ..functions.clocks import utc_text
-from ..operators import align, auction, bars, gaps, identities, imsi, integrity, profiles, windows
+from ..operators import align, auction, bars, features, gaps, identities, imsi, integrity, profiles, windows
 from ..operators.admission import admit, admit_ordered, arrival_flags
 from ..operators.contracts import roll_state
 from ..operators.sessions import with_session
@@ -224,6 +224,28 @@ class Measurement:
         parts = [rows.select("root", "contract_symbol", F.lit(name).alias("table_name"), "at", "id") for name, rows in made.items()]
         return self._kept(reduce(DataFrame.unionByName, parts), "ids")
 
+    @cached_property
+    def retest_measures(self) -> DataFrame:
+        """Each retest of a gap with the measures of the gap and of the retest."""
+        made = self.gaps.filter("formed").select("root", "contract_symbol", F.col("idx").alias("gap_idx"), "z_displacement", "z_gap", "efficiency")
+        rows = self.gap_bars.filter("retest").join(made, ["root", "contract_symbol", "gap_idx"])
+        score_input = F.greatest("volume_z", F.lit(self.policy.volume_z_floor))
+        return rows.select(
+            *SESSION, "end", "z_displacement", "z_gap", "efficiency", "quality", "age", "depth", "wick", "close_position", "decay", "volume_z", "score", (F.col("happened") == "absorbed").alias("absorbed"),
+            F.when(F.col("volume_z").isNotNull(), score_input).alias("tod_volume_score_input"), F.least(F.greatest("close_position", F.lit(0.0)), F.lit(1.0)).alias("close_position_score"),
+            F.when(F.col("guard").isNull(), F.col("score")).alias("score_effective"), F.array_compact(F.array("guard")).alias("quality_flags"),
+        )
+
+    def melted(self) -> list[DataFrame]:
+        """The measurement tables in long form."""
+        counters = self.transitions.select(*SESSION, "end", "reentry_count", "consecutive_minutes_outside")
+        why = F.array_compact(F.array(F.when(~F.col("atr_ready"), "ATR_WARMUP"), F.when(F.col("prior_vah_tick").isNull(), "NO_PRIOR_SAME_SESSION_TYPE_PROFILE"), F.when(F.col("degenerate"), "DEGENERATE_PROFILE")))
+        return [
+            features.melt(self.auction_state.join(counters, [*SESSION, "end"]).withColumn("quality_flags", why).drop("data_flags", "prior_flags", "histogram"), "auction"),
+            # the state's own flag says what is missing; the other flags hold for every row
+            features.melt(self.imsi.withColumn("quality_flags", F.array_compact(F.array("state_flag"))), "imsi"), features.melt(self.icm.drop("atr"), "icm"), features.melt(self.retest_measures, "iae"),
+        ]
+
     def registry(self, mode: str) -> DataFrame:
         """(mode, root, contract_symbol, table_name, n_rows, fingerprint): what this run says of each contract, for a registry of runs."""
         return integrity.run_fingerprint(self.ids, ["root", "contract_symbol", "table_name"], ["at"], ["id"]).select(F.lit(mode).alias("mode"), "root", "contract_symbol", "table_name", "n_rows", "fingerprint")
