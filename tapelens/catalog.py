@@ -120,6 +120,23 @@ def _flags(c):
 CUTS = ("2024-01-06 00:00:00", "2024-01-12 00:00:00", "2024-01-18 12:00:00")
 
 
+def _replayed(m: Measurement, last: bool) -> dict[str, DataFrame]:
+    """What a run says in each of its tables, by bar and with the time from which it was known; states and events at the last cut alone."""
+    at, said = [*KEY, "available_at"], lambda *c: F.concat_ws("|", *[F.coalesce(F.col(x).cast("string"), F.lit("null")) for x in c]).alias("said")
+    known = m.fast.select(*KEY, "available_at")
+    out = {
+        "bars": m.fast.select(*at, said(*[c for c in BAR if c not in at])),
+        "auction": m.auction_state.withColumn("f", _flags("quality_flags")).select(*at, said("location", "measurement_ready", "f")),
+    }
+    if last:
+        out["imsi"] = rounded(m.imsi, *at, "adjusted", "distance", "rarity", "state_flag").select(*at, said("adjusted", "distance", "rarity", "state_flag"))
+        out["icm"] = rounded(m.icm, *at, "fair_value", "z_effective").select(*at, said("fair_value", "z_effective"))
+        out["iae"] = m.gap_states.join(known, list(KEY)).withColumn("f", _flags("quality_flags")).select(*at, said("gap_idx", "gap_event", "direction", "active_gaps", "f"))
+        out["synergy"] = m.synergy.withColumn("f", _flags("all_quality_flags")).select(*at, said("present", "fresh", "ready", "f", "synergy_id"))
+        out["events"] = m.events.select(*at, said("event_id", "event_type", "direction", "parent_event_id", "research_ready"))
+    return out
+
+
 def _replay(spark, d):
     """Prefix replay at several cuts: what the tape up to a cut gives, against the full run's rows that were known by then.
 
@@ -129,15 +146,14 @@ def _replay(spark, d):
     full = run_of(spark, d, stored=True)
     out = None
     for i, text in enumerate(CUTS):
-        cut = _instant(text)
+        cut, last = _instant(text), i == len(CUTS) - 1
         short = Measurement(full.tape.filter(F.col("available_at") < cut), full.mappings, SPARSE, ordered=True, stored=True)
-        states = lambda m: m.auction_state.select(*KEY, "available_at", "location", "measurement_ready", _flags("quality_flags").alias("quality_flags"))
-        parts = [("bars", full.fast.select(*BAR), short.fast.select(*BAR)), ("auction", states(full), states(short))]
-        for name, a, b in parts:
-            known = a.filter(F.col("available_at") < cut)
-            if name == "bars" and i == len(CUTS) - 1:
-                known = known.filter(F.col("start") != _instant("2024-01-10 15:00:00"))
-            rows = integrity.differences(known, b).select(*KEY, "side", F.lit(text).alias("cut"), F.lit(name).alias("table_name"))
+        a, b = _replayed(full, last), _replayed(short, last)
+        for name in a:
+            known = a[name].filter(F.col("available_at") < cut)
+            if name == "bars" and last:
+                known = known.filter(~F.col("said").startswith("2024-01-10 15:00:00"))
+            rows = integrity.differences(known, b[name]).select(*KEY, "side", F.lit(text).alias("cut"), F.lit(name).alias("table_name"))
             out = rows if out is None else out.unionByName(rows)
     return out
 
