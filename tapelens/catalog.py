@@ -10,7 +10,7 @@ from .functions.clocks import to_local, to_utc
 from .functions.prices import price_to_tick
 from .operators import align, auction, bars, constraints, contracts, features, gaps, identities, imsi, integrity, pit, profiles, reports, windows
 from .operators.admission import admit, rejection_counts
-from .operators.sessions import session_counts, session_overlaps, slot, with_session
+from .operators.sessions import closure_overlaps, session_counts, session_overlaps, slot, with_session
 from .plans.measurement import Measurement
 from .policy import SPARSE
 from .sources import dims, tape
@@ -195,6 +195,7 @@ QUERIES = {
     "session_bars": _q(lambda m: m.fast.select(*KEY, slot(F.col("start"), F.col("session_start"), SPARSE.fast).alias("slot"))),
     "session_counts": lambda s, d: session_counts(with_session(tape.events_tape(s, d))),
     "session_overlaps": lambda s, d: session_overlaps(_windows_of_roots(s, d)),
+    "closure_overlaps": lambda s, d: closure_overlaps(_closures_of_roots(s, d)),
     "utc_normalize": lambda s, d: _utc(s, d),
     "price_ticks": lambda s, d: tape.events_tape(s, d).select("root", "arrival", "price", price_to_tick(F.col("price"), F.col("minimum_tick")).alias("tick")),
     "trade_admission": _q(lambda m: m.trades.select("root", "contract_symbol", "session_id", "arrival", "admitted", "reject_flag")),
@@ -326,6 +327,14 @@ def _windows_of_roots(s, d):
     return w.withColumn("end_sec", F.when((F.col("root") == "6E") & (F.col("session_type") == "london"), F.col("end_sec") + 60).otherwise(F.col("end_sec")))
 
 
+def _closures_of_roots(s, d):
+    """An evening closure on each of the tape's trading days of a root that runs past midnight, and an early one on days with many trades, so that some overlap."""
+    days = tape.events_tape(s, d).groupBy("root", F.to_date("exchange_time").alias("local_date")).agg(F.count("*").alias("n"))
+    made = days.withColumn("c", F.explode(F.array(F.struct(F.lit("evening").alias("k"), F.lit(79_200).alias("a"), F.lit(3_600).alias("b")), F.struct(F.lit("early").alias("k"), (F.col("n") % 7 * 1_200).cast("int").alias("a"), F.lit(30_000).alias("b")))))
+    name = F.concat(F.col("c.k"), F.lit("_"), F.date_format("local_date", "yyyy_MM_dd"))
+    return made.select("root", name.alias("exception_name"), "local_date", F.col("c.k").alias("closure_name"), F.col("c.a").alias("start_sec"), F.col("c.b").alias("end_sec"), F.lit(False).alias("all_day"))
+
+
 def _windows_used(s, d):
     """Session windows with the tape's rows in each."""
     n = with_session(tape.events_tape(s, d)).groupBy("root", "session_name").agg(F.count("*").alias("n_rows"))

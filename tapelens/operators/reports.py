@@ -20,11 +20,13 @@ def coverage_by_dim(events: DataFrame) -> DataFrame:
 def coverage_totals(events: DataFrame) -> DataFrame:
     count = lambda c: F.count_if(c)
     everything = F.col("has_imsi") & F.col("has_icm") & F.col("has_iae")
-    return events.agg(
+    totals = events.agg(
         F.count("*").alias("raw_events"), F.count_distinct("event_id").alias("unique_events"), F.count_distinct("session_id").alias("sessions"), F.count_distinct("parent_event_id").alias("parents"),
         *[count(F.col(f"has_{n}")).alias(f"with_{n}") for n in ("imsi", "icm", "iae")], *[count(~F.col(f"has_{n}")).alias(f"missing_{n}") for n in ("imsi", "icm", "iae")],
         count(everything).alias("all_present"), count(F.col("ready")).alias("ready"), count(~F.col("ready")).alias("not_ready"),
     )
+    # without sessions there is nothing to share events among
+    return totals.withColumn("events_per_session", F.when(F.col("sessions") > 0, F.col("raw_events") / F.col("sessions")).otherwise(0.0))
 
 
 def reconcile(totals: DataFrame) -> DataFrame:

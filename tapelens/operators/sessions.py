@@ -96,3 +96,18 @@ def session_overlaps(windows: DataFrame) -> DataFrame:
     wrong = windows.filter(F.col("crosses_midnight") != (F.col("end_sec") < F.col("start_sec"))).select("root", "session_name", F.lit("midnight_mark").alias("fault"))
     mixed = windows.groupBy("root").agg(F.count_distinct("zone").alias("z"), F.count_distinct("policy_version").alias("v")).filter("z > 1 or v > 1")
     return overlap.unionByName(wrong).unionByName(mixed.select("root", F.lit(None).cast("string").alias("session_name"), F.lit("mixed_policy").alias("fault")))
+
+
+def closure_overlaps(closures: DataFrame) -> DataFrame:
+    """Faults of a closure table (root, exception_name, local_date, closure_name, start_sec, end_sec, all_day): those that begin before an earlier one of their root has ended.
+
+    A closure that ends at or before its start ends on the next day, an all-day one at
+    the next midnight. fault is overlap within one exception, or exceptions_overlap.
+    """
+    day = F.unix_date("local_date").cast("long") * 86_400
+    begin = day + F.when(F.col("all_day"), 0).otherwise(F.col("start_sec"))
+    end = day + F.when(F.col("all_day"), 86_400).otherwise(F.col("end_sec") + F.when(F.col("end_sec") <= F.col("start_sec"), 86_400).otherwise(0))
+    past = Window.partitionBy("root").orderBy("begin", "end", "exception_name", "closure_name").rowsBetween(Window.unboundedPreceding, -1)
+    rows = closures.withColumns({"begin": begin, "end": end}).withColumn("before", F.max(F.struct("end", "exception_name")).over(past))
+    fault = F.when(F.col("before.exception_name") == F.col("exception_name"), "overlap").otherwise("exceptions_overlap")
+    return rows.filter(F.col("begin") < F.col("before.end")).select("root", "exception_name", "local_date", "closure_name", F.col("before.exception_name").alias("with_exception"), fault.alias("fault"))

@@ -343,7 +343,7 @@ FROM (SELECT i.*, a.atr, least(greatest(z_raw, -{SPARSE.z_cap}), {SPARSE.z_cap})
     "gap_bar_state": "SELECT root, contract_symbol, \"end\", gap_idx, gap_event, direction, active_gaps, array_to_string(flags, ',') AS quality_flags FROM gapbar",
     "synergy_flags": f"SELECT {_K}, array_to_string(list_sort(list_distinct(blocking)), ',') AS blocking, array_to_string(list_sort(list_distinct(list_concat(list_concat(parts, marks), blocking))), ',') AS flags FROM syn",
     "candidate_events": f"SELECT {_K}, event_id, event_type, direction, parent_event_id, research_ready FROM cand",
-    "coverage_totals": "SELECT count(*) AS raw_events, count(DISTINCT event_id) AS unique_events, count(DISTINCT session_id) AS sessions, count(DISTINCT parent_event_id) AS parents, count(*) FILTER (has_imsi) AS with_imsi, count(*) FILTER (has_icm) AS with_icm, count(*) FILTER (has_iae) AS with_iae, count(*) FILTER (NOT has_imsi) AS missing_imsi, count(*) FILTER (NOT has_icm) AS missing_icm, count(*) FILTER (NOT has_iae) AS missing_iae, count(*) FILTER (has_imsi AND has_icm AND has_iae) AS all_present, count(*) FILTER (research_ready) AS ready, count(*) FILTER (NOT research_ready) AS not_ready FROM cand",
+    "coverage_totals": "SELECT count(*) AS raw_events, count(DISTINCT event_id) AS unique_events, count(DISTINCT session_id) AS sessions, count(DISTINCT parent_event_id) AS parents, count(*) FILTER (has_imsi) AS with_imsi, count(*) FILTER (has_icm) AS with_icm, count(*) FILTER (has_iae) AS with_iae, count(*) FILTER (NOT has_imsi) AS missing_imsi, count(*) FILTER (NOT has_icm) AS missing_icm, count(*) FILTER (NOT has_iae) AS missing_iae, count(*) FILTER (has_imsi AND has_icm AND has_iae) AS all_present, count(*) FILTER (research_ready) AS ready, count(*) FILTER (NOT research_ready) AS not_ready, CASE WHEN count(*) > 0 THEN CAST(count(*) AS DOUBLE) / count(DISTINCT session_id) ELSE 0 END AS events_per_session FROM cand",
     "coverage_reconcile": "SELECT rule, CAST(failed AS INTEGER) AS failed FROM (SELECT count(*) AS raw, count(DISTINCT event_id) AS uniq, count(*) FILTER (research_ready) AS ready, count(*) FILTER (NOT research_ready) AS not_ready, count(has_imsi) AS i, count(has_icm) AS c, count(has_iae) AS g FROM cand), LATERAL (VALUES ('raw_is_unique', raw <> uniq), ('ready_adds_up', ready + not_ready <> uniq), ('imsi_adds_up', i <> uniq), ('icm_adds_up', c <> uniq), ('iae_adds_up', g <> uniq)) v(rule, failed)",
     "probe_coverage": """SELECT m.root, minimum_tick, multiplier, first_time, last_time, coalesce(n_rows, 0) AS n_rows, coalesce(gaps, 0) AS gaps, coalesce(contracts, 0) AS contracts, concat_ws(',', CASE WHEN gaps > 0 THEN 'MINUTE_GAPS' END, CASE WHEN coalesce(n_rows, 0) = 0 THEN 'NO_ROWS' END, CASE WHEN contracts > 1 THEN 'SEVERAL_CONTRACTS' END, CASE WHEN bad > 0 THEN 'SUSPICIOUS_ROWS' END) AS flags,
   CASE WHEN coalesce(n_rows, 0) = 0 THEN 'REJECTED' WHEN gaps > 0 OR bad > 0 OR contracts > 1 THEN 'PARTIAL' ELSE 'VALID' END AS status
@@ -358,6 +358,10 @@ ASOF LEFT JOIN (SELECT {_S}, min("end") AS icm_end FROM icm0 GROUP BY {_S}, avai
 ASOF LEFT JOIN (SELECT {_S}, min("end") AS iae_end FROM fast GROUP BY {_S}, available_at) c ON f.root = c.root AND f.contract_symbol = c.contract_symbol AND f.session_id = c.session_id AND f."end" >= c.iae_end""".replace(f"SELECT {_K}, imsi_end", "SELECT f.root, f.contract_symbol, f.session_id, f.\"end\", imsi_end").replace('coalesce("end" -', 'coalesce(f."end" -').replace('AND "end" -', 'AND f."end" -'),
     "synergy_retest": f"""SELECT {_K}, event_id, parent_event_id, event_type, CAST(CASE WHEN direction = 'bullish' THEN 1 ELSE -1 END AS INTEGER) AS direction, imsi_end IS NOT NULL AND icm_end IS NOT NULL AS present, imsi_fresh AND icm_fresh AS fresh,
   imsi_end IS NOT NULL AND icm_end IS NOT NULL AND imsi_fresh AND icm_fresh AND measurement_ready AND imsi_ready AND icm_ready AND atr IS NOT NULL AS ready FROM retests JOIN syn USING (root, contract_symbol, session_id, "end")""",
+    "closure_overlaps": """SELECT * FROM (WITH days AS (SELECT root, CAST(exchange_time AS DATE) AS local_date, count(*) AS n FROM tape GROUP BY ALL),
+  c AS (SELECT root, 'evening_' || strftime(local_date, '%Y_%m_%d') AS exception_name, local_date, 'evening' AS closure_name, epoch(local_date) + 79200 AS a, epoch(local_date) + 90000 AS b FROM days
+  UNION ALL SELECT root, 'early_' || strftime(local_date, '%Y_%m_%d'), local_date, 'early', epoch(local_date) + n % 7 * 1200, epoch(local_date) + 30000 FROM days)
+  SELECT x.root, x.exception_name, x.local_date, x.closure_name, y.exception_name AS with_exception, 'exceptions_overlap' AS fault FROM c x JOIN c y ON x.root = y.root AND x.exception_name <> y.exception_name AND y.a < x.a AND y.b > x.a)""",
     "flag_histogram_states": """SELECT source, flag, count(*) AS n FROM (SELECT 'iae' AS source, unnest(flags) AS flag FROM gapbar UNION ALL SELECT 'icm', unnest(list_transform(flags, lambda f: substr(f, 5))) FROM icms
   UNION ALL SELECT 'imsi', unnest(CASE WHEN state_flag IS NULL THEN ['IMSI_FULL_MODEL_DEFERRED_LIFT3'] ELSE ['IMSI_FULL_MODEL_DEFERRED_LIFT3', state_flag] END) FROM imsis
   UNION ALL SELECT 'synergy', unnest(list_distinct(list_concat(list_concat(parts, marks), blocking))) FROM syn) GROUP BY source, flag""",
@@ -366,7 +370,7 @@ ASOF LEFT JOIN (SELECT {_S}, min("end") AS iae_end FROM fast GROUP BY {_S}, avai
     "auction_state": f"SELECT {_K}, location, measurement_ready, array_to_string(flags, ',') AS quality_flags FROM auc",
     "flag_histogram": "SELECT 'auction' AS source, flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM auc) GROUP BY flag",
     "coverage_by_dim": f"SELECT dim, value, count(*) AS n FROM (SELECT e.*, coalesce(session_type, 'unknown') AS session_type FROM evts e LEFT JOIN (SELECT {_S}, session_type FROM finals) USING ({_S})), LATERAL (VALUES ('month', strftime(\"end\", '%Y-%m')), ('contract_symbol', contract_symbol), ('event_type', event_type), ('root', root), ('session_type', session_type)) v(dim, value) GROUP BY ALL",
-    "runtime_summary": "SELECT root, counter, n FROM (SELECT root, count(*) AS ticks, count(*) FILTER (admitted) AS admitted, count(DISTINCT contract_symbol) AS contracts, count(DISTINCT session_id) AS sessions, count(DISTINCT contract_symbol) - 1 AS rolls FROM adm GROUP BY root) UNPIVOT (n FOR counter IN (ticks, admitted, contracts, sessions, rolls)) UNION ALL SELECT root, 'quotes', count(*) FROM tape WHERE tick_type <> 'TRADE' GROUP BY root UNION ALL SELECT root, 'fast_bars', count(*) FROM fast GROUP BY root UNION ALL SELECT root, 'medium_bars', count(*) FROM medium GROUP BY root UNION ALL SELECT root, 'final_profiles', count(*) FROM finpoc GROUP BY root UNION ALL SELECT root, 'gaps', count(*) FROM gap WHERE guard IS NULL GROUP BY root UNION ALL SELECT root, 'auction_snapshots', count(*) FROM located GROUP BY root UNION ALL SELECT root, 'icm_snapshots', count(*) FROM icm0 GROUP BY root",
+    "runtime_summary": "SELECT root, counter, n FROM (SELECT root, count(*) AS ticks, count(*) FILTER (admitted) AS admitted, count(DISTINCT contract_symbol) AS contracts, count(DISTINCT session_id) AS sessions, count(DISTINCT contract_symbol) - 1 AS rolls FROM adm GROUP BY root) UNPIVOT (n FOR counter IN (ticks, admitted, contracts, sessions, rolls)) UNION ALL SELECT root, 'quotes', count(*) FROM tape WHERE tick_type <> 'TRADE' GROUP BY root UNION ALL SELECT root, 'fast_bars', count(*) FROM fast GROUP BY root UNION ALL SELECT root, 'medium_bars', count(*) FROM medium GROUP BY root UNION ALL SELECT root, 'final_profiles', count(*) FROM finpoc GROUP BY root UNION ALL SELECT root, 'gaps', count(*) FROM gap WHERE guard IS NULL GROUP BY root UNION ALL SELECT root, 'auction_snapshots', count(*) FROM located GROUP BY root UNION ALL SELECT root, 'icm_snapshots', count(*) FROM icm0 GROUP BY root UNION ALL SELECT root, 'imsi_snapshots', count(*) FROM imsis GROUP BY root UNION ALL SELECT root, 'synergy_snapshots', count(*) FROM syn GROUP BY root UNION ALL SELECT root, 'candidate_events', count(*) FROM cand GROUP BY root UNION ALL SELECT root, 'research_ready_events', count(*) FROM cand WHERE research_ready GROUP BY root",
     "minute_gaps": "SELECT root, count(*) AS minutes, count(*) FILTER (step > 1) AS gaps, round(coalesce(max(step), 0), 6) + 0.0 AS longest_gap_minutes FROM (SELECT root, epoch(m - lag(m) OVER (PARTITION BY root ORDER BY m)) / 60.0::DOUBLE AS step FROM (SELECT DISTINCT root, date_trunc('minute', exchange_time) AS m FROM tape)) GROUP BY root",
     "open_interest_coverage": "SELECT root, count(oi) > 0 AS any_open_interest, count(DISTINCT (contract_symbol, day)) AS contract_days, count(DISTINCT CASE WHEN oi IS NOT NULL THEN (contract_symbol, day) END) AS contract_days_with_oi, array_to_string(list_sort(list_distinct(list(expiry))), ',') AS expiries FROM (SELECT root, contract_symbol, CAST(exchange_time AS DATE) AS day, CASE WHEN arrival % 3 = 0 THEN quantity * 100 END AS oi, CASE WHEN contract_symbol LIKE '%H24' THEN '2024-03-15' ELSE '2024-06-21' END AS expiry FROM tape) GROUP BY root",
     "auction_clock": f"""SELECT rule, count(*) FILTER (bad) AS violations FROM (SELECT available_at, "end", lag(available_at) OVER (PARTITION BY root, contract_symbol ORDER BY "end") AS before FROM (SELECT * REPLACE (CASE WHEN hour("end") = 15 THEN "end" - INTERVAL 1 MINUTE ELSE available_at END AS available_at) FROM located)), LATERAL (VALUES ('known_before_its_bar', available_at < "end"), ('prior_of_another_contract', false), ('prior_not_over', false), ('known_before_an_earlier_bar', coalesce(available_at < before, false))) v(rule, bad) GROUP BY rule""",

@@ -203,7 +203,8 @@ class Measurement:
             (F.count_distinct("contract_symbol") - 1).alias("rolls"),
         )
         parts = [t.unpivot("root", [c for c in t.columns if c != "root"], "counter", "n")]
-        tables = {"quotes": split_ticks(self.tape)[1], "fast_bars": self.fast, "medium_bars": self.medium, "final_profiles": self.finals, "gaps": self.gaps.filter("formed"), "auction_snapshots": self.located, "icm_snapshots": self.icm}
+        tables = {"quotes": split_ticks(self.tape)[1], "fast_bars": self.fast, "medium_bars": self.medium, "final_profiles": self.finals, "gaps": self.gaps.filter("formed"), "auction_snapshots": self.located, "icm_snapshots": self.icm,
+                  "imsi_snapshots": self.imsi, "synergy_snapshots": self.synergy, "candidate_events": self.events, "research_ready_events": self.events.filter("research_ready")}
         parts += [df.groupBy("root").agg(F.count("*").alias("n")).select("root", F.lit(k).alias("counter"), "n") for k, df in tables.items()]
         out = parts[0]
         for p in parts[1:]:
