@@ -178,7 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, held_back: Colu
     vectors = word_vectors(docs)
     label = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & may_learn).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     sample = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).withColumn("held_back", held_back)
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most SAMPLE rows
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # of rows that share an id one is learned from, so the sample stays at SAMPLE rows
+    joined = joined.groupBy("doc_id").agg(F.min_by("text", F.sha2(F.col("text").cast("binary"), 256)).alias("text"), F.any_value("y").alias("y"), F.any_value("held_back").alias("held_back"))
     bound = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(it):
@@ -205,8 +207,9 @@ def score(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, h
 
     By default a label is learned from unless crc32(doc_id as text) mod 4 is 2, and
     serves the temperature if that is 1. Null and empty texts get a score like any
-    other (a zero mean vector); an empty table gives no rows; without labels all
-    scores are 0.5.
+    other (a zero mean vector), long ones are read whole; rows that share an id, or have
+    none, are scored each, and at most one of them is learned from; ties do not matter,
+    as rows are judged alone; an empty table gives no rows; without labels all scores are 0.5.
     """
     ship(docs.sparkSession)
     vectors, net = train(docs, labels, crc_mod("doc_id", 4) != 2 if may_learn is None else may_learn, crc_mod("doc_id", 4) == 1 if held_back is None else held_back)
@@ -227,5 +230,5 @@ def score(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, h
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, all columns, that score `threshold` or more."""
+    """The rows of docs, all columns, that score `threshold` or more; odd rows as in score(), a column named __quality aside."""
     return score(docs, labels, out="__quality").filter(F.col("__quality") >= threshold).select(docs.columns)

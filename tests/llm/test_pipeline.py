@@ -75,3 +75,25 @@ def test_each_stage_does_what_its_operator_says(spark):
         assert len(own) == len(set(own)) and not seen & set(own)
         seen |= set(own)
     assert {r.doc_id for r in near(spark, docs, SF).collect()} == {r.doc_id for r in near_duplicates(docs).filter("doc_id = class_id").collect()}
+
+
+def test_stages_on_null_and_repeated_ids(spark):
+    """Each row stands for itself: a clean row is kept whatever row shares its id, and none comes twice."""
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(80)
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").filter("length(text) > 200").first().text
+    rows = [(None, "a plain line of its own", "en", None, 0), (None, None, "en", None, 0), (None, leak, "en", "s", 0), (3, "one more text with the id three", "en", None, 0), (3, leak, "en", None, 0), (4, "the very same row", "en", None, 0), (4, "the very same row", "en", None, 0)]
+    odd = spark.createDataFrame(rows, base.schema)
+    docs = base.unionByName(odd)
+    _, line, near, bench, _ = (f for _, f in corpus_pipeline.STAGES)
+    count = lambda df: sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in df.select("doc_id", "text").collect())
+    kept = count(bench(spark, docs, SF))
+    assert [r for r in kept if r[2] == leak] == [] and {(False, 0, "a plain line of its own"), (False, 0, ""), (True, 3, "one more text with the id three")} <= set(kept)
+    assert sum(r == (True, 4, "the very same row") for r in kept) == 2
+    lines = count(line(spark, docs, SF))
+    assert len(lines) == docs.count() and sum(r[:2] == (True, 4) and r[2] == "the very same row" for r in lines) == 1 and sum(r[2] == leak for r in lines) == 1
+    once = count(near(spark, docs, SF))
+    assert sum(r[2] == leak for r in once) == 1 and sum(r[2] == "the very same row" for r in once) == 1 and len(set(once)) == len(once)
+    for _, stage in corpus_pipeline.STAGES[:1]:
+        assert corpus_pipeline.store(stage(spark, docs, SF), "odd").columns == docs.columns
+    packed = corpus_pipeline.STAGES[-1][1](spark, odd, SF).collect()
+    assert sum(len(r.pieces) for r in packed) == len(rows)
