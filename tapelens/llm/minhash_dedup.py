@@ -31,6 +31,8 @@ from .wordvec import WORD_TABLE, as_bytes, batches, mix, span_hashes, words
 
 COMPONENTS = 128
 BANDS, ROWS = 25, 5
+#: Turns of further hubs for buckets with several components.
+TURNS = 3
 #: A pair is verified if its signatures agree in the threshold less this (four standard deviations) or more.
 MARGIN = 0.14
 _STEP = 0x9E3779B97F4A7C15
@@ -189,7 +191,15 @@ def _classes(docs: DataFrame, threshold: float, k: int) -> DataFrame:
     more = _apart(rated.select("a", "b").join(tried, ["a", "b"], "left_anti"), comp)
     found = store(links.unionByName(_verified(more, texts, k, threshold)), "links")
     comp = store(components(found), "comp")
-    full = bucket.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("place", "band", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+    # families that their hubs leave apart grow together in a few turns of further hubs, by pairs in proportion to the texts
+    for turn in range(TURNS):
+        likely = store(_rated(_hub_pairs(_placed(bucket, comp), turn), sig, threshold), "rated")
+        new = store(_verified(likely.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a")).select("a", "b"), texts, k, threshold), "links")
+        if not new.head(1):
+            break
+        found = found.unionByName(new)
+        comp = store(components(found), "comp")
+    full = _placed(bucket, comp)
     # what the hubs do not show: signatures alone travel to the groups, and texts to the pairs that pass
     left = apart_pairs(full.withColumnRenamed("doc_id", "id"), sig.withColumnRenamed("doc_id", "id"), COMPONENTS, ROWS, threshold - MARGIN)
     left = store(left.join(rated.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "left")
@@ -199,6 +209,18 @@ def _classes(docs: DataFrame, threshold: float, k: int) -> DataFrame:
     return joined.select("doc_id", F.coalesce("comp", "exact_id").alias("class_id"), "exact_id")
 
 
+def _placed(bucket: DataFrame, comp: DataFrame) -> DataFrame:
+    """bucket's rows with the component of their text."""
+    return bucket.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("place", "band", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+
+
+def _hub_pairs(placed: DataFrame, turn: int) -> DataFrame:
+    """(a, b): a text of one component of each bucket, another one each turn, with the texts of the bucket's other components."""
+    hubs = placed.groupBy("band").agg(F.min(F.struct(F.xxhash64("comp", F.lit(turn)).alias("o"), "doc_id", "comp")).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    both = placed.join(hubs.filter("low < high").select("band", "hub"), "band").filter(F.col("comp") != F.col("hub.comp"))
+    return both.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
 def _rated(pairs: DataFrame, sig: DataFrame, threshold: float) -> DataFrame:
     both = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
     kind = pairs.schema["a"].dataType.simpleString()
