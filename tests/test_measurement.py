@@ -114,6 +114,52 @@ def test_admission_equals_the_sequential_rule_on_a_hostile_tape(spark):
     assert got == want and len({v for v in want.values()}) >= 5
 
 
+def by_two_keys(rows):
+    """The admission rule as plain Python over one session's (seconds, id, sequence), for sound trades on the grid."""
+    ids, sequences, newest_minute, last, out = set(), set(), None, None, []
+    for t, i, s in rows:
+        checks = [(i is not None and i in ids, "DUPLICATE_SOURCE_ID"), (s is not None and s in sequences, "DUPLICATE_SOURCE_SEQUENCE"), (newest_minute is not None and t < newest_minute, "LATE"), (last is not None and t < last, "OUT_OF_ORDER")]
+        out.append(next((f"DATA:{name}" for bad, name in checks if bad), None))
+        newest_minute = max(newest_minute or 0, t - t % 60)
+        if out[-1] is None:
+            last = t
+            ids.add(i)
+            sequences.add(s)
+    return out
+
+
+def test_a_refused_repeat_counts_for_no_later_row(spark):
+    two, near = 2**53, 2**53 + 1  # not apart as doubles
+    sessions = {
+        "knot": [(0, "a", 1), (1, "b", 1), (2, "b", 2)],  # b was refused for its sequence, so the third row's id is new
+        "leads": [(0, "a", None), (50, "a", None), (30, "b", None)],  # the repeat is later than what follows
+        "near": [(0, "a", two), (1, "b", near), (2, "b", 3), (70, "c", near), (65, "c", 4)],
+    }
+    rng = random.Random(31)
+    for k in range(6):
+        sessions[f"any{k}"] = [(i * 4 - rng.choice([0, 0, 0, 5, 9, 70]) + 100, rng.choice([None, *"abcdefghijklmno"]), rng.choice([None, *range(12)])) for i in range(60)]
+    rows, n = [], 0
+    for day, made in enumerate(sessions.values()):
+        for t, event, sequence in made:
+            rows.append((*trade(n, day * 86_400 + t, 100)[:7], event, sequence, [], "TRADE", n))
+            n += 1
+    got = [r.reject_flag for r in admit(with_session(frame(spark, rows))).orderBy("arrival").collect()]
+    assert got == [flag for made in sessions.values() for flag in by_two_keys(made)]
+
+
+@pytest.mark.parametrize("disorder", [True, False])
+def test_disorder_or_repeats_alone_are_judged_by_windows(spark, disorder):
+    """Copies that come with their first's time in a tape out of order, and copies that come later in an ordered one."""
+    if disorder:
+        rows = [trade(i, 3 * i - (90 if i % 7 == 3 else 8 if i % 5 == 4 else 3 if i % 10 == 1 else 0), 100, event=f"e{i - 1}" if i % 10 == 1 else None) for i in range(200)]
+    else:
+        rows = [trade(i, 3 * i, 100, event=f"e{i // 2}" if i % 10 == 1 else None) for i in range(200)]
+    out = admit(with_session(frame(spark, rows)))
+    want = one_by_one([(r[-1], (r[2] - dt.datetime(2024, 3, 4)).total_seconds(), r[4], r[5], r[7], r[9]) for r in rows])
+    assert {r.arrival: r.reject_flag for r in out.collect()} == want and "DATA:DUPLICATE_SOURCE_ID" in want.values()
+    assert "InPandas" not in out._jdf.queryExecution().toString() and "InArrow" not in out._jdf.queryExecution().toString()
+
+
 def test_a_trade_after_its_session_was_closed_is_late(spark):
     day = 24 * 3600
     rows = [trade(0, 0, 100), trade(1, 60, 100), trade(2, day, 101), trade(3, 120, 100), trade(4, day + 60, 101)]
