@@ -25,10 +25,16 @@ def with_session(rows: DataFrame, at: str = "exchange_time", windows: DataFrame
     """
     fit = F.broadcast if windows is None else dimension  # the library's own windows are some forty rows
     windows = session_windows(rows.sparkSession) if windows is None else windows
-    w = fit(windows.select(F.col("root").alias("w_root"), "session_name", "session_type", "zone", "start_sec", "end_sec", "crosses_midnight", "policy_version"))
-    out = rows.join(w, F.col("root") == F.col("w_root")).withColumn("local", to_local(F.col(at), F.col("zone"))).withColumn("sod", seconds_of_day(F.col("local")))
-    inside = F.when(F.col("crosses_midnight"), (F.col("sod") >= F.col("start_sec")) | (F.col("sod") < F.col("end_sec"))).otherwise((F.col("sod") >= F.col("start_sec")) & (F.col("sod") < F.col("end_sec")))
-    out = out.filter(inside)
+    # one row a root and zone with its windows, so that a row's clock is converted once and not for each window
+    w = windows.groupBy(F.col("root").alias("w_root"), "zone").agg(F.collect_list(F.struct("session_name", "session_type", "start_sec", "end_sec", "crosses_midnight", "policy_version")).alias("w"))
+    out = rows.join(fit(w), F.col("root") == F.col("w_root")).withColumn("local", to_local(F.col(at), F.col("zone"))).withColumn("sod", seconds_of_day(F.col("local")))
+
+    def inside(x):
+        after, before = F.col("sod") >= x["start_sec"], F.col("sod") < x["end_sec"]
+        return F.when(x["crosses_midnight"], after | before).otherwise(after & before)
+
+    own = ("local", "sod", "w", "w_root")
+    out = out.withColumn("hit", F.explode(F.filter("w", inside))).select(*[c for c in out.columns if c not in own], "local", "sod", "hit.*")
     early = F.col("crosses_midnight") & (F.col("sod") < F.col("end_sec"))
     out = out.withColumn("anchor", F.date_sub(F.to_date("local"), early.cast("int")))
     out = out.withColumn("session_start", _local_to_utc(F.col("anchor"), F.col("start_sec"), F.col("zone")))
@@ -37,7 +43,7 @@ def with_session(rows: DataFrame, at: str = "exchange_time", windows: DataFrame
         out = _apply_closures(out, at, closures)
     fields = {k: F.col(k) for k in ("root", "session_name", "session_type", "policy_version")} | {"anchor_date": F.date_format("anchor", "yyyy-MM-dd")}
     out = out.withColumn("session_id", content_id("session", fields))
-    return out.drop("w_root", "zone", "start_sec", "end_sec", "crosses_midnight", "policy_version", "local", "sod", "anchor")
+    return out.drop("zone", "start_sec", "end_sec", "crosses_midnight", "policy_version", "local", "sod", "anchor")
 
 
 def _apply_closures(out: DataFrame, at: str, closures: DataFrame) -> DataFrame:

@@ -74,6 +74,17 @@ def test_sessions_over_daylight_saving(spark, day):
     assert got == {r: k for r, (_, k) in zones.items()}
 
 
+def test_a_rows_clock_is_converted_once_not_for_each_window(spark):
+    rows = spark.createDataFrame([("ES", dt.datetime(2024, 1, 15, 17, 0)), ("NONE", dt.datetime(2024, 1, 15, 17, 0))], "root string, exchange_time timestamp_ntz")
+    windows = spark.createDataFrame(
+        [("ES", "day", "rth", "America/New_York", 0, 61200, False, "v"), ("ES", "night", "eth", "America/New_York", 61200, 0, True, "v"), ("ES", "tokyo", "asia", "Asia/Tokyo", 0, 86400, False, "v")],
+        "root string, session_name string, session_type string, zone string, start_sec int, end_sec int, crosses_midnight boolean, policy_version string",
+    )
+    out = with_session(rows, windows=windows)
+    assert sorted((r.session_name, r.session_start) for r in out.collect()) == [("day", dt.datetime(2024, 1, 15, 5)), ("tokyo", dt.datetime(2024, 1, 15, 15))]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("convert_timezone(UTC, zone") == 1
+
+
 def test_closures_clip_and_close(spark):
     rows = [("ES", dt.datetime(2024, 1, 15, 17, 0)), ("ES", dt.datetime(2024, 1, 15, 19, 0)), ("ES", dt.datetime(2024, 1, 1, 15, 0))]
     got = with_session(spark.createDataFrame(rows, "root string, exchange_time timestamp_ntz"), closures=dims.closures(spark)).orderBy("exchange_time").collect()
