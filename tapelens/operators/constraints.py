@@ -224,11 +224,13 @@ def prove(rows: DataFrame, name: str, at: str) -> DataFrame:
             c = c.strip("`")
             new[c] = F.when(F.col("__fault") == i, F.expr(value).cast(rows.schema[c].dataType)).otherwise(new.get(c, F.col(c)))
     out = out.withColumns(new)
-    broken = [_broken(r) for r in rules.values()]
-    counted = out.select(
-        *[F.count_if(F.col("__fault") == i).alias(f"planted_{i}") for i in range(len(rules))],
-        *[F.count_if(b & (F.col("__fault") == i)).alias(f"caught_{i}") for i, b in enumerate(broken)],
-        *[F.count_if(b & (F.col("__fault") == -1)).alias(f"real_{i}") for i, b in enumerate(broken)],
+    fault = F.col("__fault")
+    # a copy meets the rule of its own fault alone, and only the rows themselves meet all rules
+    hits = [F.when((fault == -1) | (fault == i), _broken(r)).alias(f"__hit_{i}") for i, r in enumerate(rules.values())]
+    counted = out.select(fault, *hits).select(
+        *[F.count_if(fault == i).alias(f"planted_{i}") for i in range(len(rules))],
+        *[F.count_if(F.col(f"__hit_{i}") & (fault == i)).alias(f"caught_{i}") for i in range(len(rules))],
+        *[F.count_if(F.col(f"__hit_{i}") & (fault == -1)).alias(f"real_{i}") for i in range(len(rules))],
     )
     row = lambda i, k: F.struct(F.lit(name).alias("table_name"), F.lit(k).alias("rule"), F.col(f"planted_{i}").alias("planted"), F.col(f"caught_{i}").alias("caught"), F.col(f"real_{i}").alias("violations"))
     return counted.select(F.inline(F.array(*[row(i, k) for i, k in enumerate(rules)])))

@@ -443,3 +443,14 @@ def test_asof_takes_the_last_row_at_or_before(spark):
     right = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y"), ("c", 1, "z")], "k string, at int, v string")
     got = {(r.k, r.t): r.hit and r.hit.v for r in asof(left, right, ["k"], "t", "at", ["v"]).collect()}
     assert got == {("a", 5): "y", ("a", 1): None, ("b", 9): None}
+
+
+def test_a_planted_fault_meets_its_own_rule_alone(spark, monkeypatch):
+    from tapelens.operators import constraints
+
+    # the first rule cannot judge what the second one's fault makes
+    rules = {"x": constraints.Rule("if(y < 0, raise_error('a copy of another fault'), x < 0)", {"x": "-1"}), "y": constraints.Rule("y < 0", {"y": "-1"})}
+    monkeypatch.setitem(constraints.RULES, "small", rules)
+    rows = spark.sql("SELECT make_timestamp_ntz(2024, 1, cast(d + 1 AS int), 0, 0, 0) AS at, if(d = 3, -1, 1) AS x, 1 AS y FROM range(10) t(d)")
+    got = {r.rule: (r.planted, r.caught, r.violations) for r in constraints.prove(rows, "small", "at").collect()}
+    assert got == {"x": (2, 2, 1), "y": (2, 2, 0)}
