@@ -12,7 +12,10 @@ the border are signed both ways, so that no pair falls between the two.
 Bands give candidates; each is compared with the least line of its bucket by the
 exact Jaccard similarity of all shingles and, for a few turns, with one more line
 of it; every pair of lines of a bucket that are still apart is compared as well,
-in pairs of bounded blocks, and distributed union-find joins the links. Of each component the first line (least doc_id, then
+in pairs of bounded blocks, and distributed union-find joins the links. What rules
+a pair out is cheap and loses none: sizes, then parity sketches, which differ in
+no more bits than the sets do in values, then the values; texts are compared where
+the values do not settle it. Of each component the first line (least doc_id, then
 place) stays.
 """
 
@@ -44,10 +47,12 @@ STARTS = 12
 TURNS = 3
 #: Lines of a block of a bucket whose lines are still apart.
 BLOCK = 1_000
-#: Least values of a line that a pair is judged by before its texts are compared, and what their count may fall short by, times its square root.
-SKETCH, SLACK = 256, 1.2
-#: Those of them that travel with each bucket of a line that is still apart.
-FIRST = 64
+#: Least values of a line that a pair is judged by before its texts are compared, and what their count may fall short by, times its square root, if there are more.
+SKETCH, SLACK = 1_024, 1.2
+#: Shared values above what the threshold asks for from which sets that are held whole need no comparison of texts (the values have 31 bits).
+SURE = 3
+#: Longs of a parity sketch.
+LONGS = 16
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -105,12 +110,14 @@ def banded(hashed: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of line hashes whose shingle sets reach the threshold; lines travel, not their shingles."""
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
+    """The pairs (a, b, sure) of line hashes whose shingle sets reach the threshold; lines travel, not their shingles, and only those of pairs that are not sure."""
+    open_ = pairs.filter("not sure").select("a", "b")
+    both = open_.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
     # the sets and counts are bound by lambdas, so each is made once a pair
     sets = F.array(F.struct(shingles(F.col("la")).alias("a"), shingles(F.col("lb")).alias("b")))
     counts = F.transform(sets, lambda x: F.struct((F.size(x["a"]) + F.size(x["b"])).alias("n"), F.size(F.array_intersect(x["a"], x["b"])).alias("shared")))
-    return both.filter(F.exists(counts, lambda c: c["shared"] >= (c["n"] - c["shared"]) * threshold - 1e-9)).select("a", "b")
+    linked = both.filter(F.exists(counts, lambda c: c["shared"] >= (c["n"] - c["shared"]) * threshold - 1e-9)).select("a", "b")
+    return pairs.filter("sure").select("a", "b").unionByName(linked)
 
 
 def sketches(texts: DataFrame) -> DataFrame:
@@ -120,23 +127,64 @@ def sketches(texts: DataFrame) -> DataFrame:
     return low.select("id", F.struct(least.alias("least"), F.size("all").alias("n")).alias("sketch"))
 
 
-def _alike(a: str, b: str, threshold: float, held: int = SKETCH) -> Column:
-    """Whether two sketches of `held` values allow a Jaccard of the threshold.
+def _fits(n: Column, m: Column, threshold: float) -> Column:
+    """Whether sets of n and m values can reach the threshold."""
+    return F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9
+
+
+def _shared(a: str, b: str) -> Column:
+    return F.size(F.array_intersect(f"{a}.least", f"{b}.least"))
+
+
+def _alike(a: str, b: str, threshold: float, shared: Column | None = None) -> Column:
+    """Whether two sketches allow a Jaccard of the threshold.
 
     Sets of n and m values of that Jaccard J share (n + m) J / (1 + J). Of the k
     least values of the larger set the same part is shared, but for the noise of a
-    sample; sets that are held whole have none.
+    sample; sets that are held whole have none, but values that fall together.
     """
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     larger = F.greatest(n, m)
-    k = F.least(larger, F.lit(held))
-    noise = F.when(larger > held, SLACK * F.sqrt(k)).otherwise(0.0)
-    return F.size(F.array_intersect(f"{a}.least", f"{b}.least")) >= k * (n + m) / larger * (threshold / (1 + threshold)) - noise - 1e-9
+    k = F.least(larger, F.lit(SKETCH))
+    noise = F.when(larger > SKETCH, SLACK * F.sqrt(k)).otherwise(1.0)
+    shared = _shared(a, b) if shared is None else shared
+    return _fits(n, m, threshold) & (shared >= k * (n + m) / larger * (threshold / (1 + threshold)) - noise - 1e-9)
+
+
+def parities(sketch: DataFrame) -> DataFrame:
+    """(id, odd) of each sketch: LONGS longs, in which each value has turned one bit, and the number of values."""
+    value = F.col("value")
+    at = F.shiftright(value, 6).bitwiseAND(F.lit(LONGS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), value.bitwiseAND(F.lit(63)))
+    longs = [F.bit_xor(F.when(at == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(LONGS)]
+    found = sketch.select("id", F.col("sketch.n").alias("n"), F.explode("sketch.least").alias("value")).groupBy("id", "n").agg(*longs)
+    return found.select("id", F.struct("n", *(f"w{i}" for i in range(LONGS))).alias("odd"))
+
+
+def _near(a: str, b: str, threshold: float) -> Column:
+    """Whether two parity sketches allow a Jaccard of the threshold.
+
+    Bits that differ are at most the values in one set alone, which are (n + m)
+    (1 - J) / (1 + J); so no pair of the threshold is lost. Sets that the sketches do
+    not hold whole are judged later.
+    """
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = F.expr(" + ".join(f"bit_count({a}.w{i} ^ {b}.w{i})" for i in range(LONGS)))
+    return _fits(n, m, threshold) & ((F.greatest(n, m) > SKETCH) | (differ <= (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-9))
+
+
+def _likely(pairs: DataFrame, odd: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that their parity sketches allow."""
+    both = pairs.join(odd.select(F.col("id").alias("a"), F.col("odd").alias("oa")), "a").join(odd.select(F.col("id").alias("b"), F.col("odd").alias("ob")), "b")
+    return both.filter(_near("oa", "ob", threshold)).select("a", "b")
 
 
 def _candidates(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, sure) of the pairs that their sketches allow: sure if those settle it."""
     both = pairs.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-    return both.filter(_alike("sa", "sb", threshold)).select("a", "b")
+    n = F.col("sa.n") + F.col("sb.n")
+    sure = (F.greatest("sa.n", "sb.n") <= SKETCH) & (F.col("shared") >= n * (threshold / (1 + threshold)) + SURE)
+    return both.withColumn("shared", _shared("sa", "sb")).filter(_alike("sa", "sb", threshold, F.col("shared"))).select("a", "b", sure.alias("sure"))
 
 
 def _placed(bucket: DataFrame, comp: DataFrame) -> DataFrame:
@@ -152,20 +200,19 @@ def _hub_pairs(bucket: DataFrame, comp: DataFrame, turn: int) -> DataFrame:
     return both.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
 
-def _apart(bucket: DataFrame, comp: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: pairs of lines that share a bucket and are in different components, but for those whose sketches are too unlike.
+def _apart(bucket: DataFrame, comp: DataFrame, odd: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: pairs of lines that share a bucket and are in different components, but for those whose parity sketches are too unlike.
 
     A pair is taken in the least of the buckets alone that both lines are in.
     """
     dealt = store(dealt_to_blocks(_placed(bucket, comp), BLOCK), "dealt")
     bands = dealt.groupBy("id").agg(F.array_sort(F.collect_set("band")).alias("bands"))
-    first = F.struct(F.slice("sketch.least", 1, FIRST).alias("least"), F.col("sketch.n").alias("n"))
-    known = dealt.join(store(bands.join(sketch, "id").select("id", "bands", first.alias("sketch")), "first"), "id")
-    left = known.filter("block = lo").select("band", "lo", "hi", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("sketch").alias("sa"), F.col("bands").alias("ba"))
-    right = known.filter("block = hi").select("band", "lo", "hi", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("sketch").alias("sb"), F.col("bands").alias("bb"))
+    known = dealt.join(store(bands.join(odd, "id").select("id", "bands", "odd"), "first"), "id")
+    left = known.filter("block = lo").select("band", "lo", "hi", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("odd").alias("oa"), F.col("bands").alias("ba"))
+    right = known.filter("block = hi").select("band", "lo", "hi", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("odd").alias("ob"), F.col("bands").alias("bb"))
     apart = (F.col("ca") != F.col("cb")) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b")))
     here = F.element_at(F.array_intersect("ba", "bb"), 1) == F.col("band")
-    both = left.join(right, ["band", "lo", "hi"]).filter(apart & here & _alike("sa", "sb", threshold, FIRST))
+    both = left.join(right, ["band", "lo", "hi"]).filter(apart & _near("oa", "ob", threshold) & here)
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -181,22 +228,21 @@ def similar_lines(lines: DataFrame, threshold: float) -> DataFrame:
     wanted = store(bucket.select("h").distinct(), "wanted")
     texts = store(hashed.join(sized_broadcast(wanted, 8), "h").groupBy("h").agg(F.any_value("line").alias("line")), "texts")
     sketch = store(sketches(texts), "sketch")
+    odd = store(parities(sketch), "odd")
+    judged = lambda likely: store(_linked(store(_candidates(likely, sketch, threshold), "judged"), texts, threshold), "links")
     pairs = store(bucket.filter("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct(), "pairs")
-    likely = store(_candidates(pairs, sketch, threshold), "likely")
-    links = store(_linked(likely, texts, threshold), "links")
+    links = judged(store(_likely(pairs, odd, threshold), "likely"))
     comp = store(components(links), "comp")
     # families that are apart by the first line alone grow together in a few turns, by pairs in proportion to their lines
     for turn in range(TURNS):
         more = store(_hub_pairs(bucket, comp, turn).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        found = store(_linked(store(_candidates(more, sketch, threshold), "likely"), texts, threshold), "more")
+        found = judged(store(_likely(more, odd, threshold), "likely"))
         pairs = pairs.unionByName(more)
         if not found.head(1):
             break
         links = links.unionByName(found)
         comp = store(components(links), "comp")
-    left = store(_apart(bucket, comp, sketch, threshold).join(pairs, ["a", "b"], "left_anti"), "left")
-    left = store(_candidates(left, sketch, threshold), "likely")
-    found = store(_linked(left, texts, threshold), "more")
+    found = judged(store(_apart(bucket, comp, odd, threshold).join(pairs, ["a", "b"], "left_anti"), "left"))
     return components(links.unionByName(found)) if found.head(1) else comp
 
 

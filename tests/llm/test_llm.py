@@ -182,6 +182,28 @@ def test_lines_of_families_in_one_bucket(spark, monkeypatch):
     assert len(comp) == 60 and len({r.comp for r in comp}) == 30
 
 
+def test_unlike_lines_of_one_family_are_ruled_out_before_they_are_compared(spark, monkeypatch):
+    """Lines of one origin, most below the threshold: few of their pairs are made, none of the threshold is lost."""
+    rng = np.random.default_rng(21)
+    base = " ".join(words(77, 60))
+    lines = sorted({edited(rng, base, 16) for _ in range(90)} | {edited(rng, base, 1) for _ in range(3)})
+    pairs_of = [(a, b, jaccard(a, b)) for i, a in enumerate(lines) for b in lines[i + 1 :]]
+    monkeypatch.setattr(line_dedup, "TURNS", 0)
+    monkeypatch.setattr(line_dedup, "banded", lambda hashed: hashed.select("h", F.array(F.lit(1).cast("long")).alias("bands")))
+    made, kept = {}, line_dedup.store
+    monkeypatch.setattr(line_dedup, "store", lambda df, name: made.setdefault(name, []).append(kept(df, name)) or made[name][-1])
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    comp = {r.id: r.comp for r in line_dedup.similar_lines(df, 0.8).collect()}
+    assert made["left"][0].count() < 0.1 * len(pairs_of)
+    ids = {r.line: r.h for r in df.select("line", F.xxhash64("line").alias("h")).collect()}
+    assert all(comp[ids[a]] == comp[ids[b]] for a, b, j in pairs_of if j >= 0.8) and any(j >= 0.8 for _, _, j in pairs_of)
+    sets = df.select(F.xxhash64("line").alias("h"), "line")
+    odd = line_dedup.parities(line_dedup.sketches(sets))
+    both = odd.select(F.col("id").alias("a"), F.col("odd").alias("oa")).crossJoin(odd.select(F.col("id").alias("b"), F.col("odd").alias("ob")))
+    near = {(r.a, r.b) for r in both.filter(line_dedup._near("oa", "ob", 0.8)).select("a", "b").collect()}
+    assert all((ids[a], ids[b]) in near for a, b, j in pairs_of if j >= 0.8)
+
+
 def edited(rng, text, edits):
     text = list(text)
     for _ in range(edits):
