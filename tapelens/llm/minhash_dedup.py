@@ -13,7 +13,8 @@ approximated.
 
 Signatures are banded; in each bucket of a band the members are compared with a
 hub, verified links are joined into components, and only members that are still
-in another component than others of their bucket are compared again.
+in another component than others of their bucket are compared again. Texts meet
+only in pairs that their parity sketches allow, which rule out no link.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .common import by_row, sized_broadcast, store
 from .components import components
-from .pairs import apart_pairs
+from .pairs import ODD, apart_pairs, near, parities
 from .wordvec import WORD_TABLE, as_bytes, batches, mix, span_hashes, words
 
 COMPONENTS = 128
@@ -109,7 +110,7 @@ def _signature_rows(k: int):
                 key = span_hashes(bands.ravel(), np.arange(n * BANDS) * ROWS, (np.arange(n * BANDS) + 1) * ROWS)
                 key = mix(key + np.tile(np.arange(BANDS, dtype=np.uint64), n)).view(np.int64)
                 some = np.array([len(b) > 0 for b in raw])
-                small = (sig >> np.uint64(48)).astype(np.uint16)
+                small = np.hstack([(sig >> np.uint64(48)).astype(np.uint16), parities(doc, shingle, weight, n)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids[part.start : part.stop],
@@ -124,11 +125,15 @@ def _signature_rows(k: int):
     return run
 
 
-def _agree(it):
-    for batch in it:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, COMPONENTS) for c in (2, 3))
-        share = (a == b).mean(axis=1) if len(a) else np.empty(0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], names=["a", "b", "est"])
+def _agree(threshold: float):
+    def run(it):
+        for batch in it:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, COMPONENTS + ODD) for c in (2, 3))
+            share = (a[:, :COMPONENTS] == b[:, :COMPONENTS]).mean(axis=1) if len(a) else np.empty(0)
+            good = pa.array((share >= threshold - MARGIN) & near(a[:, COMPONENTS:], b[:, COMPONENTS:], threshold))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], names=["a", "b", "est"]).filter(good)
+
+    return run
 
 
 def _verify(k: int, threshold: float):
@@ -201,7 +206,7 @@ def _classes(docs: DataFrame, threshold: float, k: int) -> DataFrame:
         comp = store(components(found), "comp")
     full = _placed(bucket, comp)
     # what the hubs do not show: signatures alone travel to the groups, and texts to the pairs that pass
-    left = apart_pairs(full.withColumnRenamed("doc_id", "id"), sig.withColumnRenamed("doc_id", "id"), COMPONENTS, ROWS, threshold - MARGIN)
+    left = apart_pairs(full.withColumnRenamed("doc_id", "id"), sig.withColumnRenamed("doc_id", "id"), COMPONENTS, ROWS, threshold - MARGIN, threshold)
     left = store(left.join(rated.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "left")
     links = store(_verified(left, texts, k, threshold), "rest")
     last = components(found.unionByName(links))
@@ -224,7 +229,7 @@ def _hub_pairs(placed: DataFrame, turn: int) -> DataFrame:
 def _rated(pairs: DataFrame, sig: DataFrame, threshold: float) -> DataFrame:
     both = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "sa", "sb").mapInArrow(_agree, f"a {kind}, b {kind}, est double").filter(F.col("est") >= threshold - MARGIN)
+    return both.select("a", "b", "sa", "sb").mapInArrow(_agree(threshold), f"a {kind}, b {kind}, est double")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:

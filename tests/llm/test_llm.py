@@ -172,6 +172,30 @@ def test_pairs_of_families_in_one_bucket(spark, monkeypatch):
         assert sorted((r.a, r.b) for r in got) == [(i, i + 30) for i in range(30) if i + 30 >= joined]
 
 
+def test_unlike_texts_of_one_family_are_ruled_out_before_they_are_compared(spark, monkeypatch):
+    """Texts of one origin, most below the threshold: few pairs meet with their texts, none of the threshold is lost."""
+    rng = np.random.default_rng(22)
+    base = words(78, 150) * 2
+    texts = []
+    for i in range(100):
+        t = list(base)
+        for p in rng.integers(0, len(t), 9 if i < 96 else 1):
+            t[p] = f"own{rng.integers(0, 1 << 30)}"
+        texts.append(" ".join(t))
+    doc, shingle, weight, _ = minhash_dedup.bag_of_shingles([t.encode() for t in texts], 5)
+    odd = pairs.parities(doc, shingle, weight, len(texts))
+    bags = [Counter(tuple(t.split()[p : p + 5]) for p in range(len(t.split()) - 4)) for t in texts]
+    i, j = np.triu_indices(len(texts), 1)
+    alike = np.array([(s := sum((bags[a] & bags[b]).values())) / (sum(bags[a].values()) + sum(bags[b].values()) - s) for a, b in zip(i, j)])
+    allowed = pairs.near(odd[i], odd[j], 0.8)
+    assert allowed[alike >= 0.8].all() and (alike >= 0.8).any()
+    tried, verified = [], minhash_dedup._verified
+    monkeypatch.setattr(minhash_dedup, "_verified", lambda left, *rest: tried.append(left.count()) or verified(left, *rest))
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert all(got[a] == got[b] for a, b, x in zip(i.tolist(), j.tolist(), alike) if x >= 0.8)
+    assert sum(tried) < 0.2 * len(i)
+
+
 def test_lines_of_families_in_one_bucket(spark, monkeypatch):
     # all lines share one band, dealt to blocks of seven; 30 families of two lines are linked only among themselves
     monkeypatch.setattr(line_dedup, "BLOCK", 7)
