@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tapelens import storage
 from tapelens.llm import decontaminate, html_extract, language_model, line_dedup, minhash_dedup, packing, pairs, quality, simhash, substring_dedup, url_filter
 from tapelens.llm.components import components
 
@@ -41,6 +42,14 @@ def awkward(seed=1):
     return [" ".join(base), " ".join(near), " ".join(base), None, "", "one two", "one two", "?!", " ".join(words(2, 9000)), "x" * 40_000, " ".join(base[40:80] + words(3, 50)), "\n\n \n", "Ünï cödé ßtring 汉字 " * 10]
 
 
+def test_stored_tables_leave_no_shuffle_files(spark):
+    blocks = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before, setting = blocks(), spark.conf.get(storage.SHUFFLE_CLEANUP, None)
+    stored = storage.store(spark.range(50_000).groupBy((F.col("id") % 20_011).alias("k")).count(), "counted")
+    assert blocks() <= before and spark.conf.get(storage.SHUFFLE_CLEANUP, None) == setting
+    assert stored.count() == 20_011
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (10, 11), (5, 5), (3, 2), (30, 20), (20, 40), (40, 41), (41, 42), (42, 43), (43, 44)]
     got = {r.id: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
