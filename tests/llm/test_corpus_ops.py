@@ -226,3 +226,26 @@ def test_node_table():
     assert sorted(slots) == list(range(len(keys))) and (table.keys[slots] == keys).all()
     other = prefix_trie._keys(rng.integers(20, 30, 100), rng.integers(0, 1 << 62, 100))
     assert (table.slots(other) == -1).all() and len(prefix_trie.NodeTable(keys[:0]).keys) == 0
+
+
+def test_passes_over_chunks_hold_one_chunk(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, rng = 1 << 16, np.random.default_rng(5)
+    hashes, codes = pa.array([np.arange(1, 5_001).tobytes()] * 64), pa.array([rng.integers(1, 5_001, n).astype(np.uint32).tobytes() for _ in range(64)])
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 64), hashes, codes], ["lang", "hashes", "codes"])
+    every = collocations.zlib.compress(b"\xff" * (1 << 10))
+    got, most = Counter(), 0
+    tracemalloc.start()
+    for out in collocations._key_counts(2, every, every, {}, 1 << 21)(iter([batch])):
+        most = max(most, out.num_rows)
+        got["n"] += sum(out.column("n").to_numpy())
+        got["rows"] += out.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["n"] == 64 * (n - 1) and got["rows"] > n
+    assert most <= collocations.ROWS
+    # two million keys take 16 MB as they come and 16 MB in order, and once more what tells their runs apart
+    assert peak < 72e6, peak
