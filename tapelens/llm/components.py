@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from .common import store
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link each node's neighbours (the larger ones, or the smaller ones and itself) to its least neighbour."""
+#: Edges up to which the least neighbours of all nodes are broadcast, which saves the joins' shuffles: some 4 MB.
+FEW_EDGES = 1 << 17
+
+
+def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
+    """Link each node's neighbours (the larger ones, or the smaller ones and itself) to its least neighbour; links may repeat."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     sides = both if large else both.filter("b < a")
     least = sides.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("least", "a"))
+    near = F.broadcast(least) if few else least
     if large:
-        linked = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        linked = both.filter("b > a").join(near, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:
-        to = sides.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        to = sides.join(near, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         linked = to.unionByName(least.select("a", F.col("least").alias("b")))
-    return linked.filter("a <> b").distinct()
+    return linked.filter("a <> b")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -35,8 +40,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if before == state or not state[0]:
             break
         before = state
+        few = state[0] <= FEW_EDGES
+        large = _star(edges, True, few)
         # few links need few files, whatever the number of shuffle partitions
-        edges = store(_star(_star(edges, True), False).coalesce(max(1, state[0] // 100_000)), "stars")
+        edges = store(_star(large if few else large.distinct(), False, few).distinct().coalesce(max(1, state[0] // 100_000)), "stars")
     else:
         raise RuntimeError("components did not settle")
     members = edges.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("id"), "comp")
