@@ -6,8 +6,9 @@ a ring: two lines of Jaccard J agree in a run of r values, from a value of
 either, with a probability of about J^r. The runs that begin at values picked by
 other bits of the hash are the bands, so a line that has few values still has as
 many bands as it needs, and all lines pick alike. Long lines are signed by those
-of their shingles that begin with one of a fixed set of characters; lines near
-the border are signed both ways, so that no pair falls between the two.
+of their shingles that begin with one of a fixed set of characters, the longest by
+those of a smaller set; lines near a border are signed both ways, so that no pair
+falls between the two.
 
 Bands give candidates; each is compared with the least line of its bucket by the
 exact Jaccard similarity of all shingles and, for a few turns, with one more line
@@ -33,18 +34,22 @@ SPACE = "\t\n\x0b\x0c\r "
 ALL = r"(?s)(?=(.....))"
 #: Shingles that begin with a Latin letter or digit of this set (code points 1 mod 4), or with any character from U+0100 on.
 SOME = r"(?s)(?=([aeimquy159\x{100}-\x{10ffff}]....))"
-#: A line is signed by SOME of its shingles if it has FEW of them or more, and by ALL if it has fewer than MANY.
+#: The same with Latin letters that are half as frequent, for the longest lines.
+RARE = r"(?s)(?=([clmquy159\x{100}-\x{10ffff}]....))"
+#: A line is signed by RARE of its shingles if it has FEW of them or more, by SOME if it has fewer than MANY of those and FEW of these, and by ALL if it has fewer than MANY of both.
 FEW, MANY = 24, 36
 #: Values of a line that make its ring.
 RING = 64
 #: (length of a run, least and most values of a line): ranges overlap by a quarter, so both lines of a pair of 0.8 are in one.
 RUNS = [(4, 0, 20), (5, 16, 64), (6, 48, None)]
-#: The run of lines that are signed by SOME.
+#: The run of lines that are signed by SOME or RARE.
 LONG_RUN = 6
 #: A line begins a run at each of its values, or where it has 2 * STARTS or more, at a power of two fewer: STARTS at least.
 STARTS = 12
 #: Times that the lines of a bucket are compared with one more line of it before all that are still apart are.
 TURNS = 3
+#: Pairs that are apart for each row of the buckets, up to which no more turns come before them.
+APART = 4
 #: Lines of a block of a bucket whose lines are still apart.
 BLOCK = 1_000
 #: Least values of a line that a pair is judged by before its texts are compared, and what their count may fall short by, times its square root, if there are more.
@@ -87,21 +92,24 @@ def _bands(length: int, kind: int, ring: str, n: str, every: str) -> Column:
 
 
 def _rings(hashed: DataFrame) -> DataFrame:
-    """(h, some, all) of each line of hashed(h, line): the values it is signed by, of either kind or null."""
-    low = hashed.select("h", F.lower("line").alias("low")).select("h", "low", _values(SOME).alias("some"))
-    return low.select("h", F.when(F.size("some") >= FEW, F.col("some")).alias("some"), F.when(F.size("some") < MANY, _all_values()).alias("all"))
+    """(h, rare, some, all) of each line of hashed(h, line): the values it is signed by, of each kind or null."""
+    low = hashed.select("h", F.lower("line").alias("low")).select("h", "low", _values(RARE).alias("rare"))
+    # each kind is looked for only in lines that have too few of the one before
+    low = low.select("h", "low", "rare", F.when(F.size("rare") < MANY, _values(SOME)).alias("some"))
+    whole = F.when(F.col("some").isNotNull() & (F.size("some") < MANY), _all_values())
+    return low.select("h", *(F.when(F.size(c) >= FEW, F.col(c)).alias(c) for c in ("rare", "some")), whole.alias("all"))
 
 
 def banded(hashed: DataFrame) -> DataFrame:
     """(h, bands) of each line of hashed(h, line): the keys of its runs."""
-    longest = max(length for length, _, _ in RUNS)
+    longest, kinds = max(length for length, _, _ in RUNS), ("rare", "some", "all")
     # each step is a projection of its own, as a lambda would make what it holds once a value
-    cut = _rings(hashed).select("h", F.slice("some", 1, RING).alias("some"), F.slice("all", 1, RING).alias("all"), F.size("all").alias("values"))
+    cut = _rings(hashed).select("h", *(F.slice(c, 1, RING).alias(c) for c in kinds), F.size("all").alias("values"))
     rings = cut.select(
-        "h", "values", F.size("some").alias("n_some"), F.size("all").alias("n_all"),
-        *(F.expr(f"concat({c}, slice(flatten(array_repeat({c}, {longest})), 1, {longest - 1}))").alias(c) for c in ("some", "all")),
-    ).select("*", _every("n_some").alias("every_some"), _every("n_all").alias("every_all"))
-    found = [F.when(F.col("some").isNotNull(), _bands(LONG_RUN, 0, "some", "n_some", "every_some"))]
+        "h", "values", *(F.size(c).alias(f"n_{c}") for c in kinds),
+        *(F.expr(f"concat({c}, slice(flatten(array_repeat({c}, {longest})), 1, {longest - 1}))").alias(c) for c in kinds),
+    ).select("*", *(_every(f"n_{c}").alias(f"every_{c}") for c in kinds))
+    found = [F.when(F.col(c).isNotNull(), _bands(LONG_RUN, kind, c, f"n_{c}", f"every_{c}")) for kind, c in enumerate(("some", "rare"))]
     for length, least, most in RUNS:
         fits = (F.col("values") >= least) & (F.lit(True) if most is None else F.col("values") < most)
         found.append(F.when(F.col("all").isNotNull() & fits, _bands(length, length, "all", "n_all", "every_all")))
@@ -200,6 +208,14 @@ def _hub_pairs(bucket: DataFrame, comp: DataFrame, turn: int) -> DataFrame:
     return both.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
 
+def _few_apart(bucket: DataFrame, comp: DataFrame) -> bool:
+    """Whether the pairs of lines that share a bucket and are in different components are at most APART times the buckets' rows."""
+    by_comp = _placed(bucket, comp).groupBy("band", "comp").agg(F.count("*").cast("double").alias("n"))
+    by_band = by_comp.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+    rows, apart = by_band.select(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.lit(0.0))).first()
+    return apart <= APART * rows
+
+
 def _apart(bucket: DataFrame, comp: DataFrame, odd: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a < b: pairs of lines that share a bucket and are in different components, but for those whose parity sketches are too unlike.
 
@@ -229,27 +245,29 @@ def similar_lines(lines: DataFrame, threshold: float) -> DataFrame:
     texts = store(hashed.join(sized_broadcast(wanted, 8), "h").groupBy("h").agg(F.any_value("line").alias("line")), "texts")
     sketch = store(sketches(texts), "sketch")
     odd = store(parities(sketch), "odd")
-    judged = lambda likely: store(_linked(store(_candidates(likely, sketch, threshold), "judged"), texts, threshold), "links")
+    judged = lambda pairs: store(_linked(store(_candidates(_likely(pairs, odd, threshold), sketch, threshold), "judged"), texts, threshold), "links")
+    # what is connected by links is so by each node's component, too, in fewer rounds
+    joined = lambda comp, links: store(components(comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(links)), "comp")
     pairs = store(bucket.filter("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct(), "pairs")
-    links = judged(store(_likely(pairs, odd, threshold), "likely"))
-    comp = store(components(links), "comp")
+    comp = store(components(judged(pairs)), "comp")
     # families that are apart by the first line alone grow together in a few turns, by pairs in proportion to their lines
     for turn in range(TURNS):
+        if _few_apart(bucket, comp):
+            break
         more = store(_hub_pairs(bucket, comp, turn).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        found = judged(store(_likely(more, odd, threshold), "likely"))
+        found = judged(more)
         pairs = pairs.unionByName(more)
         if not found.head(1):
             break
-        links = links.unionByName(found)
-        comp = store(components(links), "comp")
+        comp = joined(comp, found)
     found = judged(store(_apart(bucket, comp, odd, threshold).join(pairs, ["a", "b"], "left_anti"), "left"))
-    return components(links.unionByName(found)) if found.head(1) else comp
+    return joined(comp, found) if found.head(1) else comp
 
 
 def removed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, removed): the places (from 0) of the lines of each text that repeat an earlier line, exactly or nearly."""
     lines = lines_of(docs)
-    comp = store(similar_lines(lines, threshold), "lines")
+    comp = similar_lines(lines, threshold)
     placed = lines.select("doc_id", "pos", F.xxhash64("line").alias("id")).join(sized_broadcast(comp, 16), "id", "left")
     placed = store(placed.select("doc_id", "pos", F.coalesce("comp", "id").alias("key")), "placed")
     # stored, so that the rows of a hot line can be split where they are joined

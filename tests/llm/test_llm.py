@@ -57,6 +57,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_components_with_and_without_broadcasts(spark, monkeypatch, few):
+    from tapelens.llm import components as module
+
+    monkeypatch.setattr(module, "FEW_EDGES", few, raising=False)
+    plans, kept = [], module.store
+    monkeypatch.setattr(module, "store", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or kept(df, name))
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(300, 301), (301, 300), (5, 5)]
+    got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {300: 300, 301: 300}
+    assert all(("broadcast" in plan) == (few > 0) for name, plan in plans if name == "stars")
+
+
 def brute_substrings(texts, n):
     seen, out = set(), {}
     for i, t in enumerate(texts):
@@ -205,6 +218,26 @@ def test_unlike_texts_of_one_family_are_ruled_out_before_they_are_compared(spark
     assert sum(tried) < 0.2 * len(i)
 
 
+def test_no_turns_where_few_pairs_are_apart(spark, monkeypatch):
+    """Ordinary lines take one comparison with the least line and one of the rest, so few plans are left with the driver."""
+    made, kept = [], line_dedup.store
+    monkeypatch.setattr(line_dedup, "store", lambda df, name: made.append(name) or kept(df, name))
+    rng = np.random.default_rng(8)
+    base = [" ".join(words(300 + i, 30)) for i in range(20)]
+    df = spark.createDataFrame([(x,) for b in base for x in (b, edited(rng, b, 1), edited(rng, b, 12))], "line string")
+    comp = {r.id: r.comp for r in line_dedup.similar_lines(df, 0.8).collect()}
+    assert made.count("pairs") == 1 and made.count("judged") == 2
+    ids = {r.line: r.h for r in df.select("line", F.xxhash64("line").alias("h")).collect()}
+    assert sum(b == c or comp[ids[b]] == comp[ids[c]] for b, c in zip(base, (r.line for r in df.collect()[1::3]))) == 20
+
+
+def test_long_lines_are_signed_by_few_of_their_values(spark):
+    lines = [" ".join(words(400 + i, 80)) for i in range(10)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "h long, line string")
+    for r in line_dedup._rings(df).collect():
+        assert r["some"] is None and r["all"] is None and len(r["rare"]) < 0.3 * len(lines[r.h])
+
+
 def test_lines_of_families_in_one_bucket(spark, monkeypatch):
     # all lines share one band, dealt to blocks of seven; 30 families of two lines are linked only among themselves
     monkeypatch.setattr(line_dedup, "BLOCK", 7)
