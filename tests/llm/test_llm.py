@@ -70,6 +70,17 @@ def test_components_with_and_without_broadcasts(spark, monkeypatch, few):
     assert all(("broadcast" in plan) == (few > 0) for name, plan in plans if name == "stars")
 
 
+def test_rounds_of_few_links_shuffle_nothing(spark, monkeypatch):
+    from tapelens.llm import components as module
+
+    plans, kept = [], module.store
+    monkeypatch.setattr(module, "store", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or kept(df, name))
+    comp = components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+    assert {r.comp for r in comp.collect()} == {0}
+    rounds = [plan for name, plan in plans if name == "stars"] + [comp._jdf.queryExecution().executedPlan().toString()]
+    assert len(rounds) > 2 and not any("hashpartitioning" in plan for plan in rounds)
+
+
 def brute_substrings(texts, n):
     seen, out = set(), {}
     for i, t in enumerate(texts):
