@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import store
@@ -29,6 +29,13 @@ def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
     return linked.coalesce(1) if few else linked
 
 
+def _stored(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The stored edges, and their number and the sum of their hashes, taken while they are written."""
+    seen = Observation()
+    out = store(edges.observe(seen, F.count("*").alias("n"), F.coalesce(F.sum(F.hash("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("sum")), name)
+    return out, (seen.get["n"], seen.get["sum"])
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, comp) for every node of links(a, b): comp is the least id of its component.
 
@@ -37,16 +44,15 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     folder; one of few links (FEW_EDGES) is one task. Beyond that joins are plain
     equi-joins on the node, so AQE can split a hub's rows.
     """
-    edges = store(links.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges, state = _stored(links.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(rounds):
-        state = edges.agg(F.count("*"), F.coalesce(F.sum(F.hash("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if before == state or not state[0]:
             break
         before = state
         few = state[0] <= FEW_EDGES
         large = _star(edges, True, few)
-        edges = store(_star(large if few else large.distinct(), False, few).distinct().coalesce(max(1, state[0] // 100_000)), "stars")
+        edges, state = _stored(_star(large if few else large.distinct(), False, few).distinct().coalesce(max(1, state[0] // 100_000)), "stars")
     else:
         raise RuntimeError("components did not settle")
     edges = edges.coalesce(1) if state[0] <= FEW_EDGES else edges

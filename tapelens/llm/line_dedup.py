@@ -14,18 +14,19 @@ Bands give candidates; each is compared with the least line of its bucket by the
 exact Jaccard similarity of all shingles and, for a few turns, with one more line
 of it; every pair of lines of a bucket that are still apart is compared as well,
 in pairs of bounded blocks, and distributed union-find joins the links. What rules
-a pair out is cheap and loses none: sizes, then parity sketches, which differ in
-no more bits than the sets do in values, then the values; texts are compared where
-the values do not settle it. Of each component the first line (least doc_id, then
-place) stays.
+a pair out is small and loses none: sizes, then parity sketches, which differ in
+no more bits than the sets do in values; then the texts are compared. Of each
+component the first line (least doc_id, then place) stays.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_row, sized_broadcast, store
+from .common import by_row, sized_broadcast, store, store_alone
 from .components import components
 from .pairs import dealt_to_blocks
 
@@ -52,12 +53,15 @@ TURNS = 3
 APART = 4
 #: Lines of a block of a bucket whose lines are still apart.
 BLOCK = 1_000
-#: Least values of a line that a pair is judged by before its texts are compared, and what their count may fall short by, times its square root, if there are more.
+#: Times that the bands are dealt, a part of them each, so that only that part of their shuffle is on the disk at once.
+PASSES = 2
+#: Values from which a line's parity sketches are too full to tell it from others, so that its pairs are judged by values before their texts are compared.
+FAR = 8_192
+#: Least values of a line that it is judged by, and what their count may fall short by, times its square root, if there are more.
 SKETCH, SLACK = 1_024, 1.2
-#: Shared values above what the threshold asks for from which sets that are held whole need no comparison of texts (the values have 31 bits).
-SURE = 3
-#: Longs of a parity sketch.
-LONGS = 16
+#: Longs of a parity sketch; of the finer one that lines of more than FINE_FROM values have beside it; and of the coarser one that goes with the rows of a bucket.
+LONGS, FINE, COARSE = 16, 64, 8
+FINE_FROM = 1_024
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -118,20 +122,18 @@ def banded(hashed: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b, sure) of line hashes whose shingle sets reach the threshold; lines travel, not their shingles, and only those of pairs that are not sure."""
-    open_ = pairs.filter("not sure").select("a", "b")
-    both = open_.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
+    """The pairs (a, b) of line hashes whose shingle sets reach the threshold; lines travel, not their shingles."""
+    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
     # the sets and counts are bound by lambdas, so each is made once a pair
     sets = F.array(F.struct(shingles(F.col("la")).alias("a"), shingles(F.col("lb")).alias("b")))
     counts = F.transform(sets, lambda x: F.struct((F.size(x["a"]) + F.size(x["b"])).alias("n"), F.size(F.array_intersect(x["a"], x["b"])).alias("shared")))
-    linked = both.filter(F.exists(counts, lambda c: c["shared"] >= (c["n"] - c["shared"]) * threshold - 1e-9)).select("a", "b")
-    return pairs.filter("sure").select("a", "b").unionByName(linked)
+    return both.filter(F.exists(counts, lambda c: c["shared"] >= (c["n"] - c["shared"]) * threshold - 1e-9)).select("a", "b")
 
 
-def sketches(texts: DataFrame) -> DataFrame:
-    """(id, sketch) of texts(h, line): the least of all the line's values as 31-bit numbers, and how many values there are."""
+def sketches(texts: DataFrame, most: int | None = SKETCH) -> DataFrame:
+    """(id, sketch) of texts(h, line): the least of all the line's values as 31-bit numbers, `most` of them or all, and how many values there are."""
     low = texts.select(F.col("h").alias("id"), F.lower("line").alias("low")).select("id", _all_values().alias("all"))
-    least = F.transform(F.slice("all", 1, SKETCH), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    least = F.transform(F.slice("all", 1, most) if most else F.col("all"), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     return low.select("id", F.struct(least.alias("least"), F.size("all").alias("n")).alias("sketch"))
 
 
@@ -140,11 +142,7 @@ def _fits(n: Column, m: Column, threshold: float) -> Column:
     return F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9
 
 
-def _shared(a: str, b: str) -> Column:
-    return F.size(F.array_intersect(f"{a}.least", f"{b}.least"))
-
-
-def _alike(a: str, b: str, threshold: float, shared: Column | None = None) -> Column:
+def _alike(a: str, b: str, threshold: float) -> Column:
     """Whether two sketches allow a Jaccard of the threshold.
 
     Sets of n and m values of that Jaccard J share (n + m) J / (1 + J). Of the k
@@ -155,44 +153,61 @@ def _alike(a: str, b: str, threshold: float, shared: Column | None = None) -> Co
     larger = F.greatest(n, m)
     k = F.least(larger, F.lit(SKETCH))
     noise = F.when(larger > SKETCH, SLACK * F.sqrt(k)).otherwise(1.0)
-    shared = _shared(a, b) if shared is None else shared
+    shared = F.size(F.array_intersect(f"{a}.least", f"{b}.least"))
     return _fits(n, m, threshold) & (shared >= k * (n + m) / larger * (threshold / (1 + threshold)) - noise - 1e-9)
 
 
 def parities(sketch: DataFrame) -> DataFrame:
-    """(id, odd) of each sketch: LONGS longs, in which each value has turned one bit, and the number of values."""
-    value = F.col("value")
-    at = F.shiftright(value, 6).bitwiseAND(F.lit(LONGS - 1))
+    """(id, odd) of each sketch that holds all values: their number, LONGS longs, in which each value has turned one bit, and if they are more than FINE_FROM, FINE such longs, else null."""
+    value, zero = F.col("value"), F.lit(0).cast("long")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), value.bitwiseAND(F.lit(63)))
-    longs = [F.bit_xor(F.when(at == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(LONGS)]
-    found = sketch.select("id", F.col("sketch.n").alias("n"), F.explode("sketch.least").alias("value")).groupBy("id", "n").agg(*longs)
-    return found.select("id", F.struct("n", *(f"w{i}" for i in range(LONGS))).alias("odd"))
+    values = sketch.select("id", (F.col("sketch.n") > FINE_FROM).alias("long"), F.explode("sketch.least").alias("value"))
+    turned = values.groupBy("id", "long", F.shiftright(value, 6).bitwiseAND(F.lit(FINE - 1)).alias("at")).agg(F.bit_xor(bit).alias("bits"), F.count("*").alias("n"))
+    words = [F.bit_xor(F.when(F.col("at") % LONGS == i, F.col("bits")).otherwise(zero)).alias(f"w{i}") for i in range(LONGS)]
+    found = turned.groupBy("id").agg(F.sum("n").cast("int").alias("n"), *words, F.collect_list(F.when(F.col("long"), F.struct("at", "bits"))).alias("all"))
+    at = F.map_from_entries("all")
+    fine = F.when(F.size("all") > 0, F.transform(F.sequence(F.lit(0), F.lit(FINE - 1)), lambda i: F.coalesce(F.try_element_at(at, i), zero)))
+    return found.select("id", F.struct("n", *(f"w{i}" for i in range(LONGS)), fine.alias("fine")).alias("odd"))
+
 
+def _coarse(odd: DataFrame) -> DataFrame:
+    """(id, odd) with COARSE longs, that the others are folded to, and the number of values."""
+    folded = [F.expr(" ^ ".join(f"odd.w{i}" for i in range(k, LONGS, COARSE))).alias(f"w{k}") for k in range(COARSE)]
+    return odd.select("id", F.struct(F.col("odd.n").alias("n"), *folded).alias("odd"))
 
-def _near(a: str, b: str, threshold: float) -> Column:
+
+def _bound(a: str, b: str, threshold: float) -> Column:
+    """Values that sets of that many values and of a Jaccard of the threshold have in one of them alone, at most."""
+    return (F.col(f"{a}.n") + F.col(f"{b}.n")) * ((1 - threshold) / (1 + threshold)) + 1e-9
+
+
+def _near(a: str, b: str, threshold: float, longs: int = LONGS) -> Column:
     """Whether two parity sketches allow a Jaccard of the threshold.
 
     Bits that differ are at most the values in one set alone, which are (n + m)
-    (1 - J) / (1 + J); so no pair of the threshold is lost. Sets that the sketches do
-    not hold whole are judged later.
+    (1 - J) / (1 + J); so no pair of the threshold is lost.
     """
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = F.expr(" + ".join(f"bit_count({a}.w{i} ^ {b}.w{i})" for i in range(LONGS)))
-    return _fits(n, m, threshold) & ((F.greatest(n, m) > SKETCH) | (differ <= (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-9))
+    differ = F.expr(" + ".join(f"bit_count({a}.w{i} ^ {b}.w{i})" for i in range(longs)))
+    return _fits(F.col(f"{a}.n"), F.col(f"{b}.n"), threshold) & (differ <= _bound(a, b, threshold))
+
+
+def _finely_near(a: str, b: str, threshold: float) -> Column:
+    """The same by the finer sketches, where both lines have one: in a parity sketch of too few bits all sets of thousands of values look alike."""
+    bits = F.aggregate(F.zip_with(f"{a}.fine", f"{b}.fine", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return F.coalesce(bits <= _bound(a, b, threshold), F.lit(True))
 
 
 def _likely(pairs: DataFrame, odd: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that their parity sketches allow."""
+    """(a, b, far) of the pairs that their parity sketches allow: far if both lines have more than FAR values."""
     both = pairs.join(odd.select(F.col("id").alias("a"), F.col("odd").alias("oa")), "a").join(odd.select(F.col("id").alias("b"), F.col("odd").alias("ob")), "b")
-    return both.filter(_near("oa", "ob", threshold)).select("a", "b")
+    near = both.filter(_near("oa", "ob", threshold)).filter(_finely_near("oa", "ob", threshold))
+    return near.select("a", "b", (F.least("oa.n", "ob.n") > FAR).alias("far"))
 
 
-def _candidates(pairs: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, sure) of the pairs that their sketches allow: sure if those settle it."""
-    both = pairs.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-    n = F.col("sa.n") + F.col("sb.n")
-    sure = (F.greatest("sa.n", "sb.n") <= SKETCH) & (F.col("shared") >= n * (threshold / (1 + threshold)) + SURE)
-    return both.withColumn("shared", _shared("sa", "sb")).filter(_alike("sa", "sb", threshold, F.col("shared"))).select("a", "b", sure.alias("sure"))
+def _candidates(likely: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of likely(a, b, far), of those that are far the ones that their sketches allow."""
+    far = likely.filter("far").join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+    return likely.filter("not far").select("a", "b").unionByName(far.filter(_alike("sa", "sb", threshold)).select("a", "b"))
 
 
 def _placed(bucket: DataFrame, comp: DataFrame) -> DataFrame:
@@ -217,39 +232,45 @@ def _few_apart(bucket: DataFrame, comp: DataFrame) -> bool:
 
 
 def _apart(bucket: DataFrame, comp: DataFrame, odd: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: pairs of lines that share a bucket and are in different components, but for those whose parity sketches are too unlike.
-
-    A pair is taken in the least of the buckets alone that both lines are in.
-    """
+    """(a, b), a < b: pairs of lines that share a bucket and are in different components, but for those whose coarse parity sketches are too unlike."""
     dealt = store(dealt_to_blocks(_placed(bucket, comp), BLOCK), "dealt")
-    bands = dealt.groupBy("id").agg(F.array_sort(F.collect_set("band")).alias("bands"))
-    known = dealt.join(store(bands.join(odd, "id").select("id", "bands", "odd"), "first"), "id")
-    left = known.filter("block = lo").select("band", "lo", "hi", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("odd").alias("oa"), F.col("bands").alias("ba"))
-    right = known.filter("block = hi").select("band", "lo", "hi", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("odd").alias("ob"), F.col("bands").alias("bb"))
+    known = dealt.join(_coarse(odd), "id")
+    left = known.filter("block = lo").select("band", "lo", "hi", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("odd").alias("oa"))
+    right = known.filter("block = hi").select("band", "lo", "hi", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("odd").alias("ob"))
     apart = (F.col("ca") != F.col("cb")) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b")))
-    here = F.element_at(F.array_intersect("ba", "bb"), 1) == F.col("band")
-    both = left.join(right, ["band", "lo", "hi"]).filter(apart & _near("oa", "ob", threshold) & here)
+    both = left.join(right, ["band", "lo", "hi"]).filter(apart & _near("oa", "ob", threshold, COARSE))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _buckets(hashed: DataFrame) -> DataFrame:
+    """(h, band, hub) of all lines that share a band with another, the least of which is its hub."""
+    # equal lines are one before they are dealt by band, so that a line that fills a third of all texts is no hot band
+    once = store(banded(hashed).groupBy("h").agg(F.any_value("bands").alias("bands")), "bands")
+    parts = []
+    for part in range(PASSES):
+        rows = once.select("h", F.explode("bands").alias("band")).filter(F.pmod("band", F.lit(PASSES)) == part).repartition("band")
+        hubs = rows.groupBy("band").agg(F.min("h").alias("hub"), F.max("h").alias("far")).filter("hub < far").select("band", "hub")
+        # few bands have several lines: they are looked up, and the lines' own rows need no sort
+        parts.append(store(rows.join(hubs.hint("shuffle_hash"), "band"), "part"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def similar_lines(lines: DataFrame, threshold: float) -> DataFrame:
     """(id, comp): the component of each line hash that has a link to another."""
+    spark = lines.sparkSession
     hashed = lines.select(F.xxhash64("line").alias("h"), "line")
-    # equal lines are one before they are dealt by band, so that a line that fills a third of all texts is no hot band
-    once = banded(hashed).groupBy("h").agg(F.any_value("bands").alias("bands"))
-    rows = once.select("h", F.explode("bands").alias("band")).repartition("band")
-    hubs = rows.groupBy("band").agg(F.min("h").alias("hub"), F.max("h").alias("far")).filter("hub < far").select("band", "hub")
-    # few bands have several lines: they are looked up, and the lines' own rows need no sort
-    bucket = store(rows.join(hubs.hint("shuffle_hash"), "band"), "bucket")
+    bucket = store_alone(spark, lambda: _buckets(hashed), "bucket")
     wanted = store(bucket.select("h").distinct(), "wanted")
     texts = store(hashed.join(sized_broadcast(wanted, 8), "h").groupBy("h").agg(F.any_value("line").alias("line")), "texts")
-    sketch = store(sketches(texts), "sketch")
-    odd = store(parities(sketch), "odd")
-    judged = lambda pairs: store(_linked(store(_candidates(_likely(pairs, odd, threshold), sketch, threshold), "judged"), texts, threshold), "links")
+    # all of a line's values are in one task, so that only the texts are shuffled for them
+    odd = store(parities(sketches(texts.repartition("h"), None)), "odd")
+    sketch = store(sketches(texts.filter(F.length(F.lower("line")) > FAR)), "sketch")
+    judged = lambda pairs: store(_linked(_candidates(store(_likely(pairs, odd, threshold), "judged"), sketch, threshold), texts, threshold), "links")
+    comps = lambda links: store_alone(spark, lambda: components(links), "comp")
     # what is connected by links is so by each node's component, too, in fewer rounds
-    joined = lambda comp, links: store(components(comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(links)), "comp")
+    joined = lambda comp, links: comps(comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(links))
     pairs = store(bucket.filter("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct(), "pairs")
-    comp = store(components(judged(pairs)), "comp")
+    comp = comps(judged(pairs))
     # families that are apart by the first line alone grow together in a few turns, by pairs in proportion to their lines
     for turn in range(TURNS):
         if _few_apart(bucket, comp):
@@ -282,7 +303,7 @@ def without_repeats(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def _without_repeats(docs: DataFrame, threshold: float) -> DataFrame:
-    removed = store(removed_lines(docs, threshold).withColumnRenamed("removed", "__removed"), "removed")
+    removed = store_alone(docs.sparkSession, lambda: removed_lines(docs, threshold).withColumnRenamed("removed", "__removed"), "removed")
     joined = docs.join(sized_broadcast(removed, F.size("__removed") * 4 + 24), "doc_id", "left")
     lines = F.split("text", "\n")
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))

@@ -778,3 +778,28 @@ def test_null_and_repeated_ids_are_rows_of_their_own(spark):
     assert listed(minhash_dedup.dedup(df)) == [None, None, 7, 9]
     bench = spark.createDataFrame([(1, texts[3])], "item_id long, text string")
     assert listed(decontaminate.decontaminate(df, bench)) == [None, None, 7, 7, 9]
+
+
+def test_unlike_long_lines_are_ruled_out_by_parity_sketches(spark):
+    """Lines of thousands of characters that share a third of their shingles take no comparison of values or texts; like ones are kept."""
+    rng = np.random.default_rng(31)
+    pool = words(90, 900)
+    lines = [" ".join(rng.choice(pool, 450)) for _ in range(12)]
+    lines += [edited(rng, x, 20) for x in lines[:4]]
+    texts = spark.createDataFrame(list(enumerate(lines)), "h long, line string")
+    odd = line_dedup.parities(line_dedup.sketches(texts, None))
+    pairs_ = [(i, j, jaccard(lines[i], lines[j])) for i in range(16) for j in range(i + 1, 16)]
+    kept = {(r.a, r.b) for r in line_dedup._likely(spark.createDataFrame([p[:2] for p in pairs_], "a long, b long"), odd, 0.8).collect()}
+    assert kept == {(i, j) for i, j, x in pairs_ if x >= 0.7} == {(i, 12 + i) for i in range(4)}
+    assert all(1024 < len(x) for x in lines) and any(x > 0.25 for _, _, x in pairs_ if x < 0.7)
+
+
+def test_line_dedup_leaves_no_table_but_what_it_returns(spark):
+    """What the search for lines has stored is deleted when the repeated places are known; a stage after it has that disk."""
+    from tapelens import storage
+
+    storage.drop_stored(spark)
+    base = " ".join(words(7, 40))
+    out = line_dedup.dedup_lines(docs_of(spark, [base, base + "x", "other line"]))
+    assert len(storage._stored[spark.sparkContext.applicationId]) == 1
+    assert sorted(r.n_removed for r in out.collect()) == [0, 0, 1]
