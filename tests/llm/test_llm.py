@@ -803,3 +803,31 @@ def test_line_dedup_leaves_no_table_but_what_it_returns(spark):
     out = line_dedup.dedup_lines(docs_of(spark, [base, base + "x", "other line"]))
     assert len(storage._stored[spark.sparkContext.applicationId]) == 1
     assert sorted(r.n_removed for r in out.collect()) == [0, 0, 1]
+
+
+def test_rare_pairs_are_held_in_a_large_corpus(spark):
+    """A pair that occurs twice among a million tokens has an arc."""
+    texts = ["a " * 11_000] * 100 + ["x y", "x y", "x y z"]
+    docs = docs_of(spark, texts)
+    got = {r.doc_id: r.score for r in language_model.score(docs, F.lit(True)).collect()}
+    tokens = [[*t.split(), "</s>"] for t in texts]
+    assert [got[i] for i in (0, 100, 102)] == pytest.approx(plain_backoff(tokens, [tokens[0], tokens[100], tokens[102]]))
+
+
+def test_dealt_out_automaton_against_plain_backoff(spark, monkeypatch):
+    """The automaton of a corpus that no task holds: many chunks and buckets give the scores of the definition."""
+    from tapelens.llm import backoff_tables
+
+    monkeypatch.setattr(language_model, "SMALL_BYTES", 0)
+    monkeypatch.setattr(backoff_tables, "CHUNK", 1_000)
+    monkeypatch.setattr(backoff_tables, "BUCKET", 2_000)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "rare%d" % rng.integers(0, 40)], int(rng.integers(0, 60)))) for _ in range(40)] + [None]
+    docs = docs_of(spark, texts).repartition(5, "doc_id")
+    got = {r.doc_id: r for r in language_model.score(docs, F.col("doc_id") < 30).collect()}
+    tokens = [[*(t or "").split(), "</s>"] for t in texts]
+    assert [got[i].score for i in range(41)] == pytest.approx(plain_backoff(tokens[:30], tokens))
+    monkeypatch.setattr(language_model, "SMALL_BYTES", 1 << 30)
+    small = {r.doc_id: r for r in language_model.score(docs, F.col("doc_id") < 30).collect()}
+    assert all((got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (small[i].n_tokens, small[i].n_known, small[i].train_tokens) for i in range(41))
+    assert [got[i].base_score for i in range(41)] == pytest.approx([small[i].base_score for i in range(41)])
